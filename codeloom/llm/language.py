@@ -1,6 +1,6 @@
 """Language ID by nearest centroids of TF-IDF byte n-gram vectors.
 
-Texts are lower-cased (A-Z) and their byte 2-, 3- and 4-grams counted in a hashed space of ``DIMENSIONS``; counts
+Texts are lower-cased (A-Z and U+00C0-U+00DE), ASCII characters other than letters become single spaces, and the 2-, 3- and 4-grams are counted in a hashed space of ``DIMENSIONS``; counts
 become 1 + log, times the n-gram's inverse document frequency, and each vector is scaled to length one. Within
 each language spherical k-means makes several centroids, because one language has several kinds of text. A
 text gets the language of the centroid with the largest cosine; if that is under ``reject_below``, or the text has no
@@ -30,9 +30,23 @@ DIMENSIONS = 1 << 14
 SIZES = (2, 3, 4)
 
 
+#: ASCII letters in lower case, spaces for the rest of ASCII.
+_PLAIN = np.array([LOWER[c] if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
+
+
+def plain(data: np.ndarray) -> np.ndarray:
+    """The text in lower case with one space for each run of what is no letter."""
+    x = _PLAIN[data]
+    if len(x) > 1:
+        capital = np.flatnonzero((x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E) & (x[1:] != 0x97)) + 1
+        x[capital] += 32
+        x = x[np.append(True, (x[1:] != 32) | (x[:-1] != 32))]
+    return x
+
+
 def counts(data: np.ndarray) -> np.ndarray:
     """How often each hashed n-gram occurs in one text."""
-    x = LOWER[data].astype(np.uint32)
+    x = plain(data).astype(np.uint32)
     total = np.zeros(DIMENSIONS, np.int64)
     h = x
     for n in range(2, max(SIZES) + 1):
