@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,33 @@ def bucket(n: int, column: str = "id"):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"), keep=("url",))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "'</s>[INST] ok [/INST]'"
+    more = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, {text} AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    messages = chat_format.fold_events(chat_format.plain_events(rows.unionByName(more)), regenerates=False)
+    read = chat_format.read_back(chat_format.render(messages))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = read.withColumn("said", said).withColumn("loss", F.array_join("learned", ""))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -42,6 +69,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_html_text": op2_html_text,
+        "op4_chat_format": op4_chat_format,
+        "op7_decontaminate": op7_decontaminate,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_language": op10_language,
@@ -49,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL}
 
 
 OP8_SQL = """
@@ -57,3 +87,40 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
      r AS (SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, sha256(norm) AS text_sha256 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id))
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
+
+OP4_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+     e AS (SELECT *, 8 + length(replace(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b'), chr(10), '\n')) + 1
+                     + length(replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b')) + 8 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _lead(places: list[int]) -> str:
+    return ", ".join(f"lead(w, {p}) OVER o" if p else "w" for p in places)
+
+
+_SEEDS = " UNION ALL ".join(
+    f"SELECT id, n, {k} AS m, list_value({_lead([i for i, c in enumerate(mask) if c == '1'])}) AS seed, lead(w, {decontaminate.SPAN - 1}) OVER o AS ends FROM {{0}} WINDOW o AS (PARTITION BY id ORDER BY n)"
+    for k, mask in enumerate(decontaminate.MASKS)
+)
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+     b AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark),
+     dw AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM d),
+     bw AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM b),
+     ds AS ({_SEEDS.format("dw")}), bs AS ({_SEEDS.format("bw")}),
+     a AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.n - bs.n AS shift FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed WHERE ds.ends IS NOT NULL AND bs.ends IS NOT NULL),
+     s AS (SELECT a.doc_id, a.item_id, a.shift, bw.n, CASE WHEN dw.w = bw.w THEN 1 ELSE 0 END AS same
+           FROM a JOIN bw ON bw.id = a.item_id LEFT JOIN dw ON dw.id = a.doc_id AND dw.n = bw.n + a.shift),
+     r AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY n ROWS 12 PRECEDING) AS n_equal,
+                  least(13, count(*) OVER (PARTITION BY doc_id, item_id, shift)) AS n_window FROM s)
+SELECT doc_id, item_id, CAST(max(n_window) AS BIGINT) AS n_window, CAST(max(n_equal) AS BIGINT) AS n_equal
+FROM r GROUP BY doc_id, item_id HAVING max(n_equal) >= ceil(max(n_window) * 0.75)
+"""
