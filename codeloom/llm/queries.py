@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language, ngram_join, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_html_text": op2_html_text,
         "op4_chat_format": op4_chat_format,
+        "op5_ngram_join": op5_ngram_join,
         "op7_decontaminate": op7_decontaminate,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_toxicity": op9_toxicity,
@@ -79,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_chat_format": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL}
 
 
 OP8_SQL = """
@@ -124,3 +129,15 @@ WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[
 SELECT doc_id, item_id, CAST(max(n_window) AS BIGINT) AS n_window, CAST(max(n_equal) AS BIGINT) AS n_equal
 FROM r GROUP BY doc_id, item_id HAVING max(n_equal) >= ceil(max(n_window) * 0.75)
 """
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+     l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * both_ >= 75 * (x.n + y.n - both_)),
+     r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+"""
