@@ -23,6 +23,13 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_labels(df: DataFrame, n: int) -> list[int]:
+    """n integers that repartition(n, label) sends to n different partitions."""
+    ids = df.sparkSession.range(40 * n).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("at")).agg(F.min("label").alias("label"))
+    found = {r["at"]: r["label"] for r in ids.collect()}
+    return [found.get(i, i) for i in range(n)]
+
+
 def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows of a partition sorted by key, a table for each value."""
     held: list[pa.RecordBatch] = []

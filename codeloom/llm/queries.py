@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language, ngram_join, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language, ngram_join, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    n_kept = F.octet_length("kept").cast("long")
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - n_kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "'</s>[INST] ok [/INST]'"
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_html_text": op2_html_text,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_ngram_join": op5_ngram_join,
         "op7_decontaminate": op7_decontaminate,
