@@ -6,16 +6,24 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where the session names none, as in tests."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the shared folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        # Only where the session names no folder, as in tests on one machine.
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

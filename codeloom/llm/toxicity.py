@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,3 +181,16 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return frame.mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score is 0.5 or more."""
+
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        data, off = text_bytes(pa.array(text, pa.string()))
+        own = dict(model)
+        parts = [score_rows(own, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in pieces(off)]
+        return pd.Series(np.concatenate(parts) < 0.5 if parts else np.zeros(0, bool))
+
+    return docs.where(clean(F.col(text_col)))
