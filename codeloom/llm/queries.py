@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language, ngram_join, substring_dedup, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language, lm_score, ngram_join, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score(table(spark, sf_dir, "documents"), bucket(5, "doc") != 1, *bpe.default_paths())
+    return out.select("doc_id", (bucket(5, "doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_ngram_join": op5_ngram_join,
+        "op6_lm_score": op6_lm_score,
         "op7_decontaminate": op7_decontaminate,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_toxicity": op9_toxicity,
