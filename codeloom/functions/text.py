@@ -53,7 +53,7 @@ def page_path(number: Column | str, title: Column | str) -> Column:
 
 def repo_slug(url: Column | str) -> Column:
     """A URL's path as one name, without ``.git`` and ``_git``."""
-    path = F.regexp_replace(F.parse_url(column(url), F.lit("PATH")), r"\.git$", "")
+    path = F.regexp_replace(F.regexp_extract(column(url), r"^[a-zA-Z]+://[^/]+([^?#]*)", 1), r"\.git$", "")
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "_git"))
     return F.regexp_replace(F.regexp_replace(F.lower(F.array_join(parts, "-")), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
 
