@@ -11,8 +11,10 @@ the Jaccard similarity of their sets is at least ``num / den``.
 3. The sets of a key make a signature tree: leaves hold bitmaps of the sets' shingles, inner nodes OR-combined bitmaps and size
    ranges. Both ends of a pair descend together, and a pair of nodes is pruned when its sizes cannot match or when the
    common bits, and the bits that stand for several shingles, allow too small an overlap.
-4. What survives is joined into families; only their sets are read in full, and a second tree over each family
-   leaves the pairs that are compared exactly. Pairs that are in one component already are not compared.
+   Sets that may match their group's leader skip the tree, so a large group of near copies is dealt out by rows.
+4. What survives is joined into families; only their sets are read in full. Each is compared exactly with its family's leader,
+   and only a family in which not all link to the leader comes together in a task, where a second tree leaves the pairs that
+   are compared exactly. Pairs that are in one component already are not compared.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; a text of fewer than k words has one
 shingle, the whole sequence. Repeated rows link by their equal sets. Texts of any length are read whole. Other columns are
@@ -72,6 +74,24 @@ def windows(sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.nda
             yield c, member
 
 
+def may_match(n: int, m: int, a: bytes, b: bytes, num: int, den: int) -> bool:
+    """Whether two sets of n and m shingles can link, by their bitmaps."""
+    if n * den < m * num or m * den < n * num:
+        return False
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    slack = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
+    return min(slack + int(np.bitwise_count(x & y).sum()), n, m) * (num + den) >= num * (n + m)
+
+
+def similar_sets(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
 class SignatureTree:
     """Bitmaps of one width over sets in order of size, in leaves of LEAF sets; nodes halve the leaves."""
 
@@ -192,8 +212,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
             i, j = member[i], member[j]
             while len(rest := np.flatnonzero(found.label[i] != found.label[j])):
                 x, y = int(i[rest[0]]), int(j[rest[0]])
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if den * both >= num * (len(sets[x]) + len(sets[y]) - both):
+                if similar_sets(sets[x], sets[y], num, den):
                     found.join(x, y)
                 i, j = i[rest[1:]], j[rest[1:]]
             sub[:] = found.label[member]
@@ -280,13 +299,26 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
             f = first[lo : lo + 5000]
             at = np.repeat(start[f] - (np.cumsum(size[f]) - size[f]), size[f]) + np.arange(size[f].sum())
             members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[f])), pa.int32()), pa.array(packed["name"][at].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(group[f]), members], names=["grp", "members"])
+            leader = packed["name"][start[f] + size[f] // 2].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(group[f]), pa.array(leader), members], names=["grp", "leader", "members"])
 
     keys = rows.mapInArrow(emit, "part int, packed binary").repartition(n_parts, "part").select("packed")
-    groups = keys.mapInArrow(meet, "grp long, members array<long>").dropDuplicates(["grp"])
+    groups = keys.mapInArrow(meet, "grp long, leader long, members array<long>").dropDuplicates(["grp"])
     names = sets.where("n > 0").groupBy("name").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     names = cut(names)
-    members = groups.select("grp", F.explode("members").alias("name")).join(names.select("name", "n", "bitmap"), "name")
+    members = groups.select("grp", "leader", F.explode("members").alias("name")).join(names.select("name", "n", "bitmap"), "name")
+    # Most groups are near copies of one text: what may match the group's leader needs no tree, however many there are.
+    led = members.join(names.select(F.col("name").alias("leader"), F.col("n").alias("leader_n"), F.col("bitmap").alias("leader_bitmap")), "leader")
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, n_leader = b[3].to_numpy(), b[5].to_numpy()
+            near = [may_match(x, y, p, q, num, den) for x, y, p, q in zip(n.tolist(), n_leader.tolist(), b[4].to_pylist(), b[6].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b[i] for i in range(5)), pa.array(near, pa.bool_())], names=["grp", "leader", "name", "n", "bitmap", "near"])
+
+    flagged = cut(led.select("grp", "leader", "name", "n", "bitmap", "leader_n", "leader_bitmap").mapInArrow(beside, "grp long, leader long, name long, n long, bitmap binary, near boolean"))
+    stars = flagged.where("near and leader <> name").select(F.col("leader").alias("a"), F.col("name").alias("b"))
+    members = flagged.join(flagged.where("not near").select("grp").distinct(), "grp", "left_semi")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, z = [], []
@@ -306,7 +338,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
     may = members.repartition(n_parts, "grp").sortWithinPartitions("grp").select("grp", "name", "n", "bitmap").mapInArrow(traverse, "a long, b long")
-    families = cut(components(may).select(F.col("node").alias("name"), F.col("component").alias("family")))
+    families = cut(components(may.unionByName(stars)).select(F.col("node").alias("name"), F.col("component").alias("family")))
     chosen = families.join(names.select("name", "doc"), "name")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,15 +346,19 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
             data, off = text_bytes(b[3])
             for lo, hi in pieces(off):
                 s = shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
-                yield pa.RecordBatch.from_arrays([*(b[i].slice(lo, hi - lo) for i in range(3)), pa.array([x.tobytes() for x in s], pa.binary())], names=["family", "name", "doc", "shingles"])
+                part = pa.RecordBatch.from_arrays([*(b[i].slice(lo, hi - lo) for i in range(3)), pa.array([x.tobytes() for x in s], pa.binary())], names=["family", "name", "doc", "shingles"])
+                # A document may have several rows; those with another text do not have this set.
+                yield part.filter(pa.array([set_name(x) == y for x, y in zip(s, part[1].to_pylist(), strict=True)], pa.bool_()))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [similar_sets(np.frombuffer(x, U), np.frombuffer(y, U), num, den) for x, y in zip(b[3].to_pylist(), b[4].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b[i] for i in range(3)), pa.array(near, pa.bool_())], names=["family", "name", "doc", "near"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list] = ([], [])
         for t in by_key(batches, "family"):
-            # A document may have several rows; those with another text do not have this set.
-            rows_ = {n: (d, np.frombuffer(x, U)) for n, d, x in zip(t["name"].to_pylist(), t["doc"].to_pylist(), t["shingles"].to_pylist(), strict=True) if set_name(np.frombuffer(x, U)) == n}
-            if not rows_:
-                continue
+            rows_ = {n: (d, np.frombuffer(x, U)) for n, d, x in zip(t["name"].to_pylist(), t["doc"].to_pylist(), t["shingles"].to_pylist(), strict=True)}
             label = linked([x for _, x in rows_.values()], num, den).tolist()
             least: dict[int, int] = {}
             for x, (d, _) in zip(label, rows_.values(), strict=True):
@@ -331,8 +367,15 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
             out[1].extend(least[x] for x in label)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["name", "component"])
 
-    texts = chosen.join(rows, "doc").select("family", "name", "doc", "text").mapInArrow(read, "family long, name long, doc long, shingles binary")
-    settled = texts.repartition(n_parts, "family").sortWithinPartitions("family").mapInArrow(settle, "name long, component long")
+    texts = cut(chosen.join(rows, "doc").select("family", "name", "doc", "text").mapInArrow(read, "family long, name long, doc long, shingles binary"))
+    # A family's smallest name is its leader. If all link to it, the family is one component; other families are compared within.
+    heads = texts.where("family = name").dropDuplicates(["family"]).select("family", F.col("shingles").alias("head"))
+    followed = texts.join(heads, "family").select("family", "name", "doc", "shingles", "head").mapInArrow(follow, "family long, name long, doc long, near boolean")
+    followed = cut(followed)
+    whole = followed.groupBy("family").agg(F.bool_and("near").alias("whole"), F.min("doc").alias("component"))
+    settled = followed.select("family", "name").distinct().join(whole.where("whole").select("family", "component"), "family").select("name", "component")
+    open_ = texts.join(whole.where("not whole").select("family"), "family", "left_semi")
+    settled = settled.unionByName(open_.repartition(n_parts, "family").sortWithinPartitions("family").select("family", "name", "doc", "shingles").mapInArrow(settle, "name long, component long"))
     all_names = names.select("name", "doc").join(settled, "name", "left").select("name", F.coalesce("component", "doc").alias("component"))
     out = sets.select("doc", "n", "name").join(all_names, "name", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
