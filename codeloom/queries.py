@@ -343,9 +343,6 @@ def dangling_edges(spark, d):
     return lookup.dangling_edges(Graph(exported, g.edges.where("kind = 'calls'"), g.files)).select("kind", "source", "target")
 
 
-_FOCAL = "f AS (SELECT 'x' AS number, id FROM g_nodes WHERE kind = 'file')"
-
-
 def file_sections(g: Graph) -> DataFrame:
     """Each file as a section with itself as its symbol."""
     return g.nodes.where("kind = 'file'").select(F.col("id").alias("number"), F.col("name").alias("title"), F.lit("").alias("description"), F.array("id").alias("symbol_ids"))
