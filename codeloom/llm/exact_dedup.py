@@ -7,8 +7,8 @@ texts the row with the most code points stays, then the one with the smallest id
    sent once for each task and not once for each row. The table is emptied whenever it is full.
 2. Spark deals the merged rows out by a hash of the content.
 3. Each reduce task is a grace hash join of the rows with themselves: if the different contents do not fit
-   the table, rows go to spill files by the next bits of the hash, and each file is treated in the same way.
-   Equal contents never need room twice, so a large group of copies cannot overflow a table.
+   the table, those beyond it go to spill files by another hash, and each file is treated in the same way.
+   Only different contents take room: ids wait in a side file, so a large group of copies cannot overflow a table.
 4. The ids of a group stay in lists of the size that one map task made; they are dealt out evenly again before
    they become rows.
 
@@ -23,7 +23,8 @@ import hashlib
 import os
 import pickle
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +52,12 @@ class ContentTable:
             if self.keys[entry] == key and self.contents[entry] == content:
                 return entry
             at = (at + 1) & mask
-        if self.contents and self.used + len(content) + 200 > self.room:
+        if self.contents and self.used + len(content) + 300 > self.room:
             return -1
         self.slots[at] = len(self.contents)
         self.keys.append(key)
         self.contents.append(content)
-        self.used += len(content) + 200
+        self.used += len(content) + 300
         if 2 * len(self.contents) > len(self.slots):
             self.grow()
         return len(self.contents) - 1
@@ -76,18 +77,6 @@ def content_key(content: bytes, level: int = 0) -> int:
     return int.from_bytes(hashlib.blake2b(content, digest_size=8, salt=level.to_bytes(2, "little")).digest(), "little") >> 1
 
 
-def spill(rows: Iterable, folder: str, level: int, parts: int) -> list[str]:
-    names = [os.path.join(folder, f"{level}-{i}-{os.urandom(4).hex()}") for i in range(parts)]
-    files = [open(n, "wb") for n in names]  # noqa: SIM115
-    try:
-        for row in rows:
-            pickle.dump(row, files[content_key(row[0], level) % parts])
-    finally:
-        for f in files:
-            f.close()
-    return names
-
-
 def stored(name: str) -> Iterator:
     with open(name, "rb") as f:
         while True:
@@ -97,35 +86,41 @@ def stored(name: str) -> Iterator:
                 return
 
 
-def grace(rows: Iterator[tuple[bytes, list, list]], room: int, folder: str, level: int = 1, parts: int = 16) -> Iterator[tuple]:
-    """For each (content, ids, lengths): (ids, kept flags, id that stays, group size, content digest).
+def grace(rows: Iterator[tuple], room: int, folder: str, level: int = 1, parts: int = 16) -> Iterator[tuple]:
+    """For each (content, ids, lengths, ...): (ids, kept flags, id that stays, group size, content digest, ...).
 
-    Rows are held in memory while they fit; beyond, they and the rest go to spill files by content.
+    The table holds different contents, with the best row and the count of each; ids go to one side file, whatever their number,
+    and are read back when all are counted. Contents beyond the room go to spill files; those in the table never do.
     """
-    table, held, size, best, total = ContentTable(room), [], 0, [], []
-    for row in rows:
-        entry = table.find(content_key(row[0]), row[0])
-        if entry < 0 or size > room:
-            held.append((row[0], row[1], row[2]))
-            rest = ((table.contents[h[0]], h[1], h[2]) if isinstance(h[0], int) else h for h in held)
-            names = spill(_chain(rest, rows), folder, level, parts)
-            del table, held, best, total
-            for name in names:
-                yield from grace(stored(name), room, folder, level + 1, parts)
-                os.remove(name)
-            return
-        ids, lengths = row[1], row[2]
-        top = min((-n, LARGEST if i is None else i) for i, n in zip(ids, lengths, strict=True))
-        if entry == len(best):
-            best.append(top)
-            total.append(0)
-        best[entry] = min(best[entry], top)
-        total[entry] += len(ids)
-        held.append((entry, ids, lengths))
-        size += 100 + 24 * len(ids)
+    table, best, total = ContentTable(room), [], []
+    side = os.path.join(folder, f"{level}-{os.urandom(4).hex()}")
+    spilled = {i: f"{side}-{i}" for i in range(parts)}
+    files: dict[int, BinaryIO] = {}
+    try:
+        with open(side, "wb") as held:
+            for row in rows:
+                content, ids, lengths, *more = row
+                entry = table.find(content_key(content), content)
+                if entry < 0:
+                    part = content_key(content, level) % parts
+                    if part not in files:
+                        files[part] = open(spilled[part], "wb")  # noqa: SIM115
+                    pickle.dump(row, files[part])
+                    continue
+                top = min((-n, LARGEST if i is None else i) for i, n in zip(ids, lengths, strict=True))
+                if entry == len(best):
+                    best.append(top)
+                    total.append(0)
+                best[entry] = min(best[entry], top)
+                total[entry] += len(ids)
+                pickle.dump((entry, ids, lengths, *more), held)
+    finally:
+        for f in files.values():
+            f.close()
     digests = [hashlib.sha256(c).hexdigest() for c in table.contents]
+    del table
     open_ = [True] * len(best)
-    for entry, ids, lengths in held:
+    for entry, ids, lengths, *more in stored(side):
         kept = []
         for i, n in zip(ids, lengths, strict=True):
             first = open_[entry] and (-n, LARGEST if i is None else i) == best[entry]
@@ -133,12 +128,12 @@ def grace(rows: Iterator[tuple[bytes, list, list]], room: int, folder: str, leve
                 open_[entry] = False
             kept.append(first)
         stays = best[entry][1]
-        yield ids, kept, None if stays == LARGEST else stays, total[entry], digests[entry]
-
-
-def _chain(a: Iterable, b: Iterable) -> Iterator:
-    yield from a
-    yield from b
+        yield ids, kept, None if stays == LARGEST else stays, total[entry], digests[entry], *more
+    os.remove(side)
+    del best, total, digests, open_
+    for part in files:
+        yield from grace(stored(spilled[part]), room, folder, level + 1, parts)
+        os.remove(spilled[part])
 
 
 def _length(text: str) -> int:
@@ -188,6 +183,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = ((c.as_py(), i.as_py(), n.as_py()) for b in batches for c, i, n in zip(b[0], b[1], b[2], strict=True))
         with tempfile.TemporaryDirectory(prefix="grace-") as folder:
             part: list[tuple] = []
+            n_ids = 0
 
             def out() -> pa.RecordBatch:
                 kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.string())
@@ -195,9 +191,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
             for row in grace(rows, room, folder):
                 part.append(row)
-                if len(part) >= 2000:
+                n_ids += len(row[0])
+                if len(part) >= 2000 or n_ids >= 100_000:
                     yield out()
-                    part = []
+                    part, n_ids = [], 0
             if part:
                 yield out()
 

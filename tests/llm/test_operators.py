@@ -324,6 +324,12 @@ def test_grace_spills(tmp_path):
     assert small == large and sum(x[1] for x in small) == len({x[0] for x in rows}) and not list(tmp_path.iterdir())
 
 
+def test_grace_holds_one_large_group(tmp_path):
+    rows = [(b"same", list(range(k, k + 500)), [4] * 500) for k in range(0, 10_000, 500)] + [(b"other" * 300, [10_000], [7]), (b"third" * 300, [10_001], [7])]
+    got = sorted((i, k, s, n) for ids, kept, s, n, _ in exact_dedup.grace(iter(rows), 2000, str(tmp_path)) for i, k in zip(ids, kept, strict=True))
+    assert got == [*((i, i == 0, 0, 10_000) for i in range(10_000)), (10_000, True, 10_000, 1), (10_001, True, 10_001, 1)] and not list(tmp_path.iterdir())
+
+
 # --- 9: toxicity
 
 
