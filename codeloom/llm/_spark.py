@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a column that differs for every row, and its name; written and read again, so that all who read it see the same keys."""
+    name = "row_key"
+    while name.lower() in [c.lower() for c in df.columns]:
+        name = "_" + name
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path), name
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import with_row_key
+
 #: Weight five within eight places. Of all ways to spread three differences over thirteen words, three in a thousand evade all four.
 MASKS = ("11110100", "10010111", "11100011", "11101100")
 SPAN = 8
@@ -78,7 +80,8 @@ def overlaps(
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_window", "n_equal")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that have an overlap with an item; rows without an id stay only if no such row has one."""
-    bad = overlaps(docs, benchmark, id_col=id_col, **how).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """docs without the rows that have an overlap with an item; ids are not looked at."""
+    keyed, row = with_row_key(docs)
+    bad = overlaps(keyed, benchmark, **{**how, "id_col": row}).select(row).distinct()
+    return keyed.join(bad, row, "left_anti").select(*docs.columns)

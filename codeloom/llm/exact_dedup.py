@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import with_row_key
+
 SPACES = b" \t\n\x0b\x0c\r"
 LARGEST = 2**63 - 1
 
@@ -140,11 +142,12 @@ def _length(text: str) -> int:
     return len(text)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = 48 << 20) -> DataFrame:
-    """One row for each row of docs: (id, keep_id, group_size, kept, text_sha256).
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = 48 << 20, row_col: str | None = None) -> DataFrame:
+    """One row for each row of docs: (id, keep_id, group_size, kept, text_sha256), and row_col, a long, if named.
 
     room: bytes of content that a task holds in memory at once.
     """
+    columns = ["ids", "lengths", *(["rows"] if row_col else [])]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: ContentTable, groups: list) -> Iterator[pa.RecordBatch]:
@@ -156,14 +159,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         pa.array(table.contents[lo : lo + 500], pa.binary()),
                         pa.array([g[0] for g in part], pa.list_(pa.int64())),
                         pa.array([g[1] for g in part], pa.list_(pa.int64())),
+                        *([pa.array([g[2] for g in part], pa.list_(pa.int64()))] if row_col else []),
                     ],
-                    names=["key", "content", "ids", "lengths"],
+                    names=["key", "content", *columns],
                 )
 
         table, groups, n = ContentTable(room // 2), [], 0
         for batch in batches:
             ids = batch[0].to_pylist()
-            for i, value in zip(ids, batch[1], strict=True):
+            keys = batch[2].to_pylist() if row_col else ids
+            for i, value, own in zip(ids, batch[1], keys, strict=True):
                 text = value.as_py() or ""
                 content = text.encode("utf-8", "surrogateescape").translate(None, SPACES)
                 key = content_key(content)
@@ -173,21 +178,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     table, groups, n = ContentTable(room // 2), [], 0
                     entry = table.find(key, content)
                 if entry == len(groups):
-                    groups.append(([], []))
+                    groups.append(([], [], []))
                 groups[entry][0].append(i)
                 groups[entry][1].append(_length(text))
+                if row_col:
+                    groups[entry][2].append(own)
                 n += 1
         yield from out(table, groups)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((c.as_py(), i.as_py(), n.as_py()) for b in batches for c, i, n in zip(b[0], b[1], b[2], strict=True))
+        rows = (tuple(x.as_py() for x in row) for b in batches for row in zip(*b.columns, strict=True))
         with tempfile.TemporaryDirectory(prefix="grace-") as folder:
             part: list[tuple] = []
             n_ids = 0
 
             def out() -> pa.RecordBatch:
-                kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.string())
-                return pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], kind) for k, kind in enumerate(kinds)], names=["ids", "kepts", "keep_id", "group_size", "text_sha256"])
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.string(), *([pa.list_(pa.int64())] if row_col else []))
+                return pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], kind) for k, kind in enumerate(kinds)], names=["ids", "kepts", "keep_id", "group_size", "text_sha256", *columns[2:]])
 
             for row in grace(rows, room, folder):
                 part.append(row)
@@ -198,14 +205,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if part:
                 yield out()
 
-    merged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(merge, "key long, content binary, ids array<long>, lengths array<long>")
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    merged = read.mapInArrow(merge, "key long, content binary, ids array<long>, lengths array<long>" + (", rows array<long>" if row_col else ""))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = merged.repartition(n, "key").select("content", "ids", "lengths").mapInArrow(reduce, "ids array<long>, kepts array<boolean>, keep_id long, group_size long, text_sha256 string")
-    rows = found.repartition(n).select(F.inline(F.arrays_zip("ids", "kepts")).alias("id", "kept"), "keep_id", "group_size", "text_sha256")
-    return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+    found = merged.repartition(n, "key").select("content", *columns).mapInArrow(reduce, "ids array<long>, kepts array<boolean>, keep_id long, group_size long, text_sha256 string" + (", rows array<long>" if row_col else ""))
+    rows = found.repartition(n).select(F.inline(F.arrays_zip("ids", "kepts", *columns[2:])).alias("id", "kept", *(["row"] if row_col else [])), "keep_id", "group_size", "text_sha256")
+    return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256", *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that do not stay; ids are taken to be unique."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    """docs without the rows that do not stay; ids may be null or occur several times."""
+    keyed, row = with_row_key(docs)
+    kept = exact_groups(keyed, id_col, text_col, row_col=row).where("kept").select(F.col(row))
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)

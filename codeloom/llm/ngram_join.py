@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import Spans, U, mix, pieces, shingle_hashes, text_bytes, word_bounds
-from ._spark import by_key, components, cut, partitions
+from ._spark import by_key, components, cut, partitions, with_row_key
 
 BUCKETS = 1 << 16
 LEAF = 32
@@ -396,7 +396,8 @@ def corpus_frequency(parts: DataFrame) -> np.ndarray:
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each component, the one with the smallest id; ids are taken to be unique."""
-    found = similarity_components(docs, id_col=id_col, **how)
-    rest = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept"))
-    return docs.join(rest, docs[id_col] == rest["__kept"], "left_semi")
+    """docs with one row of each component, the one with the smallest id (null is last); ids may be null or occur several times."""
+    keyed, row = with_row_key(docs)
+    found = similarity_components(keyed, id_col=row, **how).join(keyed.select(row, F.col(id_col).cast("long").alias("__id")), row)
+    rest = found.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", row)).alias("least")).select(F.col(f"least.{row}").alias(row))
+    return keyed.join(rest, row, "left_semi").select(*docs.columns)

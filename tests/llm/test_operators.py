@@ -381,6 +381,18 @@ def test_language(spark):
 # --- pipeline
 
 
+def test_stages_tell_rows_apart(spark):
+    words = [f"w{i}" for i in range(80)]
+    a, b, c = (" ".join(words[k : k + 20]) for k in (0, 20, 40))
+    near = a.replace("w0 ", "new ")
+    rows = [(None, a), (None, b), (5, c), (5, c), (5, b + " "), (7, None), (7, near)]
+    left = lambda df: sorted(((r.doc_id or 0, r.text or "") for r in df.collect()))
+    assert left(exact_dedup.drop_copies(frame(spark, rows))) == sorted([(0, a), (5, b + " "), (5, c), (7, ""), (7, near)])
+    assert left(ngram_join.drop_similar(frame(spark, rows))) == sorted([(5, b + " "), (5, c), (7, ""), (7, near)])
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert left(decontaminate.drop_contaminated(frame(spark, rows), bench)) == sorted([(0, b), (5, b + " "), (5, c), (5, c), (7, "")])
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(12)
