@@ -283,6 +283,12 @@ def test_lm_windows_score_each_once():
     assert (source[:, 0][:1] == 999).all()
 
 
+def test_lm_context():
+    _, target, live = lm_score.windows(np.arange(500), np.array([0, 500]), 999)
+    before = {int(t): place + 1 for row, use in zip(target, live, strict=True) for place, (t, u) in enumerate(zip(row, use, strict=True)) if u}
+    assert max(before.values()) == 32 and all(n >= 9 for t, n in before.items() if t >= 32) and lm_score.CLASSES == 96
+
+
 # --- 7: decontamination
 
 
