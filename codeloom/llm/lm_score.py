@@ -4,10 +4,13 @@ Texts are lower-cased (A-Z) and cut into words; the model reads the words, each
 public byte-level tokenizer, and an end. One attention layer with a learned bias for each distance sees at most ``WINDOW`` ids;
 windows overlap by ``OVERLAP``, so each id is scored once and, after the first window, with at least that much before it.
 Windows of many texts are run together under one causal mask. The next id is predicted in two steps, its class by a softmax over
-classes and the id within the class by a softmax over the class's members; ids that the sample lacks share one class evenly.
+classes and the id within the class by a softmax over the class's members; ids without a place of their own share one class, by
+their counts. Ids are counted over all training texts, and classes are made of these counts.
 
-The model is trained by Adam, with gradients worked out by hand, on the ``max_docs`` training texts with the smallest hashes of
-their ids (a bounded sample; the bound is the parameter). The baseline's counts are taken over all training texts: each task
+The model is trained by Adam, with gradients worked out by hand: it starts on the ``max_docs`` training texts with the smallest hashes
+of their ids and then reads every training text once, in ``rounds`` rounds. In a round each task goes on from the same
+parameters over its own texts of that round, and the mean of the tasks' parameters, by targets read, is what the next round begins with.
+The baseline's counts are taken over all training texts: each task
 adds up its words, sums meet by word hash, words with at least N / ``frequent`` occurrences (there are at most ``frequent``) are
 sent to every task, and the others are looked up where their counts are.
 
@@ -63,9 +66,9 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out, at[first]
 
 
-def vocabulary(sample: np.ndarray, size: int) -> dict[str, np.ndarray]:
-    """For every id its symbol (input), class and place in the class; the last id is the end."""
-    count = np.bincount(sample, minlength=size)
+def vocabulary(count: np.ndarray) -> dict[str, np.ndarray]:
+    """For every id its symbol (input), class and place in the class, from its count; the last id is the end."""
+    size = len(count)
     order = np.argsort(-count, kind="stable")
     seen = int((count > 0).sum())
     known = min(KNOWN, seen)
@@ -81,7 +84,10 @@ def vocabulary(sample: np.ndarray, size: int) -> dict[str, np.ndarray]:
     start = np.searchsorted(cls[by], np.arange(CLASSES))
     place[by] = np.arange(size) - start[cls[by]]
     members = np.bincount(cls, minlength=CLASSES)
-    return {"symbol": symbol, "class": cls, "place": place, "members": members}
+    share = np.log(count + 0.5)
+    share -= np.log(np.bincount(cls, count + 0.5, CLASSES) + 1e-300)[cls]
+    mass = np.bincount(cls, count, CLASSES)
+    return {"symbol": symbol, "class": cls, "place": place, "members": members, "share": share.astype(np.float32), "mass": mass, "order": by}
 
 
 def new_model(vocab: dict, seed: int = 5) -> dict[str, np.ndarray]:
@@ -90,7 +96,9 @@ def new_model(vocab: dict, seed: int = 5) -> dict[str, np.ndarray]:
     m = {"embed": r.normal(0, 0.3, (KNOWN + 2, d)), "qkv": r.normal(0, d**-0.5, (d, 3 * d)), "far": np.zeros(WINDOW), "out": r.normal(0, d**-0.5, (d, d)), "prev": np.eye(d) + r.normal(0, 0.1, (d, d)), "hid": np.zeros(d), "cls": r.normal(0, 0.1, (d, CLASSES)), "bias": np.zeros(CLASSES)}
     inner = int(vocab["members"][SINGLE : CLASSES - 1].sum())
     m["within"] = r.normal(0, 0.05, (inner, d))
-    m["start"] = np.zeros(inner)
+    inside = vocab["class"][vocab["order"]]
+    m["start"] = vocab["share"][vocab["order"]][(inside >= SINGLE) & (inside < CLASSES - 1)]
+    m["bias"] = np.log((vocab["mass"] + 0.5) / (vocab["mass"].sum() + 0.5 * CLASSES))
     m["bias"][vocab["members"] == 0] = -1e4  # classes without members get no probability
     return {k: v.astype(np.float32) for k, v in m.items()}
 
@@ -153,7 +161,7 @@ def log_probability(m: dict, vocab: dict, ranges: list, h: np.ndarray, target: n
             out[rows] += w[np.arange(len(rows)), vocab["place"][target[rows]]] - peak - np.log(np.exp(w - peak[:, None]).sum(1))
     rest = c == CLASSES - 1
     if rest.any():
-        out[rest] -= np.log(max(1, int(vocab["members"][CLASSES - 1])))
+        out[rest] += vocab["share"][target[rest]]
     return out
 
 
@@ -223,30 +231,38 @@ def windows(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray,
     return np.where(inside, source, end), np.where(inside, target, end), score
 
 
-def train(texts: list[bytes], path: str, pattern: str, steps: int = 1500, batch: int = 192, seed: int = 11) -> tuple[dict, dict]:
+class Adam:
+    def __init__(self, m: dict):
+        self.m, self.step = m, 0
+        self.one, self.two = {k: np.zeros_like(w) for k, w in m.items()}, {k: np.zeros_like(w) for k, w in m.items()}
+
+    def take(self, g: dict, rate: float) -> None:
+        self.step += 1
+        for k, w in self.m.items():
+            self.one[k] += 0.1 * (g[k] - self.one[k])
+            self.two[k] += 0.01 * (g[k] * g[k] - self.two[k])
+            w -= np.float32(rate) * (self.one[k] / (1 - 0.9**self.step)) / (np.sqrt(self.two[k] / (1 - 0.99**self.step)) + np.float32(1e-8))
+
+
+def train(texts: list[bytes], path: str, pattern: str, steps: int = 1500, batch: int = 192, seed: int = 11, counts: np.ndarray | None = None) -> tuple[dict, dict]:
+    """The model and vocabulary; counts: of all ids, by default those of the texts."""
     t = bpe.tokenizer(path, pattern)
     size = len(t.vocabulary.bytes_of) + 1
     end = size - 1
     data, off = plain_words(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts])).astype(np.int64))
     ids, bounds = t.encode_rows(data, off)
-    vocab = vocabulary(np.append(ids, np.full(len(texts), end)), size)
+    vocab = vocabulary(np.bincount(np.append(ids, np.full(len(texts), end)).astype(np.int64), minlength=size) if counts is None else counts)
     m = new_model(vocab)
     if not len(texts):
         return m, vocab
     ranges = class_ranges(vocab)
     source, target, live = windows(ids, bounds, end)
-    count = np.bincount(vocab["class"][target[live]], minlength=CLASSES)
-    m["bias"] = np.where(vocab["members"] > 0, np.log((count + 0.5) / (count.sum() + 0.5 * CLASSES)), -1e4).astype(np.float32)
     r = np.random.default_rng(seed)
-    one, two = {k: np.zeros_like(w) for k, w in m.items()}, {k: np.zeros_like(w) for k, w in m.items()}
+    adam = Adam(m)
     for step in range(1, steps + 1):
         pick = r.integers(0, len(source), min(batch, len(source)))
         _, g = gradients(m, vocab, ranges, vocab["symbol"][source[pick]], target[pick], live[pick])
-        rate = 0.02 * min(1, step / 20) * (1 - 0.95 * step / steps)
-        for k, w in m.items():
-            one[k] += 0.1 * (g[k] - one[k])
-            two[k] += 0.01 * (g[k] * g[k] - two[k])
-            w -= np.float32(rate) * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + np.float32(1e-8))
+        adam.take(g, 0.02 * min(1, step / 20) * (1 - 0.95 * step / steps))
     return m, vocab
 
 
@@ -328,21 +344,86 @@ def word_counts(rows: DataFrame, labels: np.ndarray, room: int = 1_500_000) -> D
     return rows.mapInArrow(count, "label int, table binary").repartition(len(labels), "label").mapInArrow(add, "label int, table binary, n long, v long")
 
 
-def fit(rows: DataFrame, path: str, pattern: str, max_docs: int = 1500) -> tuple[dict, dict]:
-    """The model from (doc, text) rows: one task trains on the bounded sample, and the driver gets the parameters alone."""
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of rows of packed doubles (vector); the driver gets one vector of a fixed length."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for b in batches:
+            for x in b[0]:
+                out += np.frombuffer(x.as_py(), np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["vector"])
+
+    row = parts.repartition(8).mapInArrow(total, "vector binary").repartition(1).mapInArrow(total, "vector binary").head()
+    return np.frombuffer(row[0], np.float64) if row else np.zeros(size)
+
+
+def id_counts(rows: DataFrame, path: str, pattern: str) -> np.ndarray:
+    """How often each subword id, and at last the end, occurs in all (doc, text) rows."""
+    size = len(bpe.tokenizer(path, pattern).vocabulary.bytes_of) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, out = bpe.tokenizer(path, pattern), np.zeros(size)
+        for b in batches:
+            data, off = text_bytes(b[1])
+            for lo, hi in pieces(off, 1 << 19):
+                out += np.bincount(t.encode_rows(*plain_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))[0].astype(np.int64), minlength=size)
+            out[-1] += len(b)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["vector"])
+
+    return summed(rows.mapInArrow(count, "vector binary"), size).astype(np.int64)
+
+
+def read_all(m: dict, vocab: dict, rows: DataFrame, path: str, pattern: str, rounds: int, batch: int = 384) -> dict:
+    """The model after every (doc, text) row was learned from once."""
+    size = sum(w.size for w in m.values())
+    ranges, end = class_ranges(vocab), len(vocab["symbol"]) - 1
+    for number in range(rounds):
+        rate = 0.004 * (1 - 0.8 * number / rounds)
+        now = m
+
+        def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
+            t, own, n = bpe.tokenizer(path, pattern), {k: w.copy() for k, w in now.items()}, 0
+            adam, r = Adam(own), np.random.default_rng(number)
+            for b in batches:
+                data, off = text_bytes(b[1])
+                for lo, hi in pieces(off, 1 << 19):
+                    ids, bounds = t.encode_rows(*plain_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+                    source, target, live = windows(ids, bounds, end)
+                    order = r.permutation(len(source))
+                    for part in np.array_split(order, max(1, round(len(order) / batch))):
+                        if len(part):
+                            _, g = gradients(own, vocab, ranges, vocab["symbol"][source[part]], target[part], live[part])
+                            adam.take(g, rate * min(1, (adam.step + 1) / 20) * min(1, len(part) / batch))
+                            n += int(live[part].sum())
+            if n:
+                flat = np.concatenate([w.reshape(-1) for w in own.values()]).astype(np.float64) * n
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(flat, n).tobytes()], pa.binary())], names=["vector"])
+
+        total = summed(rows.where(F.pmod(F.xxhash64("doc"), F.lit(rounds)) == number).mapInArrow(learn, "vector binary"), size + 1)
+        if total[-1]:
+            flat, at = (total[:-1] / total[-1]).astype(np.float32), np.cumsum([0, *(w.size for w in m.values())])
+            m = {k: flat[lo : lo + w.size].reshape(w.shape) for (k, w), lo in zip(m.items(), at[:-1], strict=True)}
+    return m
+
+
+def fit(rows: DataFrame, path: str, pattern: str, max_docs: int = 1500, rounds: int = 4) -> tuple[dict, dict]:
+    """The model from (doc, text) rows: one task begins on the bounded sample, all tasks go on over all rows; the driver gets sums and parameters alone."""
+    counts = id_counts(rows, path, pattern)
     ids = rows.where("doc is not null").select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(max_docs).select(F.col("doc").alias("chosen"))
     sample = rows.join(F.broadcast(ids), F.col("doc") == F.col("chosen"), "left_semi").select("doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((i, (t or "").encode("utf-8", "surrogateescape")) for b in batches for i, t in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True))
-        m, vocab = train([t for _, t in found], path, pattern)
+        m, vocab = train([t for _, t in found], path, pattern, counts=counts)
         for k, v in [*m.items(), *(("vocab " + k, v) for k, v in vocab.items())]:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([str(v.dtype)]), pa.array([list(v.shape)], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary())], names=["name", "kind", "shape", "value"])
 
     got = {r["name"]: np.frombuffer(r["value"], r["kind"]).reshape(r["shape"]) for r in sample.repartition(1).mapInArrow(run, "name string, kind string, shape array<long>, value binary").collect()}
     if not got:  # no rows, no task
         return train([], path, pattern)
-    return {k: v for k, v in got.items() if not k.startswith("vocab ")}, {k[6:]: v for k, v in got.items() if k.startswith("vocab ")}
+    m, vocab = {k: v for k, v in got.items() if not k.startswith("vocab ")}, {k[6:]: v for k, v in got.items() if k.startswith("vocab ")}
+    return read_all(m, vocab, rows, path, pattern, rounds), vocab
 
 
 def score(docs: DataFrame, learn: Column, path: str, pattern: str, max_docs: int = 1500, frequent: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -283,6 +283,29 @@ def test_lm_windows_score_each_once():
     assert (source[:, 0][:1] == 999).all()
 
 
+def test_lm_learns_from_all(spark):
+    path = bpe.default_paths()
+    rows = spark.createDataFrame([(i, "alpha beta gamma delta" if i else "one two three") for i in range(120)], "doc long, text string").repartition(2)
+    first = rows.orderBy(F.xxhash64("doc"), "doc").limit(1).select("doc").head()[0]
+    rows = rows.withColumn("text", F.when(F.col("doc") == first, "one two three").otherwise("alpha beta gamma delta"))
+    t, gain = bpe.tokenizer(*path), {}
+    for rounds in (0, 2):
+        m, vocab = lm_score.fit(rows, *path, max_docs=1, rounds=rounds)
+        text = np.frombuffer(b"alpha beta gamma delta", np.uint8)
+        gain[rounds] = lm_score.score_rows(m, vocab, lm_score.class_ranges(vocab), *t.encode_rows(*lm_score.plain_words(text, np.array([0, len(text)]))), len(vocab["symbol"]) - 1)[0]
+    ids = t.encode_rows(*lm_score.plain_words(text, np.array([0, len(text)])))[0]
+    assert vocab["mass"].sum() == 119 * (len(ids) + 1) + len(t.encode(" one two three")) + 1
+    assert (vocab["class"][ids] < lm_score.CLASSES - 1).all() and gain[2] > gain[0]
+
+
+def test_lm_rest_by_counts():
+    count = np.arange(10_000)[::-1].copy()
+    vocab = lm_score.vocabulary(count)
+    rest = np.flatnonzero(vocab["class"] == lm_score.CLASSES - 1)
+    assert len(rest) == 10_000 - lm_score.KNOWN and abs(np.exp(vocab["share"][rest]).sum() - 1) < 1e-3
+    assert vocab["share"][rest[0]] > vocab["share"][rest[-1]] + 5
+
+
 def test_lm_context():
     _, target, live = lm_score.windows(np.arange(500), np.array([0, 500]), 999)
     before = {int(t): place + 1 for row, use in zip(target, live, strict=True) for place, (t, u) in enumerate(zip(row, use, strict=True)) if u}
