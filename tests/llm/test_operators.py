@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import tempfile
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -162,6 +164,39 @@ def test_induced_sort_on_disk(tmp_path):
     assert induced_sort.suffix_order(t, str(tmp_path), 100).tolist() == induced_sort.suffix_order(t).tolist()
 
 
+def test_induced_sort_of_long_pieces():
+    r = random.Random(7)
+    words = [bytes(r.choice(b"abcdefgh") for _ in range(r.randint(2, 30))) for _ in range(60)]
+    text = b" ".join(r.choice(words) for _ in range(900))
+    t = np.frombuffer(text, np.uint8).astype(np.uint16)
+    want = sorted(range(len(text)), key=lambda i: text[i:])
+
+    def shared(a, b):
+        return next((k for k in range(40) if text[a + k : a + k + 1] != text[b + k : b + k + 1]), 40)
+
+    for folder, room in ((None, 1 << 26), (tempfile.gettempdir(), 2000)):
+        order, prefix = induced_sort.suffix_order_and_prefixes(t, 40, folder, room)
+        assert order.tolist() == want
+        assert prefix.tolist() == [0, *map(shared, want[:-1], want[1:])]
+
+
+def test_suffix_queues_leave_memory(tmp_path):
+    r = np.random.default_rng(4)
+    t = np.tile(r.integers(1, 200, 300_000), 12).astype(np.uint16)
+    t[r.integers(0, len(t), 100_000)] = 0
+    room, peak = 1 << 20, {}
+    for folder in (None, str(tmp_path)):
+        tracemalloc.start()
+        order, _ = induced_sort.suffix_order_and_prefixes(t, 50, folder, room)
+        peak[folder is None] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        if folder:
+            assert isinstance(order, np.memmap) and order.nbytes > 20 * room
+            assert (np.diff(t[order].astype(np.int64)) >= 0).all()
+    print({"peak MB in memory, with queues on disk": [peak[True] >> 20, peak[False] >> 20]})
+    assert peak[False] < peak[True] / 2
+
+
 def removed(rows, length):
     first = {}
     for i, t in sorted(rows, key=lambda x: x[0]):
@@ -183,6 +218,8 @@ def test_substrings(spark, texts):
     more = [*texts, (400, "ab" * 100), (401, "ab" * 60), (402, "q" + "ab" * 40), (403, "x" * 60)]
     got = substring_dedup.repeated_spans(frame(spark, more))
     assert sorted((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in got.collect()) == removed(more, 50)
+    got = substring_dedup.repeated_spans(frame(spark, more), room=500)  # every array is a file
+    assert sorted((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in got.collect()) == removed(more, 50)
     assert substring_dedup.repeated_spans(empty(spark)).count() == 0
 
 
