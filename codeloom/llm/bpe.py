@@ -4,7 +4,7 @@ For a proper merge table every byte prefix of a text has exactly one encoding, s
 token. ``PrefixEncoder`` stores that last token for each prefix; the tokens that end at a position are tried
 from the longest down, and one is right when the pair of it and the last token of the prefix before it is
 stable: joining their bytes and merging again gives the same pair. Appending bytes therefore extends the
-table without touching what is there, and an edit only re-encodes from the place of the edit.
+table without touching what is there, and an edit re-encodes from its place until one longest token's entries agree with the old ones.
 
 The text is first cut by the tokenizer's pattern and each match is encoded separately. Words repeat, so each
 worker process keeps encodings of matches, by a 64-bit hash, in a table of bounded size; new matches fill their
@@ -101,39 +101,52 @@ class PrefixEncoder:
 
     def append(self, more: bytes) -> None:
         """Extend the table; earlier entries stay as they are."""
-        v, data, last = self.vocabulary, self.data, self.last
-        ranks, bytes_of, stable, is_stable = v.ranks, v.bytes_of, v.stable, v.is_stable
-        at = len(data)
-        data += more
-        text = bytes(data[max(0, at - v.longest) :]) if at else bytes(data)
-        base = len(data) - len(text)
-        for end in range(at + 1, len(data) + 1):
-            for size in range(min(end, v.longest), 0, -1):
-                token = ranks.get(text[end - size - base : end - base])
-                if token is None:
-                    continue
-                if size == end:
-                    if size == 1 or token in v.split:
-                        last.append(token)
-                        break
-                    continue
-                pair = (last[end - size - 1], token)
-                known = stable.get(pair)
-                if is_stable(*pair) if known is None else known:
-                    last.append(token)
-                    break
-            else:  # cannot happen: a single byte always has a valid predecessor
-                raise ValueError("the ranks are not those of a byte-pair merge table")
-        assert bytes_of is v.bytes_of
+        at = len(self.data)
+        self.data += more
+        for end in range(at + 1, len(self.data) + 1):
+            self.last.append(self.last_token(end))
+
+    def last_token(self, end: int) -> int:
+        """The last token of the prefix of that length, from the entries before it."""
+        v, last = self.vocabulary, self.last
+        ranks, stable, is_stable = v.ranks, v.stable, v.is_stable
+        base = max(0, end - v.longest)
+        text = bytes(self.data[base:end])
+        for size in range(len(text), 0, -1):
+            token = ranks.get(text[len(text) - size :])
+            if token is None:
+                continue
+            if size == end:
+                if size == 1 or token in v.split:
+                    return token
+                continue
+            pair = (last[end - size - 1], token)
+            known = stable.get(pair)
+            if is_stable(*pair) if known is None else known:
+                return token
+        raise ValueError("the ranks are not those of a byte-pair merge table")  # a single byte always has a valid predecessor
 
     def truncate(self, size: int) -> None:
         del self.data[size:], self.last[size:]
 
-    def edit(self, start: int, end: int, new: bytes) -> None:
-        """Replace data[start:end]; only what follows start is encoded again."""
-        tail = bytes(self.data[end:])
-        self.truncate(start)
-        self.append(new + tail)
+    def edit(self, start: int, end: int, new: bytes) -> int:
+        """Replace data[start:end]; returns how many entries were worked out again.
+
+        An entry depends on the bytes of one longest token before it and on the entries there. So when that many entries in a row
+        behind the edit are what they were, all later ones are, too.
+        """
+        old = self.last[end:]
+        self.data[start:end] = new
+        del self.last[start:]
+        at, same = start, 0
+        while at < len(self.data) and same < self.vocabulary.longest:
+            at += 1
+            self.last.append(self.last_token(at))
+            behind = at - start - len(new)
+            same = same + 1 if behind > 0 and self.last[-1] == old[behind - 1] else 0
+        if at < len(self.data):
+            self.last += old[at - start - len(new) :]
+        return at - start
 
     def tokens(self) -> list[int]:
         out, at, size = [], len(self.data), self.vocabulary.bytes_of

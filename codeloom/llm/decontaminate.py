@@ -5,46 +5,71 @@ list, and the words under its ones are hashed together; words under zeros may di
 documents are joined. Each hit fixes an alignment of a document with an item; along it the words are compared, and
 the pair counts when some ``window`` aligned places (the whole item if it is shorter) have at least ``share`` equal words.
 
-The benchmark is small beside the documents, so its hashes are broadcast after they have been counted; with
-more than ``broadcast_rows`` of them Spark joins by shuffle. Hits are reduced to one row for each alignment in the map tasks.
+The masks lose no pair that counts. Those for whole windows of 13 words leave at least one hit for each of the 286 ways to place
+three differences; items of fewer words have masks of their own length, made of pairs of blocks: of d + 2 blocks at least
+two are free of d differences. With another window or share all lengths use such blocks. Only lengths that the benchmark has are hashed.
 
-Null and empty texts have no words, so they match nothing; neither do items or documents with fewer words than a
-mask is long. A document that has an item several times, or several rows of one id, gives one row for each pair with its best
-overlap. Empty tables give no rows. Other columns, whatever their names, are not read. Texts are read whole.
+The benchmark is small beside the documents, so its hashes (about 40 bytes each) and its words (8 bytes each) are broadcast after they
+have been counted; with more than ``broadcast_rows`` hashes Spark joins by shuffle. Hits are reduced to one row for each alignment in
+the map tasks.
+
+Null and empty texts have no words, so they match nothing. A document that has an item several times, or several rows of one id, gives
+one row for each pair with its best overlap; rows with a null document id count as one document, and so do items with a null id. Empty
+tables give no rows. Other columns, whatever their names, are not read. Texts are read whole.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import with_row_key
 
-#: Weight five within eight places. Of all ways to spread three differences over thirteen words, three in a thousand evade all four.
-MASKS = ("11110100", "10010111", "11100011", "11101100")
-SPAN = 8
+#: Found by search: of all 286 ways to place three differences in 13 words, each leaves one of these intact somewhere.
+MASKS = ("111011", "11001011", "1101000101")
+WINDOW, SHARE = 13, 0.75
+
+
+def block_masks(length: int, differences: int) -> tuple[str, ...]:
+    """Masks over a whole window, each with the ones of two of ``differences`` + 2 blocks; some are hit by no difference."""
+    n = min(length, differences + 2)
+    if not differences:
+        return ("1" * length,)
+    bounds = [k * length // n for k in range(n + 1)]
+    return tuple("".join("1" if any(bounds[b] <= i < bounds[b + 1] for b in pair) else "0" for i in range(length)).strip("0") for pair in combinations(range(n), n - differences))
+
+
+def masks_for(length: int, window: int = WINDOW, share: float = SHARE) -> tuple[str, ...]:
+    """The masks of items of a length; all lengths from ``window`` on have the same."""
+    length = min(length, window)
+    if length == WINDOW and math.ceil(length * share) >= 10:
+        return MASKS
+    return block_masks(length, length - math.ceil(length * share))
 
 
 def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def seed_hashes(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """Hashes of all masks at all places, mask by mask; the first word under each mask carries the mask's number."""
+def seed_hashes(words: Column, masks: tuple[str, ...], kind: int) -> Column:
+    """Hashes of all masks at all places, mask by mask, a null where a mask would end behind the words; ``kind`` keeps sets of masks apart."""
 
     def at(mask: str, number: int) -> Column:
-        places = [i for i, c in enumerate(mask) if c == "1"]
-        return F.transform(F.sequence(F.lit(0), F.size(words) - SPAN), lambda i: F.xxhash64(F.lit(number), *(F.get(words, i + p) for p in places)))
+        ones = [i for i, c in enumerate(mask) if c == "1"]
+        seed = lambda i: F.when(i + len(mask) <= F.size(words), F.xxhash64(F.lit(1000 * kind + number), *(F.get(words, i + p) for p in ones)))
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), seed)
 
-    return F.when(F.size(words) >= SPAN, F.concat(*(at(m, k) for k, m in enumerate(masks))))
+    return F.when(F.size(words) > 0, F.concat(*(at(m, k) for k, m in enumerate(masks))))
 
 
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
-    window: int = 13,
-    share: float = 0.75,
-    masks: tuple[str, ...] = MASKS,
+    window: int = WINDOW,
+    share: float = SHARE,
     broadcast_rows: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -57,23 +82,29 @@ def overlaps(
         # Words are compared by their hashes, which are shorter.
         return frame.select(F.col(key).alias(name), F.transform(word_list(F.col(text)), lambda w: F.xxhash64(w)).alias(f"{name}_words"))
 
-    items = hashed(benchmark, item_col, item_text_col, "item")
+    # An item row has a number of its own, as ids may be null or repeated.
+    items = hashed(benchmark, item_col, item_text_col, "item").where(F.size("item_words") > 0).withColumn("row", F.xxhash64("item", "item_words"))
+    length = F.least(F.size("item_words"), F.lit(window))
+    sizes = items.groupBy(length.alias("length")).agg(F.sum(F.size("item_words")).alias("n")).collect()  # at most ``window`` rows
+    kinds = {r["length"]: masks_for(r["length"], window, share) for r in sizes} or {window: masks_for(window, window, share)}
+    own = F.coalesce(*(F.when(length == k, seed_hashes(F.col("item_words"), m, k)) for k, m in kinds.items()))
     # The outer form of posexplode: of the other one Spark makes a filter that lists the words anew for each hash.
-    seeds = items.select("item", "item_words", F.posexplode_outer(seed_hashes(F.col("item_words"), masks)).alias("n", "seed"))
-    seeds = seeds.select("item", "item_words", "seed", F.expr(f"n % (size(item_words) - {SPAN - 1})").alias("item_at"))
-    n = benchmark.select(F.sum(F.greatest(F.lit(0), F.size(word_list(F.col(item_text_col)))))).head()[0] or 0
-    if n * len(masks) <= broadcast_rows:
-        seeds = F.broadcast(seeds)
+    seeds = items.select("row", F.size("item_words").alias("size"), F.posexplode_outer(own).alias("n", "seed")).where("seed is not null").select("row", "seed", F.expr("n % size").alias("item_at"))
+    words = items.select("row", "item", "item_words").dropDuplicates(["row"])
+    if sum(r["n"] * len(kinds[r["length"]]) for r in sizes) <= broadcast_rows:
+        seeds, words = F.broadcast(seeds), F.broadcast(words)
 
     read = hashed(docs, id_col, text_col, "doc")
-    placed = read.withColumn("seeds", seed_hashes(F.col("doc_words"), masks)).select("doc", "doc_words", F.posexplode_outer("seeds").alias("n", "seed"))
-    hits = placed.join(seeds, "seed").withColumn("shift", F.expr(f"n % (size(doc_words) - {SPAN - 1}) - item_at"))
+    every = F.concat(*(seed_hashes(F.col("doc_words"), m, k) for k, m in kinds.items()))
+    placed = read.withColumn("seeds", every).select("doc", "doc_words", F.posexplode_outer("seeds").alias("n", "seed"))
+    hits = placed.join(seeds, "seed").withColumn("shift", F.expr("n % size(doc_words) - item_at")).join(words, "row")
     # Ones and zeros along the alignment; places outside the document are zeros.
     same = F.array_join(F.transform("item_words", lambda w, i: F.when((i + F.col("shift") >= 0) & (F.get("doc_words", F.greatest(i + F.col("shift"), F.lit(0))) == w), F.lit("1")).otherwise(F.lit("0"))), "")
     width = F.least(F.length("same"), F.lit(window))
     ones = lambda s: F.length(F.replace(s, F.lit("0"), F.lit("")))
     # The comparison is the same for all hits of an alignment; as an aggregate it stays above the join, which then runs as compiled code.
-    aligned = hits.groupBy("doc", "item", "shift").agg(F.max(same).alias("same")).where(ones(F.col("same")) >= F.ceil(width * share))
+    # Rows of one id may have different texts under one alignment, so the words' places are compared with those of each text.
+    aligned = hits.groupBy("doc", "item", "row", "shift", F.xxhash64("doc_words").alias("text")).agg(F.max(same).alias("same")).where(ones(F.col("same")) >= F.ceil(width * share))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.length("same") - width + 1), lambda i: ones(F.substr(F.col("same"), i, width))))
     found = aligned.select("doc", "item", width.alias("n_window"), best.alias("n_equal")).where(F.col("n_equal") >= F.ceil(F.col("n_window") * share))
     out = found.groupBy("doc", "item").agg(F.max("n_window").cast("long").alias("n_window"), F.max("n_equal").cast("long").alias("n_equal"))

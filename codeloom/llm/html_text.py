@@ -6,7 +6,8 @@ neighbours' lengths). A two-label chain (text of the article or not) is trained
 pages and decoded by Viterbi. ``labelled_pages`` writes the training pages: layouts of many kinds with invented words,
 in which the elements of the article carry the label as an attribute that no feature reads.
 
-Scripts, styles, templates, comments of the markup and the document's head are no text. Character references are decoded, white
+Scripts, styles, templates, frames, fields, comments of the markup and the document's head are no text; formulas, drawings and what stands in for scripts
+or objects are blocks like others. Character references are decoded, white
 space inside a block (line breaks too) becomes one space, blocks are trimmed and joined by one newline in page order.
 
 A null or empty page gives an empty text, and so does a page without article blocks. Unclosed and stray tags are
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +34,17 @@ BLOCK = frozenset(
     "tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea svg math iframe object".split())
+RAW = frozenset("script style template textarea iframe".split())
 #: Elements that end when one of the second set begins.
 ENDS = {
     "p": BLOCK - {"button", "label", "option"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "head": {"body"},
 }
+_ENDED_BY = {tag: [t for t, by in ENDS.items() if tag in by] for tag in BLOCK}
 #: An element that opened further out than these is not closed from inside them.
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "li", "div", "section", "article", "blockquote"}}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+'|["'])*+)>?""", re.S)
+#: A quoted value may hold < and > if what follows its end can follow a value; otherwise the quote was never closed.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^><=]++|=\s*+(?:"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>])|"[^"<>]*+"|'[^'<>]*+')|=)*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -60,6 +64,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], int]] = []
     parts: list[str] = []
     linked, links = 0, 0
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal parts, linked
@@ -73,7 +78,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal links
         if any(s[0] in BLOCK for s in stack[depth:]):
             flush()
-        links -= sum(s[0] == "a" for s in stack[depth:])
+        opened.subtract(s[0] for s in stack[depth:])
+        links = opened["a"]
         del stack[depth:]
 
     at, lower = 0, None
@@ -91,10 +97,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
+            if opened[tag]:
+                close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == tag))
             if tag in BLOCK:
                 flush()
             continue
@@ -114,7 +118,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 50), -1):
+            for depth in range(len(stack) - 1, -1, -1) if any(opened[t] for t in _ENDED_BY.get(tag, ())) else ():
                 open_tag = stack[depth][0]
                 if tag in ENDS.get(open_tag, ()):
                     close(depth)
@@ -132,7 +136,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 else:
                     words += [w.lower() for w in _PART.findall(value)]
         stack.append((tag, tuple(words), label))
-        links += tag == "a"
+        opened[tag] += 1
+        links = opened["a"]
     flush()
     return out
 
@@ -299,6 +304,25 @@ def labelled_pages(n: int = 500, seed: int = 7) -> list[str]:
 # --- the chain ----------------------------------------------------------------------------------------------------
 
 
+def expectations(e: np.ndarray, live: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over chains side by side: label marginals, sums of pair marginals, log partition values.
+
+    e: (chains, places, 2) scores of labels; live: which places a chain has; move: scores of neighbouring labels.
+    """
+    top = lambda x, axis: np.logaddexp.reduce(x, axis)
+    longest = e.shape[1]
+    a, b = e.copy(), np.zeros_like(e)
+    for t in range(1, longest):
+        a[:, t] = np.where(live[:, t, None], e[:, t] + top(a[:, t - 1, :, None] + move, 1), a[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        b[:, t] = np.where(live[:, t + 1, None], top(move + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0)
+    z = top(a[:, -1], 1)
+    p = np.exp(a + b - z[:, None, None]) * live[..., None]
+    both = live[:, 1:] & live[:, :-1]
+    q = np.exp(a[:, :-1, :, None] + move + (e + b)[:, 1:, None, :] - z[:, None, None, None])[both].sum(0)
+    return p, q, z
+
+
 def train(pages: list[str], steps: int = 150, decay: float = 0.02) -> dict:
     """Maximum likelihood with a Gaussian prior; all pages are run through forward-backward side by side."""
     seqs = [b for p in pages if (b := leaf_blocks(p))]
@@ -326,17 +350,9 @@ def train(pages: list[str], steps: int = 150, decay: float = 0.02) -> dict:
     both = live[:, 1:] & live[:, :-1]
     np.add.at(pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(move), np.zeros_like(move)]
-    top = lambda x, axis: np.logaddexp.reduce(x, axis)
     for step in range(1, steps + 1):
         e = np.stack([np.bincount(cell, w[col, y], n * longest) for y in (0, 1)], 1).reshape(n, longest, 2)
-        a, b = e.copy(), np.zeros_like(e)
-        for t in range(1, longest):
-            a[:, t] = np.where(live[:, t, None], e[:, t] + top(a[:, t - 1, :, None] + move, 1), a[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            b[:, t] = np.where(live[:, t + 1, None], top(move + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0)
-        z = top(a[:, -1], 1)
-        p = np.exp(a + b - z[:, None, None]) * live[..., None]
-        q = np.exp(a[:, :-1, :, None] + move + (e + b)[:, 1:, None, :] - z[:, None, None, None])[both].sum(0)
+        p, q, _ = expectations(e, live, move)
         d = (p - truth).reshape(-1, 2)
         gw = np.stack([np.bincount(col, d[cell, y], len(index)) for y in (0, 1)], 1) + decay * w
         gm = q - pairs + decay * move

@@ -78,7 +78,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, bucket(4) != 2)
-    return language.predict(docs, model).select("doc_id", (bucket(4, "doc_id") == 2).alias("held_out"), "lang_pred", "score")
+    return language.predict(docs, model).select("doc_id", (bucket(4, "doc_id") == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,21 +127,13 @@ FROM e GROUP BY conv_id
 """
 
 
-def _lead(places: list[int]) -> str:
-    return ", ".join(f"lead(w, {p}) OVER o" if p else "w" for p in places)
-
-
-_SEEDS = " UNION ALL ".join(
-    f"SELECT id, n, {k} AS m, list_value({_lead([i for i, c in enumerate(mask) if c == '1'])}) AS seed, lead(w, {decontaminate.SPAN - 1}) OVER o AS ends FROM {{0}} WINDOW o AS (PARTITION BY id ORDER BY n)"
-    for k, mask in enumerate(decontaminate.MASKS)
-)
-OP7_SQL = rf"""
-WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
-     b AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark),
+#: Every alignment that has a word in common is looked at, without masks.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+     b AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
      dw AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM d),
-     bw AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM b),
-     ds AS ({_SEEDS.format("dw")}), bs AS ({_SEEDS.format("bw")}),
-     a AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.n - bs.n AS shift FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed WHERE ds.ends IS NOT NULL AND bs.ends IS NOT NULL),
+     bw AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS n, least(13, len(ws)) AS size FROM b),
+     a AS (SELECT dw.id AS doc_id, bw.id AS item_id, dw.n - bw.n AS shift FROM dw JOIN bw ON dw.w = bw.w GROUP BY ALL HAVING count(*) >= ceil(max(size) * 0.75)),
      s AS (SELECT a.doc_id, a.item_id, a.shift, bw.n, CASE WHEN dw.w = bw.w THEN 1 ELSE 0 END AS same
            FROM a JOIN bw ON bw.id = a.item_id LEFT JOIN dw ON dw.id = a.doc_id AND dw.n = bw.n + a.shift),
      r AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY n ROWS 12 PRECEDING) AS n_equal,

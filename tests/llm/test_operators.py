@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import tempfile
@@ -97,6 +99,13 @@ def test_bpe_prefix_table(tokenizer):
     e.edit(3, 7, b"ium ba")
     assert e.tokens() == bpe.PrefixEncoder(v, b"helium baorldly thing").tokens()
     assert bpe.PrefixEncoder(v).tokens() == []
+    r = random.Random(3)
+    text = " ".join(r.choice(["hello", "worldly", "ñandú", "12", "\n"]) for _ in range(2000)).encode()
+    e = bpe.PrefixEncoder(v, text)
+    for _ in range(30):
+        a = r.randrange(len(e.data))
+        assert e.edit(a, a + r.randint(0, 9), bytes(r.choice(b"abc hello") for _ in range(r.randint(0, 9)))) < 200
+    assert e.tokens() == bpe.PrefixEncoder(v, bytes(e.data)).tokens() and bytes(e.data) != text
 
 
 def test_bpe_frames(spark, tokenizer, texts):
@@ -147,6 +156,31 @@ def test_html_pages(spark, crf):
     assert html_text.extract(pages.limit(0), crf).count() == 0
 
 
+def test_html_markup():
+    said = lambda p: [b.text for b in html_text.leaf_blocks(p)]
+    assert said('<a title="1 < 2">x</a>') == ["x"] and said("<p title='a>b' id=z>q") == ["q"]
+    assert said('<a title="x>Link</a><p class="y">text</p>') == ["Link", "text"] and said("<p don't>hi</p>") == ["hi"]
+    assert said("<p>a <math><mi>x</mi></math> b</p><noscript>c</noscript><p>d<b") == ["a x b", "c", "d"]
+    deep = "<div>" * 3000 + "<p>in<i>side</div></p>" + "</div>" * 2999 + "<ul><li>" + "<b>" * 300 + "one<li>two</ul>"
+    assert said(deep) == ["inside", "one", "two"]
+    assert said("</div>" * 50_000 + "<p>x" + "<span>" * 20_000 + "<p>y") == ["x", "y"]
+
+
+def test_html_chain_against_enumeration(crf):
+    r = np.random.default_rng(2)
+    for n in (1, 2, 5, 8):
+        e, move = r.normal(0, 1, (1, n, 2)), r.normal(0, 1, (2, 2))
+        paths = list(itertools.product((0, 1), repeat=n))
+        weight = np.exp([sum(e[0, t, y] for t, y in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        p, q, z = html_text.expectations(e, np.ones((1, n), bool), move)
+        assert abs(z[0] - np.log(weight.sum())) < 1e-9
+        for t in range(n):
+            assert abs(p[0, t, 1] - sum(w for w, x in zip(weight, paths) if x[t]) / weight.sum()) < 1e-9
+        assert abs(q[1, 0] - sum(w * sum(x[t : t + 2] == (1, 0) for t in range(n)) for w, x in zip(weight, paths)) / weight.sum()) < 1e-9
+        model = {"weights": {f"{t}": tuple(e[0, t]) for t in range(n)}, "move": move.tolist()}
+        assert tuple(html_text.viterbi(model, [[f"{t}"] for t in range(n)])) == paths[int(weight.argmax())]
+
+
 # --- 3: suffix arrays
 
 
@@ -352,22 +386,44 @@ def test_lm_context():
 # --- 7: decontamination
 
 
+def test_masks_lose_nothing():
+    for n in range(1, 14):
+        wrong = n - math.ceil(n * 0.75)
+        masks = decontaminate.masks_for(n)
+        spots = [sum(1 << (at + i) for i, c in enumerate(m) if c == "1") for m in masks for at in range(n - len(m) + 1)]
+        for places in itertools.combinations(range(n), wrong):
+            bad = sum(1 << i for i in places)
+            assert any(not bad & s for s in spots), (n, places)
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     words = ["w%d" % i for i in range(3000)]
-    items = [" ".join(r.choice(words) for _ in range(n)) for n in (9, 15, 40, 40, 5)]
+    items = [" ".join(r.choice(words) for _ in range(n)) for n in (9, 15, 40, 40, 5, 1, 2, 3, 4, 6, 7, 8, 10, 11, 12, 13)]
     docs = [(i, " ".join(r.choice(words) for _ in range(60))) for i in range(1, 30)] + [(90, None), (91, ""), (92, "a")]
     hit = items[2].split()
     for k in (3, 9, 17, 23, 31):
         hit[k] = "zzz"
-    docs += [(50, "Start: " + items[1].upper() + "! end"), (51, "x " + " ".join(hit)), (52, " ".join(items[3].split()[:14])), (53, " ".join(items[3].split()[:7])), (54, items[0]), (54, items[0])]
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(8, None)], "item_id long, text string").withColumn("seed", F.lit(1))
+    docs += [(50, "Start: " + items[1].upper() + "! end"), (51, "x " + " ".join(hit)), (52, " ".join(items[3].split()[:14])), (53, " ".join(items[3].split()[:7])), (54, items[0])]
+    for k, item in enumerate(items):  # as many words replaced as the rule allows, and one more
+        w = item.split()
+        spare = min(13, len(w)) - math.ceil(min(13, len(w)) * 0.75)
+        for more in (0, 1):
+            x = list(w)
+            for i in r.sample(range(min(13, len(w))), min(spare + more, len(w))):
+                x[i] = "other"
+            docs.append((200 + 2 * k + more, "before " * more + " ".join(x)))
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(98, None)], "item_id long, text string").withColumn("seed", F.lit(1)).withColumn("row", F.lit("x"))
     got = decontaminate.overlaps(frame(spark, docs), bench)
-    assert sorted((x.doc_id, x.item_id) for x in got.collect()) == [(50, 1), (51, 2), (52, 3), (54, 0)]
-    assert rows_of(got) == oracle(OP7_SQL, documents=documents(docs[:-1]), benchmark={"item_id": [*range(5), 8], "text": [*items, None]})
+    found = {(x.doc_id, x.item_id) for x in got.collect()}
+    assert {(50, 1), (51, 2), (52, 3), (54, 0)} <= found and not {d for d, _ in found} & {53, 90, 91, 92}
+    assert {(200 + 2 * k, k) for k in range(len(items))} <= found
+    assert rows_of(got) == oracle(OP7_SQL, documents=documents(docs), benchmark={"item_id": [*range(len(items)), 98], "text": [*items, None]})
     assert rows_of(decontaminate.overlaps(frame(spark, docs), bench, broadcast_rows=0)) == rows_of(got)
     assert decontaminate.overlaps(empty(spark), bench).count() == 0 and decontaminate.overlaps(frame(spark, docs), bench.limit(0)).count() == 0
-    assert decontaminate.drop_contaminated(frame(spark, docs), bench).count() == len(docs) - 5
+    again = frame(spark, [*docs, docs[0], (54, items[0]), (54, "none"), (None, items[1]), (None, None)])
+    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(again, bench).collect()} == found | {(None, 1)}
+    assert decontaminate.drop_contaminated(frame(spark, docs), bench).count() == len(docs) - len({d for d, _ in found})
 
 
 # --- 8: exact dedup
@@ -439,7 +495,38 @@ def test_language(spark):
     said = {x.doc_id: x for x in language.predict(df, model).collect()}
     assert all(said[i].lang_pred == lang for i, _, lang in rows)
     assert [said[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and said[903].lang_pred in parts
-    assert language.predict(df, model, reject_below=0.9).where("doc_id = 903").head().lang_pred == "und"
+    assert said[903].rejected and said[901].rejected and sum(said[i].rejected for i, _, _ in rows) < 10
+    assert language.predict(df, model, reject=True).where("doc_id = 903").head().lang_pred == "und"
+    again = df.where("doc_id < 5").unionAll(df.where("doc_id < 5"))
+    assert all(len({tuple(x) for x in language.predict(again, model).where(F.col("doc_id") == i).collect()}) == 1 for i in range(5))
+    few = language.fit(df, F.col("id") < 300, max_langs=2)
+    assert len(set(few["langs"])) == 2
+
+
+def test_language_against_brute_force(spark):
+    texts = ["der hund und die katze", "le chien et le chat", "the dog and the cat", "die katze", "et le", "dog"]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, ["de", "fr", "en", "de", "fr", None], strict=True))], "doc_id long, text string, lang string")
+    model = language.fit(df)
+
+    def grams(t):
+        b = re.sub(rb"[^a-z]+", b" ", t.encode())
+        count = collections.Counter()
+        for n in (2, 3, 4):
+            for i in range(len(b) - n + 1):
+                h = 0
+                for c in b[i : i + n]:
+                    h = (h * 257 + c) % 2**32
+                count[(h * 2654435761) % 2**32 >> 18] += 1
+        return count
+
+    learned = [grams(t) for t in texts[:5]]
+    idf = [math.log(6 / (sum(k in g for g in learned) + 1)) + 0.05 for k in range(language.DIMENSIONS)]
+    for r in language.predict(df, model).collect():
+        v = {k: (1 + math.log(n)) * idf[k] for k, n in grams(texts[r.doc_id]).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cosine = [sum(x / size * float(c[k]) for k, x in v.items()) for c in model["centres"]]
+        best = max(range(len(cosine)), key=lambda j: cosine[j])
+        assert r.lang_pred == model["langs"][best] and abs(r.score - min(1, cosine[best])) < 1e-4
     assert {x.lang_pred for x in language.predict(df, language.fit(df.limit(0))).collect()} == {"und"}
     assert language.predict(df.limit(0), model).count() == 0
 
