@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Languages by file extension.
@@ -19,6 +19,11 @@ def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column, or nulls where a table lacks it."""
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
 def detect_language(path: Column | str) -> Column:
     """The language of a path's extension, or ``unknown``."""
     table = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
@@ -58,6 +63,11 @@ def repo_slug(url: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.array_join(parts, "-")), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
 
 
+def number_order(number: Column | str) -> Column:
+    """What orders section numbers: 2, 2.1, 10."""
+    return F.transform(F.split(column(number), r"\."), lambda x: x.try_cast("int"))
+
+
 def dotted_tail(name: Column | str) -> Column:
     return F.substring_index(column(name), ".", -1)
 

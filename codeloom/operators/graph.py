@@ -15,36 +15,43 @@ PLAIN_LEVELS = 3
 
 
 def steps(edges: DataFrame, direction: str = "outgoing", kinds: Sequence[str] | None = None) -> DataFrame:
-    """Distinct (src, dst) pairs to walk along. ``both`` goes either way; ``legacy`` is outgoing under another name."""
+    """Distinct (src, dst) pairs to walk along. ``both`` goes either way; ``legacy`` is outgoing under another name.
+
+    A graph has one edge for each (source, target, kind), so pairs of one kind in one direction are distinct as they are.
+    """
     if kinds is not None:
         edges = edges.where(F.col("kind").isin(list(kinds)))
     out = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))
     back = edges.select(F.col("target").alias("src"), F.col("source").alias("dst"))
-    return {"outgoing": out, "incoming": back, "both": out.unionByName(back), "legacy": out}[direction].distinct()
+    walked = {"outgoing": out, "incoming": back, "both": out.unionByName(back), "legacy": out}[direction]
+    return walked if direction != "both" and kinds is not None and len(set(kinds)) == 1 else walked.distinct()
 
 
-def reach(pairs: DataFrame, roots: DataFrame, max_depth: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(root, id, depth): what can be reached in 1..max_depth steps, with the least number of steps; roots themselves are left out.
+def reach(pairs: DataFrame, roots: DataFrame, max_depth: int | None, allowed: DataFrame | None = None) -> DataFrame:
+    """(root, id, depth): what can be reached in 1..max_depth steps (None: any number), with the least number of steps; roots themselves are left out.
 
     allowed: ids (column id) that may be visited; others are neither returned nor passed.
     """
     frontier = roots.select(F.col("id").alias("root"), F.col("id")).distinct()
 
-    def level(frontier: DataFrame) -> DataFrame:
-        new = frontier.join(pairs, frontier["id"] == pairs["src"]).select("root", F.col("dst").alias("id")).where("root <> id").distinct()
+    def level(frontier: DataFrame, last: bool = False) -> DataFrame:
+        new = frontier.join(pairs, frontier["id"] == pairs["src"]).select("root", F.col("dst").alias("id")).where("root <> id")
+        if not last:  # what the last level finds twice falls together with the other levels
+            new = new.distinct()
         return new if allowed is None else new.join(allowed.select("id"), "id", "left_semi").select("root", "id")
 
-    if max_depth <= PLAIN_LEVELS:
+    if max_depth is not None and max_depth <= PLAIN_LEVELS:
         levels = []
         for depth in range(1, max_depth + 1):
-            frontier = level(frontier)
+            frontier = level(frontier, depth == max_depth)
             levels.append(frontier.withColumn("depth", F.lit(depth)))
         out = levels[0]
         for x in levels[1:]:
             out = out.unionByName(x)
         return out.groupBy("root", "id").agg(F.min("depth").alias("depth"))
-    seen = None
-    for depth in range(1, max_depth + 1):
+    seen, depth = None, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         new = level(frontier)
         if seen is not None:
             new = new.join(seen.select("root", "id"), ["root", "id"], "left_anti")
@@ -85,16 +92,25 @@ def type_hierarchy(g: Graph, roots: DataFrame, max_depth: int = 10) -> DataFrame
     return up.unionByName(via).unionByName(down).select("root", "id", "role", "depth")
 
 
-def containment_ancestors(g: Graph, roots: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(root, id, depth) of what contains the roots, nearest first; ends at cycles."""
+def containment_ancestors(g: Graph, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, id, depth) of what contains the roots, nearest first; ends at the top and at cycles, or after ``max_depth`` steps."""
     return reach(steps(g.edges, "incoming", ["contains"]), roots, max_depth)
 
 
 def containment_depth(g: Graph, roots: DataFrame, cap: int = 20) -> DataFrame:
-    """(id, depth): how many containers stand above each root, along first parents."""
-    first = g.edges.where("kind = 'contains'").groupBy(F.col("target").alias("src")).agg(F.min_by("source", "ord").alias("dst"))
-    up = reach(first, roots, cap).groupBy("root").agg(F.max("depth").alias("depth"))
-    return roots.select("id").distinct().join(up, F.col("id") == up["root"], "left").select("id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    """(id, depth): how many containers stand above each root along first parents, ``cap`` at most (as on a cycle).
+
+    Each round doubles the steps: who stands 1, 2, 4, ... above every node.
+    """
+    up = cut(g.edges.where("kind = 'contains'").groupBy(F.col("target").alias("at")).agg(F.min_by("source", "ord").alias("above")).withColumn("d", F.lit(1).cast("long")))
+    steps_done = 1
+    while steps_done < cap:
+        far = up.select(F.col("at").alias("above"), F.col("above").alias("next"), F.col("d").alias("more"))
+        up = cut(up.join(far, "above", "left").select("at", F.col("next").alias("above"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
+        steps_done *= 2
+        if up.where("above is not null").isEmpty():
+            break
+    return roots.select("id").distinct().join(up, F.col("id") == up["at"], "left").select("id", F.least(F.coalesce("d", F.lit(0)), F.lit(cap)).cast("long").alias("depth"))
 
 
 def impact_radius(g: Graph, roots: DataFrame, depth: int = 3) -> DataFrame:
@@ -122,13 +138,62 @@ def file_dependencies(g: Graph) -> DataFrame:
     return b.where("src <> dst").select("src", "dst").distinct()
 
 
-def cyclic_files(pairs: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(file, cycle): files on an import cycle; the cycle is the smallest file of those that reach each other."""
-    starts = pairs.select(F.col("src").alias("id")).distinct()
-    far = reach(pairs, starts, max_depth).select("root", "id")
-    back = far.select(F.col("root").alias("b_id"), F.col("id").alias("b_root"))
-    both = far.join(back, (far["root"] == back["b_root"]) & (far["id"] == back["b_id"]), "left_semi")
-    return both.groupBy(F.col("root").alias("file")).agg(F.min("id").alias("other")).select("file", F.least("file", "other").alias("cycle"))
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """Pairs without those that no cycle can use: of nodes that nothing leads to, or from, until none is left."""
+    e = cut(pairs.where("src <> dst").distinct())
+    n = e.count()
+    while n:
+        kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = cut(kept.select("src", "dst"))
+        n, before = e.count(), n
+        if n == before:
+            break
+    return e
+
+
+def spread(values: DataFrame, e: DataFrame, better) -> DataFrame:
+    """(id, value) after every value went along all pairs (src, dst) until none gets better; each node holds one value."""
+    while True:
+        sent = values.withColumnRenamed("id", "src").join(e, "src").groupBy(F.col("dst").alias("id")).agg(better("value").alias("new"))
+        values = cut(values.join(sent, "id", "left").select("id", F.col("value").alias("old"), F.coalesce(better_of(better, "value", "new"), "value").alias("value")))
+        if values.where("value <> old").isEmpty():
+            return values.select("id", "value")
+        values = values.select("id", "value")
+
+
+def better_of(better, a: str, b: str):
+    return (F.least if better is F.min else F.greatest)(a, b)
+
+
+def cyclic_files(pairs: DataFrame) -> DataFrame:
+    """(file, cycle): files on an import cycle of any length; the cycle is the smallest file of those that reach each other.
+
+    Strongly connected components by colours: every node takes the smallest node that leads to it; what leads back to that node inside
+    its colour is its component. The rest is trimmed and coloured again. Each round holds one row for each node and pair.
+    """
+    e, found = trimmed(pairs), None
+    while not e.isEmpty():
+        nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+        colour = spread(nodes.withColumn("value", F.col("id")), e, F.min)
+        inside = e.join(colour.select(F.col("id").alias("src"), F.col("value").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("value").alias("b")), "dst").where("a = b")
+        back = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = spread(colour.select("id", (F.col("id") == F.col("value")).cast("int").alias("value")), back, F.max)
+        part = cut(colour.join(reached.where("value = 1").select("id"), "id", "left_semi").select(F.col("id").alias("file"), F.col("value").alias("cycle")))
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("file")
+        e = trimmed(e.join(gone, e["src"] == gone["file"], "left_anti").join(gone, e["dst"] == gone["file"], "left_anti"))
+    if found is None:
+        return pairs.select(F.col("src").alias("file"), F.col("dst").alias("cycle")).limit(0)
+    several = found.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1").select("cycle")
+    return found.join(several, "cycle", "left_semi").select("file", "cycle")
+
+
+def cycle_nodes(g: Graph) -> DataFrame:
+    """(cycle, k, id, file_path): the file nodes of each import cycle, in order of their paths."""
+    found = cyclic_files(file_dependencies(g))
+    nodes = g.nodes.where("kind = 'file'").select("id", "file_path")
+    place = F.row_number().over(Window.partitionBy("cycle").orderBy("file_path", "id"))
+    return found.withColumnRenamed("file", "file_path").join(nodes, "file_path").select("cycle", place.alias("k"), "id", "file_path")
 
 
 def short_cycles(pairs: DataFrame, longest: int = 3) -> DataFrame:

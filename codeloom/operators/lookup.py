@@ -29,6 +29,23 @@ def edges_to(g: Graph, ids: Sequence[str], kind: str | None = None) -> DataFrame
     return out if kind is None else out.where(F.col("kind") == kind)
 
 
+def files_where(g: Graph, path: str | None = None) -> DataFrame:
+    """All files, or the one of a path."""
+    return g.files if path is None else g.files.where(F.col("path") == path)
+
+
+def file_records(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """files, one row for each path, with the number of their nodes and the time where they lack these, and no empty lists of errors."""
+    out = files.dropDuplicates(["path"])
+    if "node_count" not in out.columns:
+        n = nodes.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("node_count"))
+        out = out.join(n, "path", "left").withColumn("node_count", F.coalesce("node_count", F.lit(0)))
+    if "errors" in out.columns:
+        out = out.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")))
+    known = F.col("indexed_at") if "indexed_at" in out.columns else F.lit(None).cast("timestamp")
+    return out.withColumn("indexed_at", F.coalesce(known, F.current_timestamp()))
+
+
 def unresolved_refs(g: Graph, file: str | None = None) -> DataFrame:
     return g.refs if file is None else g.refs.where(F.col("file_path") == file)
 
@@ -86,7 +103,7 @@ def replace_files(g: Graph, files: DataFrame, nodes: DataFrame, edges: DataFrame
     out = Graph(
         last_nodes(kept_nodes.unionByName(nodes, allowMissingColumns=True)),
         first_edges(kept_edges.unionByName(edges, allowMissingColumns=True)),
-        kept_files.unionByName(files, allowMissingColumns=True),
+        kept_files.unionByName(file_records(files, nodes), allowMissingColumns=True),
         kept_refs,
     )
     if drop_dangling:

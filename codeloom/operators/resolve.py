@@ -16,6 +16,13 @@ PROBE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".py", ".cs", "")
 PROBE_SUFFIXES = ("", "/index")
 
 
+def symbol_index(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The keys by which references find symbols: by name, by file, by a file's exports, and one node for each id and qualified name (the last)."""
+    last = lambda key: nodes.groupBy(key).agg(F.max_by(F.struct(*(c for c in nodes.columns if c != key)), "ord").alias("n")).select(key, "n.*")
+    some = nodes.select("name", "file_path", "id", "kind", "is_exported", "ord")
+    return {"name": some, "file_path": some, "exports": some.where("is_exported"), "id": last("id"), "qualified_name": last("qualified_name")}
+
+
 def module_files(modules: DataFrame, files: DataFrame) -> DataFrame:
     """(module, file_path, resolved): the file that a relative module path means, seen from a file.
 

@@ -1,28 +1,38 @@
-"""What a page of documentation is written from: its symbols, their members, relations, files and call chains."""
+"""What a page of documentation is written from: its symbols, their members, relations, files, sources, call chains and type hierarchies.
+
+Every function works on all pages at once; a page is known by the ``number`` of its section.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.graph import callees, callers
+from codeloom.functions.text import optional, source_block
+from codeloom.operators.graph import callees, callers, type_hierarchy
+from codeloom.operators.search import SearchIndex, search_many
 from codeloom.schema import Graph
 
 HOLDERS = ("class", "interface", "struct", "enum", "namespace")
 
 
-def focal_symbols(sections: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(number, id, pos) of sections' symbols that exist."""
+def focal_symbols(sections: DataFrame, nodes: DataFrame, index: SearchIndex | None = None, found: int = 15) -> DataFrame:
+    """(number, id, pos) of sections' symbols that exist; with an index, sections without any get what a search for their titles and descriptions finds."""
     asked = sections.select("number", F.posexplode("symbol_ids").alias("pos", "id"))
-    return asked.join(nodes.select("id"), "id", "left_semi").select("number", "id", "pos")
+    focal = asked.join(nodes.select("id"), "id", "left_semi").select("number", "id", "pos")
+    if index is None:
+        return focal
+    lost = sections.join(focal.select("number").distinct(), "number", "left_anti").select("number", F.concat_ws(" ", "title", "description").alias("text"))
+    return focal.unionByName(search_many(index, lost, found))
 
 
 def members(focal: DataFrame, g: Graph) -> DataFrame:
-    """(number, parent, id) of what focal classes and the like contain, without symbols that are focal themselves."""
-    holders = focal.join(g.nodes.where(F.col("kind").isin(*HOLDERS)).select("id"), "id", "left_semi")
-    inside = g.edges.where("kind = 'contains'").select(F.col("source").alias("parent"), F.col("target").alias("child"))
-    out = holders.select("number", F.col("id").alias("parent")).join(inside, "parent").select("number", "parent", F.col("child").alias("id"))
-    return out.join(g.nodes.select("id"), "id", "left_semi").join(focal.select("number", "id"), ["number", "id"], "left_anti").select("number", "parent", "id")
+    """(number, parent, id, k) of what focal classes and the like contain, without symbols that are focal themselves, in order."""
+    holders = focal.join(g.nodes.where(F.col("kind").isin(*HOLDERS)).select("id"), "id", "left_semi").select("number", F.col("id").alias("parent"), "pos")
+    inside = g.edges.where("kind = 'contains'").select(F.col("source").alias("parent"), F.col("target").alias("id"), "ord")
+    out = holders.join(inside, "parent").join(g.nodes.select("id"), "id", "left_semi").join(focal.select("number", "id"), ["number", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("number").orderBy("pos", "ord", "id"))
+    return out.select("number", "parent", "id", place.alias("k"))
 
 
 def relations(symbols: DataFrame, g: Graph) -> DataFrame:
@@ -40,26 +50,70 @@ def related_files(symbols: DataFrame, g: Graph) -> DataFrame:
     return ends.join(g.nodes.select("id", "file_path"), "id").select("number", "file_path").distinct()
 
 
+def page_blocks(focal: DataFrame, inside: DataFrame, nodes: DataFrame, contents: DataFrame, first: int = 10, lines: int = 3, limit: int = 30) -> DataFrame:
+    """(number, pos, id, code): sources of the first focal symbols, then of those of the first members that are functions of more than ``lines`` lines."""
+    place = F.row_number().over(Window.partitionBy("number").orderBy("pos")) - 1
+    own = focal.withColumn("pos", place).where(F.col("pos") < first).select("number", "id", "pos")
+    some = inside.where(F.col("k") <= first).join(nodes.where("kind in ('method', 'function')").where(F.col("end_line") - F.col("start_line") > lines).select("id"), "id", "left_semi")
+    asked = own.unionByName(some.select("number", "id", (F.col("k") + first).alias("pos"))).where(F.col("pos") < limit)
+    named = asked.join(nodes.select("id", "file_path", "start_line", "end_line"), "id")
+    return named.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path").select("number", "pos", "id", source_block("content", F.col("start_line"), F.col("end_line")).alias("code"))
+
+
 def call_chains(focal: DataFrame, g: Graph, limit: int = 15) -> DataFrame:
-    """(number, id, direction, path): who a focal function calls within three steps, and who calls it within two."""
+    """(number, id, k, direction, path, places): who a focal function calls within three steps, itself first, and who calls it within two, itself last.
+
+    A chain lists symbols by distance; path has their names, places also their files and lines.
+    """
     roots = focal.join(g.nodes.where("kind in ('method', 'function', 'class')").select("id"), "id", "left_semi")
     ids = roots.select("id").distinct()
     out = callees(g, ids, 3).withColumn("direction", F.lit("callees")).unionByName(callers(g, ids, 2).withColumn("direction", F.lit("callers")))
-    named = out.join(g.nodes.select("id", "ord", "name"), "id")
-    chain = named.groupBy("root", "direction").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ord", "name"))), lambda x: x["name"]).alias("path"))
-    met = roots.join(chain, roots["id"] == chain["root"]).select("number", "id", "pos", "direction", "path")
-    w = Window.partitionBy("number").orderBy("pos", F.desc("direction"))
-    return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).select("number", "id", "direction", "path")
-
-
-def page_contexts(g: Graph, sections: DataFrame) -> DataFrame:
-    """One row for each section: focal symbols in order, and how many members, relations, files and chains it has."""
-    focal = focal_symbols(sections, g.nodes)
-    inside = members(focal, g)
-    everything = focal.select("number", "id").unionByName(inside.select("number", "id")).distinct()
+    label = F.concat("name", F.lit(" ("), "file_path", F.coalesce(F.concat(F.lit(":"), optional(g.nodes, "start_line")), F.lit("")), F.lit(")"))
+    nodes = g.nodes.select("id", "ord", F.struct("name", label.alias("place")).alias("s"))
+    chain = out.join(nodes, "id").groupBy("root", "direction").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ord", "s"))), lambda x: x["s"]).alias("others"))
+    met = roots.join(chain, roots["id"] == chain["root"]).join(nodes.select(F.col("id").alias("root"), "s"), "root")
+    whole = F.when(F.col("direction") == "callees", F.concat(F.array("s"), "others")).otherwise(F.concat(F.reverse("others"), F.array("s")))
+    w = Window.partitionBy("number").orderBy("pos", "direction")
+    met = met.select("number", "id", F.row_number().over(w).alias("k"), "direction", whole.alias("x")).where(F.col("k") <= limit)
+    return met.select("number", "id", "k", "direction", F.transform("x", lambda r: r["name"]).alias("path"), F.transform("x", lambda r: r["place"]).alias("places"))
+
+
+def page_hierarchies(focal: DataFrame, g: Graph, limit: int = 10) -> DataFrame:
+    """(number, id, k, ancestors, descendants) of a page's first focal types that have any, each as labels in order."""
+    roots = focal.join(g.nodes.where("kind in ('class', 'interface', 'struct')").select("id"), "id", "left_semi")
+    found = type_hierarchy(g, roots.select("id").distinct())
+    label = F.concat("name", F.lit(" ("), "file_path", F.lit(")"))
+    part = F.struct((F.col("role") == "implements").alias("late"), "depth", "ord", "label")
+    rows = found.join(g.nodes.select("id", "ord", label.alias("label")), "id").groupBy("root").agg(
+        F.array_sort(F.collect_list(F.when(F.col("role") != "descendant", part))).alias("up"), F.array_sort(F.collect_list(F.when(F.col("role") == "descendant", part))).alias("down")
+    )
+    w = Window.partitionBy("number").orderBy("pos")
+    met = roots.join(rows, roots["id"] == rows["root"]).withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit)
+    return met.select("number", "id", "k", F.transform("up", lambda x: x["label"]).alias("ancestors"), F.transform("down", lambda x: x["label"]).alias("descendants"))
+
+
+class PageParts:
+    """The tables that pages are written from, for all sections at once."""
+
+    def __init__(self, g: Graph, sections: DataFrame, contents: DataFrame | None = None, index: SearchIndex | None = None):
+        self.g, self.sections = g, sections
+        self.focal = focal_symbols(sections, g.nodes, index)
+        self.members = members(self.focal, g)
+        self.symbols = self.focal.select("number", "id").unionByName(self.members.select("number", "id")).distinct()
+        self.relations, self.files = relations(self.symbols, g), related_files(self.symbols, g)
+        self.chains, self.hierarchies = call_chains(self.focal, g), page_hierarchies(self.focal, g)
+        self.blocks = None if contents is None else page_blocks(self.focal, self.members, g.nodes, contents)
+
+
+def page_contexts(g: Graph, sections: DataFrame, contents: DataFrame | None = None, index: SearchIndex | None = None) -> DataFrame:
+    """One row for each section: focal symbols and files in order, and how many members, relations, files, chains and hierarchies it has."""
+    p = PageParts(g, sections, contents, index)
     count = lambda df, name: df.groupBy("number").agg(F.count("*").alias(name))
-    names = focal.join(g.nodes.select("id", "name"), "id").groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("focal"))
-    out = sections.select("number", "title", "description").join(names, "number", "left")
-    for df, name in ((inside, "n_members"), (relations(everything, g), "n_relations"), (related_files(everything, g), "n_files"), (call_chains(focal, g), "n_chains")):
-        out = out.join(count(df, name), "number", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
-    return out.withColumn("focal", F.coalesce("focal", F.array().cast("array<string>")))
+    names = p.focal.join(g.nodes.select("id", "name"), "id").groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("focal"))
+    files = p.files.groupBy("number").agg(F.array_sort(F.collect_list("file_path")).alias("related_files"))
+    out = sections.select("number", "title", "description").join(names, "number", "left").join(files, "number", "left")
+    for df, name in ((p.members, "n_members"), (p.relations, "n_relations"), (p.files, "n_files"), (p.chains, "n_chains"), (p.hierarchies, "n_hierarchies"), (p.blocks, "n_blocks")):
+        if df is not None:
+            out = out.join(count(df, name), "number", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    nothing = F.array().cast("array<string>")
+    return out.withColumns({"focal": F.coalesce("focal", nothing), "related_files": F.coalesce("related_files", nothing)})

@@ -8,8 +8,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import source_block, truncate
+from codeloom.functions.text import number_order, optional, source_block, truncate
 from codeloom.operators.search import ask_context, ask_top
+from codeloom.plans.context import PageParts
+from codeloom.plans.render import cross_links, relationship_summary, symbol_summary
+from codeloom.schema import Graph
+
+
+def in_order(rows: DataFrame, order: str | list[str], text: Column, sep: str = "\n", name: str = "text") -> DataFrame:
+    """(number, text): a page's texts in an order."""
+    keys = [order] if isinstance(order, str) else order
+    lines = rows.groupBy("number").agg(F.array_sort(F.collect_list(F.struct(*keys, text.alias("t")))).alias("x"))
+    return lines.select("number", F.array_join(F.transform("x", lambda r: r["t"]), sep).alias(name))
 
 
 def source_blocks(focal: DataFrame, nodes: DataFrame, contents: DataFrame, first: int = 10) -> DataFrame:
@@ -18,6 +28,18 @@ def source_blocks(focal: DataFrame, nodes: DataFrame, contents: DataFrame, first
     return named.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path").select("number", "pos", "id", source_block("content", F.col("start_line"), F.col("end_line")).alias("code"))
 
 
+def symbol_lines(focal: DataFrame, g: Graph, first: int = 10) -> DataFrame:
+    """(number, text): a page's focal symbols, a line each, and under types their first children."""
+    own = focal.join(symbol_summary(g.nodes), "id").select("number", "pos", F.lit(0).alias("k"), "line")
+    types = focal.join(g.nodes.where("kind in ('class', 'interface', 'struct')").select("id"), "id", "left_semi")
+    inside = g.edges.where("kind = 'contains'").select(F.col("source").alias("id"), F.col("target").alias("child"), "ord")
+    label = F.concat(F.lit("  └─ "), "kind", F.lit(" "), F.coalesce(F.substring(optional(g.nodes, "signature"), 1, 60), "name"), F.lit(" ["), F.coalesce(optional(g.nodes, "visibility"), F.lit("")), F.lit("]"))
+    child = g.nodes.select(F.col("id").alias("child"), label.alias("line"))
+    k = F.row_number().over(Window.partitionBy("number", "pos").orderBy("ord", "child"))
+    below = types.join(inside, "id").join(child, "child").withColumn("k", k).where(F.col("k") <= first).select("number", "pos", "k", "line")
+    return in_order(own.unionByName(below), ["pos", "k"], F.col("line"))
+
+
 def key_snippets(blocks: DataFrame, nodes: DataFrame, longer_than: int = 50, first: int = 8, room: int = 1500) -> DataFrame:
     """(number, text): a page's first blocks that are longer than a line, each under its name and place."""
     some = blocks.where(F.length("code") > longer_than)
@@ -29,9 +51,18 @@ def key_snippets(blocks: DataFrame, nodes: DataFrame, longer_than: int = 50, fir
     return lines.select("number", F.array_join(F.transform("x", lambda r: r["t"]), "\n\n").alias("text"))
 
 
-def chain_lines(chains: DataFrame) -> DataFrame:
-    """(number, id, direction, line) from call chains: names with arrows."""
-    return chains.select("number", "id", "direction", F.concat(F.lit("- "), F.array_join("path", " → ")).alias("line"))
+def chain_lines(chains: DataFrame, first: int = 10) -> DataFrame:
+    """(number, text) from call chains: the first ones, names and places with arrows."""
+    return in_order(chains.where(F.col("k") <= first), "k", F.concat(F.lit("- "), F.array_join("places", " → ")))
+
+
+def hierarchy_section(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(number, text) from page hierarchies: each type with its place, what it extends, and its subtypes."""
+    head = F.concat(F.lit("**"), "name", F.lit("** ("), "file_path", F.coalesce(F.concat(F.lit(":"), optional(nodes, "start_line")), F.lit("")), F.lit(")"))
+    up = F.when(F.size("ancestors") > 0, F.concat(F.lit("  Extends: "), F.array_join("ancestors", " ← ")))
+    down = F.when(F.size("descendants") > 0, F.concat(F.lit("  Subtypes: "), F.array_join("descendants", ", ")))
+    named = found.join(nodes.select("id", head.alias("head")), "id")
+    return in_order(named, "k", F.array_join(F.array_compact(F.array(F.col("head"), up, down)), "\n"), "\n\n")
 
 
 def hierarchy_lines(hierarchy: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -52,6 +83,38 @@ def prompt(title: Column | str, description: Column | str, *parts: tuple[str, Co
     return F.array_join(F.array_compact(F.array(*pieces)), "\n\n")
 
 
+def page_prompts(parts: PageParts, first_files: int = 10) -> DataFrame:
+    """(number, parent, title, prompt) of every section, from all that belongs to its page."""
+    g = parts.g
+    place = F.row_number().over(Window.partitionBy("number").orderBy("file_path"))
+    files = parts.files.withColumn("k", place).where(F.col("k") <= first_files)
+    relation_lines = relationship_summary(parts.relations, g.nodes)
+    texts = {
+        "files": in_order(files, "k", F.concat(F.lit("- `"), "file_path", F.lit("`"))),
+        "symbols": symbol_lines(parts.focal, g),
+        "relations": in_order(relation_lines, "kind", F.col("line")),
+        "chains": chain_lines(parts.chains),
+        "hierarchy": hierarchy_section(parts.hierarchies, g.nodes),
+        "links": page_links(parts.sections),
+    }
+    if parts.blocks is not None:
+        texts["snippets"] = key_snippets(parts.blocks, g.nodes)
+    out = parts.sections.select("number", "parent", "title", "description")
+    for name, df in texts.items():
+        out = out.join(df.withColumnRenamed("text", name), "number", "left")
+    column = lambda name: F.col(name) if name in texts else F.lit(None).cast("string")
+    heading = F.concat("number", F.lit(". "), "title")
+    named = (("Relevant Source Files", "files"), ("Symbols", "symbols"), ("Relationships", "relations"), ("Source Snippets", "snippets"), ("Call Chains", "chains"), ("Type Hierarchy", "hierarchy"), ("Other Pages", "links"))
+    return out.select("number", "parent", "title", prompt(heading, F.col("description"), *((title, column(name)) for title, name in named)).alias("prompt"))
+
+
+def page_links(sections: DataFrame) -> DataFrame:
+    """(number, text): links to all pages but the page itself, in order of their numbers; a site's pages are as many as its plan has."""
+    links = cross_links(sections).select(F.col("number").alias("other"), "line")
+    pairs = sections.select("number").join(F.broadcast(links), F.col("number") != F.col("other"))
+    return in_order(pairs.withColumn("place", number_order("other")), "place", F.col("line"))
+
+
 def generate(pages: DataFrame, llm: Callable[[str], str] | None = None, prompt_col: str = "prompt") -> DataFrame:
     """(number, content): what a model answers to each page's prompt; without a model, the prompt itself."""
     if llm is None:

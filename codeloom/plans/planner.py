@@ -5,18 +5,23 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import any_of
-from codeloom.operators.aggregates import top_directories
+from codeloom.functions.text import optional
+from codeloom.operators.aggregates import directory_tree, most_frequent, stats_row, top_directories
+from codeloom.plans.render import joined
 from codeloom.schema import Graph
 
-# Texts of the sections that every site has.
+# Titles and descriptions of the sections of every site without a model's plan.
 OVERVIEW = ("1", "Architecture Overview", "High-level system architecture, project structure, and technology stack.")
 OVERVIEW_PARTS = (("1.1", "Project Structure", "Directory organization and module boundaries."), ("1.2", "Architecture Patterns", "Design patterns and architectural decisions used in the codebase."))
 LAST = ("Development & Configuration", "Build configuration, deployment settings, and development workflow.")
+ROOT, CLASSES, INTERFACES, COMPONENTS = "Root Module", "Classes & Services", "Interfaces & Contracts", "Key Components"
+OF_DIR, OF_CLASSES, OF_INTERFACES, OF_COMPONENTS = "Components and services in ", "Core classes in ", "Interfaces defined in ", "Main components: "
+TITLE = "Project Documentation"
 TOP_KINDS = ("class", "interface", "function", "namespace", "enum")
 
 
@@ -27,25 +32,30 @@ def top_symbols(g: Graph, limit: int = 200) -> DataFrame:
     return some.select("id", "kind", "name", "file_path", "ord", place.alias("kind_place")).orderBy("kind_place", "ord").limit(limit)
 
 
-def relevant_symbols(symbols: DataFrame, sections: list[tuple[str, str]], limit: int = 15) -> DataFrame:
-    """(number, id, k): for each (number, text) the first symbols whose name, or a long part of it, occurs in the text."""
-    name = F.lower("name")
-    parts = F.filter(F.split(F.lower(F.regexp_replace("name", "([A-Z])", " $1")), r"\W+"), lambda w: F.length(w) > 3)
+def relevant_symbols(symbols: DataFrame, sections: DataFrame, limit: int = 15) -> DataFrame:
+    """(number, id, k): for each section (number, text) the first symbols whose name, or a long part of it, occurs in the text.
 
-    def occurs(words: list[str]):
-        return F.exists(parts, lambda w: any_of([F.contains(F.lit(x), w) for x in words]))
-
-    hits = []
-    for number, text in sections:
-        low = text.lower()
-        words = [w for w in re.split(r"\W+", low) if len(w) > 2]
-        hit = F.contains(F.lit(low), name) | occurs(words)
-        hits.append(F.when(hit, F.lit(number)))
-    matched = symbols.select("id", "kind_place", "ord", F.explode(F.array_compact(F.array(*hits))).alias("number"))
+    Symbols are at most as many as ``top_symbols`` gives, and sections as a plan has.
+    """
+    words = lambda c, longer: F.filter(F.split(c, r"\W+"), lambda w: F.length(w) > longer)
+    low = F.lower("text")
+    texts = sections.select("number", low.alias("low"), words(low, 2).alias("words"))
+    named = symbols.select("id", "kind_place", "ord", F.lower("name").alias("name"), words(F.lower(F.regexp_replace("name", "([A-Z])", " $1")), 3).alias("parts"))
+    occurs = F.exists("parts", lambda p: F.exists("words", lambda w: F.contains(w, p)))
+    matched = named.join(F.broadcast(texts), F.contains("low", F.col("name")) | occurs)
     w = Window.partitionBy("number").orderBy("kind_place", "ord")
     return matched.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).select("number", "id", F.col("k").cast("long").alias("k"))
 
 
+def assign_symbol_ids(sections: DataFrame, symbols: DataFrame) -> DataFrame:
+    """sections in which those without symbols have the ones that their titles and descriptions speak of."""
+    text = F.concat("title", F.lit(" "), "description")
+    found = relevant_symbols(symbols, sections.where(F.size("symbol_ids") == 0).select("number", text.alias("text")))
+    ids = found.groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("found"))
+    own = F.when(F.size("symbol_ids") > 0, F.col("symbol_ids")).otherwise(F.coalesce("found", F.array().cast("array<string>")))
+    return sections.join(ids, "number", "left").withColumn("symbol_ids", own).drop("found")
+
+
 def fallback_plan(g: Graph) -> DataFrame:
     """(number, parent, title, description, symbol_ids) of all sections and subsections.
 
@@ -76,13 +86,13 @@ def fallback_plan(g: Graph) -> DataFrame:
         ids(is_interface & (F.col("kk") <= 10)).alias("interface_ids"), names(is_interface & (F.col("kk") <= 5)).alias("interface_names"),
     )
     number = F.col("place").cast("string")
-    title = F.when(F.col("dir") == ".", "Root Module").otherwise(F.substring_index("dir", "/", -1))
-    sections = per.select(number.alias("number"), F.lit(None).cast("string").alias("parent"), title.alias("title"), F.concat(F.lit("Components and services in "), F.col("dir"), F.lit(" ("), F.col("n_files").cast("string"), F.lit(" files)")).alias("description"), F.col("all_ids").alias("symbol_ids"))
+    title = F.when(F.col("dir") == ".", ROOT).otherwise(F.substring_index("dir", "/", -1))
+    sections = per.select(number.alias("number"), F.lit(None).cast("string").alias("parent"), title.alias("title"), F.concat(F.lit(OF_DIR), F.col("dir"), F.lit(" ("), F.col("n_files").cast("string"), F.lit(" files)")).alias("description"), F.col("all_ids").alias("symbol_ids"))
     has_class, has_interface = F.size("class_ids") > 0, F.size("interface_ids") > 0
     below = F.array(
-        F.when(has_class, F.struct(F.concat(number, F.lit(".1")).alias("number"), F.lit("Classes & Services").alias("title"), F.concat(F.lit("Core classes in "), F.col("dir"), F.lit(": "), F.col("class_names")).alias("description"), F.col("class_ids").alias("symbol_ids"))),
-        F.when(has_interface, F.struct(F.concat(number, F.when(has_class, ".2").otherwise(".1")).alias("number"), F.lit("Interfaces & Contracts").alias("title"), F.concat(F.lit("Interfaces defined in "), F.col("dir"), F.lit(": "), F.col("interface_names")).alias("description"), F.col("interface_ids").alias("symbol_ids"))),
-        F.when(~has_class & ~has_interface & (F.size("any_ids") > 0), F.struct(F.concat(number, F.lit(".1")).alias("number"), F.lit("Key Components").alias("title"), F.concat(F.lit("Main components: "), F.col("any_names")).alias("description"), F.col("any_ids").alias("symbol_ids"))),
+        F.when(has_class, F.struct(F.concat(number, F.lit(".1")).alias("number"), F.lit(CLASSES).alias("title"), F.concat(F.lit(OF_CLASSES), F.col("dir"), F.lit(": "), F.col("class_names")).alias("description"), F.col("class_ids").alias("symbol_ids"))),
+        F.when(has_interface, F.struct(F.concat(number, F.when(has_class, ".2").otherwise(".1")).alias("number"), F.lit(INTERFACES).alias("title"), F.concat(F.lit(OF_INTERFACES), F.col("dir"), F.lit(": "), F.col("interface_names")).alias("description"), F.col("interface_ids").alias("symbol_ids"))),
+        F.when(~has_class & ~has_interface & (F.size("any_ids") > 0), F.struct(F.concat(number, F.lit(".1")).alias("number"), F.lit(COMPONENTS).alias("title"), F.concat(F.lit(OF_COMPONENTS), F.col("any_names")).alias("description"), F.col("any_ids").alias("symbol_ids"))),
     )
     subsections = per.select(number.alias("parent"), F.explode(F.array_compact(below)).alias("x")).select("x.*", "parent")
     last = dirs.agg((F.coalesce(F.max("place"), F.lit(1)) + 1).cast("string").alias("number")).select("number", F.lit(None).cast("string").alias("parent"), F.lit(LAST[0]).alias("title"), F.lit(LAST[1]).alias("description"), nothing.alias("symbol_ids"))
@@ -102,21 +112,75 @@ def inheritance_summary(g: Graph, limit: int = 50) -> DataFrame:
     return lines.select("id", F.concat(F.lit("- "), "name", F.lit(" "), F.array_join(F.transform("parts", lambda p: p["text"]), ", ")).alias("line"))
 
 
-def plan(g: Graph, llm: Callable[[str, str], str] | None = None) -> DataFrame:
-    """The model's structure if it gives one of three sections at least, and the fallback otherwise."""
-    if llm is None:
-        return fallback_plan(g)
-    prompt = "\n".join(r["line"] for r in inheritance_summary(g).orderBy("line").collect())
-    said = re.sub(r"```(?:json)?", "", llm("Plan a documentation site as JSON.", prompt))
-    found = re.search(r"\{.*\}", said, re.S)
+def plan_prompt(g: Graph) -> DataFrame:
+    """One row: what a model plans a site from: counts, directories, first symbols and files, and who extends whom."""
+    first = F.substring
+    doc = lambda c, n, mark: F.coalesce(F.concat(F.lit(mark), first(optional(g.nodes, c), 1, n)), F.lit(""))
+    top = top_symbols(g).select("id", "kind_place", "ord")
+    symbols = top.join(g.nodes.drop("ord"), "id").select("kind_place", "ord", F.concat(F.lit("- "), "kind", F.lit(": "), "qualified_name", doc("docstring", 80, " — "), doc("signature", 60, " | sig: ")).alias("line"))
+    size = F.coalesce(optional(g.files, "node_count"), F.lit("0"))
+    files = g.files.select("path", F.concat(F.lit("- "), "path", F.lit(" ("), "language", F.lit(", "), size, F.lit(" symbols)")).alias("line")).orderBy("path").limit(80)
+    s = stats_row(g)
+    listed = lambda m, form: F.array_join(F.transform(most_frequent(m), form), ", ")
+    head = F.concat(
+        F.lit("- "), F.col("file_count").cast("string"), F.lit(" files, "), F.col("node_count").cast("string"), F.lit(" symbols, "), F.col("edge_count").cast("string"), F.lit(" relationships\n- Languages: "),
+        listed("files_by_language", lambda x: F.concat(x["k"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), F.lit("\n- Symbols: "), listed("nodes_by_kind", lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["k"], F.lit("s"))),
+    )
+    out = s.select(head.alias("head"))
+    for name, rows, order in (("dirs", directory_tree(g.files), ["dir"]), ("symbols", symbols, ["kind_place", "ord"]), ("files", files, ["path"]), ("above", inheritance_summary(g).withColumn("place", F.col("line")), ["place"])):
+        out = out.join(F.broadcast(joined(rows, order, name=name)), F.lit(True))  # one row each
+    none = lambda c, text: F.when(F.length(c) > 0, F.col(c)).otherwise(F.lit(text))
+    parts = [F.concat(F.lit("## Codebase\n"), "head"), F.concat(F.lit("## Directories\n"), "dirs"), F.concat(F.lit("## Key symbols\n"), "symbols"), F.concat(F.lit("## Files\n"), "files"), F.concat(F.lit("## Inheritance\n"), none("above", "(none)"))]
+    return out.select(F.concat_ws("\n\n", *parts).alias("prompt"))
+
+
+@dataclass(frozen=True)
+class SitePlan:
+    title: str
+    description: str
+    sections: DataFrame
+
+
+def fallback_description(g: Graph) -> str:
+    r = stats_row(g).select("file_count", "node_count", F.transform(most_frequent("files_by_language"), lambda x: F.concat(x["k"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))).alias("langs")).head()
+    return f"Auto-generated documentation covering {r.file_count} files with {r.node_count} symbols across {', '.join(r.langs)}."
+
+
+def read_plan(said: str) -> tuple[str, str, list[tuple]] | None:
+    """(title, description, rows) of a model's JSON, with or without fences and text around it; None if it has fewer than three sections."""
+    text = re.sub(r"```(?:json)?\n?", "", said)
+    found = re.search(r"\{.*\}", text, re.S)
     try:
-        sections = json.loads(found[0])["sections"] if found else []
-    except (ValueError, KeyError, TypeError):
-        sections = []
+        top = json.loads(found[0]) if found else {}
+        sections = [s for s in top.get("sections") or [] if isinstance(s, dict)]
+    except (ValueError, AttributeError, TypeError):
+        return None
     if len(sections) < 3:
-        return fallback_plan(g)
+        return None
+
+    def row(s: dict, k: str, parent: str | None) -> tuple:
+        return (str(s.get("number") or k), parent, str(s.get("title") or ""), str(s.get("description") or ""), [str(i) for i in s.get("relevantSymbolIds") or []])
+
     rows = []
-    for s in sections:
-        rows.append((str(s.get("number")), None, s.get("title", ""), s.get("description", ""), list(s.get("relevantSymbolIds", []))))
-        rows += [(str(x.get("number")), str(s.get("number")), x.get("title", ""), x.get("description", ""), list(x.get("relevantSymbolIds", []))) for x in s.get("subsections", [])]
-    return g.nodes.sparkSession.createDataFrame(rows, "number string, parent string, title string, description string, symbol_ids array<string>")
+    for k, s in enumerate(sections, 1):
+        own = row(s, str(k), None)
+        rows.append(own)
+        rows += [row(x, f"{own[0]}.{j}", own[0]) for j, x in enumerate((x for x in s.get("subsections") or [] if isinstance(x, dict)), 1)]
+    return str(top.get("title") or TITLE), str(top.get("description") or ""), rows
+
+
+def site_plan(g: Graph, llm: Callable[[str, str], str] | None = None) -> SitePlan:
+    """The model's structure if it gives one of three sections at least, and the fallback otherwise. llm: from instructions and prompt to text."""
+    found = None
+    if llm is not None:
+        order = 'Plan a documentation site of 8 to 12 sections by topic, with 2 to 4 subsections each. Answer with JSON alone: {"title", "description", "sections": [{"number", "title", "description", "relevantSymbolIds", "subsections"}]}.'
+        found = read_plan(llm(order, plan_prompt(g).head()["prompt"]))
+    if found is None:
+        return SitePlan(TITLE, fallback_description(g), fallback_plan(g))
+    sections = g.nodes.sparkSession.createDataFrame(found[2], "number string, parent string, title string, description string, symbol_ids array<string>")
+    return SitePlan(found[0], found[1], assign_symbol_ids(sections, top_symbols(g)))
+
+
+def plan(g: Graph, llm: Callable[[str, str], str] | None = None) -> DataFrame:
+    """The sections of ``site_plan``."""
+    return fallback_plan(g) if llm is None else site_plan(g, llm).sections

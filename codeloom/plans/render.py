@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import page_path, sanitize_id, short_path
-from codeloom.operators.aggregates import files_by_directory
+from codeloom.functions.text import number_order, optional, page_path, sanitize_id, short_path
+from codeloom.operators.aggregates import files_by_directory, most_frequent, stats_row
 from codeloom.schema import Graph
 
 CLASS_LIKE = ("class", "interface", "struct", "enum")
@@ -64,9 +66,11 @@ def relationship_summary(relations: DataFrame, nodes: DataFrame, first: int = 30
 
 def symbol_summary(nodes: DataFrame) -> DataFrame:
     """(id, line): kind, name, signature, place, marks and comment of each node in one line."""
+    have = lambda c, kind="string": optional(nodes, c, kind)
+    place = F.concat(F.lit("("), "file_path", F.coalesce(F.concat(F.lit(":"), have("start_line")), F.lit("")), F.lit(")"))
     parts = F.array_compact(F.array(
-        F.concat("kind", F.lit(" "), "name"), F.concat(F.lit("— "), F.substring("signature", 1, 100)), F.concat(F.lit("("), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit(")")),
-        F.when(F.col("is_abstract"), "[abstract]"), F.when(F.col("is_static"), "[static]"), F.concat(F.lit("// "), F.substring("docstring", 1, 100)),
+        F.concat("kind", F.lit(" "), "name"), F.concat(F.lit("— "), F.substring(have("signature"), 1, 100)), place,
+        F.when(have("is_abstract", "boolean"), "[abstract]"), F.when(have("is_static", "boolean"), "[static]"), F.concat(F.lit("// "), F.substring(have("docstring"), 1, 100)),
     ))
     return nodes.select("id", F.array_join(parts, " ").alias("line"))
 
@@ -80,25 +84,71 @@ def cross_links(sections: DataFrame) -> DataFrame:
 def page_navigation(pages: DataFrame, group: str, order: str) -> DataFrame:
     """pages (group, order, title, path) with a line of links to the pages before and after each in its group."""
     w = Window.partitionBy(group).orderBy(order)
-    link = lambda f: F.concat(F.col(order).cast("string"), F.lit(". "), F.col("title")) if f is None else f(F.struct(F.col(order).cast("string").alias("n"), "title", "path")).over(w)
-    both = pages.withColumn("before", link(F.lag)).withColumn("after", link(F.lead))
-    back = F.when(F.col("before").isNotNull(), F.concat(F.lit(" | [← "), "before.n", F.lit(". "), "before.title", F.lit("]("), "before.path", F.lit(")"))).otherwise("")
-    on = F.when(F.col("after").isNotNull(), F.concat(F.lit(" | ["), "after.n", F.lit(". "), "after.title", F.lit(" →]("), "after.path", F.lit(")"))).otherwise("")
-    return both.withColumn("nav", F.concat(F.lit("**Navigation:**\n[← Table of Contents](index.md)"), back, on)).drop("before", "after")
-
-
-def assemble(sections: DataFrame, pages: DataFrame, title: str, description: str) -> DataFrame:
-    """(path, content) of index, sidebar and pages, from sections and pages (number, content)."""
-    place = F.transform(F.split("number", r"\."), lambda x: x.cast("int"))
+    link = F.struct(F.col(order).cast("string").alias("n"), "title", "path")
+    both = pages.withColumn("before", F.lag(link).over(w)).withColumn("after", F.lead(link).over(w))
+    return both.withColumn("nav", F.concat(F.lit("**Navigation:**\n[← Table of Contents](index.md)"), beside("before", "[← {}]"), beside("after", "[{} →]"))).drop("before", "after")
+
+
+def beside(c: str, form: str):
+    """`` | [number. title](path)`` for a neighbour (n, title, path), nothing where there is none."""
+    a, z = form.split("{}")
+    return F.when(F.col(c).isNotNull(), F.concat(F.lit(" | " + a), F.col(f"{c}.n"), F.lit(". "), F.col(f"{c}.title"), F.lit(z + "("), F.col(f"{c}.path"), F.lit(")"))).otherwise("")
+
+
+def site_navigation(pages: DataFrame) -> DataFrame:
+    """(number, nav) of a site's pages (number, title, path): the pages before and after, and the other subsections of the section."""
+    top = F.substring_index("number", ".", 1)
+    one = pages.withColumn("site", F.lit(1)).withColumn("place", number_order("number"))
+    w = Window.partitionBy("site").orderBy("place")  # as many rows as the plan has sections
+    link = F.struct(F.col("number").alias("n"), "title", "path")
+    near = one.withColumn("before", F.lag(link).over(w)).withColumn("after", F.lead(link).over(w)).withColumn("top", top)
+    below = one.where(F.size("place") == 2).groupBy(top.alias("top")).agg(F.array_sort(F.collect_list(F.struct("place", "number", F.concat(F.lit("\n- ["), "number", F.lit(". "), "title", F.lit("]("), "path", F.lit(")")).alias("line")))).alias("all"))
+    met = near.join(below, "top", "left").withColumn("others", F.filter("all", lambda x: x["number"] != F.col("number")))
+    also = F.when(F.size("others") > 0, F.concat(F.lit("\n\n**In this section:**"), F.array_join(F.transform("others", lambda x: x["line"]), ""))).otherwise("")
+    return met.select("number", F.concat(F.lit("**Navigation:**\n[← Table of Contents](index.md)"), beside("before", "[← {}]"), beside("after", "[{} →]"), also).alias("nav"))
+
+
+def statistics(g: Graph, kinds: int = 8) -> DataFrame:
+    """One row: a graph's counts, languages and most frequent kinds as tables in Markdown."""
+    row = lambda name, c: F.concat(F.lit(f"| {name} | "), c.cast("string"), F.lit(" |\n"))
+    langs = F.array_join(F.transform(most_frequent("files_by_language"), lambda x: F.concat(x["k"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")
+    first = F.slice(most_frequent("nodes_by_kind"), 1, kinds)
+    some = F.concat(F.lit("### Symbol Breakdown\n\n| Kind | Count |\n|------|-------|\n"), F.array_join(F.transform(first, lambda x: F.concat(F.lit("| "), x["k"], F.lit(" | "), x["n"].cast("string"), F.lit(" |\n"))), ""), F.lit("\n"))
+    head = F.concat(F.lit("## Project Statistics\n\n| Metric | Count |\n|--------|-------|\n"), row("Source Files", F.col("file_count")), row("Symbols", F.col("node_count")), row("Relationships", F.col("edge_count")), row("Languages", langs), F.lit("\n"))
+    return stats_row(g).select(F.concat(head, F.when(F.size(first) > 0, some).otherwise("")).alias("stats"))
+
+
+def browser_page(title: str) -> str:
+    """A page that shows the site's Markdown in a browser; its scripts come from a public network."""
+    name, cdn = title.replace("\\", "\\\\").replace("'", "\\'"), "https://cdn.jsdelivr.net/npm"
+    scripts = ["docsify@4/lib/docsify.min.js", "docsify@4/lib/plugins/search.min.js", "mermaid@10/dist/mermaid.min.js", "docsify-mermaid@2/dist/docsify-mermaid.js"]
+    load = "\n".join(f'<script src="{cdn}/{s}"></script>' for s in scripts)
+    settings = f"{{name: '{name}', homepage: 'index.md', loadSidebar: true, subMaxLevel: 3, search: 'auto', auto2top: true}}"
+    return (
+        f'<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="UTF-8">\n<title>{html.escape(title)}</title>\n<meta name="viewport" content="width=device-width, initial-scale=1.0">\n'
+        f'<link rel="stylesheet" href="{cdn}/docsify@4/lib/themes/vue.css">\n</head>\n<body>\n<div id="app"></div>\n<script>window.$docsify = {settings.replace("</", "<" + chr(92) + "/")};</script>\n{load}\n</body>\n</html>\n'
+    )
+
+
+def assemble(sections: DataFrame, pages: DataFrame, title: str, description: str, stats: DataFrame | None = None, generated: str | None = None) -> DataFrame:
+    """(path, content) of index, sidebar, browser page and pages, from sections and pages (number, content). stats: one row of text; generated: a date."""
+    place = number_order("number")
     s = sections.join(pages.select("number", F.lit(True).alias("there")), "number", "left").withColumn("place", place).withColumn("path", page_path("number", "title"))
     name = F.concat(F.col("number"), F.lit(". "), F.col("title"))
     dent = F.when(F.col("parent").isNotNull(), "  - ").otherwise("- ")
     entry = F.concat(dent, F.when(F.col("there"), F.concat(F.lit("["), name, F.lit("]("), "path", F.lit(")"))).otherwise(name), F.lit(" — "), F.col("description"))
     side = F.concat(dent, F.lit("["), name, F.lit("]"), F.when(F.col("there"), F.concat(F.lit("("), "path", F.lit(")"))).otherwise(""))
-    index = joined(s.select("place", entry.alias("line")), ["place"]).select(F.lit("index.md").alias("path"), F.concat(F.lit(f"# {title}\n\n{description}\n\n## Table of Contents\n\n"), "text", F.lit("\n")).alias("content"))
+    lines = joined(s.select("place", entry.alias("line")), ["place"])
+    if stats is not None:
+        lines = lines.join(F.broadcast(stats), F.lit(True))  # one row each
+    foot = "\n" if generated is None else f"\n\n---\n\n*Generated on {generated}*\n"
+    index = lines.select(F.lit("index.md").alias("path"), F.concat(F.lit(f"# {title}\n\n{description}\n\n"), F.col("stats") if stats is not None else F.lit(""), F.lit("## Table of Contents\n\n"), "text", F.lit(foot)).alias("content"))
     bar = joined(s.select("place", side.alias("line")), ["place"]).select(F.lit("_sidebar.md").alias("path"), F.concat(F.lit("- [Home](index.md)\n"), "text", F.lit("\n")).alias("content"))
-    own = s.where("there").join(pages, "number").select("path", F.concat(F.lit("# "), name, F.lit("\n\n"), F.col("content"), F.lit("\n")).alias("content"))
-    return index.unionByName(bar).unionByName(own)
+    shell = sections.sparkSession.range(1).select(F.lit("index.html").alias("path"), F.lit(browser_page(title)).alias("content"))
+    there = s.where("there")
+    own = there.join(pages, "number").join(site_navigation(there.select("number", "title", "path")), "number")
+    own = own.select("path", F.concat(F.lit("# "), name, F.lit("\n\n"), F.col("content"), F.lit("\n\n---\n\n"), "nav").alias("content"))
+    return index.unionByName(bar).unionByName(shell).unionByName(own)
 
 
 def write_site(site: DataFrame, folder: str) -> None:

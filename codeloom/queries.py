@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.checkpoints import cut
 from codeloom.functions import text as tx
 from codeloom.operators import aggregates, graph, lookup, resolve, search
-from codeloom.plans import context, planner, render
+from codeloom.plans import context, pages, planner, render
 from codeloom.schema import Graph
 from codeloom.sources.ignore import ignore_predicate
 from codeloom.sources.tables import STAR_SQL, star_graph
@@ -274,7 +274,8 @@ def corpus(spark, d) -> DataFrame:
     star=False,
 )
 def search_bm25(spark, d):
-    return search.search_nodes(corpus(spark, d), SEARCH)
+    docs = corpus(spark, d)
+    return search.search_nodes(docs, SEARCH, index=search.write_index(docs))
 
 
 _ASK = "SELECT doc_id, CAST(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in QUESTION.split() if len(w) > 2) + f" + CASE WHEN contains(t, '{QUESTION}') THEN 50 ELSE 0 END AS BIGINT) AS score FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)"
@@ -360,7 +361,7 @@ def related_files(spark, d):
 def member_expansion(spark, d):
     g = star_graph(spark, d)
     sections = g.nodes.where("kind = 'class'").select(F.col("id").alias("number"), F.array("id").alias("symbol_ids"))
-    return context.members(context.focal_symbols(sections, g.nodes), g)
+    return context.members(context.focal_symbols(sections, g.nodes), g).select("number", "parent", "id")
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), q AS (SELECT *, 'Page ' || page_id AS title, page_id || '.md' AS path FROM p),
@@ -454,7 +455,7 @@ def _relevant_sql() -> str:
 
 @query(_relevant_sql())
 def relevant_symbols(spark, d):
-    return planner.relevant_symbols(planner.top_symbols(star_graph(spark, d)), RELEVANT)
+    return planner.relevant_symbols(planner.top_symbols(star_graph(spark, d)), spark.createDataFrame(RELEVANT, "number string, text string"))
 
 
 @query(f"""+ {_TOP}, c AS (SELECT * FROM top WHERE kind IN ('class', 'interface') ORDER BY kp, ord LIMIT 50)
@@ -463,20 +464,23 @@ def inheritance_summary(spark, d):
     return planner.inheritance_summary(star_graph(spark, d))
 
 
-@query(f"""+ {_TOP}, dirs AS (SELECT path AS dir, 1 AS n_files, row_number() OVER (ORDER BY path) + 1 AS place FROM place ORDER BY path LIMIT 9),
+_PLAN = f"""{_TOP}, dirs AS (SELECT path AS dir, 1 AS n_files, row_number() OVER (ORDER BY path) + 1 AS place FROM place ORDER BY path LIMIT 9),
   own AS (SELECT dirs.*, top.id, top.kind, top.name, row_number() OVER (PARTITION BY place ORDER BY kp, ord) AS k, row_number() OVER (PARTITION BY place, kind ORDER BY kp, ord) AS kk FROM dirs LEFT JOIN top ON starts_with(top.file_path, dirs.dir)),
   per AS (SELECT place, dir, n_files, coalesce(string_agg(id, ',' ORDER BY k) FILTER (k <= 15), '') AS all_ids, coalesce(string_agg(id, ',' ORDER BY k) FILTER (k <= 10), '') AS any_ids, string_agg(name, ', ' ORDER BY k) FILTER (k <= 5) AS any_names,
     string_agg(id, ',' ORDER BY k) FILTER (kind = 'class' AND kk <= 10) AS cids, string_agg(name, ', ' ORDER BY k) FILTER (kind = 'class' AND kk <= 5) AS cnames,
-    string_agg(id, ',' ORDER BY k) FILTER (kind = 'interface' AND kk <= 10) AS iids, string_agg(name, ', ' ORDER BY k) FILTER (kind = 'interface' AND kk <= 5) AS inames FROM own GROUP BY place, dir, n_files)
-  SELECT '1' AS number, 'Architecture Overview' AS title, (SELECT string_agg(id, ',' ORDER BY kp, ord) FROM (SELECT * FROM top WHERE kind IN ('namespace', 'class') ORDER BY kp, ord LIMIT 15)) AS ids
-  UNION ALL SELECT '1.1', 'Project Structure', '' UNION ALL SELECT '1.2', 'Architecture Patterns', ''
-  UNION ALL SELECT CAST(place AS VARCHAR), list_last(string_split(dir, '/')), all_ids FROM per
-  UNION ALL SELECT place || '.1', 'Classes & Services', cids FROM per WHERE cids IS NOT NULL
-  UNION ALL SELECT place || CASE WHEN cids IS NULL THEN '.1' ELSE '.2' END, 'Interfaces & Contracts', iids FROM per WHERE iids IS NOT NULL
-  UNION ALL SELECT place || '.1', 'Key Components', any_ids FROM per WHERE cids IS NULL AND iids IS NULL AND any_ids <> ''
-  UNION ALL SELECT CAST((SELECT max(place) + 1 FROM dirs) AS VARCHAR), 'Development & Configuration', ''""")
+    string_agg(id, ',' ORDER BY k) FILTER (kind = 'interface' AND kk <= 10) AS iids, string_agg(name, ', ' ORDER BY k) FILTER (kind = 'interface' AND kk <= 5) AS inames FROM own GROUP BY place, dir, n_files),
+  plan AS (SELECT '{planner.OVERVIEW[0]}' AS number, NULL AS parent, '{planner.OVERVIEW[1]}' AS title, '{planner.OVERVIEW[2]}' AS description, (SELECT string_agg(id, ',' ORDER BY kp, ord) FROM (SELECT * FROM top WHERE kind IN ('namespace', 'class') ORDER BY kp, ord LIMIT 15)) AS ids
+  UNION ALL {" UNION ALL ".join(f"SELECT '{n}', '1', '{t}', '{x}', ''" for n, t, x in planner.OVERVIEW_PARTS)}
+  UNION ALL SELECT CAST(place AS VARCHAR), NULL, list_last(string_split(dir, '/')), 'Components and services in ' || dir || ' (' || n_files || ' files)', all_ids FROM per
+  UNION ALL SELECT place || '.1', CAST(place AS VARCHAR), 'Classes & Services', 'Core classes in ' || dir || ': ' || cnames, cids FROM per WHERE cids IS NOT NULL
+  UNION ALL SELECT place || CASE WHEN cids IS NULL THEN '.1' ELSE '.2' END, CAST(place AS VARCHAR), 'Interfaces & Contracts', 'Interfaces defined in ' || dir || ': ' || inames, iids FROM per WHERE iids IS NOT NULL
+  UNION ALL SELECT place || '.1', CAST(place AS VARCHAR), 'Key Components', 'Main components: ' || any_names, any_ids FROM per WHERE cids IS NULL AND iids IS NULL AND any_ids <> ''
+  UNION ALL SELECT CAST((SELECT max(place) + 1 FROM dirs) AS VARCHAR), NULL, '{planner.LAST[0]}', '{planner.LAST[1]}', '')"""
+
+
+@query(f"+ {_PLAN} SELECT number, title, description, ids FROM plan")
 def fallback_plan(spark, d):
-    return planner.fallback_plan(star_graph(spark, d)).select("number", "title", F.array_join("symbol_ids", ",").alias("ids"))
+    return planner.fallback_plan(star_graph(spark, d)).select("number", "title", "description", F.array_join("symbol_ids", ",").alias("ids"))
 
 
 def stored(g: Graph) -> Graph:
@@ -484,18 +488,85 @@ def stored(g: Graph) -> Graph:
     return Graph(cut(g.nodes), cut(g.edges), cut(g.files))
 
 
-@query()
+_FOCAL = f"""{_PLAN}, lost AS (SELECT number, unnest(list_distinct(regexp_extract_all(lower(title || ' ' || description), '[\\p{{L}}\\p{{N}}]+'))) AS word FROM plan WHERE ids = ''),
+  terms AS (SELECT id, regexp_extract_all(lower(name || ' ' || file_path || '.' || name), '[\\p{{L}}\\p{{N}}]+') AS ts FROM g_nodes), tok AS (SELECT id, len(ts) AS dl, unnest(ts) AS token FROM terms),
+  tf AS (SELECT w.word, id, count(*) AS tf, any_value(dl) AS dl FROM tok JOIN (SELECT DISTINCT word FROM lost) w ON starts_with(token, w.word) GROUP BY w.word, id), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+  cn AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM terms),
+  sc AS (SELECT number, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score FROM lost JOIN tf USING (word) JOIN df USING (word), cn GROUP BY number, id),
+  focal AS (SELECT number, id, pos FROM (SELECT number, unnest(string_split(ids, ',')) AS id, generate_subscripts(string_split(ids, ','), 1) AS pos FROM plan WHERE ids <> '')
+    UNION ALL SELECT number, id, k FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, id) AS k FROM sc) WHERE k <= 15),
+  fn AS (SELECT number, string_agg(name, ', ' ORDER BY pos) AS focal FROM focal JOIN g_nodes USING (id) GROUP BY number)"""
+
+
+@query(f"""+ {_FOCAL}, kids AS (SELECT f.number, f.id AS parent, e.target AS id FROM focal f JOIN g_nodes n ON n.id = f.id AND n.kind IN ('class', 'interface', 'struct', 'enum', 'namespace') JOIN g_edges e ON e.source = f.id AND e.kind = 'contains'
+    WHERE NOT EXISTS (SELECT 1 FROM focal x WHERE x.number = f.number AND x.id = e.target)),
+  sym AS (SELECT number, id FROM focal UNION SELECT number, id FROM kids),
+  rel AS (SELECT number, source, target, kind FROM sym JOIN g_edges ON source = id UNION SELECT number, source, target, kind FROM sym JOIN g_edges ON target = id),
+  fil AS (SELECT DISTINCT number, file_path FROM (SELECT number, id FROM sym UNION SELECT number, source FROM rel UNION SELECT number, target FROM rel) JOIN g_nodes USING (id)),
+  cal AS (SELECT number, least(15, count(*)) AS n FROM focal f JOIN g_nodes n ON n.id = f.id AND n.kind IN ('method', 'function', 'class')
+    JOIN (SELECT DISTINCT source AS id, 0 AS way FROM g_edges WHERE kind = 'calls' AND source <> target UNION SELECT DISTINCT target, 1 FROM g_edges WHERE kind = 'calls' AND source <> target) c ON c.id = f.id GROUP BY number),
+  hie AS (SELECT number, least(10, count(*)) AS n FROM focal f JOIN g_nodes n ON n.id = f.id AND n.kind IN ('class', 'interface', 'struct')
+    WHERE f.id IN (SELECT source FROM g_edges WHERE kind IN ('extends', 'implements') UNION SELECT target FROM g_edges WHERE kind = 'extends') GROUP BY number)
+  SELECT number, title, description, coalesce(focal, '') AS focal, coalesce((SELECT string_agg(file_path, ',' ORDER BY file_path) FROM fil WHERE fil.number = plan.number), '') AS related_files, (SELECT count(*) FROM kids WHERE kids.number = plan.number) AS n_members, (SELECT count(*) FROM rel WHERE rel.number = plan.number) AS n_relations,
+    (SELECT count(*) FROM fil WHERE fil.number = plan.number) AS n_files, coalesce(cal.n, 0) AS n_chains, coalesce(hie.n, 0) AS n_hierarchies FROM plan LEFT JOIN fn USING (number) LEFT JOIN cal USING (number) LEFT JOIN hie USING (number)""")
 def page_context(spark, d):
     g = stored(star_graph(spark, d))
-    return context.page_contexts(g, planner.fallback_plan(g))
+    out = context.page_contexts(g, cut(planner.fallback_plan(g)), index=search.write_index(g.nodes))
+    return out.withColumns({"focal": F.array_join("focal", ", "), "related_files": F.array_join("related_files", ",")})
 
 
-@query()
+SITE = ("Project Documentation", "Generated from the graph.")
+
+
+@query(f"""+ {_FOCAL}, pg AS (SELECT *, list_transform(string_split(number, '.'), lambda x: CAST(x AS INT)) AS place, number || '-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') || '.md' AS path, split_part(number, '.', 1) AS top_,
+    '[' || number || '. ' || title || ']' AS name, CASE WHEN parent IS NULL THEN '- ' ELSE '  - ' END AS dent, description || chr(10) || chr(10) || coalesce(focal, '') AS body FROM plan LEFT JOIN fn USING (number)),
+  nv AS (SELECT *, lag(number || '. ' || title || '](' || path || ')') OVER w AS a, lead(number || '. ' || title || ' →](' || path || ')') OVER w AS b FROM pg WINDOW w AS (ORDER BY place))
+  SELECT 'index.md' AS path, '# {SITE[0]}' || chr(10) || chr(10) || '{SITE[1]}' || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10) || string_agg(dent || name || '(' || path || ') — ' || description, chr(10) ORDER BY place) || chr(10) AS content FROM pg
+  UNION ALL SELECT '_sidebar.md', '- [Home](index.md)' || chr(10) || string_agg(dent || name || '(' || path || ')', chr(10) ORDER BY place) || chr(10) FROM pg
+  UNION ALL SELECT 'index.html', '{render.browser_page(SITE[0]).replace("'", "''")}'
+  UNION ALL SELECT path, '# ' || number || '. ' || title || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Navigation:**' || chr(10) || '[← Table of Contents](index.md)' || coalesce(' | [← ' || a, '') || coalesce(' | [' || b, '')
+    || coalesce((SELECT chr(10) || chr(10) || '**In this section:**' || string_agg(chr(10) || '- ' || x.name || '(' || x.path || ')', '' ORDER BY x.place) FROM pg x WHERE len(x.place) = 2 AND x.top_ = nv.top_ AND x.number <> nv.number), '') FROM nv""")
 def site_files(spark, d):
     g = stored(star_graph(spark, d))
-    sections = planner.fallback_plan(g)
-    pages = context.page_contexts(g, sections).select("number", F.concat(F.col("description"), F.lit("\n\n"), F.array_join("focal", ", ")).alias("content"))
-    return render.assemble(sections, pages, "Project Documentation", "Generated from the graph.")
+    sections = cut(planner.fallback_plan(g))
+    focal = context.focal_symbols(sections, g.nodes, search.write_index(g.nodes))
+    names = focal.join(g.nodes.select("id", "name"), "id").groupBy("number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), ", ").alias("focal"))
+    pages = sections.join(names, "number", "left").select("number", F.concat("description", F.lit("\n\n"), F.coalesce("focal", F.lit(""))).alias("content"))
+    return render.assemble(sections, pages, *SITE)
+
+
+@query()
+def site_prompts(spark, d):
+    g = stored(star_graph(spark, d))
+    return pages.page_prompts(context.PageParts(g, cut(planner.fallback_plan(g)), index=search.write_index(g.nodes)))
+
+
+@query("""SELECT 0 AS part, CAST(k AS BIGINT) AS k, line FROM (SELECT 1 AS k, 'files: ' || count(*) AS line FROM place UNION ALL SELECT 2, 'nodes: ' || count(*) FROM g_nodes UNION ALL SELECT 3, 'edges: ' || count(*) FROM g_edges)
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY n DESC, kind), '  ' || kind || ': ' || n FROM (SELECT kind, count(*) AS n FROM g_nodes GROUP BY kind) UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, kind), '  ' || kind || ': ' || n FROM (SELECT kind, count(*) AS n FROM g_edges GROUP BY kind)
+  UNION ALL SELECT 3, 1, '  unknown: ' || count(*) FROM place""")
+def status_lines(spark, d):
+    return aggregates.status_lines(star_graph(spark, d))
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, kind LIMIT 8", star=False)
+def top_kinds(spark, d):
+    return aggregates.counts_in_order(read(spark, d, "events").withColumnRenamed("event_type", "kind"), "kind", 8)
+
+
+@query(f"+ {_PLAN} SELECT count(*) FILTER (parent IS NULL) AS sections, count(*) FILTER (parent IS NOT NULL) AS subsections, count(*) AS pages FROM plan")
+def structure_totals(spark, d):
+    return aggregates.structure_totals(planner.fallback_plan(star_graph(spark, d)))
+
+
+@query("SELECT (SELECT count(*) FROM g_nodes) AS node_count, (SELECT count(*) FROM g_edges) AS edge_count, (SELECT count(*) FROM place) AS file_count, CAST(0 AS BIGINT) AS unresolved_count, (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM g_nodes GROUP BY kind)) AS nodes_by_kind")
+def stats_row(spark, d):
+    by = F.array_join(F.transform(F.map_entries("nodes_by_kind"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return aggregates.stats_row(star_graph(spark, d)).select("node_count", "edge_count", "file_count", "unresolved_count", by.alias("nodes_by_kind"))
+
+
+@query(f"+ {_FILES}, WALK r(a, b) AS (SELECT src, dst FROM fd UNION SELECT r.a, fd.dst FROM r JOIN fd ON fd.src = r.b), c AS (SELECT x.a AS file, min(x.b) AS cycle FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT cycle, row_number() OVER (PARTITION BY cycle ORDER BY file) AS k, id, file_path FROM c JOIN g_nodes ON file_path = file AND kind = 'file'")
+def cycle_nodes(spark, d):
+    return graph.cycle_nodes(star_graph(spark, d)).withColumn("k", F.col("k").cast("long"))
 
 
 @query("""+ r AS (SELECT source AS number, source, target, kind FROM g_edges WHERE source LIKE 'c:%' UNION SELECT target, source, target, kind FROM g_edges WHERE target LIKE 'c:%'),

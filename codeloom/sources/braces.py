@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -9,46 +10,66 @@ from codeloom.sources.extract import Extraction
 
 _HIDDEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 _CLOSE = {"{": "}", "(": ")", "[": "]"}
-# TypeScript names that are not worth a reference.
-TS_SKIP = frozenset("string number boolean void any unknown never null undefined object symbol bigint this true false if for while switch catch function return typeof super require import new await constructor console".split())
-CS_SKIP = frozenset("if for foreach while switch catch using lock return new typeof nameof sizeof default base this await throw when var void int string bool object double float decimal long byte char".split())
+# Names of types and functions that are not worth a reference.
+TS_PRIMITIVES = ("string", "number", "boolean", "void", "null", "undefined", "any", "never", "unknown", "object", "symbol", "bigint", "String", "Number", "Boolean")
+TS_BUILTINS = (
+    "console.log", "console.error", "console.warn", "console.info", "console.debug", "console.trace", "parseInt", "parseFloat", "isNaN", "isFinite", "setTimeout", "setInterval", "clearTimeout", "clearInterval",
+    "JSON.parse", "JSON.stringify", "Object.keys", "Object.values", "Object.entries", "Object.assign", "Array.isArray", "Array.from", "Promise.resolve", "Promise.reject", "Promise.all", "Promise.allSettled", "require",
+)
+CS_PRIMITIVES = (
+    "void", "int", "long", "short", "byte", "float", "double", "decimal", "bool", "char", "string", "object", "dynamic", "var",
+    "String", "Int32", "Int64", "Boolean", "Double", "Single", "Decimal", "Object", "Byte", "Char",
+)
+#: What stands before a bracket without being called.
+_NO_CALL = frozenset("if for foreach while switch catch function return typeof super import new await constructor using lock nameof sizeof default base this throw when".split())
+_STARTS = re.compile(r"\s*(?:export|import|public|private|protected|internal|static|abstract|async|readonly|const|let|var|function|class|interface|enum|type|namespace|using|@|\[|[A-Za-z_$][\w$]*\s*[(:=?;])")
+_OPEN_END = re.compile(r"(?:[=,(&|+<>?:]|=>|\b(?:extends|implements|export|async|static|public|private|protected|internal|abstract|default|readonly))\s*$")
+_DECORATOR = re.compile(r"\s*@([A-Za-z_$][\w$.]*(?:\((?:[^()]|\([^()]*\))*\))?)")
 
 
 def blank(source: str) -> str:
     return _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
-def closing(text: str, at: int) -> int:
-    """Where the bracket at a place is closed; the end of the text if it is not."""
-    stack = []
-    for i in range(at, len(text)):
-        c = text[i]
+def brackets(text: str) -> dict[int, int]:
+    """For each opening bracket where it is closed, in one pass; those that are not close at the end of the text."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for m in re.finditer(r"[{}()\[\]]", text):
+        c = m[0]
         if c in _CLOSE:
-            stack.append(_CLOSE[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
-            if not stack:
-                return i
-    return len(text)
+            stack.append((_CLOSE[c], m.start()))
+        elif stack and c == stack[-1][0]:
+            out[stack.pop()[1]] = m.start()
+    for _, at in stack:
+        out[at] = len(text)
+    return out
 
 
-def statements(text: str, a: int, b: int, ends: str = ";") -> Iterator[tuple[str, int, int, int]]:
+def statements(r: Reader, a: int, b: int, ends: str = ";") -> Iterator[tuple[str, int, int, int]]:
     """(head, start of head, start of the body in braces or -1, end) between two places."""
-    i = start = a
+    text, pair = r.text, r.pair
+    start = i = a
+    begun = False  # whether the head has anything but white space
+    for_stop = re.compile("[([{\n" + re.escape(ends) + "]")
     while i < b:
-        c = text[i]
+        m = for_stop.search(text, i, b)
+        if not m:
+            break
+        begun = begun or not text[i : m.start()].isspace() and m.start() > i
+        i, c = m.start(), m[0]
         if c in "([":
-            i = closing(text, i) + 1
+            i, begun = pair.get(i, len(text)) + 1, True
             continue
         if c == "{":
-            end = min(closing(text, i), b)
+            end = min(pair.get(i, len(text)), b)
             yield text[start:i], start, i, end
             i = start = end + 1
+            begun = False
             continue
-        line_ends = c == "\n" and re.match(r"\s*(?:export|import|public|private|protected|internal|static|abstract|async|readonly|const|let|var|function|class|interface|enum|type|namespace|using|@|\[|[A-Za-z_$][\w$]*\s*[(:=?;])", text[i:b]) and text[start:i].strip() and not re.search(r"(?:[=,(&|+<>?:]|=>|\b(?:extends|implements|export|async|static|public|private|protected|internal|abstract|default|readonly))\s*$", text[start:i])
-        if c in ends or line_ends:
+        if c in ends or begun and _STARTS.match(text, i, b) and not _OPEN_END.search(text, max(start, i - 200), i):
             yield text[start:i], start, -1, i
-            start = i + 1
+            start, begun = i + 1, False
         i += 1
     if text[start:b].strip():
         yield text[start:b], start, -1, b
@@ -57,38 +78,56 @@ def statements(text: str, a: int, b: int, ends: str = ";") -> Iterator[tuple[str
 class Reader:
     def __init__(self, x: Extraction):
         self.x, self.source, self.text = x, x.source, blank(x.source)
+        self.breaks = [m.start() for m in re.finditer("\n", self.source)]
+        self.pair: dict[int, int] = {}
+
+    def pair_up(self) -> None:
+        """Match the brackets of the text as it now is."""
+        self.pair = brackets(self.text)
+
+    def hide(self, spans: list[tuple[int, int]]) -> None:
+        """Blank some parts of the text, given in order."""
+        out, at = [], 0
+        for a, b in spans:
+            out += [self.text[at:a], re.sub(r"[^\n]", " ", self.text[a:b])]
+            at = b
+        self.text = "".join([*out, self.text[at:]])
 
     def line(self, at: int) -> int:
-        return self.source.count("\n", 0, at) + 1
+        return bisect.bisect_left(self.breaks, at) + 1
 
     def begin(self, head: str, at: int) -> int:
         return at + len(head) - len(head.lstrip())
 
     def comment(self, at: int) -> str | None:
         """The documentation comment right before a place."""
-        before = self.source[:at].rstrip()
-        if before.endswith("*/") and (k := before.rfind("/**")) >= 0:
-            body = before[k + 3 : -2]
+        end = at
+        while end and self.source[end - 1].isspace():
+            end -= 1
+        if self.source.endswith("*/", 0, end) and (k := self.source.rfind("/**", 0, end)) >= 0:
+            body = self.source[k + 3 : end - 2]
             return " ".join(s for line in body.split("\n") if (s := line.strip().lstrip("*").strip())) or None
         lines = []
-        for line in reversed(before.split("\n")):
-            if not (m := re.match(r"\s*///?\s?(.*)", line)):
+        while end > 0:
+            begin = self.source.rfind("\n", 0, end) + 1
+            if not (m := re.match(r"\s*///?\s?(.*)", self.source[begin:end])):
                 break
+            end = begin - 1
             lines.append(re.sub(r"</?[a-z]+[^>]*>", "", m[1]).strip())
         return " ".join(x for x in reversed(lines) if x) or None
 
     def declare(self, parent: dict, kind: str, name: str, head: str, at: int, end: int, **more) -> dict:
         first = self.begin(head, at)
-        signature = " ".join(self.source[first : at + len(head)].split())[:300]
+        signature = " ".join(self.source[first : at + len(head)].split())
         return self.x.child(parent, kind, name, self.line(first), self.line(min(end, len(self.source) - 1)), self.source[first : end + 1], signature=signature, docstring=self.comment(first), **more)
 
-    def uses(self, owner: dict, a: int, b: int, skip: frozenset) -> None:
+    def uses(self, owner: dict, a: int, b: int, skip: tuple[str, ...]) -> None:
         """Calls and constructions between two places."""
         for m in re.finditer(r"\bnew\s+([A-Za-z_$][\w$.]*)", self.text[a:b]):
             self.x.ref(owner, m[1], "instantiates", self.line(a + m.start()))
         for m in re.finditer(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\??\.)*[A-Za-z_$][\w$]*)(?:<[\w\s,.<>\[\]]*>)?\(", self.text[a:b]):
             name = m[1].replace("?.", ".")
-            if re.search(r"\b(?:new|function)\s+$", self.text[max(a, a + m.start() - 12) : a + m.start()]) or name in skip or name.split(".")[0] in ("console", "super"):
+            if re.search(r"\b(?:new|function)\s+$", self.text[max(a, a + m.start() - 12) : a + m.start()]) or name in skip or name in _NO_CALL or name.split(".")[0] == "super":
                 continue
             self.x.ref(owner, name, "calls", self.line(a + m.start()))
 
@@ -109,42 +148,65 @@ def type_list(text: str) -> list[str]:
     return [n for part in flat.split(",") if (n := type_name(part))]
 
 
+def decorators(r: Reader, head: str, at: int) -> tuple[list[str] | None, str, int]:
+    """The decorators that a head begins with, as they are written, and the head and its start behind them."""
+    marks, skip = [], 0
+    while m := _DECORATOR.match(head, skip):
+        marks.append(" ".join(r.source[at + m.start(1) : at + m.end(1)].split()))
+        skip = m.end()
+    return marks or None, head[skip:], at + skip
+
+
 def extract_typescript(x: Extraction) -> None:
-    r = Reader(x)
+    r, hidden = Reader(x), []
     for m in re.finditer(r"""^[ \t]*import\s+(?:type\s+)?([^'";]*?)\s*(?:from\s*)?["']([^"'\n]+)["'];?""", x.source, re.M):
         node = x.node("import", m[2], f"{x.path}::import({m[2]})", r.line(m.start()), r.line(m.end()), m[0], x.root, signature=m[0].strip())
         if named := re.search(r"\{([^}]*)\}", m[1]):
             for part in named[1].split(","):
                 if name := type_name(re.sub(r"^\s*type\s+", "", part)):
                     x.ref(node, name, "imports", r.line(m.start()), 0, [m[2]])
-        r.text = r.text[: m.start()] + re.sub(r"[^\n]", " ", r.text[m.start() : m.end()]) + r.text[m.end() :]
+        hidden.append((m.start(), m.end()))
+    r.hide(hidden)
+    r.pair_up()
 
     def members(owner: dict, a: int, b: int, in_interface: bool) -> None:
-        for head, at, body, end in statements(r.text, a, b):
+        waiting: list[str] = []
+        for head, at, body, end in statements(r, a, b):
+            marks, head, at = decorators(r, head, at)
+            waiting += marks or []
+            if not head.strip():
+                continue
+            marks, waiting = waiting or None, []
             words = set(re.findall(r"\b(?:public|private|protected|static|async|abstract|readonly)\b", head.split("(")[0].split(":")[0]))
-            shape = {"visibility": next((w for w in ("private", "protected", "public") if w in words), None), "is_static": "static" in words, "is_async": "async" in words, "is_abstract": "abstract" in words}
-            plain = re.sub(r"^\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|async|abstract|readonly|override|declare|get|set)\s+)*", "", head)
+            shape = {"visibility": next((w for w in ("private", "protected", "public") if w in words), None), "is_static": "static" in words, "is_async": "async" in words, "is_abstract": "abstract" in words, "decorators": marks}
+            plain = re.sub(r"^\s*(?:(?:public|private|protected|static|async|abstract|readonly|override|declare|get|set)\s+)*", "", head)
             call = re.match(r"([#A-Za-z_$][\w$]*)\s*[?!]?\s*(?:<[^(]*>)?\s*\(", plain)
             prop = re.match(r"([#A-Za-z_$][\w$]*)\s*[?!]?\s*(?::\s*([^=]+))?(?:=|$)", plain.strip())
             if call and (body >= 0 or shape["is_abstract"]) and not in_interface:
                 node = r.declare(owner, "method", call[1], head, at, end, **shape)
                 back = re.search(r"\)\s*:\s*([^{]+)$", head.strip())
-                if back and (name := type_name(back[1])) and name not in TS_SKIP:
+                if back and (name := type_name(back[1])) and name not in TS_PRIMITIVES:
                     x.ref(node, name, "returns", r.line(at))
                 if body >= 0:
-                    r.uses(node, body + 1, end, TS_SKIP)
+                    r.uses(node, body + 1, end, TS_BUILTINS)
             elif prop or (call and in_interface):
                 node = r.declare(owner, "property", (call or prop)[1], head, at, end, **shape)
-                if prop and not call and prop[2] and (name := type_name(prop[2])) and name not in TS_SKIP:
+                if prop and not call and prop[2] and (name := type_name(prop[2])) and name not in TS_PRIMITIVES:
                     x.ref(node, name, "type_of", r.line(at))
 
-    for head, at, body, end in statements(r.text, 0, len(r.text)):
+    waiting: list[str] = []  # decorators on lines of their own
+    for head, at, body, end in statements(r, 0, len(r.text)):
+        marks, head, at = decorators(r, head, at)
+        waiting += marks or []
+        if not head.strip():
+            continue
+        marks, waiting = waiting or None, []
         h = head.strip()
         shape = {"is_exported": bool(re.match(r"export\b", h)), "is_abstract": bool(re.match(r"(?:export\s+)?(?:default\s+)?abstract\b", h)), "is_async": bool(re.search(r"\basync\b", h))}
         h = re.sub(r"^(?:(?:export|default|declare|abstract)\s+)+", "", h)
         if body >= 0 and (m := re.match(r"(class|interface)\s+([A-Za-z_$][\w$]*)(.*)", h, re.S)):
             shape.pop("is_async")
-            node = r.declare(x.root, m[1], m[2], head, at, end, **shape)
+            node = r.declare(x.root, m[1], m[2], head, at, end, decorators=marks, **shape)
             rest = re.sub(r"^\s*<(?:[^<>]|<[^<>]*>)*>", "", m[3])
             up, _, via = rest.partition("implements")
             for name in type_list(up.partition("extends")[2]):
@@ -154,7 +216,7 @@ def extract_typescript(x: Extraction) -> None:
             members(node, body + 1, end, m[1] == "interface")
         elif body >= 0 and (m := re.match(r"(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)", h)):
             node = r.declare(x.root, "enum", m[1], head, at, end, is_exported=shape["is_exported"])
-            for part, p, _, q in statements(r.text, body + 1, end, ",;"):
+            for part, p, _, q in statements(r, body + 1, end, ",;"):
                 if name := type_name(part):
                     r.declare(node, "enum_member", name, part, p, q)
         elif m := re.match(r"type\s+([A-Za-z_$][\w$]*)", h):
@@ -162,18 +224,19 @@ def extract_typescript(x: Extraction) -> None:
         elif m := re.match(r"(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", h):
             node = r.declare(x.root, "function", m[1], head, at, end, **shape)
             back = re.search(r"\)\s*:\s*([^{]+)$", h)
-            if back and (name := type_name(back[1])) and name not in TS_SKIP:
+            if back and (name := type_name(back[1])) and name not in TS_PRIMITIVES:
                 x.ref(node, name, "returns", r.line(at))
             if body >= 0:
-                r.uses(node, body + 1, end, TS_SKIP)
+                r.uses(node, body + 1, end, TS_BUILTINS)
         elif m := re.match(r"(const|let|var)\s+([A-Za-z_$][\w$]*)", h):
             arrow = re.search(r"=\s*(?:async\s*)?(?:function\b|(?:<[^>]*>\s*)?(?:\([^=]*|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>)", h)
             node = r.declare(x.root, "function" if arrow else "constant" if m[1] == "const" else "variable", m[2], head, at, end, is_exported=shape["is_exported"], is_async=shape["is_async"])
-            r.uses(node, at + head.find(m[2]) + len(m[2]), end, TS_SKIP)
+            r.uses(node, at + head.find(m[2]) + len(m[2]), end, TS_BUILTINS)
 
 
 def extract_csharp(x: Extraction) -> None:
     r = Reader(x)
+    r.pair_up()
     modifier = r"(?:public|private|protected|internal|static|abstract|sealed|partial|async|virtual|override|readonly|const|new|unsafe|extern|required)"
 
     def shape(head: str) -> tuple[dict, str]:
@@ -184,7 +247,7 @@ def extract_csharp(x: Extraction) -> None:
         return flags, rest
 
     def block(owner: dict, a: int, b: int, in_type: str | None) -> None:
-        for head, at, body, end in statements(r.text, a, b):
+        for head, at, body, end in statements(r, a, b):
             flags, h = shape(head)
             first = r.line(r.begin(head, at))
             if m := re.match(r"\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*$", head):
@@ -207,14 +270,14 @@ def extract_csharp(x: Extraction) -> None:
                     block(node, body + 1, end, m[2])
             elif body >= 0 and (m := re.match(r"enum\s+(\w+)", h)):
                 node = r.declare(owner, "enum", m[1], head, at, end, visibility=flags["visibility"], is_exported=flags["is_exported"])
-                for part, p, _, q in statements(r.text, body + 1, end, ",;"):
+                for part, p, _, q in statements(r, body + 1, end, ",;"):
                     if name := type_name(part):
                         r.declare(node, "enum_member", name, part, p, q)
             elif in_type and (m := re.match(r"(?:([\w.<>\[\],?\s]+?)\s+)?(\w+)\s*(?:<[^(]*>)?\s*\(", h)) and "=" not in h.split("(")[0]:
                 node = r.declare(owner, "method", m[2], head, at, end, **flags)
-                if m[1] and (name := type_name(m[1])) and name not in CS_SKIP:
+                if m[1] and (name := type_name(m[1])) and name not in CS_PRIMITIVES:
                     x.ref(node, name, "returns", first)
-                r.uses(node, body + 1 if body >= 0 else at + len(head), end, CS_SKIP)
+                r.uses(node, body + 1 if body >= 0 else at + len(head), end, ())
             elif in_type and body >= 0 and (m := re.match(r"([\w.<>\[\],?\s]+?)\s+(\w+)\s*$", h)):
                 flags.pop("is_async")
                 r.declare(owner, "property", m[2], head, at, end, **flags)

@@ -58,8 +58,15 @@ def register_extractor(language: str, extractor: Callable[[Extraction], None]) -
     EXTRACTORS[language] = extractor
 
 
-# Python names that are not worth a reference.
-PYTHON_BUILTINS = frozenset("print len range int str float bool list dict set tuple type isinstance issubclass super enumerate zip map filter sorted reversed min max sum abs any all open input repr hash id iter next getattr setattr hasattr delattr callable vars dir object property staticmethod classmethod None True False bytes".split())
+# Python names of types and functions that are not worth a reference.
+PYTHON_PRIMITIVES = (
+    "int", "float", "str", "bool", "bytes", "None", "list", "dict", "tuple", "set", "frozenset", "Any", "Optional", "Union", "List", "Dict", "Tuple", "Set",
+    "Callable", "Iterator", "Generator", "Coroutine", "type", "object",
+)
+PYTHON_BUILTINS = (
+    "print", "len", "range", "enumerate", "zip", "map", "filter", "sorted", "reversed", "isinstance", "issubclass", "hasattr", "getattr", "setattr", "delattr", "super", "property",
+    "staticmethod", "classmethod", "abstractmethod", "int", "float", "str", "bool", "list", "dict", "tuple", "set", "type", "object", "repr", "id", "hash", "input", "open",
+)
 
 
 def extract_python(x: Extraction) -> None:
@@ -85,7 +92,7 @@ def extract_python(x: Extraction) -> None:
         marks = [ast.unparse(d) for d in n.decorator_list]
         sig = f"{'async ' if isinstance(n, ast.AsyncFunctionDef) else ''}def {n.name}({ast.unparse(n.args)})" + (f" -> {ast.unparse(n.returns)}" if n.returns else "")
         node = x.child(parent, "method" if in_class else "function", n.name, n.lineno, n.end_lineno, text(n), signature=sig, docstring=ast.get_docstring(n), decorators=marks or None, is_async=isinstance(n, ast.AsyncFunctionDef), is_static="staticmethod" in marks, is_abstract=any(m.endswith("abstractmethod") for m in marks))
-        if (name := dotted(n.returns)) and name not in PYTHON_BUILTINS:
+        if (name := dotted(n.returns)) and name not in PYTHON_PRIMITIVES:
             x.ref(node, name, "returns", n.lineno)
         for s in n.body:
             calls(node, s)
@@ -95,7 +102,7 @@ def extract_python(x: Extraction) -> None:
         abstract = any(isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef) and any(ast.unparse(d).endswith("abstractmethod") for d in s.decorator_list) for s in n.body)
         node = x.child(parent, "class", n.name, n.lineno, n.end_lineno, text(n), docstring=ast.get_docstring(n), decorators=marks or None, is_abstract=abstract)
         for b in n.bases:
-            if name := dotted(b):
+            if (name := dotted(b)) and name not in PYTHON_PRIMITIVES:
                 x.ref(node, name, "extends", n.lineno)
         for s in n.body:
             if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef):
@@ -118,7 +125,7 @@ def extract_python(x: Extraction) -> None:
         elif isinstance(n, ast.Assign | ast.AnnAssign):
             for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
                 if isinstance(t, ast.Name) and (not t.id.startswith("_") or t.id.startswith("__")):
-                    x.child(x.root, "constant" if t.id.isupper() and len(t.id) > 1 else "variable", t.id, n.lineno, n.end_lineno, text(n), signature=text(n)[:200])
+                    x.child(x.root, "constant" if t.id.isupper() and len(t.id) > 1 else "variable", t.id, n.lineno, n.end_lineno, text(n), signature=text(n))
         elif isinstance(n, ast.Expr):
             calls(x.root, n)
 
@@ -167,15 +174,19 @@ def extract_project(files: DataFrame) -> Graph:
     info = found.select("path", F.size("nodes").alias("node_count"), F.when(F.col("error").isNotNull(), F.array("error")).alias("errors"))
     keep = [c for c in files.columns if c not in ("content",)]
     return Graph(
-        rows("nodes"),
+        rows("nodes").withColumn("updated_at", F.current_timestamp()),
         rows("edges").withColumn("provenance", F.lit("tree-sitter")),
-        files.select(*keep).join(info, "path"),
+        files.select(*keep).join(info, "path").withColumn("indexed_at", F.current_timestamp()),
         rows("refs").drop("ord"),
     )
 
 
-def extraction_summary(g: Graph) -> DataFrame:
-    """One row: files, nodes, edges, references and files with errors."""
+def extraction_summary(g: Graph, scanned: DataFrame | None = None) -> DataFrame:
+    """One row: files, nodes, edges, references, files with errors, and files of ``scanned`` (path) that were not extracted."""
     f = g.files.agg(F.count("*").alias("files"), F.count_if(F.col("errors").isNotNull()).alias("errors"), F.coalesce(F.sum("node_count"), F.lit(0)).alias("nodes"))
     e, r = g.edges.agg(F.count("*").alias("edges")), g.refs.agg(F.count("*").alias("refs"))
-    return f.join(F.broadcast(e), F.lit(True)).join(F.broadcast(r), F.lit(True))  # single rows
+    out = f.join(F.broadcast(e), F.lit(True)).join(F.broadcast(r), F.lit(True))  # single rows
+    if scanned is None:
+        return out.withColumn("skipped", F.lit(0).cast("long"))
+    lost = scanned.select("path").join(g.files.select("path"), "path", "left_anti").agg(F.count("*").alias("skipped"))
+    return out.join(F.broadcast(lost), F.lit(True))

@@ -26,8 +26,8 @@ def git_files(root: str) -> list[str] | None:
 def scan_project(spark: SparkSession, root: str, ignore: Iterable[str] = (), max_file_size: int = 1 << 20, use_git: bool = True) -> DataFrame:
     """(path, language, content_hash, size, modified_at, content) of files in known languages that are not ignored.
 
-    Files are listed and read by Spark; in a git work tree only tracked ones count. Ignored and large files are filtered before their
-    contents are decoded.
+    In a git work tree only tracked files count. Paths are listed and filtered first, and only the files that are left are opened;
+    the list of a project's source files is held by the driver, as git's is.
     """
     patterns = list(ignore)
     try:
@@ -36,13 +36,16 @@ def scan_project(spark: SparkSession, root: str, ignore: Iterable[str] = (), max
     except OSError:
         pass
     prefix = os.path.abspath(root).rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prefix).where(F.col("length") <= max_file_size)
     path = F.substring_index(F.col("path"), prefix, -1)
-    files = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
-    files = files.where(~ignore_predicate("path", patterns)).withColumn("language", detect_language("path")).where("language <> 'unknown'")
     tracked = git_files(root) if use_git else None
     if tracked is not None:
-        names = spark.createDataFrame([(p,) for p in tracked], "path string")
-        files = files.join(names, "path", "left_semi")
+        listed = spark.createDataFrame([(p,) for p in tracked], "path string")
+    else:  # without the content column no bytes are read
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prefix).where(F.col("length") <= max_file_size).select(path.alias("path"))
+    known = listed.where(~ignore_predicate("path", patterns)).where(detect_language("path") != "unknown")
+    chosen = [prefix + r["path"] for r in known.toLocalIterator() if os.path.isfile(prefix + r["path"])]
+    if not chosen:
+        return spark.createDataFrame([], "path string, language string, content_hash string, size long, modified_at timestamp, content string")
+    raw = spark.read.format("binaryFile").load(chosen).where(F.col("length") <= max_file_size)
     text = F.decode("content", "UTF-8")
-    return files.select("path", "language", content_hash(text).alias("content_hash"), "size", "modified_at", text.alias("content"))
+    return raw.select(path.alias("path"), detect_language(path).alias("language"), content_hash(text).alias("content_hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), text.alias("content"))

@@ -1,56 +1,75 @@
-"""Incremental ingest: each micro-batch of new file versions replaces the old ones."""
+"""Incremental ingest: each micro-batch of new file versions is appended, and the last version of each file counts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codeloom.operators.lookup import replace_files
+from codeloom.operators.lookup import first_edges, last_nodes, sound_edges
+from codeloom.operators.resolve import resolve_references
 from codeloom.schema import Graph
 
 
 class GraphTables:
-    """The tables of a graph as Parquet folders; a new version is written aside and then named in ``version``."""
+    """The tables of a graph as Parquet, partitioned by batch.
+
+    A batch costs what its own files cost, and a batch that is written again replaces itself. Edges and references are kept as they were
+    found, whether or not their other ends are known yet.
+    """
 
     NAMES = ("nodes", "edges", "files", "refs")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _current(self) -> str | None:
-        rows = self._versions()
-        return max(rows, key=int) if rows else None
-
-    def _versions(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = [str(s.getPath().getName()) for s in fs.listStatus(folder)]
-        return [v for v in found if v.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{v}/_done"))]
-
-    def read(self) -> Graph | None:
-        v = self._current()
-        return None if v is None else Graph(*(self.spark.read.parquet(f"{self.path}/{v}/{n}") for n in self.NAMES))
-
-    def write(self, g: Graph) -> None:
-        v = int(self._current() or 0) + 1
-        for n in self.NAMES:
-            getattr(g, n).write.mode("overwrite").parquet(f"{self.path}/{v}/{n}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/{v}/_done")
+    def append(self, g: Graph, batch: int) -> None:
+        """Add the files of a batch with all that belongs to them; files come last, as they make the batch count."""
+        where = g.nodes.select(F.col("id").alias("source"), "file_path").dropDuplicates(["source"])
+        tables = {"nodes": g.nodes, "edges": g.edges.join(where, "source", "left"), "refs": g.refs, "files": g.files}
+        for name, df in tables.items():
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def _table(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{name}")
+        except AnalysisException:
+            return None
+
+    def read(self, resolve: bool = True) -> Graph | None:
+        """The last version of every file; with ``resolve`` references become edges, and edges without both ends are left out."""
+        files = self._table("files")
+        if files is None:
+            return None
+        last = files.groupBy("path").agg(F.max("batch").alias("batch"))
+        own = last.withColumnRenamed("path", "file_path")
+        now = lambda df: df.join(own, ["file_path", "batch"], "left_semi").drop("batch")
+        nodes, edges, refs = last_nodes(now(self._table("nodes"))), now(self._table("edges")).drop("file_path"), self._table("refs")
+        refs = None if refs is None else now(refs)
+        files = files.join(last, ["path", "batch"], "left_semi").drop("batch").dropDuplicates(["path"])
+        if not resolve:
+            return Graph(nodes, edges, files, refs)
+        if refs is not None:
+            found = resolve_references(refs, nodes, files)
+            edges = edges.unionByName(found.withColumn("ord", F.xxhash64("source", "target", "kind")), allowMissingColumns=True)
+        return Graph(nodes, sound_edges(Graph(nodes, first_edges(edges), files)), files, refs)
+
+    def compact(self, path: str) -> GraphTables:
+        """The last versions alone, as one batch of new tables."""
+        out = GraphTables(self.spark, path)
+        out.append(self.read(resolve=False), 0)
+        return out
 
 
 def ingest_stream(files: DataFrame, tables: GraphTables, extract: Callable[[DataFrame], Graph], checkpoint: str) -> StreamingQuery:
-    """Start a query over a stream of files (path, language, content_hash, content): every batch is extracted and put in place."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        new = extract(batch)
-        old = tables.read()
-        tables.write(new if old is None else replace_files(old, new.files, new.nodes, new.edges, new.refs, drop_dangling=True))
+    """Start a query over a stream of files (path, language, content_hash, content): every batch is extracted and appended."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            tables.append(extract(batch), number)
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

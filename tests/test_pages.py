@@ -12,6 +12,9 @@ def test_jobs(spark, tmp_path):
     new = spark.createDataFrame([("a", "failed", 3)], "id string, status string, created_at long")
     got = jobs.recent_jobs(jobs.upsert_jobs(old, new)).select("id", "status").collect()
     assert [tuple(r) for r in got] == [("a", "failed"), ("b", "ready")]
+    jobs.save_jobs(old, str(tmp_path / "table"))
+    jobs.update_jobs(spark, str(tmp_path / "table"), new)
+    assert {r.id: r.status for r in jobs.load_jobs(spark, str(tmp_path / "table")).collect()} == {"a": "failed", "b": "ready"}
     urls = {"https://github.com/a/b": True, "http://x@gitlab.com/a": True, "ftp://github.com/a": False, "https://example.com/github.com": False}
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", jobs.valid_repo_url("url").alias("ok")).collect()
     assert {r.url: r.ok for r in rows} == urls
