@@ -440,16 +440,28 @@ def test_exact_against_sql(spark, texts):
 
 def test_grace_spills(tmp_path):
     r = random.Random(1)
-    rows = [(str(r.randint(0, 300)).encode() * 20, [i], [r.randint(0, 5)]) for i in range(2000)]
-    small = sorted((i, k, s, n, d) for ids, kept, s, n, d in exact_dedup.grace(iter(rows), 3000, str(tmp_path)) for i, k in zip(ids, kept, strict=True))
-    large = sorted((i, k, s, n, d) for ids, kept, s, n, d in exact_dedup.grace(iter(rows), 1 << 30, str(tmp_path)) for i, k in zip(ids, kept, strict=True))
-    assert small == large and sum(x[1] for x in small) == len({x[0] for x in rows}) and not list(tmp_path.iterdir())
+    rows = [(str(r.randint(0, 300)).encode() * 20, i, r.randint(1, 3), r.randint(0, 5), r.choice([None, i])) for i in range(2000)]
+    small = sorted(exact_dedup.grace(iter(rows), 3000, str(tmp_path)))
+    assert small == sorted(exact_dedup.grace(iter(rows), 1 << 30, str(tmp_path))) and not list(tmp_path.iterdir())
+    assert sum(x[4] for x in small) == len({x[0] for x in rows}) and {x[0] for x in small} == set(range(2000))
+    for content in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == content]
+        best = min(own, key=lambda x: (-x[3], 2**63 if x[4] is None else x[4], x[1]))
+        want = {(x[1], best[4], sum(y[2] for y in own), hashlib.sha256(content).hexdigest(), x is best) for x in own}
+        assert want <= set(small)
 
 
 def test_grace_holds_one_large_group(tmp_path):
-    rows = [(b"same", list(range(k, k + 500)), [4] * 500) for k in range(0, 10_000, 500)] + [(b"other" * 300, [10_000], [7]), (b"third" * 300, [10_001], [7])]
-    got = sorted((i, k, s, n) for ids, kept, s, n, _ in exact_dedup.grace(iter(rows), 2000, str(tmp_path)) for i, k in zip(ids, kept, strict=True))
-    assert got == [*((i, i == 0, 0, 10_000) for i in range(10_000)), (10_000, True, 10_000, 1), (10_001, True, 10_001, 1)] and not list(tmp_path.iterdir())
+    rows = [(b"same", k, 1000, 4, k) for k in range(10_000)] + [(b"other" * 300, 10_000, 1, 7, 7), (b"third" * 300, 10_001, 1, 7, 8)]
+    got = sorted((n, i, size, here) for n, i, size, _, here in exact_dedup.grace(iter(rows), 2000, str(tmp_path)))
+    assert got == [*((k, 0, 10_000_000, k == 0) for k in range(10_000)), (10_000, 7, 1, True), (10_001, 8, 1, True)] and not list(tmp_path.iterdir())
+
+
+def test_exact_hot_null_text(spark):
+    rows = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text")).repartition(7)
+    got = exact_dedup.exact_groups(rows, room=3000)
+    assert got.count() == 10_000 and got.where("kept").count() == 6667
+    assert {tuple(r) for r in got.where("doc_id % 3 = 0").groupBy("keep_id", "group_size").count().collect()} == {(0, 3334, 3334)}
 
 
 # --- 9: toxicity
