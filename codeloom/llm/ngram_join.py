@@ -11,13 +11,14 @@ the Jaccard similarity of their sets is at least ``num / den``.
 3. The sets of a key make a signature tree: leaves hold bitmaps of the sets' shingles, inner nodes OR-combined bitmaps and size
    ranges. Both ends of a pair descend together, and a pair of nodes is pruned when its sizes cannot match or when the
    common bits, and the bits that stand for several shingles, allow too small an overlap.
-   Sets that may match their group's leader skip the tree, so a large group of near copies is dealt out by rows.
-4. What survives is joined into families; only their sets are read in full. Each is compared exactly with its family's leader,
-   and only a family in which not all link to the leader comes together in a task, where a second tree leaves the pairs that
-   are compared exactly. Pairs that are in one component already are not compared.
+   Sets that may match their group's leader are one with it already; the others meet each other and those. A group of more than ``block`` sets is
+   cut into blocks, and each pair of blocks that has something to settle is a tree of its own, so no task holds more than two blocks.
+4. What survives is joined into families; only their sets are read in full. Each is compared exactly with its family's leader.
+   Those that do not link to it meet the family in pairs of blocks again, where a second tree leaves the pairs that
+   are compared exactly. Pairs that are in one component already are not compared. Links make the components.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; a text of fewer than k words has one
-shingle, the whole sequence. Repeated rows link by their equal sets. Texts of any length are read whole. Other columns are
+shingle, the whole sequence. Repeated rows link by their equal sets; rows without an id are linked by equal sets alone. Texts of any length are read whole. Other columns are
 not read. An empty table gives no rows.
 """
 
@@ -183,9 +184,19 @@ class Joined:
         self.members[a] += moved
 
 
-def likely(sizes: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> np.ndarray:
-    """Labels that join the members whose bitmaps allow a link."""
-    found = Joined(len(sizes))
+def joined_where(near: np.ndarray | None, n: int) -> Joined:
+    """Labels in which the members marked near are one already."""
+    found = Joined(n)
+    if near is not None and near.any():
+        at = np.flatnonzero(near)
+        for i in at[1:].tolist():
+            found.join(int(at[0]), i)
+    return found
+
+
+def likely(sizes: np.ndarray, bitmaps: list[bytes], num: int, den: int, near: np.ndarray | None = None) -> np.ndarray:
+    """Labels that join the members whose bitmaps allow a link; those marked near are one from the start."""
+    found = joined_where(near, len(sizes))
     for c, member in windows(sizes, num, den):
         sub = found.label[member].copy()
         if (sub == sub[0]).all():
@@ -200,11 +211,11 @@ def likely(sizes: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> np.nd
     return found.label
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Labels of the components of links, by exact comparison of what the bitmaps allow."""
+def linked(sets: list[np.ndarray], num: int, den: int, near: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the components of links, by exact comparison of what the bitmaps allow; sets marked near are one from the start."""
     sizes = np.array(list(map(len, sets)), np.int64)
     bitmaps = [signature(s) for s in sets]
-    found = Joined(len(sets))
+    found = joined_where(near, len(sets))
     for c, member in windows(sizes, num, den):
         sub = found.label[member].copy()
         tree = SignatureTree(sizes[member], [bitmaps[i] for i in member.tolist()], c, num, den)
@@ -219,6 +230,39 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return found.label
 
 
+def spanning(label: np.ndarray, names: list[int], near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of names that connect the members of each label. Members marked near are connected elsewhere, so one stands for all."""
+    head: dict[int, int] = {}
+    seen_near = False
+    for x, name, is_near in zip(label.tolist(), names, near.tolist(), strict=True):
+        if is_near:
+            if seen_near:
+                continue
+            seen_near = True
+        if x in head:
+            yield head[x], name
+        else:
+            head[x] = name
+
+
+def in_cells(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows (group, name, near, ...) with a column ``cell``: every pair of members of a group, one of which is not near, has a cell in common.
+
+    A group of up to ``block`` members is one cell. Larger ones are cut into blocks by name, those that are near apart from the others,
+    and a cell holds two blocks, not both near.
+    """
+    sizes = rows.groupBy(group).agg(F.count_if(~F.col("near")).alias("n_far"), F.count_if("near").alias("n_near"))
+    met = rows.join(sizes.where("n_far > 0"), group)
+    far, near = (F.ceil(F.col(c) / block).cast("int") for c in ("n_far", "n_near"))
+    own = lambda n: F.pmod(F.xxhash64("name"), n).cast("int")
+    every = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<bigint>"))
+    cell = lambda kind, a, b: F.xxhash64(group, F.lit(kind), a, b)
+    of_far = F.concat(every(far, lambda j: cell(1, F.least(own(far), j), F.greatest(own(far), j))), every(near, lambda j: cell(2, own(far), j)))
+    of_near = every(far, lambda i: cell(2, i, own(near)))
+    cells = F.when(F.col("n_far") + F.col("n_near") <= block, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("near"), of_near).otherwise(of_far)
+    return met.withColumn("cell", F.explode(cells)).drop("n_far", "n_near")
+
+
 def keys_of(s: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndarray:
     """The shingles at which a set meets its like."""
     n = len(s)
@@ -229,8 +273,11 @@ def keys_of(s: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndar
     return s[order[:take]]
 
 
-def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, block: int = 2000, set_block: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row.
+
+    block: bitmaps, and set_block: sets, of a group that one task holds at once in half a cell; a larger group is dealt out in pairs of blocks.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     n_parts = partitions(docs)
 
@@ -318,26 +365,23 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
 
     flagged = cut(led.select("grp", "leader", "name", "n", "bitmap", "leader_n", "leader_bitmap").mapInArrow(beside, "grp long, leader long, name long, n long, bitmap binary, near boolean"))
     stars = flagged.where("near and leader <> name").select(F.col("leader").alias("a"), F.col("name").alias("b"))
-    members = flagged.join(flagged.where("not near").select("grp").distinct(), "grp", "left_semi")
+    members = in_cells(flagged, "grp", block)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, z = [], []
-        for t in by_key(batches, "grp"):
-            name = t["name"].to_numpy()
-            label = likely(t["n"].to_numpy(), t["bitmap"].to_pylist(), num, den)
-            least = {}
-            for x, y in zip(label.tolist(), name.tolist(), strict=True):
-                least[x] = min(y, least.get(x, y))
-            for x, y in zip(label.tolist(), name.tolist(), strict=True):
-                if least[x] != y:
-                    a.append(least[x])
-                    z.append(y)
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-                a, z = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-
-    may = members.repartition(n_parts, "grp").sortWithinPartitions("grp").select("grp", "name", "n", "bitmap").mapInArrow(traverse, "a long, b long")
+        out: list[tuple[int, int]] = []
+        for t in by_key(batches, "cell"):
+            near = t["near"].to_numpy(zero_copy_only=False)
+            label = likely(t["n"].to_numpy(), t["bitmap"].to_pylist(), num, den, near)
+            out += spanning(label, t["name"].to_pylist(), near)
+            if len(out) > 10_000:
+                yield pairs_of(out)
+                out = []
+        yield pairs_of(out)
+
+    def pairs_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    may = members.repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "name", "n", "bitmap", "near").mapInArrow(traverse, "a long, b long")
     families = cut(components(may.unionByName(stars)).select(F.col("node").alias("name"), F.col("component").alias("family")))
     chosen = families.join(names.select("name", "doc"), "name")
 
@@ -356,26 +400,26 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
             yield pa.RecordBatch.from_arrays([*(b[i] for i in range(3)), pa.array(near, pa.bool_())], names=["family", "name", "doc", "near"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list] = ([], [])
-        for t in by_key(batches, "family"):
-            rows_ = {n: (d, np.frombuffer(x, U)) for n, d, x in zip(t["name"].to_pylist(), t["doc"].to_pylist(), t["shingles"].to_pylist(), strict=True)}
-            label = linked([x for _, x in rows_.values()], num, den).tolist()
-            least: dict[int, int] = {}
-            for x, (d, _) in zip(label, rows_.values(), strict=True):
-                least[x] = min(d, least.get(x, d))
-            out[0].extend(rows_)
-            out[1].extend(least[x] for x in label)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["name", "component"])
+        for t in by_key(batches, "cell"):
+            near = t["near"].to_numpy(zero_copy_only=False)
+            label = linked([np.frombuffer(x.as_py(), U) for x in t["shingles"]], num, den, near)
+            yield pairs_of(list(spanning(label, t["name"].to_pylist(), near)))
 
     texts = cut(chosen.join(rows, "doc").select("family", "name", "doc", "text").mapInArrow(read, "family long, name long, doc long, shingles binary"))
-    # A family's smallest name is its leader. If all link to it, the family is one component; other families are compared within.
+    # A family's smallest name is its leader. What links to it is one component with it; the rest is compared with all of the family.
     heads = texts.where("family = name").dropDuplicates(["family"]).select("family", F.col("shingles").alias("head"))
-    followed = texts.join(heads, "family").select("family", "name", "doc", "shingles", "head").mapInArrow(follow, "family long, name long, doc long, near boolean")
-    followed = cut(followed)
-    whole = followed.groupBy("family").agg(F.bool_and("near").alias("whole"), F.min("doc").alias("component"))
-    settled = followed.select("family", "name").distinct().join(whole.where("whole").select("family", "component"), "family").select("name", "component")
-    open_ = texts.join(whole.where("not whole").select("family"), "family", "left_semi")
-    settled = settled.unionByName(open_.repartition(n_parts, "family").sortWithinPartitions("family").select("family", "name", "doc", "shingles").mapInArrow(settle, "name long, component long"))
+    followed = cut(texts.join(heads, "family").select("family", "name", "doc", "shingles", "head").mapInArrow(follow, "family long, name long, doc long, near boolean"))
+    one = followed.groupBy("family", "name").agg(F.bool_or("near").alias("near"), F.min("doc").alias("doc"))
+    whole = one.groupBy("family").agg(F.bool_and("near").alias("whole"), F.min("doc").alias("component"))
+    settled = one.select("family", "name").join(whole.where("whole").select("family", "component"), "family").select("name", "component")
+    open_ = cut(one.join(whole.where("not whole").select("family"), "family", "left_semi"))
+    sets_ = texts.dropDuplicates(["family", "name"]).select("family", "name", "shingles")
+    dealt = in_cells(open_, "family", set_block).join(sets_, ["family", "name"])
+    found = dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "name", "shingles", "near").mapInArrow(settle, "a long, b long")
+    links = found.unionByName(open_.where("near and family <> name").select(F.col("family").alias("a"), F.col("name").alias("b")))
+    groups_ = components(links).join(names.select(F.col("name").alias("node"), "doc"), "node")
+    least = groups_.groupBy("component").agg(F.min("doc").alias("least"))
+    settled = settled.unionByName(groups_.join(least, "component").select(F.col("node").alias("name"), F.col("least").alias("component")))
     all_names = names.select("name", "doc").join(settled, "name", "left").select("name", F.coalesce("component", "doc").alias("component"))
     out = sets.select("doc", "n", "name").join(all_names, "name", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))

@@ -296,6 +296,33 @@ def test_join_against_sql(spark, texts):
     assert ngram_join.drop_similar(frame(spark, [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, None)])).count() == 2
 
 
+def test_join_of_large_families_in_blocks(spark):
+    r = random.Random(21)
+    word = lambda: "w%d" % r.randrange(5000)
+    rows, chain = [(1, None), (1, ""), (None, "a b c d e f")], [word() for _ in range(60)]
+    for i in range(40):  # each links to those near it in the chain, and few to any one leader
+        chain[r.randrange(60)] = word()
+        chain[r.randrange(60)] = word()
+        rows.append((10 + i, " ".join(chain)))
+        if i % 7 == 0:
+            rows += [(10 + i, " ".join(chain)), (100 + i, " ".join(chain).upper())]
+    base = [word() for _ in range(80)]
+    for i in range(30):  # all link to any one of them
+        near = list(base)
+        near[r.randrange(80)] = word()
+        rows.append((200 + i, " ".join(near)))
+    unique = list({i: (i, t) for i, t in rows if i}.values())
+    want = oracle(OP5_SQL, documents=documents(unique))
+    for block in (1, 2, 7, 1000):
+        assert rows_of(ngram_join.similarity_components(frame(spark, unique), block=block, set_block=block)) == want
+    twice = ngram_join.similarity_components(frame(spark, rows)).collect()
+    by_id = {}
+    for x in twice:
+        by_id.setdefault(x.doc_id, set()).add((x.n_shingles, x.component_id))
+    assert len(twice) == len(rows) and all(len(v) == 1 for v in by_id.values())
+    assert {tuple(sorted([("doc_id", str(i)), ("n_shingles", str(n)), ("component_id", str(c))])) for i, v in by_id.items() if i for n, c in v} == set(want)
+
+
 def test_signature_tree_loses_nothing():
     r = np.random.default_rng(5)
     sets = []
