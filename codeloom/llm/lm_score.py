@@ -14,7 +14,7 @@ The baseline's counts are taken over all training texts: each task
 adds up its words, sums meet by word hash, words with at least N / ``frequent`` occurrences (there are at most ``frequent``) are
 sent to every task, and the others are looked up where their counts are.
 
-A null or empty text has the end as its only token. Repeated rows (same id and text) get equal scores. Rows without an id are
+A null or empty text has the end as its only token. Repeated rows (same id and text) get equal scores, up to rounding in single precision. Rows without an id are
 scored; they are not learned from. Texts of any length are scored whole. With nothing to learn from, c, N and V are 0 and the model is
 uniform. Other columns are not read.
 """
@@ -120,7 +120,7 @@ def forward(m: dict, symbols: np.ndarray) -> tuple[np.ndarray, tuple]:
     s += bias
     s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
+    s *= 1 / s.sum(-1, keepdims=True)
     o = np.matmul(s, v)
     h = np.tanh(flat @ m["prev"] + o.reshape(-1, d) @ m["out"] + m["hid"])
     return h.reshape(x.shape), (x, q, k, v, s, o)
@@ -137,28 +137,52 @@ def class_ranges(vocab: dict) -> list[tuple[int, int, int]]:
     return out
 
 
-def log_probability(m: dict, vocab: dict, ranges: list, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each target id, given hidden states (n, WIDTH)."""
-    z = h @ m["cls"]
-    z += m["bias"]
-    c = vocab["class"][target]
-    out = z[np.arange(len(z)), c].astype(np.float64)
-    # States are within -1 and 1, so weights bound the sums; if these cannot overflow, they are used as they are.
-    if float((np.abs(m["cls"]).sum(0) + m["bias"]).max()) > 60:
-        top = z.max(1, keepdims=True)
-        z -= top
-        out -= top[:, 0]
+#: Rows, and windows in scoring and in training, that are worked on at once, so that what belongs to them stays near the processor.
+ROWS, PART, TRAIN_PART = 2048, 128, 384
+
+
+def bounded(m: dict) -> bool:
+    """Whether sums cannot overflow: states are within -1 and 1, so weights bound them."""
+    most = float((np.abs(m["cls"]).sum(0) + m["bias"]).max())
+    return most < 60 and (not len(m["within"]) or float((np.abs(m["within"]).sum(1) + m["start"]).max()) < 60)
+
+
+def exponentials(z: np.ndarray, safe: bool) -> np.ndarray | float:
+    """z becomes its exponentials, less the largest of each row where these could overflow; returns what was taken off."""
+    top = 0.0
+    if not safe:
+        top = z.max(1)
+        z -= top[:, None]
     np.exp(z, out=z)
-    out -= np.log(z.sum(1))
+    return top
+
+
+def by_class(c: np.ndarray, ranges: list) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(rows, first, end) for each class of several members that rows have, with its rows of ``within``."""
     many = np.flatnonzero((c >= SINGLE) & (c < CLASSES - 1))
-    many = many[np.argsort(c[many], kind="stable")]
+    many = many[np.argsort(c[many].astype(np.uint8), kind="stable")]
     bound = np.searchsorted(c[many], np.arange(CLASSES))
     for k, lo, hi in ranges:
-        rows = many[bound[k] : bound[k + 1]]
-        if len(rows):
-            w = h[rows] @ m["within"][lo:hi].T + m["start"][lo:hi]
-            peak = w.max(1)
-            out[rows] += w[np.arange(len(rows)), vocab["place"][target[rows]]] - peak - np.log(np.exp(w - peak[:, None]).sum(1))
+        if bound[k] < bound[k + 1]:
+            yield many[bound[k] : bound[k + 1]], lo, hi
+
+
+def log_probability(m: dict, vocab: dict, ranges: list, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each target id, given hidden states (n, WIDTH)."""
+    safe, c, out = bounded(m), vocab["class"][target], np.empty(len(h))
+    for lo in range(0, len(h), ROWS):
+        z = h[lo : lo + ROWS] @ m["cls"]
+        z += m["bias"]
+        own = z[np.arange(len(z)), c[lo : lo + ROWS]]
+        top = exponentials(z, safe)
+        out[lo : lo + ROWS] = own - top - np.log(z.sum(1))
+    place = vocab["place"][target]
+    for rows, lo, hi in by_class(c, ranges):
+        w = h[rows] @ m["within"][lo:hi].T
+        w += m["start"][lo:hi]
+        own = w[np.arange(len(rows)), place[rows]]
+        top = exponentials(w, safe)
+        out[rows] += own - top - np.log(w.sum(1))
     rest = c == CLASSES - 1
     if rest.any():
         out[rest] += vocab["share"][target[rest]]
@@ -167,50 +191,67 @@ def log_probability(m: dict, vocab: dict, ranges: list, h: np.ndarray, target: n
 
 def gradients(m: dict, vocab: dict, ranges: list, symbols: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, dict]:
     """Mean loss over live places and its gradients."""
-    d, n = WIDTH, int(live.sum())
+    n, g, loss = int(live.sum()), {key: np.zeros_like(w) for key, w in m.items()}, 0.0
+    for lo in range(0, len(symbols), TRAIN_PART):
+        hi = lo + TRAIN_PART
+        loss += add_gradients(m, vocab, ranges, symbols[lo:hi], target[lo:hi], live[lo:hi], n, g)
+    return loss / n, g
+
+
+def add_gradients(m: dict, vocab: dict, ranges: list, symbols: np.ndarray, target: np.ndarray, live: np.ndarray, n: int, g: dict) -> float:
+    """Add a part's gradients, over n places in all, and return its loss."""
+    d, safe = WIDTH, bounded(m)
     h, (x, q, k, v, a, o) = forward(m, symbols)
-    g = {key: np.zeros_like(w) for key, w in m.items()}
     hl, t = h[live], target[live]
-    c = vocab["class"][t]
-    z = hl @ m["cls"] + m["bias"]
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z)
+    c, row = vocab["class"][t], np.arange(len(t))
+    p = hl @ m["cls"]
+    p += m["bias"]
+    exponentials(p, safe)
     p /= p.sum(1, keepdims=True)
-    loss = -np.log(p[np.arange(n), c] + 1e-30).sum()
-    p[np.arange(n), c] -= 1
-    p /= n
-    g["cls"], g["bias"] = hl.T @ p, p.sum(0)
+    loss = -np.log(p[row, c] + 1e-30).sum()
+    p[row, c] -= 1
+    p *= np.float32(1 / n)
+    g["cls"] += hl.T @ p
+    g["bias"] += p.sum(0)
     dh = p @ m["cls"].T
-    for cl, lo, hi in ranges:
-        rows = np.flatnonzero(c == cl)
-        if len(rows):
-            w = hl[rows] @ m["within"][lo:hi].T + m["start"][lo:hi]
-            w -= w.max(1, keepdims=True)
-            w = np.exp(w)
-            w /= w.sum(1, keepdims=True)
-            at = vocab["place"][t[rows]]
-            loss -= np.log(w[np.arange(len(rows)), at] + 1e-30).sum()
-            w[np.arange(len(rows)), at] -= 1
-            w /= n
-            g["within"][lo:hi], g["start"][lo:hi] = w.T @ hl[rows], w.sum(0)
-            dh[rows] += w @ m["within"][lo:hi]
+    place = vocab["place"][t]
+    for rows, lo, hi in by_class(c, ranges):
+        hr = hl[rows]
+        w = hr @ m["within"][lo:hi].T
+        w += m["start"][lo:hi]
+        exponentials(w, safe)
+        w /= w.sum(1, keepdims=True)
+        own = np.arange(len(rows)), place[rows]
+        loss -= np.log(w[own] + 1e-30).sum()
+        w[own] -= 1
+        w *= np.float32(1 / n)
+        g["within"][lo:hi] += w.T @ hr
+        g["start"][lo:hi] += w.sum(0)
+        dh[rows] += w @ m["within"][lo:hi]
     full = np.zeros_like(h)
     full[live] = dh
     du = (full * (1 - h * h)).reshape(-1, d)
     flat = x.reshape(-1, d)
-    g["prev"], g["out"], g["hid"] = flat.T @ du, o.reshape(-1, d).T @ du, du.sum(0)
+    g["prev"] += flat.T @ du
+    g["out"] += o.reshape(-1, d).T @ du
+    g["hid"] += du.sum(0)
     dx = du @ m["prev"].T
     do = (du @ m["out"].T).reshape(x.shape)
     dv = np.matmul(a.transpose(0, 2, 1), do)
-    da = np.matmul(do, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    g["far"] = np.bincount(DISTANCE[MASK], ds.sum(0)[MASK], WINDOW).astype(np.float32)
+    ds = np.matmul(do, v.transpose(0, 2, 1))
+    ds -= np.einsum("nij,nij->ni", ds, a)[:, :, None]
+    ds *= a
+    g["far"] += np.bincount(DISTANCE[MASK], ds.sum(0)[MASK], WINDOW).astype(np.float32)
     ds *= np.float32(d**-0.5)
     dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], -1).reshape(-1, 3 * d)
-    g["qkv"] = flat.T @ dqkv
+    g["qkv"] += flat.T @ dqkv
     dx += dqkv @ m["qkv"].T
-    np.add.at(g["embed"], symbols.reshape(-1), dx)
-    return float(loss) / n, g
+    s = symbols.reshape(-1)
+    order = np.argsort(s.astype(np.uint16), kind="stable")
+    s = s[order]
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    g["embed"][s[first]] += np.add.reduceat(dx[order], first)
+    return float(loss)
 
 
 def windows(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,7 +307,7 @@ def train(texts: list[bytes], path: str, pattern: str, steps: int = 1500, batch:
     return m, vocab
 
 
-def score_rows(m: dict, vocab: dict, ranges: list, ids: np.ndarray, bounds: np.ndarray, end: int, batch: int = 512) -> np.ndarray:
+def score_rows(m: dict, vocab: dict, ranges: list, ids: np.ndarray, bounds: np.ndarray, end: int, batch: int = 4096) -> np.ndarray:
     """log10 probability of each row."""
     out = np.zeros(len(bounds) - 1)
     source, target, live = windows(ids, bounds, end)
@@ -274,8 +315,9 @@ def score_rows(m: dict, vocab: dict, ranges: list, ids: np.ndarray, bounds: np.n
     row = np.repeat(np.arange(len(n)), 1 + np.maximum(0, -(-(n - WINDOW) // (WINDOW - OVERLAP))))
     for lo in range(0, len(source), batch):
         use = live[lo : lo + batch]
-        h, _ = forward(m, vocab["symbol"][source[lo : lo + batch]])
-        p = log_probability(m, vocab, ranges, h[use], target[lo : lo + batch][use])
+        symbols = vocab["symbol"][source[lo : lo + batch]]
+        h = np.concatenate([forward(m, symbols[k : k + PART])[0][use[k : k + PART]] for k in range(0, len(symbols), PART)])
+        p = log_probability(m, vocab, ranges, h, target[lo : lo + batch][use])
         out += np.bincount(np.repeat(row[lo : lo + batch], use.sum(1)), p, len(out))
     return out / np.log(10)
 

@@ -374,6 +374,75 @@ def test_lm_is_a_distribution():
     assert abs(np.exp(p).sum() - 1) < 1e-4
 
 
+def naive_log10(m, vocab, ids, end):
+    """Each id by itself: attention over the ids before it in its window, then the two steps of its class and its place."""
+    seq, total, w, d = [end, *ids, end], 0.0, lm_score.WINDOW, lm_score.WIDTH
+    step = w - lm_score.OVERLAP
+    for t in range(1, len(seq)):
+        number = 0 if t <= w else -(-(t - w) // step)
+        context = [m["embed"][vocab["symbol"][i]].astype(float) for i in seq[number * step : t]]
+        qkv = [x @ m["qkv"] for x in context]
+        q, k, v = qkv[-1][:d], [y[d : 2 * d] for y in qkv], [y[2 * d :] for y in qkv]
+        a = np.array([q @ y * d**-0.5 + m["far"][len(k) - 1 - j] for j, y in enumerate(k)])
+        a = np.exp(a - a.max())
+        o = sum(x * y for x, y in zip(a / a.sum(), v, strict=True))
+        h = np.tanh(context[-1] @ m["prev"] + o @ m["out"] + m["hid"])
+        z = h @ m["cls"] + m["bias"]
+        c = vocab["class"][seq[t]]
+        total += z[c] - np.log(np.exp(z).sum())
+        ranges = {k: (lo, hi) for k, lo, hi in lm_score.class_ranges(vocab)}
+        if c in ranges:
+            lo, hi = ranges[c]
+            y = m["within"][lo:hi] @ h + m["start"][lo:hi]
+            total += y[vocab["place"][seq[t]]] - np.log(np.exp(y).sum())
+        elif c == lm_score.CLASSES - 1:
+            total += vocab["share"][seq[t]]
+    return total / np.log(10)
+
+
+def test_lm_against_naive_attention():
+    r = np.random.default_rng(6)
+    count = (1e6 / np.arange(1, 6001) ** 1.1).astype(int)
+    vocab = lm_score.vocabulary(count)
+    m = lm_score.new_model(vocab)
+    m["far"] = r.normal(0, 1, lm_score.WINDOW).astype(np.float32)
+    rows = [r.integers(0, 5999, n).tolist() for n in (0, 1, 31, 32, 33, 80, 150)]
+    bounds = np.append(0, np.cumsum(list(map(len, rows))))
+    got = lm_score.score_rows(m, vocab, lm_score.class_ranges(vocab), np.array(sum(rows, []), np.int64), bounds, 5999, batch=3)
+    assert np.allclose(got, [naive_log10(m, vocab, x, 5999) for x in rows], rtol=1e-4)
+
+
+def test_lm_gradients():
+    r = np.random.default_rng(8)
+    count = (1e5 / np.arange(1, 5001)).astype(int)
+    vocab = lm_score.vocabulary(count)
+    m, ranges = lm_score.new_model(vocab), None
+    ranges = lm_score.class_ranges(vocab)
+    symbols, target, live = vocab["symbol"][r.integers(0, 5000, (3, lm_score.WINDOW))], r.integers(0, 5000, (3, lm_score.WINDOW)), r.random((3, lm_score.WINDOW)) < 0.8
+    _, g = lm_score.gradients(m, vocab, ranges, symbols, target, live)
+    for key in m:
+        wide = {k: v.astype(np.float64) for k, v in m.items()}
+        at = np.unravel_index(int(np.abs(g[key]).argmax()), g[key].shape)
+        loss = []
+        for step in (1e-4, -1e-4):
+            wide[key] = m[key].astype(np.float64)
+            wide[key][at] += step
+            loss.append(lm_score.gradients(wide, vocab, ranges, symbols, target, live)[0])
+        assert abs((loss[0] - loss[1]) / 2e-4 - g[key][at]) < 0.02 * abs(g[key][at]) + 1e-5, key
+
+
+def test_lm_beats_word_counts(spark):
+    r = random.Random(15)
+    nouns, verbs = ["n%s" % w for w in ("ora", "ile", "ast", "emu", "ulk", "ipp")], ["does", "sees", "finds", "keeps"]
+    text = lambda: " ".join(f"the {r.choice(nouns)} {r.choice(verbs)} a {r.choice(nouns)} ." for _ in range(12))
+    rows = [(i, text()) for i in range(300)]
+    learn = F.pmod(F.crc32(F.col("doc").cast("string").cast("binary")), F.lit(5)) != 1
+    got = lm_score.score(frame(spark, [*rows, rows[7], rows[7]]), learn, *bpe.default_paths(), max_docs=200).collect()
+    held = [x for x in got if zlib.crc32(str(x.doc_id).encode()) % 5 == 1]
+    assert len(held) > 30 and sum(x.score for x in held) > sum(x.base_score for x in held)
+    assert len({(x.n_tokens, x.n_known, round(x.base_score, 9), round(x.score, 3)) for x in got if x.doc_id == 7}) == 1
+
+
 def test_lm_windows_score_each_once():
     ids, bounds = np.arange(100), np.array([0, 0, 5, 60, 100])
     source, target, live = lm_score.windows(ids, bounds, 999)
