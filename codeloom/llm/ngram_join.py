@@ -252,7 +252,10 @@ def in_cells(rows: DataFrame, group: str, block: int) -> DataFrame:
     and a cell holds two blocks, not both near.
     """
     sizes = rows.groupBy(group).agg(F.count_if(~F.col("near")).alias("n_far"), F.count_if("near").alias("n_near"))
-    met = rows.join(sizes.where("n_far > 0"), group)
+    # A group's sizes are copied a few times, so that the rows of a large group go to several tasks.
+    salts = 8
+    copies = sizes.where("n_far > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")).join(copies, [group, "salt"]).drop("salt")
     far, near = (F.ceil(F.col(c) / block).cast("int") for c in ("n_far", "n_near"))
     own = lambda n: F.pmod(F.xxhash64("name"), n).cast("int")
     every = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<bigint>"))

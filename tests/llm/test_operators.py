@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import tempfile
@@ -156,6 +157,25 @@ def test_html_pages(spark, crf):
     assert html_text.extract(pages.limit(0), crf).count() == 0
 
 
+def test_html_given_pages():
+    """Thirty given pages, read by eye: title, menu and advert first, then the article, then the footer; the numbers are blocks before the article."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no given pages")
+    first = [8, 8, 8, 7, 8, 8, 8, 8, 6, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 8, 7, 8, 8, 8, 6, 8]
+    model = html_text.train(html_text.labelled_pages())
+    hit = wrong = missed = 0
+    for row, before in zip(pq.read_table(path).slice(0, 30).to_pylist(), first, strict=True):
+        blocks = html_text.leaf_blocks(row["html"])
+        said = html_text.viterbi(model, html_text.features(blocks))
+        gold = [0] * before + [1] * (len(blocks) - before - 1) + [0]
+        hit += sum(a and b for a, b in zip(said, gold))
+        wrong += sum(a > b for a, b in zip(said, gold))
+        missed += sum(a < b for a, b in zip(said, gold))
+    assert 2 * hit / (2 * hit + wrong + missed) > 0.99
+
+
 def test_html_markup():
     said = lambda p: [b.text for b in html_text.leaf_blocks(p)]
     assert said('<a title="1 < 2">x</a>') == ["x"] and said("<p title='a>b' id=z>q") == ["q"]
@@ -654,6 +674,63 @@ def test_stages_tell_rows_apart(spark):
     assert left(decontaminate.drop_contaminated(frame(spark, rows), bench)) == sorted([(0, b), (5, b + " "), (5, c), (5, c), (7, "")])
 
 
+def test_long_text(spark):
+    """One text of 20 MB beside a short one, through every operator that reads whole texts in Python."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    text = " ".join(r.choices(words, k=3_000_000))
+    rows = [(1, text), (2, "ab " * 30), (3, "ab " * 30 + "x")]
+    docs = frame(spark, rows).repartition(3)
+    path = bpe.default_paths()
+    got = {x.doc_id: x for x in bpe.round_trip_digests(docs, *path).collect()}
+    assert len(text) > 18_000_000 and got[1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert {x.doc_id: x.kept for x in exact_dedup.exact_groups(docs).collect()} == {1: True, 2: True, 3: True}
+    assert {x.doc_id: x.component_id for x in ngram_join.similarity_components(docs).collect()}[1] == 1
+    assert {x.doc_id: x.n_bytes for x in substring_dedup.repeated_spans(docs).collect()}[1] == len(text)
+    model = language.fit(spark.createDataFrame([(1, "the cat", "en")], "doc_id long, text string, lang string"))
+    assert language.predict(docs, model).count() == 3
+    assert toxicity.score(docs, toxicity.train([b"bad", b"good"], np.array([1, 0]))).count() == 3
+
+
+def test_pipeline_awkward_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, None), (None, ""), (None, long), (1, long), (1, long), (2, None), (3, "x y"), (3, "x y"), (4, "other " + long), (5, "a b")]
+    spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a b"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Null and empty texts are one; of the long texts the smallest id stays; an item of two words is found, too.
+    assert sorted((x.doc_id, x.n_tokens > 0) for x in got if x.doc_id) == [(1, True), (2, False), (3, True)] and len(got) == 3
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_chat_log_against_fold(spark):
+    r = random.Random(17)
+    events, seq = [], 0
+    for conv in range(60):
+        for _ in range(r.randint(1, 60)):
+            seq += 1
+            events.append((conv, seq, r.randrange(5), r.choice(["message", "delta", "edit", "regenerate"]), r.choice(["user", "assistant"]), "".join(r.choice("ab<[\\\n") for _ in range(r.randint(0, 4)))))
+    want = {}
+    for conv, n, message, kind, role, text in sorted(events, key=lambda e: e[:2]):
+        have = want.setdefault(conv, {}).setdefault(message, {"text": "", "again": 0})
+        have["text"] = have["text"] + text if kind == "delta" else text
+        have["role"], have["last"] = role, n
+        if kind == "regenerate":
+            have["again"] = n
+    r.shuffle(events)
+    df = spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string").repartition(5)
+    got = {x.conv_id: [(t["role"], t["text"]) for t in x.turns] for x in chat_format.read_back(chat_format.render(chat_format.fold_events(df))).collect()}
+    for conv, messages in want.items():
+        left = [m for m, x in messages.items() if x["last"] > max((y["again"] for k, y in messages.items() if k < m), default=0)]
+        assert got[conv] == [(messages[m]["role"], messages[m]["text"]) for m in sorted(left)]
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(12)
