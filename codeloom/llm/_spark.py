@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +31,41 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a column that differs for every row, and its name; written and read again, so that all who read it see the same keys."""
+    """The rows with a long column that differs for every row, and its name; all who read it see the same keys.
+
+    Rows of files are known by the number of their file and their place in it. Other rows are numbered, written and read again.
+    """
     name = "row_key"
     while name.lower() in [c.lower() for c in df.columns]:
         name = "_" + name
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        placed = None
+    if placed is not None:
+        files = [r[0] for r in placed.select("__file").distinct().collect()]  # as many as there are files
+        numbers = df.sparkSession.createDataFrame(list(enumerate(sorted(files))), "__number long, __file string")
+        keyed = placed.join(F.broadcast(numbers), "__file")
+        return keyed.select(*df.columns, (F.col("__number") * F.lit(1 << 40) + F.col("__at")).alias(name)), name
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
     return df.sparkSession.read.parquet(path), name
 
 
+def summed_counters(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of rows of packed integers (one binary column); the driver gets one vector of a fixed length."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b[0]:
+                out += np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["vector"])
+
+    row = parts.repartition(8).mapInArrow(total, "vector binary").repartition(1).mapInArrow(total, "vector binary").head()
+    return np.frombuffer(row[0], np.int64) if row else np.zeros(size, np.int64)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import Spans, U, mix, pieces, shingle_hashes, text_bytes, word_bounds
-from ._spark import by_key, components, cut, partitions, with_row_key
+from ._spark import by_key, components, cut, partitions, summed_counters, with_row_key
 
 BUCKETS = 1 << 16
 LEAF = 32
@@ -276,7 +276,7 @@ def keys_of(s: np.ndarray, frequency: np.ndarray, num: int, den: int) -> np.ndar
     return s[order[:take]]
 
 
-def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, block: int = 2000, set_block: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, block: int = 2000, set_block: int = 400, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
     block: bitmaps, and set_block: sets, of a group that one task holds at once in half a cell; a larger group is dealt out in pairs of blocks.
@@ -304,7 +304,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
 
     described = cut(rows.mapInArrow(describe, "doc long, n long, name long, bitmap binary, frequency binary"))
     sets = described.where("n is not null").select("doc", "n", "name", "bitmap")
-    frequency = corpus_frequency(described.where("frequency is not null").select("frequency"))
+    frequency = summed_counters(described.where("frequency is not null").select("frequency"), BUCKETS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -416,8 +416,10 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
     whole = one.groupBy("family").agg(F.bool_and("near").alias("whole"), F.min("doc").alias("component"))
     settled = one.select("family", "name").join(whole.where("whole").select("family", "component"), "family").select("name", "component")
     open_ = cut(one.join(whole.where("not whole").select("family"), "family", "left_semi"))
-    sets_ = texts.dropDuplicates(["family", "name"]).select("family", "name", "shingles")
-    dealt = in_cells(open_, "family", set_block).join(sets_, ["family", "name"])
+    cells = cut(in_cells(open_, "family", set_block).select("family", "name", "near", "cell"))
+    if cells.count() <= broadcast_rows:  # some 40 bytes each; then only the sets of open families are shuffled
+        cells = F.broadcast(cells)
+    dealt = texts.select("family", "name", "shingles").join(cells, ["family", "name"])
     found = dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "name", "shingles", "near").mapInArrow(settle, "a long, b long")
     links = found.unionByName(open_.where("near and family <> name").select(F.col("family").alias("a"), F.col("name").alias("b")))
     groups_ = components(links).join(names.select(F.col("name").alias("node"), "doc"), "node")
@@ -428,20 +430,6 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
-def corpus_frequency(parts: DataFrame) -> np.ndarray:
-    """The sum of the tasks' counters; the driver gets one vector of a fixed length."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for x in b[0]:
-                out += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["frequency"])
-
-    row = parts.repartition(8).mapInArrow(total, "frequency binary").repartition(1).mapInArrow(total, "frequency binary").head()
-    return np.frombuffer(row[0], np.int64) if row else np.zeros(BUCKETS, np.int64)
-
-
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs with one row of each component, the one with the smallest id (null is last); ids may be null or occur several times."""
     keyed, row = with_row_key(docs)

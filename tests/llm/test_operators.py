@@ -277,6 +277,16 @@ def test_substrings(spark, texts):
     assert substring_dedup.repeated_spans(empty(spark)).count() == 0
 
 
+def test_substrings_of_a_frequent_line(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    line = " ".join(word() for _ in range(14))
+    rows = [(i, f"{word()} {line} {word()} {word()}") for i in range(1500)]
+    rows += [(i + 5000, t) for i, t in rows[:40]]
+    got = substring_dedup.repeated_spans(frame(spark, rows).repartition(3)).collect()
+    assert sorted((x.doc_id, x.n_bytes, bytes(x.kept), len(x.spans)) for x in got) == removed(rows, 50)
+
+
 # --- 4: chat
 
 
@@ -334,7 +344,7 @@ def test_join_of_large_families_in_blocks(spark):
     unique = list({i: (i, t) for i, t in rows if i}.values())
     want = oracle(OP5_SQL, documents=documents(unique))
     for block in (1, 2, 7, 1000):
-        assert rows_of(ngram_join.similarity_components(frame(spark, unique), block=block, set_block=block)) == want
+        assert rows_of(ngram_join.similarity_components(frame(spark, unique), block=block, set_block=block, broadcast_rows=1000 * (block % 2))) == want
     twice = ngram_join.similarity_components(frame(spark, rows)).collect()
     by_id = {}
     for x in twice:
@@ -662,6 +672,18 @@ def test_language_against_brute_force(spark):
 # --- pipeline
 
 
+def test_row_keys_of_files(spark, tmp_path):
+    from codeloom.llm._spark import with_row_key
+
+    path = str(tmp_path / "a folder")
+    frame(spark, [(i % 3, "t") for i in range(100)]).repartition(5).write.parquet(path)
+    frame(spark, [(i % 3, "t") for i in range(7)]).write.parquet(path + "/part=1")
+    for df in (spark.read.parquet(path + "/*.parquet"), spark.read.parquet(path + "/*.parquet").where("doc_id > 0")):
+        keyed, key = with_row_key(df)
+        assert keyed.columns == [*df.columns, key] and keyed.select(key).distinct().count() == df.count() == keyed.count()
+        assert sorted(keyed.select(key).collect()) == sorted(keyed.repartition(3).select(key).collect())
+
+
 def test_stages_tell_rows_apart(spark):
     words = [f"w{i}" for i in range(80)]
     a, b, c = (" ".join(words[k : k + 20]) for k in (0, 20, 40))
