@@ -110,9 +110,10 @@ def page_prompts(parts: PageParts, first_files: int = 10) -> DataFrame:
 
 def page_links(sections: DataFrame) -> DataFrame:
     """(number, text): links to all pages but the page itself, in order of their numbers; a site's pages are as many as its plan has."""
-    links = cross_links(sections).select(F.col("number").alias("other"), "line")
-    pairs = sections.select("number").join(F.broadcast(links), F.col("number") != F.col("other"))
-    return in_order(pairs.withColumn("place", number_order("other")), "place", F.col("line"))
+    line = cross_links(sections).withColumn("place", number_order("number"))
+    every = line.agg(F.array_sort(F.collect_list(F.struct("place", "number", "line"))).alias("every"))  # one row
+    others = F.filter("every", lambda x: x["number"] != F.col("number"))
+    return sections.select("number").join(F.broadcast(every), F.lit(True)).select("number", F.array_join(F.transform(others, lambda x: x["line"]), "\n").alias("text"))
 
 
 def generate(pages: DataFrame, llm: Callable[[str], str] | None = None, prompt_col: str = "prompt") -> DataFrame:

@@ -38,13 +38,12 @@ def relevant_symbols(symbols: DataFrame, sections: DataFrame, limit: int = 15) -
     Symbols are at most as many as ``top_symbols`` gives, and sections as a plan has.
     """
     words = lambda c, longer: F.filter(F.split(c, r"\W+"), lambda w: F.length(w) > longer)
-    low = F.lower("text")
-    texts = sections.select("number", low.alias("low"), words(low, 2).alias("words"))
-    named = symbols.select("id", "kind_place", "ord", F.lower("name").alias("name"), words(F.lower(F.regexp_replace("name", "([A-Z])", " $1")), 3).alias("parts"))
-    occurs = F.exists("parts", lambda p: F.exists("words", lambda w: F.contains(w, p)))
-    matched = named.join(F.broadcast(texts), F.contains("low", F.col("name")) | occurs)
-    w = Window.partitionBy("number").orderBy("kind_place", "ord")
-    return matched.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).select("number", "id", F.col("k").cast("long").alias("k"))
+    named = symbols.select("kind_place", "ord", "id", F.lower("name").alias("name"), words(F.lower(F.regexp_replace("name", "([A-Z])", " $1")), 3).alias("parts"))
+    every = named.agg(F.array_sort(F.collect_list(F.struct("kind_place", "ord", "id", "name", "parts"))).alias("every"))  # one row
+    texts = sections.select("number", F.lower("text").alias("low"), words(F.lower("text"), 2).alias("words")).join(F.broadcast(every), F.lit(True))
+    occurs = lambda s: F.contains(F.col("low"), s["name"]) | F.exists(s["parts"], lambda p: F.exists("words", lambda w: F.contains(w, p)))
+    found = texts.select("number", F.posexplode(F.slice(F.filter("every", occurs), 1, limit)).alias("k", "s"))
+    return found.select("number", F.col("s.id").alias("id"), (F.col("k") + 1).cast("long").alias("k"))
 
 
 def assign_symbol_ids(sections: DataFrame, symbols: DataFrame) -> DataFrame:
