@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +74,17 @@ def swap_terms(text: bytes, other: dict[bytes, bytes]) -> bytes:
     return b" ".join(other.get(w, w) for w in words)
 
 
+def counted(sets: list[np.ndarray], labels: np.ndarray, step: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All features, in how many sets each is, and the sum of these sets' labels; some sets at a time, as they repeat each other."""
+    parts = []
+    for lo in range(0, len(sets), step):
+        some = sets[lo : lo + step]
+        own, at = np.unique(np.concatenate(some), return_inverse=True)
+        parts.append((own, np.bincount(at, minlength=len(own)), np.bincount(at, np.repeat(labels[lo : lo + step], list(map(len, some))), len(own))))
+    every, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return every, np.bincount(at, np.concatenate([p[1] for p in parts]), len(every)), np.bincount(at, np.concatenate([p[2] for p in parts]), len(every))
+
+
 def train(texts: list[bytes], labels: np.ndarray, n_features: int = 3000, weight: float = 4.0, decay: float = 1e-3, steps: int = 300) -> dict:
     """Sorted feature hashes, their weights and the bias."""
     empty = {"hashes": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -30.0}
@@ -84,10 +94,7 @@ def train(texts: list[bytes], labels: np.ndarray, n_features: int = 3000, weight
     terms = [t.encode() for g in IDENTITY_TERMS for t in g]
     other = {a.encode(): b.encode() for g in IDENTITY_TERMS for a, b in zip(g, g[1:] + g[:1], strict=True)}
     sets = distinct_features(texts)
-    every, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
-    n = np.bincount(at, minlength=len(every))
-    n1 = np.bincount(at, labels[row], len(every))
+    every, n, n1 = counted(sets, labels)
     rate = (labels.sum() + 0.5) / (len(labels) + 1)
     # A score test of each feature alone; beginnings that few texts share tell nothing.
     z = (n1 - n * rate) / np.sqrt(n * rate * (1 - rate) * (1 - n / (len(labels) + 1)) + 1e-9)
@@ -95,6 +102,7 @@ def train(texts: list[bytes], labels: np.ndarray, n_features: int = 3000, weight
     top = np.argsort(-np.abs(z), kind="stable")[:n_features]
     top = top[np.abs(z[top]) > 3]
     hashes = np.unique(np.concatenate([every[top], *distinct_features(terms)]))
+    del every, n, n1, z
 
     def matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.concatenate([np.zeros(0, U), *sets])
@@ -185,12 +193,14 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs without the rows whose score is 0.5 or more."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        data, off = text_bytes(pa.array(text, pa.string()))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = dict(model)
-        parts = [score_rows(own, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in pieces(off)]
-        return pd.Series(np.concatenate(parts) < 0.5 if parts else np.zeros(0, bool))
+        for b in batches:
+            data, off = text_bytes(b[at])
+            for lo, hi in pieces(off):
+                p = score_rows(own, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                yield b.slice(lo, hi - lo).filter(pa.array(p < 0.5))
 
-    return docs.where(clean(F.col(text_col)))
+    return docs.mapInArrow(clean, docs.schema)
