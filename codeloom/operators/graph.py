@@ -27,18 +27,21 @@ def steps(edges: DataFrame, direction: str = "outgoing", kinds: Sequence[str] |
     return walked if direction != "both" and kinds is not None and len(set(kinds)) == 1 else walked.distinct()
 
 
-def reach(pairs: DataFrame, roots: DataFrame, max_depth: int | None, allowed: DataFrame | None = None) -> DataFrame:
+def reach(pairs: DataFrame, roots: DataFrame, max_depth: int | None, allowed: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(root, id, depth): what can be reached in 1..max_depth steps (None: any number), with the least number of steps; roots themselves are left out.
 
-    allowed: ids (column id) that may be visited; others are neither returned nor passed.
+    allowed: ids (column id) that may be visited; others are neither returned nor passed. by: columns of pairs and roots, and then of the
+    result, that keep walks of several sorts apart, so that they are one loop.
     """
-    frontier = roots.select(F.col("id").alias("root"), F.col("id")).distinct()
+    key = [*by, "root", "id"]
+    frontier = roots.select(*by, F.col("id").alias("root"), F.col("id")).distinct()
+    onward = pairs.select(*by, F.col("src").alias("id"), "dst")
 
     def level(frontier: DataFrame, last: bool = False) -> DataFrame:
-        new = frontier.join(pairs, frontier["id"] == pairs["src"]).select("root", F.col("dst").alias("id")).where("root <> id")
+        new = frontier.join(onward, [*by, "id"]).select(*by, "root", F.col("dst").alias("id")).where("root <> id")
         if not last:  # what the last level finds twice falls together with the other levels
             new = new.distinct()
-        return new if allowed is None else new.join(allowed.select("id"), "id", "left_semi").select("root", "id")
+        return new if allowed is None else new.join(allowed.select("id"), "id", "left_semi").select(*key)
 
     if max_depth is not None and max_depth <= PLAIN_LEVELS:
         levels = []
@@ -48,14 +51,14 @@ def reach(pairs: DataFrame, roots: DataFrame, max_depth: int | None, allowed: Da
         out = levels[0]
         for x in levels[1:]:
             out = out.unionByName(x)
-        return out.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+        return out.groupBy(*key).agg(F.min("depth").alias("depth"))
     seen, depth = None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         new = level(frontier)
         if seen is not None:
-            new = new.join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        frontier = cut(new)
+            new = new.join(seen.select(*key), key, "left_anti")
+        frontier = cut(new.select(*key))
         if frontier.isEmpty():
             break
         marked = frontier.withColumn("depth", F.lit(depth))
@@ -85,11 +88,10 @@ def callers(g: Graph, roots: DataFrame, depth: int = 1) -> DataFrame:
 
 def type_hierarchy(g: Graph, roots: DataFrame, max_depth: int = 10) -> DataFrame:
     """(root, id, role, depth): extends chains, then implements chains, as ancestors; extends from below as descendants. Chains do not mix kinds."""
-    role = lambda df, name: df.withColumn("role", F.lit(name))
-    up = role(reach(steps(g.edges, "outgoing", ["extends"]), roots, max_depth), "extends")
-    via = role(reach(steps(g.edges, "outgoing", ["implements"]), roots, max_depth), "implements")
-    down = role(reach(steps(g.edges, "incoming", ["extends"]), roots, max_depth), "descendant")
-    return up.unionByName(via).unionByName(down).select("root", "id", "role", "depth")
+    walks = {"extends": steps(g.edges, "outgoing", ["extends"]), "implements": steps(g.edges, "outgoing", ["implements"]), "descendant": steps(g.edges, "incoming", ["extends"])}
+    tagged = [pairs.withColumn("role", F.lit(role)) for role, pairs in walks.items()]
+    starts = roots.select("id", F.explode(F.array(*map(F.lit, walks))).alias("role"))
+    return reach(tagged[0].unionByName(tagged[1]).unionByName(tagged[2]), starts, max_depth, by=["role"]).select("root", "id", "role", "depth")
 
 
 def containment_ancestors(g: Graph, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
