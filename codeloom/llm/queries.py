@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_text, language, lm_score, ngram_join, substring_dedup, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, filter_audit, html_text, language, lm_score, ngram_join, prefix_trie, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", (bucket(4, "doc_id") == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,12 +111,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_language": op10_language,
+        "op11_simhash": op11_simhash,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_chat_format": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}
 
 
 OP8_SQL = """
@@ -153,3 +168,53 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+     q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+     m AS (SELECT w.part, coalesce(q.good, 0) AS good, coalesce(q.toxic, 0) AS toxic,
+             CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), w.doc_id IS NULL AND min(w.doc_id) OVER (PARTITION BY text) IS NOT NULL) THEN 'E' ELSE '' END AS fails
+           FROM w LEFT JOIN q ON q.doc_id = w.doc_id),
+     c AS (SELECT part, fails, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+     f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+     o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+     s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x, filter_order[1:step - 1] AS before FROM o, range(1, 6) r(step)),
+     r AS (SELECT part, filter_order, step, x, n, good, toxic, contains(fails, x) AS failing, fails = x AS alone,
+             before = '' OR translate(fails, before, '') = fails AS there FROM c, s),
+     k AS (SELECT part, filter_order, step, x,
+             sum(CASE WHEN there AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN there AND failing THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN failing AND NOT there THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN there AND failing THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN there AND failing THEN n * toxic ELSE 0 END) AS toxic_lost
+           FROM r GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM k
+"""
+
+#: crc32 by its table of 256 values; a node is the list of its turns.
+OP13_SQL = r"""
+WITH RECURSIVE crc_table(i, v, s) AS (SELECT range, range, 0 FROM range(256) UNION ALL
+       SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, s + 1 FROM crc_table WHERE s < 8),
+     turns AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     crc(c, digits, v, n) AS (SELECT c, CAST(c AS VARCHAR), CAST(4294967295 AS BIGINT), 1 FROM (SELECT DISTINCT c FROM turns) UNION ALL
+       SELECT crc.c, digits, xor(crc.v >> 8, t.v), n + 1 FROM crc JOIN crc_table t ON t.s = 8 AND t.i = xor(crc.v, CAST(ascii(digits[n]) AS BIGINT)) & 255 WHERE n <= length(digits)),
+     h AS (SELECT c, CAST(xor(v, 4294967295) % 9 AS BIGINT) AS h, c - c % 5 AS base FROM crc WHERE n > length(digits)),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text[1:32], sha256(role || text)) AS k FROM turns),
+     mixed AS (SELECT h.c, 0 AS own, k, role, text FROM h JOIN placed p ON p.c = h.base AND k <= h UNION ALL SELECT h.c, 1, k, role, text FROM h JOIN placed p ON p.c = h.c AND k > h),
+     said AS (SELECT c, list({'role': role, 'text': text} ORDER BY own, k) AS seq FROM mixed GROUP BY c),
+     seqs AS (SELECT h.c, coalesce(said.seq, []) AS seq FROM h LEFT JOIN said ON said.c = h.c),
+     pre AS (SELECT c, seq[1:d] AS p, d, d = len(seq) AS ends FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM seqs)),
+     node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+                CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[d].text) END AS saves FROM pre GROUP BY p, d),
+     kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+     sub AS (SELECT n.p[1:u.d] AS p, sum(n.saves) AS saved_tokens, count(*) FILTER (k.n IS NULL) AS n_leaves
+             FROM node n LEFT JOIN kids k ON k.p = n.p, LATERAL (SELECT unnest(range(0, n.d + 1)) AS d) u GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN sub s ON s.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN node up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+"""
