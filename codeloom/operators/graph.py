@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from codeloom.checkpoints import cut
 from codeloom.schema import Graph
 
-#: Up to so many levels a traversal is one plan; beyond, each level is written and the loop ends when nothing is new.
-PLAIN_LEVELS = 3
+#: Up to so many levels a traversal takes repeated visits together at its end; beyond, what is known is left out level by level.
+FEW_LEVELS = 3
 
 
 def steps(edges: DataFrame, direction: str = "outgoing", kinds: Sequence[str] | None = None) -> DataFrame:
@@ -27,6 +27,14 @@ def steps(edges: DataFrame, direction: str = "outgoing", kinds: Sequence[str] |
     return walked if direction != "both" and kinds is not None and len(set(kinds)) == 1 else walked.distinct()
 
 
+def onward_pairs(pairs: DataFrame, by: Sequence[str], several: bool) -> DataFrame:
+    """Pairs as (by, id, dst), to be joined with a frontier; for several levels they are written once, dealt by their keys."""
+    onward = pairs.select(*by, F.col("src").alias("id"), "dst")
+    if not several:
+        return onward
+    return cut(onward.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "id"))
+
+
 def reach(pairs: DataFrame, roots: DataFrame, max_depth: int | None, allowed: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(root, id, depth): what can be reached in 1..max_depth steps (None: any number), with the least number of steps; roots themselves are left out.
 
@@ -35,7 +43,7 @@ def reach(pairs: DataFrame, roots: DataFrame, max_depth: int | None, allowed: Da
     """
     key = [*by, "root", "id"]
     frontier = roots.select(*by, F.col("id").alias("root"), F.col("id")).distinct()
-    onward = pairs.select(*by, F.col("src").alias("id"), "dst")
+    onward = onward_pairs(pairs, by, max_depth != 1)
 
     def level(frontier: DataFrame, last: bool = False) -> DataFrame:
         new = frontier.join(onward, [*by, "id"]).select(*by, "root", F.col("dst").alias("id")).where("root <> id")
@@ -43,10 +51,12 @@ def reach(pairs: DataFrame, roots: DataFrame, max_depth: int | None, allowed: Da
             new = new.distinct()
         return new if allowed is None else new.join(allowed.select("id"), "id", "left_semi").select(*key)
 
-    if max_depth is not None and max_depth <= PLAIN_LEVELS:
+    if max_depth is not None and max_depth <= FEW_LEVELS:
         levels = []
         for depth in range(1, max_depth + 1):
             frontier = level(frontier, depth == max_depth)
+            if depth < max_depth:
+                frontier = cut(frontier)
             levels.append(frontier.withColumn("depth", F.lit(depth)))
         out = levels[0]
         for x in levels[1:]:
@@ -116,11 +126,11 @@ def containment_depth(g: Graph, roots: DataFrame, cap: int = 20) -> DataFrame:
 
 
 def impact_radius(g: Graph, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """(root, id, via): callers within a distance, and direct referrers that are not among them."""
+    """(root, id, via): callers within a distance, and direct referrers that are not among them ("calls" is the smaller word)."""
     called = callers(g, roots, depth).select("root", "id", F.lit("calls").alias("via"))
     referring = g.edges.where("kind = 'references'").join(roots.select("id").distinct(), F.col("target") == F.col("id"), "left_semi")
-    referring = referring.select(F.col("target").alias("root"), F.col("source").alias("id")).where("root <> id").distinct()
-    return called.unionByName(referring.join(called, ["root", "id"], "left_anti").withColumn("via", F.lit("references")))
+    referring = referring.select(F.col("target").alias("root"), F.col("source").alias("id")).where("root <> id")
+    return called.unionByName(referring.withColumn("via", F.lit("references"))).groupBy("root", "id").agg(F.min("via").alias("via"))
 
 
 def dead_code(g: Graph) -> DataFrame:

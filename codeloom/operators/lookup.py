@@ -56,10 +56,10 @@ def children(g: Graph, parents: DataFrame) -> DataFrame:
     return contains.join(parents.select(F.col("id").alias("parent")), "parent", "left_semi").join(g.nodes.select("id"), "id", "left_semi").select("parent", "id")
 
 
-def one_of_each(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """The first row of each key in an order. As an aggregate it is combined before the shuffle, so a hot key is no hot task."""
+def one_of_each(df: DataFrame, keys: Sequence[str], order: Column, last: bool = False) -> DataFrame:
+    """The first row of each key in an order, or the last. As an aggregate it is combined before the shuffle, so a hot key is no hot task."""
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("row"))
+    best = df.groupBy(*keys).agg((F.max_by if last else F.min_by)(F.struct(*rest), order).alias("row"))
     return best.select(*keys, "row.*").select(*df.columns)
 
 
@@ -70,7 +70,7 @@ def first_edges(edges: DataFrame) -> DataFrame:
 
 def last_nodes(nodes: DataFrame) -> DataFrame:
     """One node for each id, the last that came."""
-    return one_of_each(nodes, ["id"], -F.col("ord"))
+    return one_of_each(nodes, ["id"], F.col("ord"), last=True)
 
 
 def dangling_edges(g: Graph) -> DataFrame:
@@ -89,26 +89,30 @@ def sound_edges(g: Graph) -> DataFrame:
 def replace_files(g: Graph, files: DataFrame, nodes: DataFrame, edges: DataFrame, refs: DataFrame | None = None, drop_dangling: bool = False) -> Graph:
     """Put new versions of files in place of the old ones.
 
-    What the old versions had goes, with all edges from or to their nodes; then last nodes and first edges win. With
-    ``drop_dangling`` edges without both ends are left out; otherwise they are an error.
+    What the old versions had goes, with all edges from or to their nodes; then last nodes and first edges win. g itself has one node for each id and one
+    edge for each (source, target, kind), as all graphs here, so only what is new is looked at for that: new nodes put out old ones
+    of the same id, old edges keep out new ones, and no aggregate goes over the whole graph. With ``drop_dangling`` new edges
+    without both ends are left out; otherwise they are an error. Old edges lose an end only if it is in a replaced file, and go with it.
     """
     paths = files.select(F.col("path").alias("file_path"))
     gone = g.nodes.join(paths, "file_path", "left_semi").select("id")
-    kept_nodes = g.nodes.join(paths, "file_path", "left_anti")
+    key = ["source", "target", "kind"]
+    new_nodes, new_edges = last_nodes(nodes), first_edges(edges)
+    kept_nodes = g.nodes.join(paths, "file_path", "left_anti").join(new_nodes.select("id"), "id", "left_anti")
     kept_edges = g.edges.join(gone, g.edges["source"] == gone["id"], "left_anti").join(gone, g.edges["target"] == gone["id"], "left_anti")
+    known = kept_edges.select(*key).join(new_edges.select(*key), key, "left_semi")  # as few as new edges
+    new_edges = new_edges.join(known, key, "left_anti")
     kept_files = g.files.join(files.select("path"), "path", "left_anti")
     kept_refs = None if g.refs is None else g.refs.join(paths, "file_path", "left_anti")
     if kept_refs is not None and refs is not None:
         kept_refs = kept_refs.unionByName(refs, allowMissingColumns=True)
-    out = Graph(
-        last_nodes(kept_nodes.unionByName(nodes, allowMissingColumns=True)),
-        first_edges(kept_edges.unionByName(edges, allowMissingColumns=True)),
-        kept_files.unionByName(file_records(files, nodes), allowMissingColumns=True),
-        kept_refs,
-    )
+    all_nodes = kept_nodes.unionByName(new_nodes, allowMissingColumns=True)
+    ends = Graph(all_nodes, new_edges, files)
     if drop_dangling:
-        return Graph(out.nodes, sound_edges(out), out.files, out.refs)
-    lost = dangling_edges(out).head()
-    if lost is not None:
-        raise GraphError(f"an edge has no node at one end: {lost['source']} -{lost['kind']}-> {lost['target']}")
-    return out
+        new_edges = sound_edges(ends)
+    else:
+        lost = dangling_edges(ends).head()
+        if lost is not None:
+            raise GraphError(f"an edge has no node at one end: {lost['source']} -{lost['kind']}-> {lost['target']}")
+    all_files = kept_files.unionByName(file_records(files, nodes), allowMissingColumns=True)
+    return Graph(all_nodes, kept_edges.unionByName(new_edges, allowMissingColumns=True), all_files, kept_refs)

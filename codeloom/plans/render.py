@@ -152,14 +152,13 @@ def assemble(sections: DataFrame, pages: DataFrame, title: str, description: str
 
 
 def write_site(site: DataFrame, folder: str) -> None:
-    """Write (path, content) rows as files; a site is as large as its table of contents, so the driver writes them one after another."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    for r in site.toLocalIterator():
-        with open(os.path.join(folder, os.path.basename(r["path"])), "w", encoding="utf-8") as f:
-            f.write(r["content"])
-    open(os.path.join(folder, ".nojekyll"), "w").close()
+    """Write (path, content) rows as files, by tasks; the site appears when all are written, in place of an old one."""
+    from codeloom.sources.repo import register
+
+    spark = site.sparkSession
+    register(spark)
+    marker = spark.range(1).select(F.lit(".nojekyll").alias("path"), F.lit("").alias("content"))
+    site.select("path", "content").unionByName(marker).write.format("site").mode("overwrite").save(folder)
 
 
 def read_site(spark, folder: str) -> DataFrame:

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.checkpoints import cut
+from codeloom.checkpoints import cut, shared_folder
 from codeloom.functions import text as tx
-from codeloom.operators import aggregates, graph, lookup, resolve, search
+from codeloom.operators import aggregates, graph, intervals, lookup, paths, resolve, search
 from codeloom.plans import context, pages, planner, render
-from codeloom.schema import Graph
+from codeloom.schema import Graph, edge_order, node_order
 from codeloom.sources.ignore import ignore_predicate
 from codeloom.sources.tables import STAR_SQL, star_graph
+from codeloom.streaming.search_tables import SearchTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,6 +120,57 @@ def traverse_depth3(spark, d):
     return graph.traverse(g, of_kind(g, "namespace"), 3, edge_kinds=["contains", "imports"], limit=None)
 
 
+@query("""+ WALK b(root, id, depth) AS (SELECT id, id, 0 FROM g_nodes WHERE kind = 'namespace'
+  UNION ALL SELECT b.root, e.target, b.depth + 1 FROM b JOIN g_edges e ON e.source = b.id AND e.kind IN ('contains', 'imports') WHERE b.depth < 4)
+  SELECT root, id, depth, CAST(count(*) AS VARCHAR) AS walks FROM b WHERE depth > 0 GROUP BY root, id, depth""")
+def walk_counts(spark, d):
+    """Ways from the regions through containment and imports, of up to four steps."""
+    g = star_graph(spark, d)
+    return paths.walk_counts(graph.steps(g.edges, "outgoing", ["contains", "imports"]), of_kind(g, "namespace"), 4).withColumn("walks", F.col("walks").cast("string"))
+
+
+@query("""+ s AS (SELECT o.source AS root, p.target AS id FROM g_edges o JOIN g_edges p ON p.source = o.target AND p.kind = 'calls' WHERE o.kind = 'calls' AND o.source LIKE 'o:%')
+  SELECT root, count(DISTINCT id) AS n, CAST(count(*) AS VARCHAR) AS walks FROM s GROUP BY root""")
+def supplier_walks(spark, d):
+    """From each order to suppliers through its parts: how many there are, and in how many ways."""
+    g = star_graph(spark, d)
+    walks = paths.walk_counts(graph.steps(g.edges, "outgoing", ["calls"]), of_kind(g, "method"), 2)
+    return walks.where("depth = 2").groupBy("root").agg(F.count("*").alias("n"), paths.sum_of_walks("walks").cast("string").alias("walks"))
+
+
+_DEPS = "dep AS (SELECT DISTINCT a.file_path AS a, b.file_path AS b FROM g_edges e JOIN g_nodes a ON a.id = e.source JOIN g_nodes b ON b.id = e.target WHERE e.kind = 'imports' AND a.file_path <> b.file_path)"
+
+
+@query(f"""+ {_DEPS}, WALK r(a, b) AS (SELECT a, b FROM dep UNION SELECT r.a, dep.b FROM r JOIN dep ON dep.a = r.b),
+  comp AS (SELECT x.a AS file, min(y.b) AS cycle FROM r x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a),
+  e AS (SELECT c.cycle, dep.a, dep.b FROM dep JOIN comp c ON c.file = dep.a JOIN comp k ON k.file = dep.b AND k.cycle = c.cycle),
+  w(cycle, id, d) AS (SELECT DISTINCT cycle, cycle, 0 FROM comp UNION SELECT w.cycle, e.b, w.d + 1 FROM w JOIN e ON e.cycle = w.cycle AND e.a = w.id WHERE w.d < (SELECT count(*) FROM comp)),
+  t AS (SELECT cycle, id, min(d) AS d FROM w GROUP BY cycle, id),
+  up AS (SELECT c.cycle, c.id, min(e.a) AS above FROM t c JOIN e ON e.cycle = c.cycle AND e.b = c.id JOIN t p ON p.cycle = c.cycle AND p.id = e.a AND p.d = c.d - 1 GROUP BY c.cycle, c.id),
+  p(cycle, top, path) AS (SELECT cycle, id, [id] FROM t UNION ALL SELECT p.cycle, up.above, list_prepend(up.above, p.path) FROM p JOIN up ON up.cycle = p.cycle AND up.id = p.top)
+  SELECT p.cycle, array_to_string(p.path, ' > ') AS path FROM p JOIN e ON e.cycle = p.cycle AND e.a = p.path[-1] AND e.b = p.top WHERE len(p.path) > 1""")
+def cycle_paths(spark, d):
+    found = paths.cycle_paths(graph.file_dependencies(star_graph(spark, d)))
+    return found.select("cycle", F.array_join("path", " > ").alias("path"))
+
+
+@query("""+ WALK b(root, id, depth) AS (SELECT id, id, 0 FROM g_nodes WHERE kind IN ('method', 'interface', 'class')
+  UNION ALL SELECT b.root, e.source, b.depth + 1 FROM b JOIN g_edges e ON e.target = b.id AND e.kind = 'contains')
+  SELECT root, id, depth FROM b WHERE depth > 0""")
+def interval_ancestors(spark, d):
+    g = star_graph(spark, d)
+    return intervals.ancestors(intervals.interval_labels(g), of_kind(g, "method", "interface", "class"))
+
+
+@query("""+ WALK b(root, id, depth) AS (SELECT id, id, 0 FROM g_nodes WHERE kind IN ('namespace', 'file')
+  UNION ALL SELECT b.root, e.target, b.depth + 1 FROM b JOIN g_edges e ON e.source = b.id AND e.kind = 'contains')
+  SELECT root, depth, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM b WHERE depth > 0 GROUP BY root, depth""")
+def interval_descendants(spark, d):
+    g = star_graph(spark, d)
+    below = intervals.descendants(intervals.interval_labels(g), of_kind(g, "namespace", "file"))
+    return below.groupBy("root", "depth").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 @query("""+ both_ AS (SELECT source AS a, target AS b FROM g_edges WHERE kind IN ('imports', 'contains') UNION SELECT target, source FROM g_edges WHERE kind IN ('imports', 'contains')),
   WALK b(root, id, depth) AS (SELECT id, id, 0 FROM g_nodes WHERE kind = 'file' UNION SELECT b.root, e.b, b.depth + 1 FROM b JOIN both_ e ON e.a = b.id WHERE b.depth < 2)
   SELECT root, id, min(depth) AS depth FROM b WHERE id <> root GROUP BY root, id""")
@@ -254,6 +307,53 @@ def unresolved_count(spark, d):
     return resolve.unresolved(refs, resolve.resolve_by_name(refs, g.nodes)).groupBy("reference_kind").agg(F.count("*").alias("n"))
 
 
+def line_graph(spark, d, docs: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+    """Documents as files, lines as functions called by their first word and exported if that is capitalised; each line calls its last word. Nodes are ordered by path and place."""
+    docs = (read(spark, d, "documents") if docs is None else docs).where("text is not null")
+    path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    lines = docs.select(F.col("doc_id"), path.alias("file_path"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    lines = lines.select("doc_id", "file_path", "k", F.expr("regexp_extract_all(line, '[A-Za-z]{6,}', 0)").alias("ws")).where("size(ws) > 0")
+    lines = lines.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("id"), "file_path", "k", F.lower(F.col("ws")[0]).alias("name"), F.rlike(F.col("ws")[0], F.lit("^[A-Z]")).alias("is_exported"), F.lower(F.element_at("ws", -1)).alias("last"))
+    nodes = lines.select("id", F.lit("function").alias("kind"), "name", "file_path", "is_exported", node_order("file_path", F.col("k")).alias("ord"))
+    nothing = F.lit(None).cast("array<string>")
+    refs = lines.select(F.col("id").alias("from_id"), F.concat(F.lit("it."), "last").alias("reference_name"), F.lit("calls").alias("reference_kind"), "file_path", F.col("k").alias("line"), F.lit(0).alias("col"), nothing.alias("candidates"))
+    none = spark.createDataFrame([], "source string, target string, kind string")
+    return Graph(nodes, none, lines.select(F.col("file_path").alias("path")).distinct()), refs
+
+
+_LINES = """l AS (SELECT doc_id, concat_ws('/', lang, source, doc_id || '.txt') AS file_path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM DOCS WHERE text IS NOT NULL),
+  w AS (SELECT *, regexp_extract_all(line, '[A-Za-z]{6,}') AS ws FROM l),
+  n AS (SELECT doc_id || ':' || k AS id, file_path, k, lower(ws[1]) AS name, regexp_matches(ws[1], '^[A-Z]') AS ex, lower(ws[-1]) AS asked FROM w WHERE len(ws) > 0),
+  f AS (SELECT name, file_path, arg_min(id, (NOT ex, k)) AS id, min((NOT ex, file_path, k)) AS rank FROM n GROUP BY name, file_path),
+  o AS (SELECT asked, r.file_path, arg_min(f.id, f.rank) AS target FROM (SELECT DISTINCT asked, file_path FROM n) r JOIN f ON f.name = r.asked AND f.file_path <> r.file_path GROUP BY ALL),
+  i AS (SELECT r.id, arg_min(n.id, (NOT n.ex, n.k)) AS target FROM n r JOIN n ON n.name = r.asked AND n.file_path = r.file_path AND n.id <> r.id GROUP BY ALL)"""
+
+
+_LINE_LINKS = f"""WITH {_LINES} SELECT n.id AS source, coalesce(o.target, i.target) AS target, CASE WHEN o.target IS NULL THEN 'heuristic' ELSE 'scope-resolution' END AS provenance
+  FROM n LEFT JOIN o ON o.asked = n.asked AND o.file_path = n.file_path LEFT JOIN i ON i.id = n.id WHERE coalesce(o.target, i.target) IS NOT NULL"""
+
+
+@query(_LINE_LINKS.replace("DOCS", "documents"), star=False)
+def name_resolution_by_path(spark, d):
+    g, refs = line_graph(spark, d)
+    return resolve.resolve_by_name(refs, g.nodes).select("source", "target", "provenance")
+
+
+@query(_LINE_LINKS.replace("DOCS", "(SELECT doc_id, lang, source, CASE WHEN lang = 'fr' THEN replace(text, 'e', 'a') ELSE text END AS text FROM documents WHERE coalesce(lang, '') <> 'es')"), star=False)
+def resolution_after_change(spark, d):
+    """All references are resolved, then French documents change and Spanish ones go; what that can't affect is not resolved again."""
+    docs = read(spark, d, "documents")
+    g, refs = line_graph(spark, d)
+    before = resolve.link(refs, g.nodes, g.files)
+    before = resolve.Links(cut(before.refs), cut(before.keys), cut(before.edges))
+    now = docs.where("coalesce(lang, '') <> 'es'").withColumn("text", F.when(F.col("lang") == "fr", F.replace("text", F.lit("e"), F.lit("a"))).otherwise(F.col("text")))
+    changed, _ = line_graph(spark, d, docs.where("lang in ('fr', 'es')"))
+    _, new_refs = line_graph(spark, d, now.where("lang = 'fr'"))
+    after, _ = line_graph(spark, d, now)
+    links, _ = resolve.relink(before, changed.files, g.nodes, after.nodes, after.files, new_refs)
+    return links.edges.select("source", "target", "provenance")
+
+
 SEARCH, QUESTION = "tion er, und entre", "the thing of the and"
 
 
@@ -278,6 +378,26 @@ def search_bm25(spark, d):
     return search.search_nodes(docs, SEARCH, index=search.write_index(docs))
 
 
+def bm25_sql(texts: str) -> str:
+    """The best twenty of a table t (id, ts) of word lists."""
+    n = range(len(search.query_words(SEARCH)))
+    tf = ", ".join(f"len(list_filter(ts, lambda x: starts_with(x, '{w}'))) AS tf{k}" for k, w in enumerate(search.query_words(SEARCH)))
+    df = ", ".join(f"count(*) FILTER (tf{k} > 0) AS df{k}" for k in n)
+    score = " + ".join(f"greatest(ln((n - df{k} + 0.5) / (df{k} + 0.5)), 0.000001) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / av))" for k in n)
+    return f"WITH {texts}, c AS (SELECT id, len(ts) AS dl, {tf} FROM t), s AS (SELECT count(*) AS n, avg(dl) AS av, {df} FROM c) SELECT id, round({score}, 6) AS score FROM c, s WHERE {' + '.join(f'tf{k}' for k in n)} > 0 ORDER BY score DESC, id LIMIT 20"
+
+
+@query(bm25_sql("t AS (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', source, concat_ws('/', lang, source), CASE WHEN lang = 'fr' THEN repeat(text || ' ', 2) ELSE text END)), '[\\p{L}\\p{N}]+') AS ts FROM documents WHERE coalesce(lang, '') <> 'es')"), star=False)
+def search_after_updates(spark, d):
+    """All documents are indexed, then every French one gets a text twice as long, then the Spanish ones go."""
+    docs = corpus(spark, d).withColumn("file_path", F.col("id").cast("string"))
+    tables = SearchTables(spark, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}")
+    tables.update(docs, 0)
+    tables.update(docs.where("language = 'fr'").withColumn("docstring", F.repeat(F.concat("docstring", F.lit(" ")), F.lit(2))), 1)
+    tables.update(docs.limit(0), 2, docs.where("language = 'es'").select(F.col("file_path").alias("path")))
+    return search.search_nodes(docs, SEARCH, index=tables.index())
+
+
 _ASK = "SELECT doc_id, CAST(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in QUESTION.split() if len(w) > 2) + f" + CASE WHEN contains(t, '{QUESTION}') THEN 50 ELSE 0 END AS BIGINT) AS score FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)"
 
 

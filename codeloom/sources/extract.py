@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.checkpoints import cut
-from codeloom.schema import Graph
+from codeloom.schema import Graph, edge_order, node_order
 
 _NODE = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, signature string, docstring string, visibility string, is_exported boolean, is_async boolean, is_static boolean, is_abstract boolean, decorators array<string>, content_hash string"
 _REF = "from_id string, reference_name string, reference_kind string, file_path string, language string, line int, col int, candidates array<string>"
@@ -166,27 +166,28 @@ def extract_project(files: DataFrame) -> Graph:
 
     kinds = files.sparkSession.createDataFrame([], _SCHEMA).schema
     found = cut(files.select("path", "content", "language").mapInArrow(run, _SCHEMA))
-    place = F.xxhash64("path").bitwiseAND(F.lit((1 << 40) - 1)) * F.lit(1 << 20)
 
-    def rows(name: str) -> DataFrame:
-        return found.select(place.alias("base"), F.posexplode(name).alias("k", "x")).select("x.*", (F.col("base") + F.col("k")).alias("ord"))
+    def rows(name: str, order) -> DataFrame:
+        return found.select("path", F.posexplode(name).alias("k", "x")).select("x.*", order("path", F.col("k")).alias("ord"))
 
     info = found.select("path", F.size("nodes").alias("node_count"), F.when(F.col("error").isNotNull(), F.array("error")).alias("errors"))
     keep = [c for c in files.columns if c not in ("content",)]
     return Graph(
-        rows("nodes").withColumn("updated_at", F.current_timestamp()),
-        rows("edges").withColumn("provenance", F.lit("tree-sitter")),
+        rows("nodes", node_order).withColumn("updated_at", F.current_timestamp()),
+        rows("edges", edge_order).withColumn("provenance", F.lit("tree-sitter")),
         files.select(*keep).join(info, "path").withColumn("indexed_at", F.current_timestamp()),
-        rows("refs").drop("ord"),
+        rows("refs", node_order).drop("ord"),
     )
 
 
-def extraction_summary(g: Graph, scanned: DataFrame | None = None) -> DataFrame:
-    """One row: files, nodes, edges, references, files with errors, and files of ``scanned`` (path) that were not extracted."""
+def extraction_summary(g: Graph, scanned: DataFrame | None = None, started: float | None = None) -> DataFrame:
+    """One row: files, nodes, edges, references, files with errors, files of ``scanned`` (path) that were not extracted, and milliseconds since ``started`` (time.time(), null without) when this is read."""
     f = g.files.agg(F.count("*").alias("files"), F.count_if(F.col("errors").isNotNull()).alias("errors"), F.coalesce(F.sum("node_count"), F.lit(0)).alias("nodes"))
     e, r = g.edges.agg(F.count("*").alias("edges")), g.refs.agg(F.count("*").alias("refs"))
     out = f.join(F.broadcast(e), F.lit(True)).join(F.broadcast(r), F.lit(True))  # single rows
-    if scanned is None:
-        return out.withColumn("skipped", F.lit(0).cast("long"))
-    lost = scanned.select("path").join(g.files.select("path"), "path", "left_anti").agg(F.count("*").alias("skipped"))
-    return out.join(F.broadcast(lost), F.lit(True))
+    lost = F.lit(0).cast("long").alias("skipped")
+    if scanned is not None:
+        n = scanned.select("path").join(g.files.select("path"), "path", "left_anti").agg(F.count("*").alias("skipped"))
+        out, lost = out.join(F.broadcast(n), F.lit(True)), F.col("skipped")
+    took = F.lit(None).cast("long") if started is None else F.unix_millis(F.current_timestamp()) - F.lit(int(started * 1000))
+    return out.select("files", "errors", "nodes", "edges", "refs", lost, took.alias("duration_ms"))

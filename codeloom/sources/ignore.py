@@ -65,3 +65,29 @@ def ignore_predicate(path: Column | str, patterns: Iterable[str] = (), defaults:
     plus = any_of([matches(c, p) for p in every if not p.startswith("!")])
     minus = any_of([matches(c, p[1:]) for p in every if p.startswith("!")])
     return plus & ~minus
+
+
+class IgnoreRules:
+    """The same rules for single paths, as tasks ask them while they list folders."""
+
+    def __init__(self, patterns: Iterable[str] = (), defaults: bool = True):
+        every = [*(DEFAULT_PATTERNS if defaults else ()), *patterns]
+        self.plus = [self.rule(p) for p in every if not p.startswith("!")]
+        self.minus = [self.rule(p[1:]) for p in every if p.startswith("!")]
+
+    @staticmethod
+    def rule(pattern: str) -> tuple[str | None, re.Pattern | None]:
+        """An ending, or an expression."""
+        regex = pattern_regex(pattern)
+        return (pattern.removesuffix("/")[1:], None) if regex is None else (None, re.compile(regex))
+
+    @staticmethod
+    def hit(rules: list, path: str, endings: bool = True) -> bool:
+        return any(path.endswith(end) if regex is None else regex.search(path) for end, regex in rules if endings or regex is not None)
+
+    def ignored(self, path: str) -> bool:
+        return self.hit(self.plus, path) and not self.hit(self.minus, path)
+
+    def prunable(self, folder: str) -> bool:
+        """Whether everything below a folder is ignored: a rule other than an ending is about it, and no rule with ``!`` can bring anything back."""
+        return not self.minus and self.hit(self.plus, folder, endings=False)

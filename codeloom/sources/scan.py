@@ -7,10 +7,8 @@ import subprocess
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from codeloom.functions.text import content_hash, detect_language
-from codeloom.sources.ignore import gitignore_lines, ignore_predicate
+from codeloom.sources.repo import register
 
 
 def git_files(root: str) -> list[str] | None:
@@ -26,26 +24,9 @@ def git_files(root: str) -> list[str] | None:
 def scan_project(spark: SparkSession, root: str, ignore: Iterable[str] = (), max_file_size: int = 1 << 20, use_git: bool = True) -> DataFrame:
     """(path, language, content_hash, size, modified_at, content) of files in known languages that are not ignored.
 
-    In a git work tree only tracked files count. Paths are listed and filtered first, and only the files that are left are opened;
-    the list of a project's source files is held by the driver, as git's is.
+    In a git work tree only tracked files count. Folders are listed and files read by tasks (the ``repo`` format), so no list of files passes the driver, and
+    filters on path, language and size of what this returns reach the listing.
     """
-    patterns = list(ignore)
-    try:
-        with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
-            patterns += gitignore_lines(f.read())
-    except OSError:
-        pass
-    prefix = os.path.abspath(root).rstrip("/") + "/"
-    path = F.substring_index(F.col("path"), prefix, -1)
-    tracked = git_files(root) if use_git else None
-    if tracked is not None:
-        listed = spark.createDataFrame([(p,) for p in tracked], "path string")
-    else:  # without the content column no bytes are read
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prefix).where(F.col("length") <= max_file_size).select(path.alias("path"))
-    known = listed.where(~ignore_predicate("path", patterns)).where(detect_language("path") != "unknown")
-    chosen = [prefix + r["path"] for r in known.toLocalIterator() if os.path.isfile(prefix + r["path"])]
-    if not chosen:
-        return spark.createDataFrame([], "path string, language string, content_hash string, size long, modified_at timestamp, content string")
-    raw = spark.read.format("binaryFile").load(chosen).where(F.col("length") <= max_file_size)
-    text = F.decode("content", "UTF-8")
-    return raw.select(path.alias("path"), detect_language(path).alias("language"), content_hash(text).alias("content_hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), text.alias("content"))
+    register(spark)
+    options = {"path": os.path.abspath(root), "ignore": "\n".join(ignore), "maxFileSize": str(max_file_size), "git": str(use_git).lower()}
+    return spark.read.format("repo").options(**options).load()
