@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.checkpoints import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where the session names none, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the shared folder that the session names."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def rows_of_files(df: DataFrame) -> bool:
+    """Whether the plan is one scan of files, each read once, with filters and projections: then no row of a file is there twice."""
+    todo, roots = [df._jdf.queryExecution().analyzed()], []
+    while todo:
+        plan = todo.pop()
+        kind = plan.nodeName().split(" ")[0]
+        if kind not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation", "Relation"):
+            return False
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if not children.size():
+            paths = plan.relation().location().rootPaths()
+            roots.append([paths.apply(i).toString() for i in range(paths.size())])
+    return len(roots) == 1 and len(roots[0]) == len(set(roots[0]))
 
 
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows with a long column that differs for every row, and its name; all who read it see the same keys.
 
-    Rows of files are known by the number of their file and their place in it. Other rows are numbered, written and read again.
+    Rows of a plain scan of files are known by the number of their file and their place in it. All others (after explode, sampling with
+    replacement, joins, unions and so on, where a row of a file may be there several times) are numbered, written and read again.
     """
     name = "row_key"
     while name.lower() in [c.lower() for c in df.columns]:
         name = "_" + name
     try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")) if rows_of_files(df) else None
     except AnalysisException:
         placed = None
     if placed is not None:
