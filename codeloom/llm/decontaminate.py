@@ -9,9 +9,11 @@ The masks lose no pair that counts. Those for whole windows of 13 words leave at
 three differences; items of fewer words have masks of their own length, made of pairs of blocks: of d + 2 blocks at least
 two are free of d differences. With another window or share all lengths use such blocks. Only lengths that the benchmark has are hashed.
 
-The benchmark is small beside the documents, so its hashes (about 40 bytes each) and its words (8 bytes each) are broadcast after they
-have been counted; with more than ``broadcast_rows`` hashes Spark joins by shuffle. Hits are reduced to one row for each alignment in
-the map tasks.
+The hashes of a benchmark (about 40 bytes each) and its words (8 bytes each) are broadcast after they have been counted; hits are reduced to one row for
+each alignment in the map tasks. With more than ``broadcast_rows`` hashes all that is shuffled by hash are short rows (row, place, hash): documents get a
+row key, alignments are reduced to distinct ones, and only then are the words of those documents and items that have any joined back. A frequent hash, as
+of an item of one common word, is dealt out over ``salts`` tasks, and Spark's adaptive joins split what is still too large. Texts are hashed
+in pieces of PIECE words, which overlap by a mask.
 
 Null and empty texts have no words, so they match nothing. A document that has an item several times, or several rows of one id, gives
 one row for each pair with its best overlap; rows with a null document id count as one document, and so do items with a null id. Empty
@@ -31,6 +33,7 @@ from ._spark import with_row_key
 #: Found by search: of all 286 ways to place three differences in 13 words, each leaves one of these intact somewhere.
 MASKS = ("111011", "11001011", "1101000101")
 WINDOW, SHARE = 13, 0.75
+PIECE = 4096
 
 
 def block_masks(length: int, differences: int) -> tuple[str, ...]:
@@ -54,23 +57,37 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def seed_hashes(words: Column, masks: tuple[str, ...], kind: int) -> Column:
-    """Hashes of all masks at all places, mask by mask, a null where a mask would end behind the words; ``kind`` keeps sets of masks apart."""
+def seed_hashes(words: Column, masks: tuple[str, ...], kind: int, places: Column | None = None) -> Column:
+    """Hashes of all masks at all places (the first ``places`` ones), mask by mask, a null where a mask would end behind the words; ``kind`` keeps sets of masks apart."""
+    places = F.size(words) if places is None else places
 
     def at(mask: str, number: int) -> Column:
         ones = [i for i, c in enumerate(mask) if c == "1"]
         seed = lambda i: F.when(i + len(mask) <= F.size(words), F.xxhash64(F.lit(1000 * kind + number), *(F.get(words, i + p) for p in ones)))
-        return F.transform(F.sequence(F.lit(0), F.size(words) - 1), seed)
+        return F.transform(F.sequence(F.lit(0), places - 1), seed)
 
     return F.when(F.size(words) > 0, F.concat(*(at(m, k) for k, m in enumerate(masks))))
 
 
+def placed_seeds(read: DataFrame, kinds: dict[int, tuple[str, ...]], keep: list[str]) -> DataFrame:
+    """(keep ..., place, seed) of all masks at all places of doc_words, worked out for PIECE places at a time."""
+    longest = max(len(m) for masks in kinds.values() for m in masks)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("doc_words") - 1, F.lit(0)), F.lit(PIECE))
+    pieces = read.select(*keep, F.explode(starts).alias("start"), "doc_words").withColumn("piece", F.slice("doc_words", F.col("start") + 1, F.lit(PIECE + longest - 1)))
+    places = F.least(F.size("piece"), F.lit(PIECE))
+    every = F.concat(*(seed_hashes(F.col("piece"), m, k, places) for k, m in kinds.items()))
+    # The outer form of posexplode: of the other one Spark makes a filter that lists the words anew for each hash.
+    hashed = pieces.withColumn("places", places).withColumn("seeds", every).select(*keep, "start", "places", F.posexplode_outer("seeds").alias("n", "seed"))
+    return hashed.select(*keep, (F.expr("n % places") + F.col("start")).alias("place"), "seed")
+
+
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
     share: float = SHARE,
     broadcast_rows: int = 1_000_000,
+    salts: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -78,9 +95,9 @@ def overlaps(
 ) -> DataFrame:
     """(id, item id, n_window: aligned places looked at, n_equal: the most equal words among them)."""
 
-    def hashed(frame: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    def hashed(frame: DataFrame, key: str, text: str, name: str, *more: str) -> DataFrame:
         # Words are compared by their hashes, which are shorter.
-        return frame.select(F.col(key).alias(name), F.transform(word_list(F.col(text)), lambda w: F.xxhash64(w)).alias(f"{name}_words"))
+        return frame.select(*more, F.col(key).alias(name), F.transform(word_list(F.col(text)), lambda w: F.xxhash64(w)).alias(f"{name}_words"))
 
     # An item row has a number of its own, as ids may be null or repeated.
     items = hashed(benchmark, item_col, item_text_col, "item").where(F.size("item_words") > 0).withColumn("row", F.xxhash64("item", "item_words"))
@@ -91,13 +108,17 @@ def overlaps(
     # The outer form of posexplode: of the other one Spark makes a filter that lists the words anew for each hash.
     seeds = items.select("row", F.size("item_words").alias("size"), F.posexplode_outer(own).alias("n", "seed")).where("seed is not null").select("row", "seed", F.expr("n % size").alias("item_at"))
     words = items.select("row", "item", "item_words").dropDuplicates(["row"])
+    shift = (F.col("place") - F.col("item_at")).alias("shift")
     if sum(r["n"] * len(kinds[r["length"]]) for r in sizes) <= broadcast_rows:
-        seeds, words = F.broadcast(seeds), F.broadcast(words)
-
-    read = hashed(docs, id_col, text_col, "doc")
-    every = F.concat(*(seed_hashes(F.col("doc_words"), m, k) for k, m in kinds.items()))
-    placed = read.withColumn("seeds", every).select("doc", "doc_words", F.posexplode_outer("seeds").alias("n", "seed"))
-    hits = placed.join(seeds, "seed").withColumn("shift", F.expr("n % size(doc_words) - item_at")).join(words, "row")
+        placed = placed_seeds(hashed(docs, id_col, text_col, "doc"), kinds, ["doc", "doc_words"])
+        hits = placed.join(F.broadcast(seeds), "seed").select("doc", "doc_words", "row", shift).join(F.broadcast(words), "row")
+    else:
+        keyed, key = with_row_key(docs)
+        read = hashed(keyed.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text", "doc", "__key")
+        narrow = placed_seeds(read, kinds, ["__key"]).where("seed is not null").withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(salts)).cast("int"))
+        spread = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = narrow.join(spread, ["seed", "salt"]).select("__key", "row", shift).distinct()
+        hits = met.join(read, "__key").join(words, "row").drop("__key")
     # Ones and zeros along the alignment; places outside the document are zeros.
     same = F.array_join(F.transform("item_words", lambda w, i: F.when((i + F.col("shift") >= 0) & (F.get("doc_words", F.greatest(i + F.col("shift"), F.lit(0))) == w), F.lit("1")).otherwise(F.lit("0"))), "")
     width = F.least(F.length("same"), F.lit(window))

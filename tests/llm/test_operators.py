@@ -546,12 +546,34 @@ def test_decontamination(spark):
     assert {(200 + 2 * k, k) for k in range(len(items))} <= found
     assert rows_of(got) == oracle(OP7_SQL, documents=documents(docs), benchmark={"item_id": [*range(len(items)), 98], "text": [*items, None]})
     assert rows_of(decontaminate.overlaps(frame(spark, docs), bench, broadcast_rows=0)) == rows_of(got)
+    assert rows_of(decontaminate.overlaps(frame(spark, [*docs, docs[0], (54, items[0]), (54, "none"), (None, items[1])]), bench, broadcast_rows=0)) == rows_of(decontaminate.overlaps(frame(spark, [*docs, (54, "none"), (None, items[1])]), bench))
     assert decontaminate.overlaps(empty(spark), bench).count() == 0 and decontaminate.overlaps(frame(spark, docs), bench.limit(0)).count() == 0
     again = frame(spark, [*docs, docs[0], (54, items[0]), (54, "none"), (None, items[1]), (None, None)])
     assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(again, bench).collect()} == found | {(None, 1)}
     assert decontaminate.drop_contaminated(frame(spark, docs), bench).count() == len(docs) - len({d for d, _ in found})
 
 
+def test_decontamination_by_shuffle(spark, monkeypatch):
+    """Words travel by row keys, never by hashes; a hot item of one word; texts in pieces of 40 words."""
+    monkeypatch.setattr(decontaminate, "PIECE", 40)
+    r = random.Random(2)
+    words = ["the", *(f"w{i}" for i in range(200))]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.choice([5, 39, 40, 41, 53, 130])))) for i in range(80)]
+    items = [(1, "the"), (2, " ".join(docs[3][1].split()[-20:])), (3, " ".join(docs[7][1].split()[30:50])), (4, "w1 w2 w3"), (5, docs[9][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = oracle(OP7_SQL, documents=documents(docs), benchmark={"item_id": [i for i, _ in items], "text": [t for _, t in items]})
+    assert rows_of(decontaminate.overlaps(frame(spark, docs), bench)) == want
+    out = decontaminate.overlaps(frame(spark, docs), bench, broadcast_rows=0)
+    assert rows_of(out) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = decontaminate.overlaps(frame(spark, docs), bench, broadcast_rows=0)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [plan[i + 1] for i, line in enumerate(plan) if "hashpartitioning(seed" in line]
+    assert len(dealt) >= 2 and not any("words" in line for line in dealt)
+
+
 # --- 8: exact dedup
 
 
@@ -684,6 +706,45 @@ def test_row_keys_of_files(spark, tmp_path):
         assert sorted(keyed.select(key).collect()) == sorted(keyed.repartition(3).select(key).collect())
 
 
+def test_row_keys_of_repeated_rows(spark, tmp_path):
+    """Rows of files that a plan has several times: copies go, and no key is there twice."""
+    from codeloom.llm._spark import with_row_key
+
+    text = " ".join(f"w{i}" for i in range(30))
+    frame(spark, [(i, f"{text} {i}") for i in range(6)]).write.parquet(str(tmp_path / "f"))
+    plain = spark.read.parquet(str(tmp_path / "f"))
+    twice = plain.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2))))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    sampled = plain.sample(withReplacement=True, fraction=3.0, seed=1)
+    for df in (twice, sampled, plain.unionByName(plain), plain.join(twice.select("doc_id", "x"), "doc_id"), spark.read.parquet(str(tmp_path / "f"), str(tmp_path / "f"))):
+        keyed, key = with_row_key(df)
+        assert keyed.select(key).distinct().count() == df.count() == keyed.count() > 6
+        assert exact_dedup.drop_copies(df).count() == df.select("doc_id").distinct().count()
+        assert ngram_join.drop_similar(df).count() == 1
+        assert decontaminate.drop_contaminated(df, bench).count() == 0
+
+
+def test_shared_folder_on_a_cluster():
+    """Without a folder that the session names, only local mode gets a temporary one."""
+    from codeloom.checkpoints import shared_folder
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
 def test_stages_tell_rows_apart(spark):
     words = [f"w{i}" for i in range(80)]
     a, b, c = (" ".join(words[k : k + 20]) for k in (0, 20, 40))
