@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.checkpoints import cut
 from codeloom.functions.text import optional, source_block
 from codeloom.operators.graph import callees, callers, type_hierarchy
 from codeloom.operators.search import SearchIndex, search_many
@@ -43,9 +44,9 @@ def relations(symbols: DataFrame, g: Graph) -> DataFrame:
     return out.unionByName(into).distinct()
 
 
-def related_files(symbols: DataFrame, g: Graph) -> DataFrame:
-    """Distinct (number, file_path) of a page's symbols and of what they are related to."""
-    r = relations(symbols, g)
+def related_files(symbols: DataFrame, g: Graph, related: DataFrame | None = None) -> DataFrame:
+    """Distinct (number, file_path) of a page's symbols and of what they are related to; related: their relations, if these are known."""
+    r = relations(symbols, g) if related is None else related
     ends = symbols.select("number", "id").unionByName(r.select("number", F.col("source").alias("id"))).unionByName(r.select("number", F.col("target").alias("id"))).distinct()
     return ends.join(g.nodes.select("id", "file_path"), "id").select("number", "file_path").distinct()
 
@@ -60,17 +61,25 @@ def page_blocks(focal: DataFrame, inside: DataFrame, nodes: DataFrame, contents:
     return named.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path").select("number", "pos", "id", source_block("content", F.col("start_line"), F.col("end_line")).alias("code"))
 
 
-def call_chains(focal: DataFrame, g: Graph, limit: int = 15) -> DataFrame:
+def nearest(found: DataFrame, keys: list[str], order: list[str], what: str, most: int, parts: int = 32) -> DataFrame:
+    """(keys ..., others): the first ``most`` values of ``what`` for each key, chosen while they are aggregated, so a key with millions of rows is no hot task."""
+    row = F.struct(*order, what)
+    some = found.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(row)), 1, most).alias("x"))
+    every = some.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, most).alias("x"))
+    return every.select(*keys, F.transform("x", lambda r: r[what]).alias("others"))
+
+
+def call_chains(focal: DataFrame, g: Graph, limit: int = 15, most: int = 1000) -> DataFrame:
     """(number, id, k, direction, path, places): who a focal function calls within three steps, itself first, and who calls it within two, itself last.
 
-    A chain lists symbols by distance; path has their names, places also their files and lines.
+    A chain lists symbols by distance, the nearest ``most`` of them; path has their names, places also their files and lines.
     """
     roots = focal.join(g.nodes.where("kind in ('method', 'function', 'class')").select("id"), "id", "left_semi")
     ids = roots.select("id").distinct()
     out = callees(g, ids, 3).withColumn("direction", F.lit("callees")).unionByName(callers(g, ids, 2).withColumn("direction", F.lit("callers")))
     label = F.concat("name", F.lit(" ("), "file_path", F.coalesce(F.concat(F.lit(":"), optional(g.nodes, "start_line")), F.lit("")), F.lit(")"))
     nodes = g.nodes.select("id", "ord", F.struct("name", label.alias("place")).alias("s"))
-    chain = out.join(nodes, "id").groupBy("root", "direction").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ord", "s"))), lambda x: x["s"]).alias("others"))
+    chain = nearest(out.join(nodes, "id"), ["root", "direction"], ["depth", "ord"], "s", most)
     met = roots.join(chain, roots["id"] == chain["root"]).join(nodes.select(F.col("id").alias("root"), "s"), "root")
     whole = F.when(F.col("direction") == "callees", F.concat(F.array("s"), "others")).otherwise(F.concat(F.reverse("others"), F.array("s")))
     w = Window.partitionBy("number").orderBy("pos", "direction")
@@ -97,10 +106,12 @@ class PageParts:
 
     def __init__(self, g: Graph, sections: DataFrame, contents: DataFrame | None = None, index: SearchIndex | None = None):
         self.g, self.sections = g, sections
-        self.focal = focal_symbols(sections, g.nodes, index)
-        self.members = members(self.focal, g)
-        self.symbols = self.focal.select("number", "id").unionByName(self.members.select("number", "id")).distinct()
-        self.relations, self.files = relations(self.symbols, g), related_files(self.symbols, g)
+        # What several parts read is worked out once.
+        self.focal = cut(focal_symbols(sections, g.nodes, index))
+        self.members = cut(members(self.focal, g))
+        self.symbols = cut(self.focal.select("number", "id").unionByName(self.members.select("number", "id")).distinct())
+        self.relations = cut(relations(self.symbols, g))
+        self.files = related_files(self.symbols, g, self.relations)
         self.chains, self.hierarchies = call_chains(self.focal, g), page_hierarchies(self.focal, g)
         self.blocks = None if contents is None else page_blocks(self.focal, self.members, g.nodes, contents)
 

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.checkpoints import cut, shared_folder
@@ -635,6 +635,35 @@ def page_context(spark, d):
     return out.withColumns({"focal": F.array_join("focal", ", "), "related_files": F.array_join("related_files", ",")})
 
 
+@query("""+ focal AS (SELECT file_path AS number, id, row_number() OVER (PARTITION BY file_path ORDER BY ord) AS pos FROM g_nodes WHERE kind = 'function'), fr AS (SELECT DISTINCT id FROM focal),
+  ce AS (SELECT 'callees' AS way, source AS a, target AS b FROM g_edges WHERE kind = 'calls' UNION ALL SELECT 'callers', target, source FROM g_edges WHERE kind = 'calls'),
+  WALK b(root, way, id, depth) AS (SELECT id, way, id, 0 FROM fr, (SELECT DISTINCT way FROM ce) UNION SELECT b.root, b.way, ce.b, b.depth + 1 FROM b JOIN ce ON ce.way = b.way AND ce.a = b.id WHERE b.depth < CASE b.way WHEN 'callees' THEN 3 ELSE 2 END),
+  m AS (SELECT root, way, id, min(depth) AS depth FROM b WHERE id <> root GROUP BY ALL),
+  ch AS (SELECT root, way, string_agg(n.name, ' > ' ORDER BY depth, n.ord) AS down_, string_agg(n.name, ' > ' ORDER BY depth DESC, n.ord DESC) AS up_ FROM m JOIN g_nodes n ON n.id = m.id GROUP BY root, way),
+  k AS (SELECT f.number, f.id, way AS direction, CASE way WHEN 'callees' THEN n.name || ' > ' || down_ ELSE up_ || ' > ' || n.name END AS path, row_number() OVER (PARTITION BY number ORDER BY pos, way) AS k
+    FROM focal f JOIN ch ON ch.root = f.id JOIN g_nodes n ON n.id = f.id) SELECT number, id, k, direction, path FROM k WHERE k <= 15""")
+def call_chains(spark, d):
+    """A page for each file, with its functions as focal symbols in their order."""
+    g = stored(star_graph(spark, d))
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("ord"))
+    focal = g.nodes.where("kind = 'function'").select(F.col("file_path").alias("number"), "id", place.alias("pos"))
+    return context.call_chains(focal, g).select("number", "id", "k", "direction", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"""+ {_FOCAL}, te AS (SELECT kind AS role, source AS a, target AS b FROM g_edges WHERE kind IN ('extends', 'implements') UNION ALL SELECT 'descendant', target, source FROM g_edges WHERE kind = 'extends'),
+  WALK b(root, role, id, depth) AS (SELECT id, role, id, 0 FROM (SELECT DISTINCT id FROM focal), (SELECT DISTINCT role FROM te) UNION SELECT b.root, b.role, te.b, b.depth + 1 FROM b JOIN te ON te.role = b.role AND te.a = b.id WHERE b.depth < 10),
+  m AS (SELECT root, role, id, min(depth) AS depth FROM b WHERE id <> root GROUP BY ALL),
+  hi AS (SELECT root, coalesce(string_agg(n.name || ' (' || n.file_path || ')', ' | ' ORDER BY role = 'implements', depth, n.ord) FILTER (role <> 'descendant'), '') AS ancestors,
+    coalesce(string_agg(n.name || ' (' || n.file_path || ')', ' | ' ORDER BY depth, n.ord) FILTER (role = 'descendant'), '') AS descendants FROM m JOIN g_nodes n ON n.id = m.id GROUP BY root),
+  k AS (SELECT f.number, f.id, ancestors, descendants, row_number() OVER (PARTITION BY number ORDER BY pos) AS k FROM focal f JOIN g_nodes n ON n.id = f.id AND n.kind IN ('class', 'interface', 'struct') JOIN hi ON hi.root = f.id)
+  SELECT * FROM k WHERE k <= 10""")
+def page_hierarchies(spark, d):
+    g = stored(star_graph(spark, d))
+    focal = cut(context.focal_symbols(cut(planner.fallback_plan(g)), g.nodes, search.write_index(g.nodes)))
+    found = context.page_hierarchies(focal, g)
+    return found.select("number", "id", "k", F.array_join("ancestors", " | ").alias("ancestors"), F.array_join("descendants", " | ").alias("descendants"))
+
+
 SITE = ("Project Documentation", "Generated from the graph.")
 
 
