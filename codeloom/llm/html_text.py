@@ -17,10 +17,10 @@ for itself; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +40,7 @@ ENDS = {
     "p": BLOCK - {"button", "label", "option"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "head": {"body"},
 }
+SECTIONS = ("article", "main", "section", "nav", "aside")
 _ENDED_BY = {tag: [t for t, by in ENDS.items() if tag in by] for tag in BLOCK}
 #: An element that opened further out than these is not closed from inside them.
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"td", "li", "div", "section", "article", "blockquote"}}
@@ -49,11 +50,44 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+class Element:
+    """An open element. ``fresh`` are the features that it has and none around it has, so a path's features are those of its elements, each once."""
+
+    __slots__ = ("tag", "parent", "fresh", "own", "label", "score")
+
+    def __init__(self, tag: str, parent: Element | None, fresh: tuple[str, ...], label: int):
+        self.tag, self.parent, self.fresh, self.label = tag, parent, fresh, label
+        self.own: str = tag if tag in BLOCK else parent.own if parent else "none"
+        self.score: tuple[float, float] | None = None
+
+    def features(self) -> list[str]:
+        """Of the whole path."""
+        out, at = [], self
+        while at:
+            out += at.fresh
+            at = at.parent
+        return out
+
+    def scored(self, weights: dict[str, tuple[float, float]]) -> tuple[float, float]:
+        """The sum of the weights of the path's features, worked out once for each element."""
+        todo, at = [], self
+        while at and at.score is None:
+            todo.append(at)
+            at = at.parent
+        e0, e1 = at.score if at else (0.0, 0.0)
+        for at in reversed(todo):
+            for f in at.fresh:
+                if (w := weights.get(f)) is not None:
+                    e0, e1 = e0 + w[0], e1 + w[1]
+            at.score = (e0, e1)
+        return e0, e1
+
+
 class Block:
-    __slots__ = ("text", "linked", "path", "label")
+    __slots__ = ("text", "linked", "at", "label")
 
-    def __init__(self, text: str, linked: int, path: tuple, label: int):
-        self.text, self.linked, self.path, self.label = text, linked, path, label
+    def __init__(self, text: str, linked: int, at: Element | None, label: int):
+        self.text, self.linked, self.at, self.label = text, linked, at, label
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
@@ -61,27 +95,33 @@ def leaf_blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...], int]] = []
+    stack: list[Element] = []
     parts: list[str] = []
     linked, links = 0, 0
-    opened: Counter[str] = Counter()
+    opened: dict[str, list[int]] = {}  # where in the stack each tag is
+    on_path: set[str] = set()
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, tuple(stack), stack[-1][2] if stack else 0))
+                out.append(Block(text, linked, stack[-1] if stack else None, stack[-1].label if stack else 0))
             parts, linked = [], 0
 
     def close(depth: int) -> None:
         nonlocal links
-        if any(s[0] in BLOCK for s in stack[depth:]):
+        if any(s.tag in BLOCK for s in stack[depth:]):
             flush()
-        opened.subtract(s[0] for s in stack[depth:])
-        links = opened["a"]
+        for s in stack[depth:]:
+            opened[s.tag].pop()
+            on_path.difference_update(s.fresh)
+        links = len(opened.get("a", ()))
         del stack[depth:]
 
+    def innermost(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
     at, lower = 0, None
     while True:
         m = _TOKEN.search(page, at)
@@ -97,8 +137,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if opened[tag]:
-                close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == tag))
+            if opened.get(tag):
+                close(opened[tag][-1])
             if tag in BLOCK:
                 flush()
             continue
@@ -118,16 +158,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for depth in range(len(stack) - 1, -1, -1) if any(opened[t] for t in _ENDED_BY.get(tag, ())) else ():
-                open_tag = stack[depth][0]
-                if tag in ENDS.get(open_tag, ()):
-                    close(depth)
-                    break
-                if open_tag in WALLS.get(tag, ()) or open_tag in ("article", "main", "section", "nav", "aside"):
-                    break
+            depth = innermost(_ENDED_BY[tag])
+            if depth >= 0 and depth > innermost(SECTIONS) and depth > innermost(WALLS.get(tag, ())):
+                close(depth)
         if tag in VOID or m[0].endswith("/>"):
             continue
-        words, label = [], stack[-1][2] if stack else 0
+        words, label = [], stack[-1].label if stack else 0
         if "=" in m[3]:
             for a in _ATTRIBUTE.finditer(m[3]):
                 value = a[2] or a[3] or a[4] or ""
@@ -135,26 +171,29 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     label = int(value == "1")
                 else:
                     words += [w.lower() for w in _PART.findall(value)]
-        stack.append((tag, tuple(words), label))
-        opened[tag] += 1
-        links = opened["a"]
+        own = dict.fromkeys([f"tag {tag}", *(f"word {w}" for w in words), *(f"start {w[:k]}" for w in words for k in (4, 6) if len(w) > k)])
+        fresh = tuple(f for f in own if f not in on_path)
+        on_path.update(fresh)
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(Element(tag, stack[-1] if stack else None, fresh, label))
+        links = len(opened.get("a", ()))
     flush()
     return out
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    """Names of the features that each block has."""
+    """Names of the features that each block has, of its text and of its ancestors."""
+    return [f + (b.at.features() if b.at else []) for b, f in zip(blocks, text_features(blocks), strict=True)]
+
+
+def text_features(blocks: list[Block]) -> list[list[str]]:
+    """Names of the features that are not its ancestors'."""
     out = []
     sizes = [len(b.text.split()) for b in blocks]
     long = sum(n >= 12 for n in sizes)
     for i, b in enumerate(blocks):
         n, f = sizes[i], ["any"]
-        tags = [s[0] for s in b.path]
-        f += {f"tag {t}" for t in tags}
-        f += {f"word {w}" for s in b.path for w in s[1]}
-        f += {f"start {w[:k]}" for s in b.path for w in s[1] for k in (4, 6) if len(w) > k}
-        own = next((t for t in reversed(tags) if t in BLOCK), "none")
-        f.append(f"own {own}")
+        f.append(f"own {b.at.own if b.at else 'none'}")
         f.append("size " + str(min(6, n.bit_length())))
         share = b.linked / max(1, len(b.text))
         f.append("linked " + ("none" if share == 0 else "some" if share < 0.5 else "most"))
@@ -191,8 +230,11 @@ _PARTS = {
 _ARTICLE = ("article main div section", "article content main post post-content entry entry-content article-body story story-body text body-text page-content prose main-content hentry single")
 
 
-def labelled_pages(n: int = 500, seed: int = 7) -> list[str]:
-    """Invented pages in which ``data-main`` marks the elements of the article (1) and what is not (0)."""
+def labelled_pages(n: int = 500, seed: int = 7, unknown_names: bool = False) -> list[str]:
+    """Invented pages in which ``data-main`` marks the elements of the article (1) and what is not (0).
+
+    unknown_names: class names and ids are invented words that say nothing, other ones on each page.
+    """
     r = random.Random(seed)
 
     def word() -> str:
@@ -297,7 +339,11 @@ def labelled_pages(n: int = 500, seed: int = 7) -> list[str]:
         if r.random() < 0.8:
             after.append(part("footer"))
         title = f"<title>{words(2, 9)}</title>" if r.random() < 0.9 else ""
-        pages.append(f"<!DOCTYPE html><html><head data-main=\"0\">{title}<style>p{{}}</style></head><body>{''.join(before)}{article()}{''.join(after)}</body></html>")
+        page = f"<!DOCTYPE html><html><head data-main=\"0\">{title}<style>p{{}}</style></head><body>{''.join(before)}{article()}{''.join(after)}</body></html>"
+        if unknown_names:
+            called: dict[str, str] = {}
+            page = re.sub(r'(class|id)="([^"]*)"', lambda m: f'{m[1]}="{" ".join(called.setdefault(w, "x" + word() + word()) for w in m[2].split())}"', page)
+        pages.append(page)
     return pages
 
 
@@ -364,13 +410,13 @@ def train(pages: list[str], steps: int = 150, decay: float = 0.02) -> dict:
     return {"weights": {f: (float(w[i, 0]), float(w[i, 1])) for f, i in index.items()}, "move": move.tolist()}
 
 
-def viterbi(model: dict, named: list[list[str]]) -> list[int]:
-    """The likeliest labels of a page's blocks."""
+def viterbi(model: dict, named: list[list[str]], above: list[tuple[float, float]] | None = None) -> list[int]:
+    """The likeliest labels of a page's blocks, from the names of their features; above: sums of weights that come on top of these."""
     weights, move = model["weights"], model["move"]
     s0 = s1 = 0.0
     back: list[tuple[int, int]] = []
     for t, fs in enumerate(named):
-        e0 = e1 = 0.0
+        e0, e1 = above[t] if above else (0.0, 0.0)
         for f in fs:
             if (w := weights.get(f)) is not None:
                 e0 += w[0]
@@ -392,12 +438,19 @@ def viterbi(model: dict, named: list[list[str]]) -> list[int]:
 
 def main_text(model: dict, page: str | None) -> str:
     blocks = leaf_blocks(page)
-    return "\n".join(b.text for b, y in zip(blocks, viterbi(model, features(blocks)), strict=True) if y)
+    above = [b.at.scored(model["weights"]) if b.at else (0.0, 0.0) for b in blocks]
+    return "\n".join(b.text for b, y in zip(blocks, viterbi(model, text_features(blocks), above), strict=True) if y)
+
+
+@functools.cache
+def default_model() -> dict:
+    """The model of the module's own labelled pages, trained once for each process that asks."""
+    return train(labelled_pages())
 
 
 def extract(pages: DataFrame, model: dict | None = None, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, text) of each page; without a model one is trained on the labelled pages."""
-    model = model or train(labelled_pages())
+    model = model or default_model()
     names = ["id", *(f"k{i}" for i in range(len(keep))), "html"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
