@@ -85,6 +85,21 @@ def counted(sets: list[np.ndarray], labels: np.ndarray, step: int = 500) -> tupl
     return every, np.bincount(at, np.concatenate([p[1] for p in parts]), len(every)), np.bincount(at, np.concatenate([p[2] for p in parts]), len(every))
 
 
+def objective(w: np.ndarray, b: float, x: tuple, labels: np.ndarray, share: np.ndarray, pairs_a: tuple, pairs_b: tuple, m: int, weight: float, decay: float) -> tuple[float, np.ndarray, float]:
+    """The loss and its gradient by weights and bias: cross entropy, decay, and ``weight`` times the mean squared change of the score over m swapped pairs.
+
+    x, pairs_a, pairs_b: (row, feature) of the training texts and of both sides of the pairs; share: what each text counts.
+    """
+    times = lambda at, n: np.bincount(at[0], w[at[1]], n)
+    z = np.clip(times(x, len(labels)) + b, -30, 30)
+    e = (1 / (1 + np.exp(-z)) - labels) * share
+    d = times(pairs_a, m) - times(pairs_b, m)
+    loss = float((share * (np.logaddexp(0, z) - labels * z)).sum() + decay / 2 * (w @ w) + weight / m * (d @ d))
+    gw = np.bincount(x[1], e[x[0]], len(w)) + decay * w
+    gw += 2 * weight / m * (np.bincount(pairs_a[1], d[pairs_a[0]], len(w)) - np.bincount(pairs_b[1], d[pairs_b[0]], len(w)))
+    return loss, gw, float(e.sum())
+
+
 def train(texts: list[bytes], labels: np.ndarray, n_features: int = 3000, weight: float = 4.0, decay: float = 1e-3, steps: int = 300) -> dict:
     """Sorted feature hashes, their weights and the bias."""
     empty = {"hashes": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -30.0}
@@ -111,9 +126,6 @@ def train(texts: list[bytes], labels: np.ndarray, n_features: int = 3000, weight
         hit = hashes[col] == flat
         return rows[hit], col[hit]
 
-    def times(m: tuple, w: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(m[0], w[m[1]], n)
-
     x = matrix(sets)
     swapped = [(i, s) for i, t in enumerate(texts) if (s := swap_terms(t, other)) != t]
     plain = [t for c in CARRIERS for t in (c.format(g[i]).encode() for g in IDENTITY_TERMS for i in range(len(g)))]
@@ -124,12 +136,7 @@ def train(texts: list[bytes], labels: np.ndarray, n_features: int = 3000, weight
     share = np.where(labels > 0, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))  # both labels weigh the same
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(times(x, w, len(sets)) + b, -30, 30)))
-        e = (p - labels) * share
-        d = times(pairs_a, w, m) - times(pairs_b, w, m)
-        gw = np.bincount(x[1], e[x[0]], len(w)) + decay * w
-        gw += 2 * weight / m * (np.bincount(pairs_a[1], d[pairs_a[0]], len(w)) - np.bincount(pairs_b[1], d[pairs_b[0]], len(w)))
-        gb = e.sum()
+        _, gw, gb = objective(w, b, x, labels, share, pairs_a, pairs_b, m, weight, decay)
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         k, c = 1 - 0.9**step, 1 - 0.999**step
