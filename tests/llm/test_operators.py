@@ -157,6 +157,40 @@ def test_html_pages(spark, crf):
     assert html_text.extract(pages.limit(0), crf).count() == 0
 
 
+def test_html_is_linear_in_depth(crf):
+    """Nested and unclosed elements by the thousand, with text at every level."""
+    import time
+
+    def took(page):
+        start = time.process_time()
+        html_text.main_text(crf, page)
+        return time.process_time() - start
+
+    for unit in (lambda n: "<div>x" * n, lambda n: "<i>" * n + "<p>text" * n, lambda n: "".join(f"<div class='c{k}'>x" for k in range(n)) + "</div>" * n, lambda n: "<p><button><section>" + "<b>" * n + "<div>x" * n, lambda n: "<ul><li>a" * n + "<li>b" * n):
+        assert took(unit(20_000)) < 8  # some 0.8 s on an idle machine
+    blocks = html_text.leaf_blocks("<div class='a'>" * 3 + "x<p class='a b'>y")
+    assert [sorted(f for f in x if f.startswith(("tag", "word"))) for x in html_text.features(blocks)] == [["tag div", "word a"], ["tag div", "tag p", "word a", "word b"]]
+
+
+def test_html_of_long_pages(crf):
+    """20 MB of markup: wide, and deep with text at each level; nothing of the article is lost."""
+    paragraphs = [f"Paragraph number {k} says something that is long enough to be read as prose, and ends." for k in range(60_000)]
+    page = "<html><body><nav>" + "<a href='/x'>menu</a>" * 500 + "</nav><article class='post'>" + "".join(f"<p class='x{k % 50} body'>{t} <b>bold</b> <!-- {'c' * 180} --></p>" for k, t in enumerate(paragraphs)) + "</article><footer>&copy; us</footer></body></html>"
+    assert len(page) > 18e6
+    assert html_text.main_text(crf, page).split("\n") == [t + " bold" for t in paragraphs]
+
+
+def test_html_without_known_names(crf):
+    """Class names that the training pages lack: tags and texts alone leave more blocks wrong, as a nameless box with prose may be either."""
+    wrong = total = 0
+    for p in html_text.labelled_pages(150, 99, unknown_names=True):
+        blocks = html_text.leaf_blocks(p)
+        said = html_text.viterbi(crf, html_text.features(blocks))
+        wrong += sum(a != b.label for a, b in zip(said, blocks, strict=True))
+        total += len(blocks)
+    assert wrong / total < 0.15
+
+
 def test_html_given_pages():
     """Thirty given pages, read by eye: title, menu and advert first, then the article, then the footer; the numbers are blocks before the article."""
     pq = pytest.importorskip("pyarrow.parquet")
@@ -213,6 +247,33 @@ def test_induced_sort():
             assert induced_sort.suffix_order(np.array(t, np.int64)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_induced_sort_by_recursion(monkeypatch):
+    """With next to nothing sorted by doubling, several levels of names; prefixes beyond a byte."""
+    monkeypatch.setattr(induced_sort, "FEW", 2)
+    r = random.Random(5)
+    levels = []
+    real = induced_sort.named_pieces
+    monkeypatch.setattr(induced_sort, "named_pieces", lambda *a: levels.append(len(a[0])) or real(*a))
+    unit = [r.randint(1, 3) for _ in range(700)]
+    t = (unit + [9] + unit + [8] + unit[5:]) * 2
+    want = sorted(range(len(t)), key=lambda i: t[i:])
+    shared = lambda a, b: next((k for k in range(600) if t[a + k : a + k + 1] != t[b + k : b + k + 1]), 600)
+    order, prefix = induced_sort.suffix_order_and_prefixes(np.array(t, np.uint16), 600)
+    assert order.tolist() == want and prefix.tolist() == [0, *map(shared, want[:-1], want[1:])] and max(prefix) == 600
+    assert len(levels) >= 4 and levels[1] < levels[0] / 2
+
+
+def test_substrings_of_other_lengths(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    passage = " ".join(word() for _ in range(160))
+    rows = [(i, " ".join([word() for _ in range(20)] + [passage[k : k + n] for k, n in ((0, 299), (40, 300), (90, 420))][i % 3 : i % 3 + 1] + [word() for _ in range(90)])) for i in range(24)]
+    rows += [(50, passage), (51, "x" * 1000), (52, "y" + "x" * 420)]
+    for length in (30, 300, 400):
+        got = substring_dedup.repeated_spans(frame(spark, rows), length=length)
+        assert sorted((x.doc_id, x.n_bytes, bytes(x.kept), len(x.spans)) for x in got.collect()) == removed(rows, length)
+
+
 def test_induced_sort_on_disk(tmp_path):
     t = np.random.default_rng(1).integers(0, 4, 5000)
     assert induced_sort.suffix_order(t, str(tmp_path), 100).tolist() == induced_sort.suffix_order(t).tolist()
@@ -643,6 +704,47 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0 and toxicity.drop_toxic(empty(spark), model).count() == 0
 
 
+def test_toxicity_scores_by_a_plain_sum(spark):
+    """Each word, and each beginning of 4, 5 and 6 bytes of one, that the model knows counts once."""
+    from codeloom.llm._arrays import Spans, U, mix
+
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["vile", "vilest!", "Men", "women", "sunny", "frauen", "été", "x1"]) for _ in range(25)) + (" slurred" if i % 3 == 0 else "") for i in range(60)]
+    model = toxicity.train([t.encode() for t in texts], np.array([i % 3 == 0 for i in range(60)], float))
+    weights = dict(zip(model["hashes"].tolist(), model["weights"].tolist(), strict=True))
+
+    def name(part, k=None):
+        data = np.frombuffer(part, np.uint8)
+        h = Spans(data).hash(np.array([0]), np.array([len(data)]))
+        return int((h if k is None else mix(h ^ U(k))).view(np.int64)[0])
+
+    def plain(text):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        names = {name(w) for w in words} | {name(w[:k], k) for w in words for k in (4, 5, 6) if len(w) >= k}
+        z = model["bias"] + sum(weights.get(x, 0) for x in names)
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    asked = [*texts[:15], "", None, "Slurred SLURRED", "no such words", "vilesté", "a" * 3000]
+    got = {x.doc_id: x.score for x in toxicity.score(frame(spark, list(enumerate(asked))), model).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-9 for i, t in enumerate(asked)) and got[17] > 0.5 > got[15]
+
+
+def test_toxicity_gradient():
+    """With the penalty on swapped pairs, against differences of the loss."""
+    r = np.random.default_rng(3)
+    rows = lambda n, k: (np.repeat(np.arange(n), k), r.integers(0, 9, n * k))
+    labels, m = r.integers(0, 2, 20).astype(float), 7
+    args = (rows(20, 4), labels, r.random(20) / 20, rows(m, 3), rows(m, 3), m, 4.0, 1e-3)
+    w, b = r.normal(size=9), 0.3
+    _, gw, gb = toxicity.objective(w, b, *args)
+    for i in range(9):
+        step = np.eye(9)[i] * 1e-6
+        assert abs((toxicity.objective(w + step, b, *args)[0] - toxicity.objective(w - step, b, *args)[0]) / 2e-6 - gw[i]) < 1e-6
+    assert abs((toxicity.objective(w, b + 1e-6, *args)[0] - toxicity.objective(w, b - 1e-6, *args)[0]) / 2e-6 - gb) < 1e-6
+    without = toxicity.objective(w, b, *args[:-2], 0.0, 1e-3)
+    assert np.abs(without[1] - gw).max() > 1e-3
+
+
 # --- 10: language
 
 
