@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import Spans, U, mix, pieces, text_bytes
+from ._spark import released
 
 
 class BytePairVocabulary:
@@ -417,7 +418,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([b[0].slice(lo, hi - lo), rows], names=["id", "ids"])
 
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(released(run), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -432,7 +433,7 @@ def decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_
                 yield pa.RecordBatch.from_arrays([part[0], rows], names=["id", "bytes"])
 
     frame = ids.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
-    return frame.mapInArrow(run, "id long, bytes binary").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(released(run), "id long, bytes binary").withColumnRenamed("id", id_col)
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,4 +456,4 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
                 yield pa.RecordBatch.from_arrays([b[0].slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(released(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import shared_folder, with_row_key
+from ._spark import released, shared_folder, with_row_key
 
 SPACES = b" \t\n\x0b\x0c\r"
 LARGEST = 2**63 - 1
@@ -184,13 +184,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
-    merged = read.mapInArrow(merge, "key long, content binary, count long, length long, best long, place long, ids array<long>" + (", rows array<long>" if row_col else ""))
+    merged = read.mapInArrow(released(merge), "key long, content binary, count long, length long, best long, place long, ids array<long>" + (", rows array<long>" if row_col else ""))
     path = f"{shared_folder(spark)}/entries-{uuid.uuid4().hex}"
     merged.withColumn("entry", F.monotonically_increasing_id()).write.parquet(path)
     entries = spark.read.parquet(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.select("key", "content", "entry", "count", "length", "best").repartition(n, "key").select("content", "entry", "count", "length", "best")
-    found = dealt.mapInArrow(reduce, "entry long, keep_id long, group_size long, text_sha256 string, here boolean")
+    found = dealt.mapInArrow(released(reduce), "entry long, keep_id long, group_size long, text_sha256 string, here boolean")
     met = entries.select("entry", "place", *columns).join(found, "entry").repartition(n)
     rows = met.select(F.posexplode(F.arrays_zip(*columns)).alias("at", "x"), "keep_id", "group_size", "text_sha256", "here", "place")
     kept = F.col("here") & (F.col("at") == F.col("place"))

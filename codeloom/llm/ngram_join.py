@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import Spans, U, mix, pieces, shingle_hashes, text_bytes, word_bounds
-from ._spark import by_key, components, cut, partitions, summed_counters, with_row_key
+from ._spark import by_key, components, cut, partitions, released, summed_counters, with_row_key
 
 BUCKETS = 1 << 16
 LEAF = 32
@@ -302,7 +302,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
         none = [pa.nulls(1, pa.int64())] * 3
         yield pa.RecordBatch.from_arrays([*none, pa.nulls(1, pa.binary()), pa.array([frequency.tobytes()], pa.binary())], names=["doc", "n", "name", "bitmap", "frequency"])
 
-    described = cut(rows.mapInArrow(describe, "doc long, n long, name long, bitmap binary, frequency binary"))
+    described = cut(rows.mapInArrow(released(describe), "doc long, n long, name long, bitmap binary, frequency binary"))
     sets = described.where("n is not null").select("doc", "n", "name", "bitmap")
     frequency = summed_counters(described.where("frequency is not null").select("frequency"), BUCKETS)
 
@@ -352,8 +352,8 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
             leader = packed["name"][start[f] + size[f] // 2].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(group[f]), pa.array(leader), members], names=["grp", "leader", "members"])
 
-    keys = rows.mapInArrow(emit, "part int, packed binary").repartition(n_parts, "part").select("packed")
-    groups = keys.mapInArrow(meet, "grp long, leader long, members array<long>").dropDuplicates(["grp"])
+    keys = rows.mapInArrow(released(emit), "part int, packed binary").repartition(n_parts, "part").select("packed")
+    groups = keys.mapInArrow(released(meet), "grp long, leader long, members array<long>").dropDuplicates(["grp"])
     names = sets.where("n > 0").groupBy("name").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     names = cut(names)
     members = groups.select("grp", "leader", F.explode("members").alias("name")).join(names.select("name", "n", "bitmap"), "name")
@@ -366,7 +366,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
             near = [may_match(x, y, p, q, num, den) for x, y, p, q in zip(n.tolist(), n_leader.tolist(), b[4].to_pylist(), b[6].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b[i] for i in range(5)), pa.array(near, pa.bool_())], names=["grp", "leader", "name", "n", "bitmap", "near"])
 
-    flagged = cut(led.select("grp", "leader", "name", "n", "bitmap", "leader_n", "leader_bitmap").mapInArrow(beside, "grp long, leader long, name long, n long, bitmap binary, near boolean"))
+    flagged = cut(led.select("grp", "leader", "name", "n", "bitmap", "leader_n", "leader_bitmap").mapInArrow(released(beside), "grp long, leader long, name long, n long, bitmap binary, near boolean"))
     stars = flagged.where("near and leader <> name").select(F.col("leader").alias("a"), F.col("name").alias("b"))
     members = in_cells(flagged, "grp", block)
 
@@ -384,7 +384,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
     def pairs_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    may = members.repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "name", "n", "bitmap", "near").mapInArrow(traverse, "a long, b long")
+    may = members.repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "name", "n", "bitmap", "near").mapInArrow(released(traverse), "a long, b long")
     families = cut(components(may.unionByName(stars)).select(F.col("node").alias("name"), F.col("component").alias("family")))
     chosen = families.join(names.select("name", "doc"), "name")
 
@@ -408,10 +408,10 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
             label = linked([np.frombuffer(x.as_py(), U) for x in t["shingles"]], num, den, near)
             yield pairs_of(list(spanning(label, t["name"].to_pylist(), near)))
 
-    texts = cut(chosen.join(rows, "doc").select("family", "name", "doc", "text").mapInArrow(read, "family long, name long, doc long, shingles binary"))
+    texts = cut(chosen.join(rows, "doc").select("family", "name", "doc", "text").mapInArrow(released(read), "family long, name long, doc long, shingles binary"))
     # A family's smallest name is its leader. What links to it is one component with it; the rest is compared with all of the family.
     heads = texts.where("family = name").dropDuplicates(["family"]).select("family", F.col("shingles").alias("head"))
-    followed = cut(texts.join(heads, "family").select("family", "name", "doc", "shingles", "head").mapInArrow(follow, "family long, name long, doc long, near boolean"))
+    followed = cut(texts.join(heads, "family").select("family", "name", "doc", "shingles", "head").mapInArrow(released(follow), "family long, name long, doc long, near boolean"))
     one = followed.groupBy("family", "name").agg(F.bool_or("near").alias("near"), F.min("doc").alias("doc"))
     whole = one.groupBy("family").agg(F.bool_and("near").alias("whole"), F.min("doc").alias("component"))
     settled = one.select("family", "name").join(whole.where("whole").select("family", "component"), "family").select("name", "component")
@@ -420,7 +420,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 75, den: int =
     if cells.count() <= broadcast_rows:  # some 40 bytes each; then only the sets of open families are shuffled
         cells = F.broadcast(cells)
     dealt = texts.select("family", "name", "shingles").join(cells, ["family", "name"])
-    found = dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "name", "shingles", "near").mapInArrow(settle, "a long, b long")
+    found = dealt.repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "name", "shingles", "near").mapInArrow(released(settle), "a long, b long")
     links = found.unionByName(open_.where("near and family <> name").select(F.col("family").alias("a"), F.col("name").alias("b")))
     groups_ = components(links).join(names.select(F.col("name").alias("node"), "doc"), "node")
     least = groups_.groupBy("component").agg(F.min("doc").alias("least"))

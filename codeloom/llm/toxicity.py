@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import LOWER, Spans, U, mix, pieces, text_bytes, word_bounds
+from ._spark import released
 
 #: Groups whose members can stand for each other in a sentence.
 IDENTITY_TERMS = (
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, max_row
         m = train([r[1] for r in found], np.array([r[2] for r in found], float))
         yield pa.RecordBatch.from_arrays([pa.array([m["hashes"].tobytes()]), pa.array([m["weights"].tobytes()]), pa.array([m["bias"]])], names=["hashes", "weights", "bias"])
 
-    row = rows.select("id", "text", "y").repartition(1).mapInArrow(run, "hashes binary, weights binary, bias double").head()
+    row = rows.select("id", "text", "y").repartition(1).mapInArrow(released(run), "hashes binary, weights binary, bias double").head()
     if row is None:
         return train([], np.zeros(0))
     return {"hashes": np.frombuffer(row["hashes"], np.int64), "weights": np.frombuffer(row["weights"]), "bias": row["bias"]}
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b[0].slice(lo, hi - lo), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(released(run), "id long, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -210,4 +211,4 @@ def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFram
                 p = score_rows(own, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield b.slice(lo, hi - lo).filter(pa.array(p < 0.5))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(released(clean), docs.schema)
