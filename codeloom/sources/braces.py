@@ -10,16 +10,6 @@ from codeloom.sources.extract import Extraction
 
 _HIDDEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 _CLOSE = {"{": "}", "(": ")", "[": "]"}
-# Names of types and functions that are not worth a reference.
-TS_PRIMITIVES = ("string", "number", "boolean", "void", "null", "undefined", "any", "never", "unknown", "object", "symbol", "bigint", "String", "Number", "Boolean")
-TS_BUILTINS = (
-    "console.log", "console.error", "console.warn", "console.info", "console.debug", "console.trace", "parseInt", "parseFloat", "isNaN", "isFinite", "setTimeout", "setInterval", "clearTimeout", "clearInterval",
-    "JSON.parse", "JSON.stringify", "Object.keys", "Object.values", "Object.entries", "Object.assign", "Array.isArray", "Array.from", "Promise.resolve", "Promise.reject", "Promise.all", "Promise.allSettled", "require",
-)
-CS_PRIMITIVES = (
-    "void", "int", "long", "short", "byte", "float", "double", "decimal", "bool", "char", "string", "object", "dynamic", "var",
-    "String", "Int32", "Int64", "Boolean", "Double", "Single", "Decimal", "Object", "Byte", "Char",
-)
 #: What stands before a bracket without being called.
 _NO_CALL = frozenset("if for foreach while switch catch function return typeof super import new await constructor using lock nameof sizeof default base this throw when".split())
 _STARTS = re.compile(r"\s*(?:export|import|public|private|protected|internal|static|abstract|async|readonly|const|let|var|function|class|interface|enum|type|namespace|using|@|\[|[A-Za-z_$][\w$]*\s*[(:=?;])")
@@ -100,52 +90,48 @@ class Reader:
         return at + len(head) - len(head.lstrip())
 
     def comment(self, at: int) -> str | None:
-        """The documentation comment right before a place."""
+        """The documentation comment right before a place, with its marks."""
         end = at
         while end and self.source[end - 1].isspace():
             end -= 1
         if self.source.endswith("*/", 0, end) and (k := self.source.rfind("/**", 0, end)) >= 0:
-            body = self.source[k + 3 : end - 2]
-            return " ".join(s for line in body.split("\n") if (s := line.strip().lstrip("*").strip())) or None
-        lines = []
-        while end > 0:
-            begin = self.source.rfind("\n", 0, end) + 1
-            if not (m := re.match(r"\s*///?\s?(.*)", self.source[begin:end])):
+            return self.source[k:end]
+        top = last = end
+        while last > 0:
+            begin = self.source.rfind("\n", 0, last) + 1
+            if not re.match(r"\s*//", self.source[begin:last]):
                 break
-            end = begin - 1
-            lines.append(re.sub(r"</?[a-z]+[^>]*>", "", m[1]).strip())
-        return " ".join(x for x in reversed(lines) if x) or None
+            top, last = begin, begin - 1
+        return self.source[top:end] or None
 
-    def declare(self, parent: dict, kind: str, name: str, head: str, at: int, end: int, **more) -> dict:
+    def declare(self, parent: int, kind: str, name: str, head: str, at: int, end: int, words=None, decorators: list[str] | None = None) -> int:
         first = self.begin(head, at)
-        signature = " ".join(self.source[first : at + len(head)].split())
-        return self.x.child(parent, kind, name, self.line(first), self.line(min(end, len(self.source) - 1)), self.source[first : end + 1], signature=signature, docstring=self.comment(first), **more)
+        text = self.source[first : end + 1]
+        return self.x.add(parent, kind, name, self.line(first), self.line(min(end, len(self.source) - 1)), text, self.source[first : at + len(head)], self.comment(first), sorted(words or ()) or None, decorators)
 
-    def uses(self, owner: dict, a: int, b: int, skip: tuple[str, ...]) -> None:
+    def uses(self, owner: int, a: int, b: int) -> None:
         """Calls and constructions between two places."""
         for m in re.finditer(r"\bnew\s+([A-Za-z_$][\w$.]*)", self.text[a:b]):
-            self.x.ref(owner, m[1], "instantiates", self.line(a + m.start()))
+            self.x.use(owner, m[1], "instantiates", self.line(a + m.start()))
         for m in re.finditer(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\??\.)*[A-Za-z_$][\w$]*)(?:<[\w\s,.<>\[\]]*>)?\(", self.text[a:b]):
-            name = m[1].replace("?.", ".")
-            if re.search(r"\b(?:new|function)\s+$", self.text[max(a, a + m.start() - 12) : a + m.start()]) or name in skip or name in _NO_CALL or name.split(".")[0] == "super":
-                continue
-            self.x.ref(owner, name, "calls", self.line(a + m.start()))
-
-
-def type_name(text: str) -> str | None:
-    m = re.match(r"\s*([A-Za-z_$][\w$.]*)", text)
-    return m[1] if m else None
+            if m[1] not in _NO_CALL and not re.search(r"\b(?:new|function)\s+$", self.text[max(a, a + m.start() - 12) : a + m.start()]):
+                self.x.use(owner, m[1], "calls", self.line(a + m.start()))
 
 
-def type_list(text: str) -> list[str]:
-    """Names in a list of types, generic arguments left out."""
+def parts(text: str) -> list[str]:
+    """A list of types, cut at its commas, without generic arguments."""
     flat, depth = "", 0
     for c in text:
         depth -= c == ">"
         if depth <= 0 and c != ">":
             flat += "" if c == "<" else c
         depth += c == "<"
-    return [n for part in flat.split(",") if (n := type_name(part))]
+    return flat.split(",")
+
+
+def first_name(text: str) -> str | None:
+    m = re.match(r"\s*([A-Za-z_$][\w$.]*)", text)
+    return m[1] if m else None
 
 
 def decorators(r: Reader, head: str, at: int) -> tuple[list[str] | None, str, int]:
@@ -158,18 +144,17 @@ def decorators(r: Reader, head: str, at: int) -> tuple[list[str] | None, str, in
 
 
 def extract_typescript(x: Extraction) -> None:
-    r, hidden = Reader(x), []
+    r, gone = Reader(x), []
     for m in re.finditer(r"""^[ \t]*import\s+(?:type\s+)?([^'";]*?)\s*(?:from\s*)?["']([^"'\n]+)["'];?""", x.source, re.M):
-        node = x.node("import", m[2], f"{x.path}::import({m[2]})", r.line(m.start()), r.line(m.end()), m[0], x.root, signature=m[0].strip())
+        node = x.add(x.root, "import", m[2], r.line(m.start()), r.line(m.end()), m[0], m[0].strip(), mark=f"import({m[2]})")
         if named := re.search(r"\{([^}]*)\}", m[1]):
             for part in named[1].split(","):
-                if name := type_name(re.sub(r"^\s*type\s+", "", part)):
-                    x.ref(node, name, "imports", r.line(m.start()), 0, [m[2]])
-        hidden.append((m.start(), m.end()))
-    r.hide(hidden)
+                x.use(node, part, "imports", r.line(m.start()), 0, m[2])
+        gone.append((m.start(), m.end()))
+    r.hide(gone)
     r.pair_up()
 
-    def members(owner: dict, a: int, b: int, in_interface: bool) -> None:
+    def members(owner: int, a: int, b: int, in_interface: bool) -> None:
         waiting: list[str] = []
         for head, at, body, end in statements(r, a, b):
             marks, head, at = decorators(r, head, at)
@@ -178,21 +163,19 @@ def extract_typescript(x: Extraction) -> None:
                 continue
             marks, waiting = waiting or None, []
             words = set(re.findall(r"\b(?:public|private|protected|static|async|abstract|readonly)\b", head.split("(")[0].split(":")[0]))
-            shape = {"visibility": next((w for w in ("private", "protected", "public") if w in words), None), "is_static": "static" in words, "is_async": "async" in words, "is_abstract": "abstract" in words, "decorators": marks}
             plain = re.sub(r"^\s*(?:(?:public|private|protected|static|async|abstract|readonly|override|declare|get|set)\s+)*", "", head)
             call = re.match(r"([#A-Za-z_$][\w$]*)\s*[?!]?\s*(?:<[^(]*>)?\s*\(", plain)
             prop = re.match(r"([#A-Za-z_$][\w$]*)\s*[?!]?\s*(?::\s*([^=]+))?(?:=|$)", plain.strip())
-            if call and (body >= 0 or shape["is_abstract"]) and not in_interface:
-                node = r.declare(owner, "method", call[1], head, at, end, **shape)
-                back = re.search(r"\)\s*:\s*([^{]+)$", head.strip())
-                if back and (name := type_name(back[1])) and name not in TS_PRIMITIVES:
-                    x.ref(node, name, "returns", r.line(at))
+            if call and (body >= 0 or "abstract" in words) and not in_interface:
+                node = r.declare(owner, "method", call[1], head, at, end, words, marks)
+                if back := re.search(r"\)\s*:\s*([^{]+)$", head.strip()):
+                    x.use(node, back[1], "returns", r.line(at))
                 if body >= 0:
-                    r.uses(node, body + 1, end, TS_BUILTINS)
+                    r.uses(node, body + 1, end)
             elif prop or (call and in_interface):
-                node = r.declare(owner, "property", (call or prop)[1], head, at, end, **shape)
-                if prop and not call and prop[2] and (name := type_name(prop[2])) and name not in TS_PRIMITIVES:
-                    x.ref(node, name, "type_of", r.line(at))
+                node = r.declare(owner, "property", (call or prop)[1], head, at, end, words, marks)
+                if prop and not call and prop[2]:
+                    x.use(node, prop[2], "type_of", r.line(at))
 
     waiting: list[str] = []  # decorators on lines of their own
     for head, at, body, end in statements(r, 0, len(r.text)):
@@ -202,36 +185,33 @@ def extract_typescript(x: Extraction) -> None:
             continue
         marks, waiting = waiting or None, []
         h = head.strip()
-        shape = {"is_exported": bool(re.match(r"export\b", h)), "is_abstract": bool(re.match(r"(?:export\s+)?(?:default\s+)?abstract\b", h)), "is_async": bool(re.search(r"\basync\b", h))}
+        words = {w for w, there in (("export", r"export\b"), ("abstract", r"(?:export\s+)?(?:default\s+)?abstract\b"), ("async", r"[\s\S]*\basync\b")) if re.match(there, h)}
         h = re.sub(r"^(?:(?:export|default|declare|abstract)\s+)+", "", h)
         if body >= 0 and (m := re.match(r"(class|interface)\s+([A-Za-z_$][\w$]*)(.*)", h, re.S)):
-            shape.pop("is_async")
-            node = r.declare(x.root, m[1], m[2], head, at, end, decorators=marks, **shape)
+            node = r.declare(x.root, m[1], m[2], head, at, end, words - {"async"}, marks)
             rest = re.sub(r"^\s*<(?:[^<>]|<[^<>]*>)*>", "", m[3])
             up, _, via = rest.partition("implements")
-            for name in type_list(up.partition("extends")[2]):
-                x.ref(node, name, "extends", r.line(r.begin(head, at)))
-            for name in type_list(via):
-                x.ref(node, name, "implements", r.line(r.begin(head, at)))
+            for use, listed in (("extends", up.partition("extends")[2]), ("implements", via)):
+                for part in parts(listed):
+                    x.use(node, part, use, r.line(r.begin(head, at)))
             members(node, body + 1, end, m[1] == "interface")
         elif body >= 0 and (m := re.match(r"(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)", h)):
-            node = r.declare(x.root, "enum", m[1], head, at, end, is_exported=shape["is_exported"])
+            node = r.declare(x.root, "enum", m[1], head, at, end, words & {"export"})
             for part, p, _, q in statements(r, body + 1, end, ",;"):
-                if name := type_name(part):
+                if name := first_name(part):
                     r.declare(node, "enum_member", name, part, p, q)
         elif m := re.match(r"type\s+([A-Za-z_$][\w$]*)", h):
-            r.declare(x.root, "type_alias", m[1], head, at, end, is_exported=shape["is_exported"])
+            r.declare(x.root, "type_alias", m[1], head, at, end, words & {"export"})
         elif m := re.match(r"(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", h):
-            node = r.declare(x.root, "function", m[1], head, at, end, **shape)
-            back = re.search(r"\)\s*:\s*([^{]+)$", h)
-            if back and (name := type_name(back[1])) and name not in TS_PRIMITIVES:
-                x.ref(node, name, "returns", r.line(at))
+            node = r.declare(x.root, "function", m[1], head, at, end, words)
+            if back := re.search(r"\)\s*:\s*([^{]+)$", h):
+                x.use(node, back[1], "returns", r.line(at))
             if body >= 0:
-                r.uses(node, body + 1, end, TS_BUILTINS)
+                r.uses(node, body + 1, end)
         elif m := re.match(r"(const|let|var)\s+([A-Za-z_$][\w$]*)", h):
             arrow = re.search(r"=\s*(?:async\s*)?(?:function\b|(?:<[^>]*>\s*)?(?:\([^=]*|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>)", h)
-            node = r.declare(x.root, "function" if arrow else "constant" if m[1] == "const" else "variable", m[2], head, at, end, is_exported=shape["is_exported"], is_async=shape["is_async"])
-            r.uses(node, at + head.find(m[2]) + len(m[2]), end, TS_BUILTINS)
+            node = r.declare(x.root, "function" if arrow else m[1], m[2], head, at, end, words - {"abstract"})
+            r.uses(node, at + head.find(m[2]) + len(m[2]), end)
 
 
 def extract_csharp(x: Extraction) -> None:
@@ -239,19 +219,17 @@ def extract_csharp(x: Extraction) -> None:
     r.pair_up()
     modifier = r"(?:public|private|protected|internal|static|abstract|sealed|partial|async|virtual|override|readonly|const|new|unsafe|extern|required)"
 
-    def shape(head: str) -> tuple[dict, str]:
+    def shape(head: str) -> tuple[set[str], str]:
         head = re.sub(r"^\s*(?:\[[^\]]*\]\s*)*", "", head)
         words = re.match(rf"\s*((?:{modifier}\s+)*)", head)[1].split()
-        rest = re.sub(rf"^\s*(?:{modifier}\s+)*", "", head)
-        flags = {"visibility": next((w for w in ("public", "private", "protected", "internal") if w in words), None), "is_static": "static" in words, "is_async": "async" in words, "is_abstract": "abstract" in words, "is_exported": "public" in words}
-        return flags, rest
+        return set(words), re.sub(rf"^\s*(?:{modifier}\s+)*", "", head)
 
-    def block(owner: dict, a: int, b: int, in_type: str | None) -> None:
+    def block(owner: int, a: int, b: int, in_type: str | None) -> None:
         for head, at, body, end in statements(r, a, b):
-            flags, h = shape(head)
+            words, h = shape(head)
             first = r.line(r.begin(head, at))
             if m := re.match(r"\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*$", head):
-                x.node("import", m[1], f"{x.path}::using({m[1]})", first, first, head, x.root, signature=head.strip())
+                x.add(x.root, "import", m[1], first, first, head, head.strip(), mark=f"using({m[1]})")
             elif m := re.match(r"namespace\s+([\w.]+)", h):
                 node = r.declare(owner, "namespace", m[1], head, at, end)
                 block(node, body + 1 if body >= 0 else end + 1, end if body >= 0 else b, None)
@@ -259,30 +237,25 @@ def extract_csharp(x: Extraction) -> None:
                     return  # a namespace of the whole file
             elif m := re.match(r"(class|struct|record(?:\s+(?:class|struct))?|interface)\s+(\w+)(.*)", h, re.S):
                 kind = "interface" if m[1] == "interface" else "struct" if "struct" in m[1] else "class"
-                flags.pop("is_async")
-                node = r.declare(owner, kind, m[2], head, at, end, **flags)
+                node = r.declare(owner, kind, m[2], head, at, end, words - {"async"})
                 rest = re.sub(r"^\s*<[^>]*>", "", re.sub(r"\bwhere\b.*", "", m[3], flags=re.S))
-                for name in type_list(rest.partition(":")[2]):
-                    tail = name.rpartition(".")[2]
-                    like_interface = len(tail) > 1 and tail[0] == "I" and tail[1] == tail[1].upper()
-                    x.ref(node, name, "implements" if like_interface else "extends", first)
+                for part in parts(rest.partition(":")[2]):
+                    x.use(node, part, "base", first)
                 if body >= 0:
                     block(node, body + 1, end, m[2])
             elif body >= 0 and (m := re.match(r"enum\s+(\w+)", h)):
-                node = r.declare(owner, "enum", m[1], head, at, end, visibility=flags["visibility"], is_exported=flags["is_exported"])
+                node = r.declare(owner, "enum", m[1], head, at, end, words & {"public", "private", "protected", "internal"})
                 for part, p, _, q in statements(r, body + 1, end, ",;"):
-                    if name := type_name(part):
+                    if name := first_name(part):
                         r.declare(node, "enum_member", name, part, p, q)
             elif in_type and (m := re.match(r"(?:([\w.<>\[\],?\s]+?)\s+)?(\w+)\s*(?:<[^(]*>)?\s*\(", h)) and "=" not in h.split("(")[0]:
-                node = r.declare(owner, "method", m[2], head, at, end, **flags)
-                if m[1] and (name := type_name(m[1])) and name not in CS_PRIMITIVES:
-                    x.ref(node, name, "returns", first)
-                r.uses(node, body + 1 if body >= 0 else at + len(head), end, ())
+                node = r.declare(owner, "method", m[2], head, at, end, words)
+                if m[1]:
+                    x.use(node, m[1], "returns", first)
+                r.uses(node, body + 1 if body >= 0 else at + len(head), end)
             elif in_type and body >= 0 and (m := re.match(r"([\w.<>\[\],?\s]+?)\s+(\w+)\s*$", h)):
-                flags.pop("is_async")
-                r.declare(owner, "property", m[2], head, at, end, **flags)
+                r.declare(owner, "property", m[2], head, at, end, words - {"async"})
             elif in_type and body < 0 and (m := re.match(r"([\w.<>\[\],?\s]+?)\s+(\w+)\s*(?:=|$)", h)):
-                flags.pop("is_async")
-                r.declare(owner, "property" if "=>" in h else "field", m[2], head, at, end, **flags)
+                r.declare(owner, "property" if "=>" in h else "field", m[2], head, at, end, words - {"async"})
 
     block(x.root, 0, len(r.text), None)

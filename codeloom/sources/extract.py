@@ -1,13 +1,13 @@
-"""Symbols, containment edges and references of source files, one pass of Python for all languages.
+"""Symbols, containment edges and references of source files.
 
-``register_extractor`` adds a language: a function of (source, path) that fills an ``Extraction``. Python is read by its own parser,
+Parsers run in tasks, one file at a time, and return what they see as it is written; everything that follows from it is worked out by ``symbols`` as columns.
+``register_extractor`` adds a language: a function that fills an ``Extraction``. Python is read by its own parser,
 TypeScript (and JavaScript) and C# by ``braces``, which sees declarations, not expressions.
 """
 
 from __future__ import annotations
 
 import ast
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,39 +16,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.checkpoints import cut
-from codeloom.schema import Graph, edge_order, node_order
-
-_NODE = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, signature string, docstring string, visibility string, is_exported boolean, is_async boolean, is_static boolean, is_abstract boolean, decorators array<string>, content_hash string"
-_REF = "from_id string, reference_name string, reference_kind string, file_path string, language string, line int, col int, candidates array<string>"
-_SCHEMA = f"path string, nodes array<struct<{_NODE.replace(' ', ':').replace(',:', ',')}>>, edges array<struct<source:string,target:string,kind:string>>, refs array<struct<{_REF.replace(' ', ':').replace(',:', ',')}>>, error string"
-
+from codeloom.schema import Graph
+from codeloom.sources.symbols import SCHEMA, TS_LANGUAGES, contains_rows, hidden, reference_rows, symbol_rows
 
 class Extraction:
-    """What has been found in one file so far."""
+    """What a parser has seen in one file so far: declarations and uses, as they are written (see ``symbols``)."""
 
     def __init__(self, source: str, path: str, language: str):
         self.source, self.path, self.language = source, path, language
-        self.nodes: list[dict] = []
-        self.edges: list[dict] = []
-        self.refs: list[dict] = []
-        self.root = self.node("file", path, path, 1, source.count("\n") + 1, source)
-
-    def node(self, kind: str, name: str, qualified: str, first: int, last: int, text: str, parent: dict | None = None, **more) -> dict:
-        flags = {k: bool(more.pop(k, False)) for k in ("is_exported", "is_async", "is_static", "is_abstract")}
-        n = {
-            "id": hashlib.sha256(f"{self.path}::{qualified}".encode()).hexdigest()[:16], "kind": kind, "name": name, "qualified_name": qualified, "file_path": self.path, "language": self.language,
-            "start_line": first, "end_line": last, "signature": None, "docstring": None, "visibility": None, "decorators": None, "content_hash": hashlib.sha256(text.encode()).hexdigest()[:12], **flags, **more,
-        }
-        self.nodes.append(n)
-        if parent is not None:
-            self.edges.append({"source": parent["id"], "target": n["id"], "kind": "contains"})
-        return n
+        self.spans: list[dict] = []
+        self.uses: list[dict] = []
+        self.root = self.add(None, "file", path, 1, source.count("\n") + 1, source)
 
-    def child(self, parent: dict, kind: str, name: str, first: int, last: int, text: str, **more) -> dict:
-        return self.node(kind, name, f"{parent['qualified_name']}.{name}", first, last, text, parent, **more)
+    def add(self, parent: int | None, kind: str, name: str, first: int, last: int, text: str, head: str | None = None, doc: str | None = None, words: list[str] | None = None, decorators: list[str] | None = None, mark: str | None = None) -> int:
+        """A declaration inside another one; its place is returned."""
+        above = self.spans[parent] if parent else None
+        scope = [*above["scope"], above["name"]] if above else []
+        self.spans.append({"kind": kind, "name": name, "scope": scope, "mark": mark, "first": first, "last": last, "text": text, "head": head, "doc": doc, "decorators": decorators, "words": words})
+        return len(self.spans) - 1
 
-    def ref(self, owner: dict, name: str, kind: str, line: int, col: int = 0, candidates: list[str] | None = None) -> None:
-        self.refs.append({"from_id": owner["id"], "reference_name": name, "reference_kind": kind, "file_path": self.path, "language": self.language, "line": line, "col": col, "candidates": candidates})
+    def use(self, owner: int, name: str, use: str, line: int, col: int = 0, module: str | None = None) -> None:
+        self.uses.append({"owner": owner, "name": name, "use": use, "line": line, "col": col, "module": module})
 
 
 EXTRACTORS: dict[str, Callable[[Extraction], None]] = {}
@@ -58,17 +46,6 @@ def register_extractor(language: str, extractor: Callable[[Extraction], None]) -
     EXTRACTORS[language] = extractor
 
 
-# Python names of types and functions that are not worth a reference.
-PYTHON_PRIMITIVES = (
-    "int", "float", "str", "bool", "bytes", "None", "list", "dict", "tuple", "set", "frozenset", "Any", "Optional", "Union", "List", "Dict", "Tuple", "Set",
-    "Callable", "Iterator", "Generator", "Coroutine", "type", "object",
-)
-PYTHON_BUILTINS = (
-    "print", "len", "range", "enumerate", "zip", "map", "filter", "sorted", "reversed", "isinstance", "issubclass", "hasattr", "getattr", "setattr", "delattr", "super", "property",
-    "staticmethod", "classmethod", "abstractmethod", "int", "float", "str", "bool", "list", "dict", "tuple", "set", "type", "object", "repr", "id", "hash", "input", "open",
-)
-
-
 def extract_python(x: Extraction) -> None:
     tree = ast.parse(x.source)
     lines = x.source.split("\n")
@@ -83,34 +60,34 @@ def extract_python(x: Extraction) -> None:
             return n.value
         return ast.unparse(n) if isinstance(n, ast.Name | ast.Attribute) else None
 
-    def calls(owner: dict, body: ast.AST) -> None:
+    def calls(owner: int, body: ast.AST) -> None:
         for c in ast.walk(body):
-            if isinstance(c, ast.Call) and (name := dotted(c.func)) and name not in PYTHON_BUILTINS:
-                x.ref(owner, name, "calls", c.lineno, c.col_offset)
+            if isinstance(c, ast.Call) and (name := dotted(c.func)):
+                x.use(owner, name, "calls", c.lineno, c.col_offset)
 
-    def function(n, parent: dict, in_class: bool) -> None:
+    def function(n, parent: int, in_class: bool) -> None:
         marks = [ast.unparse(d) for d in n.decorator_list]
         sig = f"{'async ' if isinstance(n, ast.AsyncFunctionDef) else ''}def {n.name}({ast.unparse(n.args)})" + (f" -> {ast.unparse(n.returns)}" if n.returns else "")
-        node = x.child(parent, "method" if in_class else "function", n.name, n.lineno, n.end_lineno, text(n), signature=sig, docstring=ast.get_docstring(n), decorators=marks or None, is_async=isinstance(n, ast.AsyncFunctionDef), is_static="staticmethod" in marks, is_abstract=any(m.endswith("abstractmethod") for m in marks))
-        if (name := dotted(n.returns)) and name not in PYTHON_PRIMITIVES:
-            x.ref(node, name, "returns", n.lineno)
+        node = x.add(parent, "method" if in_class else "function", n.name, n.lineno, n.end_lineno, text(n), sig, ast.get_docstring(n), ["async"] if isinstance(n, ast.AsyncFunctionDef) else None, marks or None)
+        if name := dotted(n.returns):
+            x.use(node, name, "returns", n.lineno)
         for s in n.body:
             calls(node, s)
 
-    def klass(n: ast.ClassDef, parent: dict) -> None:
+    def klass(n: ast.ClassDef, parent: int) -> None:
         marks = [ast.unparse(d) for d in n.decorator_list]
         abstract = any(isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef) and any(ast.unparse(d).endswith("abstractmethod") for d in s.decorator_list) for s in n.body)
-        node = x.child(parent, "class", n.name, n.lineno, n.end_lineno, text(n), docstring=ast.get_docstring(n), decorators=marks or None, is_abstract=abstract)
+        node = x.add(parent, "class", n.name, n.lineno, n.end_lineno, text(n), None, ast.get_docstring(n), ["abstract"] if abstract else None, marks or None)
         for b in n.bases:
-            if (name := dotted(b)) and name not in PYTHON_PRIMITIVES:
-                x.ref(node, name, "extends", n.lineno)
+            if name := dotted(b):
+                x.use(node, name, "extends", n.lineno)
         for s in n.body:
             if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef):
                 function(s, node, True)
             elif isinstance(s, ast.ClassDef):
                 klass(s, node)
 
-    x.root["docstring"] = ast.get_docstring(tree)
+    x.spans[x.root]["doc"] = ast.get_docstring(tree)
     for n in tree.body:
         if isinstance(n, ast.ClassDef):
             klass(n, x.root)
@@ -119,13 +96,13 @@ def extract_python(x: Extraction) -> None:
         elif isinstance(n, ast.Import | ast.ImportFrom):
             modules = [(a.name, [a.name]) for a in n.names] if isinstance(n, ast.Import) else [("." * n.level + (n.module or ""), [a.name for a in n.names])]
             for module, names in modules:
-                node = x.node("import", module, f"{x.path}::import({module})", n.lineno, n.end_lineno, text(n), x.root, signature=text(n))
+                node = x.add(x.root, "import", module, n.lineno, n.end_lineno, text(n), text(n), mark=f"import({module})")
                 for name in names:
-                    x.ref(node, name, "imports", n.lineno, n.col_offset, [module])
+                    x.use(node, name, "imports", n.lineno, n.col_offset, module)
         elif isinstance(n, ast.Assign | ast.AnnAssign):
             for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                if isinstance(t, ast.Name) and (not t.id.startswith("_") or t.id.startswith("__")):
-                    x.child(x.root, "constant" if t.id.isupper() and len(t.id) > 1 else "variable", t.id, n.lineno, n.end_lineno, text(n), signature=text(n))
+                if isinstance(t, ast.Name):
+                    x.add(x.root, "assignment", t.id, n.lineno, n.end_lineno, text(n), text(n))
         elif isinstance(n, ast.Expr):
             calls(x.root, n)
 
@@ -136,47 +113,56 @@ register_extractor("python", extract_python)
 def _braces() -> None:
     from codeloom.sources import braces
 
-    for language in ("typescript", "tsx", "javascript", "jsx"):
+    for language in TS_LANGUAGES:
         register_extractor(language, braces.extract_typescript)
     register_extractor("csharp", braces.extract_csharp)
 
 
-def extract_file(path: str, source: str, language: str) -> dict:
+def known_extractors() -> dict[str, Callable[[Extraction], None]]:
     if not EXTRACTORS.get("csharp"):
         _braces()
+    return dict(EXTRACTORS)
+
+
+def extract_file(path: str, source: str, language: str, extractors: dict[str, Callable[[Extraction], None]] | None = None) -> dict:
+    """What the language's parser sees; of a file that it can't read, the file alone and the error."""
+    extractors = known_extractors() if extractors is None else extractors
     x = Extraction(source, path, language)
     error = None
-    if language in EXTRACTORS:
+    if language in extractors:
         try:
-            EXTRACTORS[language](x)
+            extractors[language](x)
         except (SyntaxError, ValueError, RecursionError) as e:
             error = str(e)[:500]
-    return {"path": path, "nodes": x.nodes, "edges": x.edges, "refs": x.refs, "error": error}
+    return {"path": path, "language": language, "spans": x.spans, "uses": x.uses, "error": error}
 
 
-def extract_project(files: DataFrame) -> Graph:
-    """The graph of files (path, language, content); files that cannot be parsed keep their file node and an error."""
+def parsed(files: DataFrame) -> DataFrame:
+    """Declarations and uses of files (path, language, content), a row for each (SCHEMA)."""
+    extractors = known_extractors()  # tasks get those of this process
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(kinds)
         for b in batches:
-            rows = [extract_file(p, s or "", lang) for p, s, lang in zip(*(b[k].to_pylist() for k in range(3)), strict=True)]
-            for lo in range(0, len(rows), 50):
-                yield pa.RecordBatch.from_pylist(rows[lo : lo + 50], schema=schema)
+            for lo in range(0, len(b), 50):
+                rows = [extract_file(p, s or "", lang, extractors) for p, s, lang in zip(*(b[k].slice(lo, 50).to_pylist() for k in range(3)), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    kinds = files.sparkSession.createDataFrame([], _SCHEMA).schema
-    found = cut(files.select("path", "content", "language").mapInArrow(run, _SCHEMA))
+    kinds = files.sparkSession.createDataFrame([], SCHEMA).schema
+    return files.select("path", "content", "language").mapInArrow(run, SCHEMA)
 
-    def rows(name: str, order) -> DataFrame:
-        return found.select("path", F.posexplode(name).alias("k", "x")).select("x.*", order("path", F.col("k")).alias("ord"))
 
-    info = found.select("path", F.size("nodes").alias("node_count"), F.when(F.col("error").isNotNull(), F.array("error")).alias("errors"))
+def extract_project(files: DataFrame) -> Graph:
+    """The graph of files (path, language, content); files that cannot be parsed keep their file node and an error."""
+    found = cut(parsed(files))
+    shown = F.size(F.filter("spans", lambda s: ~hidden(s)))
+    info = found.select("path", shown.alias("node_count"), F.when(F.col("error").isNotNull(), F.array("error")).alias("errors"))
     keep = [c for c in files.columns if c not in ("content",)]
     return Graph(
-        rows("nodes", node_order).withColumn("updated_at", F.current_timestamp()),
-        rows("edges", edge_order).withColumn("provenance", F.lit("tree-sitter")),
+        symbol_rows(found).withColumn("updated_at", F.current_timestamp()),
+        contains_rows(found).withColumn("provenance", F.lit("tree-sitter")),
         files.select(*keep).join(info, "path").withColumn("indexed_at", F.current_timestamp()),
-        rows("refs", node_order).drop("ord"),
+        reference_rows(found),
     )
 
 

@@ -270,7 +270,7 @@ def test_scanner_is_linear():
     source = "".join(f"export class C{i} extends B {{\n  run{i}(x: number): R {{ return bar(x, [1, {{a: 2}}]); }}\n}}\nconst v{i} = 3\n" for i in range(12_000))
     began = time.process_time()
     out = extract_file("a.ts", source, "typescript")
-    assert len(source) > 1 << 20 and len(out["nodes"]) == 36_001 and time.process_time() - began < 10
+    assert len(source) > 1 << 20 and len(out["spans"]) == 36_001 and time.process_time() - began < 10
 
 
 def test_file_records(spark):
