@@ -13,7 +13,7 @@ _CLOSE = {"{": "}", "(": ")", "[": "]"}
 #: What stands before a bracket without being called.
 _NO_CALL = frozenset("if for foreach while switch catch function return typeof super import new await constructor using lock nameof sizeof default base this throw when".split())
 _STARTS = re.compile(r"\s*(?:export|import|public|private|protected|internal|static|abstract|async|readonly|const|let|var|function|class|interface|enum|type|namespace|using|@|\[|[A-Za-z_$][\w$]*\s*[(:=?;])")
-_OPEN_END = re.compile(r"(?:[=,(&|+<>?:]|=>|\b(?:extends|implements|export|async|static|public|private|protected|internal|abstract|default|readonly))\s*$")
+_OPEN_END = re.compile(r"(?:[=,(&|+<>?:]|=>|\b(?:extends|implements|export|async|static|public|private|protected|internal|abstract|default|readonly))$")
 _DECORATOR = re.compile(r"\s*@([A-Za-z_$][\w$.]*(?:\((?:[^()]|\([^()]*\))*\))?)")
 
 
@@ -36,6 +36,13 @@ def brackets(text: str) -> dict[int, int]:
     return out
 
 
+def open_end(text: str, start: int, at: int) -> bool:
+    """Whether what stands before a place, however much white space lies between, can't be a statement's end."""
+    while at > start and text[at - 1].isspace():
+        at -= 1
+    return bool(_OPEN_END.search(text, max(start, at - 40), at))
+
+
 def statements(r: Reader, a: int, b: int, ends: str = ";") -> Iterator[tuple[str, int, int, int]]:
     """(head, start of head, start of the body in braces or -1, end) between two places."""
     text, pair = r.text, r.pair
@@ -57,7 +64,7 @@ def statements(r: Reader, a: int, b: int, ends: str = ";") -> Iterator[tuple[str
             i = start = end + 1
             begun = False
             continue
-        if c in ends or begun and _STARTS.match(text, i, b) and not _OPEN_END.search(text, max(start, i - 200), i):
+        if c in ends or begun and _STARTS.match(text, i, b) and not open_end(text, start, i):
             yield text[start:i], start, -1, i
             start, begun = i + 1, False
         i += 1

