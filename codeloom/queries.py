@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.checkpoints import cut, shared_folder
 from codeloom.functions import text as tx
-from codeloom.operators import aggregates, graph, intervals, lookup, paths, resolve, search
+from codeloom.operators import aggregates, ask_index, graph, intervals, lookup, paths, resolve, search
 from codeloom.plans import context, pages, planner, render
 from codeloom.schema import Graph, edge_order, node_order
 from codeloom.sources.ignore import ignore_predicate
@@ -406,6 +406,13 @@ def ask_top5(spark, d):
     return search.ask_top(read(spark, d, "documents"), QUESTION, "doc_id", "text").select("doc_id", "score")
 
 
+@query(f"SELECT * FROM ({_ASK}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5", star=False)
+def ask_indexed(spark, d):
+    docs = read(spark, d, "documents")
+    index = cut(ask_index.trigram_index(docs, "doc_id", "text"))
+    return ask_index.ask_top_indexed(index, docs, QUESTION, "doc_id", "text")[0].select("doc_id", "score")
+
+
 @query(f"""WITH k AS (SELECT * FROM ({_ASK}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5)
   SELECT string_agg(chr(10) || chr(10) || '--- PAGE: ' || source || ' (' || doc_id || ') ---' || chr(10) || left(coalesce(text, ''), CAST(24000 // (SELECT count(*) FROM k) AS INT)), '' ORDER BY score DESC, doc_id) AS context, count(*) AS n_pages FROM k JOIN documents USING (doc_id)""", star=False)
 def ask_context(spark, d):

@@ -238,3 +238,23 @@ def test_site_format(spark, tmp_path):
         assert files() == {"index.md": "one", "sub/page.md": "zwö", "c.md": ""}  # the old site
     write(pages(("only.md", "two")))
     assert files() == {"only.md": "two"} and [p.name for p in tmp_path.iterdir()] == ["site"]
+
+
+def test_ask_without_reading_all_pages(spark):
+    """The top five are those of a scan, ties and repeated terms included; few pages are read."""
+    from codeloom.operators.ask_index import ask_top_indexed, trigram_index
+
+    r = random.Random(6)
+    words = ["graph", "graphs", "Node", "édge", "an", "walk", "search", "page", "of", "index", "token"]
+    pages = [(f"p{i:03}.md", " ".join(r.choice(words) for _ in range(r.choice([0, 1, 20, 200])))) for i in range(300)] + [("none.md", None), ("q.md", "walk the graph of pages"), ("aaa.md", "aaaaaaa")]
+    df = spark.createDataFrame(pages, "path string, content string")
+    index = trigram_index(df, "path").cache()
+    for question in ("Walk the graph of pages", "graph graph édge", "zzz", "an of", "aaa", "token index"):
+        for first in (1, 50):
+            top, read = ask_top_indexed(index, df, question, "path", first=first)
+            want = [tuple(x) for x in search.ask_top(df, question, "path").select("path", "score").collect()]
+            assert [tuple(x) for x in top.select("path", "score").collect()] == want
+            if first == 50 and question != "an of":
+                assert read.count() <= 60
+    with pytest.raises(ValueError):
+        ask_top_indexed(index, df, "ab", "path")
