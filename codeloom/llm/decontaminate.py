@@ -12,7 +12,7 @@ two are free of d differences. With another window or share all lengths use such
 The hashes of a benchmark (about 40 bytes each) and its words (8 bytes each) are broadcast after they have been counted; hits are reduced to one row for
 each alignment in the map tasks. With more than ``broadcast_rows`` hashes all that is shuffled by hash are short rows (row, place, hash): documents get a
 row key, alignments are reduced to distinct ones, and only then are the words of those documents and items that have any joined back. A frequent hash, as
-of an item of one common word, is dealt out over ``salts`` tasks, and Spark's adaptive joins split what is still too large. Texts are hashed
+of an item of one common word, is dealt out over ``salts`` tasks, and Spark's adaptive joins split what is still too large. Texts are then hashed
 in pieces of PIECE words, which overlap by a mask.
 
 Null and empty texts have no words, so they match nothing. A document that has an item several times, or several rows of one id, gives
@@ -69,15 +69,19 @@ def seed_hashes(words: Column, masks: tuple[str, ...], kind: int, places: Column
     return F.when(F.size(words) > 0, F.concat(*(at(m, k) for k, m in enumerate(masks))))
 
 
+def all_hashes(words: Column, kinds: dict[int, tuple[str, ...]], places: Column | None = None) -> Column:
+    return F.concat(*(seed_hashes(words, m, k, places) for k, m in kinds.items()))
+
+
 def placed_seeds(read: DataFrame, kinds: dict[int, tuple[str, ...]], keep: list[str]) -> DataFrame:
-    """(keep ..., place, seed) of all masks at all places of doc_words, worked out for PIECE places at a time."""
+    """(keep ..., place, seed) of all masks at all places of doc_words, cut into pieces of PIECE places first, so rows stay short."""
     longest = max(len(m) for masks in kinds.values() for m in masks)
     starts = F.sequence(F.lit(0), F.greatest(F.size("doc_words") - 1, F.lit(0)), F.lit(PIECE))
-    pieces = read.select(*keep, F.explode(starts).alias("start"), "doc_words").withColumn("piece", F.slice("doc_words", F.col("start") + 1, F.lit(PIECE + longest - 1)))
-    places = F.least(F.size("piece"), F.lit(PIECE))
-    every = F.concat(*(seed_hashes(F.col("piece"), m, k, places) for k, m in kinds.items()))
-    # The outer form of posexplode: of the other one Spark makes a filter that lists the words anew for each hash.
-    hashed = pieces.withColumn("places", places).withColumn("seeds", every).select(*keep, "start", "places", F.posexplode_outer("seeds").alias("n", "seed"))
+    pieces = F.transform(starts, lambda at: F.struct(at.alias("start"), F.slice("doc_words", at + 1, F.lit(PIECE + longest - 1)).alias("words")))
+    cut_up = read.select(*keep, F.explode(pieces).alias("p")).select(*keep, "p.*")
+    places = F.least(F.size("words"), F.lit(PIECE))
+    hashed = cut_up.select(*keep, "start", places.alias("places"), all_hashes(F.col("words"), kinds, places).alias("seeds"))
+    hashed = hashed.select(*keep, "start", "places", F.posexplode_outer("seeds").alias("n", "seed"))
     return hashed.select(*keep, (F.expr("n % places") + F.col("start")).alias("place"), "seed")
 
 
@@ -108,16 +112,17 @@ def overlaps(
     # The outer form of posexplode: of the other one Spark makes a filter that lists the words anew for each hash.
     seeds = items.select("row", F.size("item_words").alias("size"), F.posexplode_outer(own).alias("n", "seed")).where("seed is not null").select("row", "seed", F.expr("n % size").alias("item_at"))
     words = items.select("row", "item", "item_words").dropDuplicates(["row"])
-    shift = (F.col("place") - F.col("item_at")).alias("shift")
     if sum(r["n"] * len(kinds[r["length"]]) for r in sizes) <= broadcast_rows:
-        placed = placed_seeds(hashed(docs, id_col, text_col, "doc"), kinds, ["doc", "doc_words"])
-        hits = placed.join(F.broadcast(seeds), "seed").select("doc", "doc_words", "row", shift).join(F.broadcast(words), "row")
+        read = hashed(docs, id_col, text_col, "doc")
+        # The outer form of posexplode: of the other one Spark makes a filter that lists the words anew for each hash.
+        placed = read.withColumn("seeds", all_hashes(F.col("doc_words"), kinds)).select("doc", "doc_words", F.posexplode_outer("seeds").alias("n", "seed"))
+        hits = placed.join(F.broadcast(seeds), "seed").withColumn("shift", F.expr("n % size(doc_words) - item_at")).join(F.broadcast(words), "row")
     else:
         keyed, key = with_row_key(docs)
         read = hashed(keyed.select(F.col(key).alias("__key"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text", "doc", "__key")
         narrow = placed_seeds(read, kinds, ["__key"]).where("seed is not null").withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(salts)).cast("int"))
         spread = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = narrow.join(spread, ["seed", "salt"]).select("__key", "row", shift).distinct()
+        met = narrow.join(spread, ["seed", "salt"]).select("__key", "row", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
         hits = met.join(read, "__key").join(words, "row").drop("__key")
     # Ones and zeros along the alignment; places outside the document are zeros.
     same = F.array_join(F.transform("item_words", lambda w, i: F.when((i + F.col("shift") >= 0) & (F.get("doc_words", F.greatest(i + F.col("shift"), F.lit(0))) == w), F.lit("1")).otherwise(F.lit("0"))), "")

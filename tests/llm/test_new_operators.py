@@ -297,3 +297,26 @@ def test_lists_of_ids_in_pieces(spark):
     got = {r[0]: r[3] for r in prefix_trie.list_digests(ids.unionByName(more)).collect()}
     digest = lambda x: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()
     assert got == {1: digest(range(0, 20000, 2)), 2: digest(range(-29, 0))}
+
+
+# 20 MB texts for native operators
+
+
+def test_long_texts_of_native_operators(spark):
+    """A conversation's turn of 20 MB, and a document of 20 MB that holds a benchmark item at its end."""
+    from pyspark.sql import functions as F
+
+    from codeloom.llm import chat_format, decontaminate
+
+    text = "<|end|> [x] \\l " * 1_400_000
+    rows = spark.createDataFrame([(1, 0, "user", text, "", 0), (1, 1, "assistant", text + "z", "", 0)], TURNS)
+    read = chat_format.read_back(chat_format.render(chat_format.fold_events(chat_format.plain_events(rows), regenerates=False)))
+    got = read.select(F.sha2(F.col("turns")[0]["text"], 256), F.sha2(F.array_join("learned", ""), 256)).head()
+    assert tuple(got) == tuple(hashlib.sha256(t.encode()).hexdigest() for t in (text, text + "z"))
+    item = " ".join(f"item{i}" for i in range(30))
+    long = " ".join(f"w{i % 90000}" for i in range(3_300_000)) + " " + item
+    assert len(long) > 20e6
+    docs = spark.createDataFrame([(1, long, "", "", ""), (2, "short", "", "", "")], DOCS)
+    bench = spark.createDataFrame([(7, item), (8, "nothing of it is here at all in any of the documents above")], "item_id long, text string")
+    for rows in (1_000_000, 0):
+        assert [tuple(x) for x in decontaminate.overlaps(docs, bench, broadcast_rows=rows).collect()] == [(1, 7, 13, 13)]
