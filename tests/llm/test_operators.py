@@ -249,7 +249,7 @@ def test_induced_sort():
 
 def test_induced_sort_by_recursion(monkeypatch):
     """With next to nothing sorted by doubling, several levels of names; prefixes beyond a byte."""
-    monkeypatch.setattr(induced_sort, "FEW", 2)
+    monkeypatch.setattr(induced_sort, "FEW_BYTES", 100)
     r = random.Random(5)
     levels = []
     real = induced_sort.named_pieces
