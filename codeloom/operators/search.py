@@ -89,10 +89,14 @@ def search_nodes(nodes: DataFrame, query: str, kinds: Sequence[str] | None = Non
 
 
 def search_many(index: SearchIndex, queries: DataFrame, limit: int = 15) -> DataFrame:
-    """(number, id, pos): the best nodes for each (number, text), in order from 0; for tables of questions that are small beside the index."""
+    """(number, id, pos): the best nodes for each (number, text), in order from 0.
+
+    Words and tokens meet by their first two characters before prefixes are compared, so neither table need be small.
+    """
     asked = queries.select("number", F.explode(F.array_distinct(tokens("text"))).alias("word"))
-    words = F.broadcast(asked.select("word").distinct())
-    known = index.postings.select("token").distinct().join(words, F.startswith("token", F.col("word")))
+    words = asked.select("word").distinct().withColumn("begin", F.substring("word", 1, 2))
+    begins = F.array_distinct(F.array(F.substring("token", 1, 1), F.substring("token", 1, 2)))  # words may have one character
+    known = index.postings.select("token").distinct().withColumn("begin", F.explode(begins)).join(words, "begin").where(F.startswith("token", F.col("word"))).select("token", "word")
     tf = index.postings.join(known, "token").groupBy("word", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     part = tf.join(df, "word").join(F.broadcast(index.corpus), F.col("n") > 0).select("word", "id", bm25(F.col("tf"), F.col("df"), F.col("dl")).alias("s"))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.checkpoints import cut
-from codeloom.functions.text import optional, source_block
+from codeloom.functions.text import optional
 from codeloom.operators.graph import callees, callers, type_hierarchy
 from codeloom.operators.search import SearchIndex, search_many
 from codeloom.schema import Graph
+from codeloom.sources.lines import marked_block, with_line_marks
 
 HOLDERS = ("class", "interface", "struct", "enum", "namespace")
 
@@ -58,7 +59,8 @@ def page_blocks(focal: DataFrame, inside: DataFrame, nodes: DataFrame, contents:
     some = inside.where(F.col("k") <= first).join(nodes.where("kind in ('method', 'function')").where(F.col("end_line") - F.col("start_line") > lines).select("id"), "id", "left_semi")
     asked = own.unionByName(some.select("number", "id", (F.col("k") + first).alias("pos"))).where(F.col("pos") < limit)
     named = asked.join(nodes.select("id", "file_path", "start_line", "end_line"), "id")
-    return named.join(contents.select(F.col("path").alias("file_path"), "content"), "file_path").select("number", "pos", "id", source_block("content", F.col("start_line"), F.col("end_line")).alias("code"))
+    marked = with_line_marks(contents.select(F.col("path").alias("file_path"), "content").join(named.select("file_path").distinct(), "file_path", "left_semi"))
+    return named.join(marked, "file_path").select("number", "pos", "id", marked_block("content", "marks", F.col("start_line"), F.col("end_line")).alias("code"))
 
 
 def nearest(found: DataFrame, keys: list[str], order: list[str], what: str, most: int, parts: int = 32) -> DataFrame:

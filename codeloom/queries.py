@@ -15,6 +15,7 @@ from codeloom.functions import text as tx
 from codeloom.operators import aggregates, ask_index, graph, intervals, lookup, paths, resolve, search
 from codeloom.plans import context, pages, planner, render
 from codeloom.schema import Graph, edge_order, node_order
+from codeloom.sources import lines
 from codeloom.sources.ignore import ignore_predicate
 from codeloom.sources.tables import STAR_SQL, star_graph
 from codeloom.streaming.search_tables import SearchTables
@@ -559,6 +560,19 @@ def source_block(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.source_block(F.coalesce("text", F.lit("")), F.lit(2), F.lit(4)).alias("code"))
 
 
+_BLOCK = "CASE WHEN length(code) > 3000 THEN left(code, 3000) || chr(10) || '// ... truncated' ELSE code END AS code"
+
+
+@query(f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), b AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1, 7)) AS start FROM t),
+  c AS (SELECT doc_id, CAST(start AS INTEGER) AS start, array_to_string(ls[start:start + 9], chr(10)) AS code FROM b) SELECT doc_id, start, {_BLOCK} FROM c""", star=False)
+def marked_blocks(spark, d):
+    """Blocks of ten lines, one begun in every seventh, of every document."""
+    docs = lines.with_line_marks(read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content")))
+    count = F.size(F.split(F.decode("content", "UTF-8"), "\n"))
+    blocks = docs.withColumn("start", F.explode(F.sequence(F.lit(1), count, F.lit(7))))
+    return blocks.select("doc_id", "start", lines.marked_block("content", "marks", F.col("start"), F.col("start") + 9).alias("code"))
+
+
 _TOP = "top AS (SELECT id, kind, name, file_path, ord, CASE kind WHEN 'class' THEN 1 WHEN 'interface' THEN 2 WHEN 'function' THEN 3 ELSE 4 END AS kp FROM g_nodes WHERE kind IN ('class', 'interface', 'function', 'namespace') AND (is_exported OR kind = 'namespace') ORDER BY kp, ord LIMIT 200)"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import subprocess
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.sources.repo import register
 
 
-def git_files(root: str) -> list[str] | None:
-    """Paths that git tracks; None where there is no work tree."""
-    try:
-        run = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, check=True)
-        inside = subprocess.run(["git", "-C", root, "rev-parse", "--is-inside-work-tree"], capture_output=True, check=True)
-    except (OSError, subprocess.CalledProcessError):
-        return None
-    return [p for p in run.stdout.decode("utf-8", "replace").split("\0") if p] if inside.stdout.strip() == b"true" else None
-
-
 def scan_project(spark: SparkSession, root: str, ignore: Iterable[str] = (), max_file_size: int = 1 << 20, use_git: bool = True) -> DataFrame:
     """(path, language, content_hash, size, modified_at, content) of files in known languages that are not ignored.
 

@@ -258,3 +258,31 @@ def test_ask_without_reading_all_pages(spark):
                 assert read.count() <= 60
     with pytest.raises(ValueError):
         ask_top_indexed(index, df, "ab", "path")
+
+
+def test_blocks_by_line_marks(spark):
+    """Every block equals the one that splitting the text gives; marks around 100 lines, missing lines, no newline at the end."""
+    from codeloom.functions.text import source_block
+    from codeloom.sources.lines import marked_block, with_line_marks
+
+    texts = [None, "", "one", "a\n", "\n\n"] + ["\n".join(f"zeile ü {i}" for i in range(n)) + end for n in (99, 100, 101, 250) for end in ("", "\n")] + ["x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, content string")
+    spans = [(s, e) for s in (0, 1, 2, 99, 100, 101, 102, 200, 240, 251, 300, 400) for e in (0, 1, 99, 100, 101, 199, 200, 201, 250, 251, 500)]
+    asked = spark.createDataFrame(spans, "a int, b int").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(texts) - 1))))
+    want = asked.join(df, "k").select("k", "a", "b", source_block(F.coalesce("content", F.lit("")), F.col("a"), F.col("b")).alias("code"))
+    marked = with_line_marks(df.withColumn("content", F.coalesce("content", F.lit(""))))
+    got = asked.join(marked, "k").select("k", "a", "b", marked_block("content", "marks", F.col("a"), F.col("b")).alias("code"))
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()}
+
+
+def test_many_blocks_of_a_large_file(spark):
+    """A thousand blocks of one file of a megabyte."""
+    from codeloom.sources.lines import marked_block, with_line_marks
+
+    text = "\n".join(f"line {i} " + "y" * 40 for i in range(20_000))
+    assert len(text) > 1_000_000
+    marked = with_line_marks(spark.createDataFrame([(text,)], "content string"))
+    blocks = marked.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(20_000), F.lit(20))))
+    got = blocks.select("start", marked_block("content", "marks", F.col("start"), F.col("start") + 1).alias("code")).collect()
+    lines = text.split("\n")
+    assert len(got) == 1000 and all(r["code"] == "\n".join(lines[r["start"] - 1 : r["start"] + 1]) for r in got)
