@@ -10,7 +10,7 @@ their counts. Ids are counted over all training texts, and classes are made of t
 The model is trained by Adam, with gradients worked out by hand: it starts on the ``max_docs`` training texts with the smallest hashes
 of their ids and then reads every training text once, in ``rounds`` rounds. In a round each task goes on from the same
 parameters over its own texts of that round, and the mean of the tasks' parameters, by targets read, is what the next round begins with.
-The baseline's counts are taken over all training texts: each task
+Texts are encoded once, and their ids are written for all who read them. The baseline's counts are taken over all training texts: each task
 adds up its words, sums meet by word hash, words with at least N / ``frequent`` occurrences (there are at most ``frequent``) are
 sent to every task, and the others are looked up where their counts are.
 
@@ -107,23 +107,74 @@ MASK = np.tril(np.ones((WINDOW, WINDOW), bool))
 DISTANCE = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDOW - 1)
 
 
-def forward(m: dict, symbols: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Hidden states (n, WINDOW, WIDTH) that predict the next symbol at each place."""
+def sums(z: np.ndarray) -> np.ndarray:
+    """Sums over the last axis."""
+    return z @ np.ones(z.shape[-1], z.dtype)
+
+
+def with_ones(h: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which meets the biases."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, their sums, means of v by them); queries belong to the last places of a window."""
+    e = np.matmul(q, k.transpose(0, 2, 1))
+    e += np.where(MASK, far[DISTANCE], np.float32(-1e9))[WINDOW - q.shape[1] :]
+    # Products and biases are within these bounds, so exponentials can neither overflow nor all vanish.
+    if not np.einsum("nij,nij->ni", q, q).max(initial=0) * np.einsum("nij,nij->ni", k, k).max(initial=0) < 900 or not np.abs(far).max() < 30:
+        e -= e.max(-1, keepdims=True)
+    np.exp(e, out=e)
+    total = sums(e)[..., None]
+    o = np.matmul(e, v)
+    o /= total
+    return e, total, o
+
+
+def forward(m: dict, symbols: np.ndarray, begin: int = 0) -> tuple[np.ndarray, tuple]:
+    """Hidden states (n, WINDOW - begin, WIDTH) that predict the next symbol at each place from begin on; the places before are only looked at."""
+    n, d = len(symbols), WIDTH
+    x = np.take(m["embed"], symbols, axis=0)
+    late = np.ascontiguousarray(x[:, begin:]).reshape(-1, d)
+    kv = (x.reshape(-1, d) @ m["qkv"][:, d:]).reshape(n, WINDOW, 2 * d)
+    k, v = kv[..., :d], kv[..., d:]
+    q = (late @ (m["qkv"][:, :d] * np.float32(d**-0.5))).reshape(n, -1, d)
+    e, total, o = attention(q, k, v, m["far"])
+    h = late @ m["prev"]
+    h += o.reshape(-1, d) @ m["out"]
+    h += m["hid"]
+    return np.tanh(h, out=h).reshape(o.shape), (x, late, q, k, v, e, total, o)
+
+
+def tables(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What ``forward`` works out of each symbol alone: what places that are looked at need, and places that look."""
+    d, x = WIDTH, m["embed"]
+    q, k, v = (m["qkv"][:, i * d : (i + 1) * d] for i in range(3))
+    return np.concatenate([x @ k, x @ (v @ m["out"])], 1), np.concatenate([x @ (q * np.float32(d**-0.5)), x @ m["prev"] + m["hid"]], 1)
+
+
+def looked_up(table: tuple, far: np.ndarray, symbols: np.ndarray, begin: int) -> np.ndarray:
+    """The hidden states of ``forward``, from tables."""
     d = WIDTH
-    x = m["embed"][symbols]
-    flat = x.reshape(-1, d)
-    qkv = (flat @ m["qkv"]).reshape(*symbols.shape, 3 * d)
-    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    bias = np.where(MASK, m["far"][DISTANCE], np.float32(-1e9)).astype(np.float32)
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= np.float32(d**-0.5)
-    s += bias
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s *= 1 / s.sum(-1, keepdims=True)
-    o = np.matmul(s, v)
-    h = np.tanh(flat @ m["prev"] + o.reshape(-1, d) @ m["out"] + m["hid"])
-    return h.reshape(x.shape), (x, q, k, v, s, o)
+    kv, qx = np.take(table[0], symbols, axis=0), np.take(table[1], symbols[:, begin:], axis=0)
+    h = attention(qx[..., :d], kv[..., :d], kv[..., d:], far)[2]
+    h += qx[..., d:]
+    return np.tanh(h, out=h)
+
+
+def by_begin(live: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(windows, begin): windows that are scored from their first places, and those that only look at the first ``OVERLAP``, the whole ones last."""
+    first, whole = live[:, :OVERLAP].any(1), live[:, OVERLAP:].all(1)
+    for which, begin in ((first, 0), (~first & ~whole, OVERLAP), (~first & whole, OVERLAP)):
+        if which.any():
+            yield np.flatnonzero(which), begin
+
+
+def chosen(values: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """values[use], without a copy where all are used."""
+    return values.reshape(-1, *values.shape[2:]) if use.all() else values[use]
 
 
 def class_ranges(vocab: dict) -> list[tuple[int, int, int]]:
@@ -137,8 +188,8 @@ def class_ranges(vocab: dict) -> list[tuple[int, int, int]]:
     return out
 
 
-#: Rows, and windows in scoring and in training, that are worked on at once, so that what belongs to them stays near the processor.
-ROWS, PART, TRAIN_PART = 2048, 128, 384
+#: Rows and windows that are worked on at once, so that what belongs to them stays near the processor.
+ROWS, PART = 1024, 64
 
 
 def bounded(m: dict) -> bool:
@@ -169,20 +220,19 @@ def by_class(c: np.ndarray, ranges: list) -> Iterator[tuple[np.ndarray, int, int
 
 def log_probability(m: dict, vocab: dict, ranges: list, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each target id, given hidden states (n, WIDTH)."""
-    safe, c, out = bounded(m), vocab["class"][target], np.empty(len(h))
+    safe, c, place, out = bounded(m), vocab["class"][target], vocab["place"][target], np.empty(len(h))
+    h, cls, within = with_ones(h), np.vstack([m["cls"], m["bias"]]), np.column_stack([m["within"], m["start"]])
+
+    def log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+        right = np.take(z.reshape(-1), np.arange(len(z)) * z.shape[1] + own)
+        right -= exponentials(z, safe)
+        right -= np.log(sums(z))
+        return right
+
     for lo in range(0, len(h), ROWS):
-        z = h[lo : lo + ROWS] @ m["cls"]
-        z += m["bias"]
-        own = z[np.arange(len(z)), c[lo : lo + ROWS]]
-        top = exponentials(z, safe)
-        out[lo : lo + ROWS] = own - top - np.log(z.sum(1))
-    place = vocab["place"][target]
+        out[lo : lo + ROWS] = log_softmax(h[lo : lo + ROWS] @ cls, c[lo : lo + ROWS])
     for rows, lo, hi in by_class(c, ranges):
-        w = h[rows] @ m["within"][lo:hi].T
-        w += m["start"][lo:hi]
-        own = w[np.arange(len(rows)), place[rows]]
-        top = exponentials(w, safe)
-        out[rows] += own - top - np.log(w.sum(1))
+        out[rows] += log_softmax(np.take(h, rows, axis=0) @ within[lo:hi].T, place[rows])
     rest = c == CLASSES - 1
     if rest.any():
         out[rest] += vocab["share"][target[rest]]
@@ -191,67 +241,94 @@ def log_probability(m: dict, vocab: dict, ranges: list, h: np.ndarray, target: n
 
 def gradients(m: dict, vocab: dict, ranges: list, symbols: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, dict]:
     """Mean loss over live places and its gradients."""
-    n, g, loss = int(live.sum()), {key: np.zeros_like(w) for key, w in m.items()}, 0.0
-    for lo in range(0, len(symbols), TRAIN_PART):
-        hi = lo + TRAIN_PART
-        loss += add_gradients(m, vocab, ranges, symbols[lo:hi], target[lo:hi], live[lo:hi], n, g)
+    n, g = int(live.sum()), {key: np.zeros_like(w) for key, w in m.items()}
+    parts = [(some[lo : lo + PART], begin) for some, begin in by_begin(live) for lo in range(0, len(some), PART)]
+    if not n:
+        return 0.0, g
+    use = [live[some, begin:] for some, begin in parts]
+    states = [forward(m, symbols[some], begin) for some, begin in parts]
+    h = np.concatenate([chosen(own, y) for (own, _), y in zip(states, use, strict=True)])
+    loss, dh = output_gradients(m, vocab, ranges, h, np.concatenate([chosen(target[some, begin:], y) for (some, begin), y in zip(parts, use, strict=True)]), n, g)
+    at, dx = 0, []
+    for (own, state), y in zip(states, use, strict=True):
+        count = int(y.sum())
+        if count < y.size:
+            full = np.zeros(own.shape, dh.dtype)
+            full[y] = dh[at : at + count]
+        else:
+            full = dh[at : at + count].reshape(own.shape)
+        at += count
+        dx.append(attention_gradients(m, own, state, full, g))
+    s, dx = np.concatenate([symbols[some].reshape(-1) for some, _ in parts]), np.concatenate(dx)
+    order = np.argsort(s.astype(np.uint16), kind="stable")
+    s = s[order]
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    g["embed"][s[first]] += np.add.reduceat(np.take(dx, order, axis=0), first)
     return loss / n, g
 
 
-def add_gradients(m: dict, vocab: dict, ranges: list, symbols: np.ndarray, target: np.ndarray, live: np.ndarray, n: int, g: dict) -> float:
-    """Add a part's gradients, over n places in all, and return its loss."""
-    d, safe = WIDTH, bounded(m)
-    h, (x, q, k, v, a, o) = forward(m, symbols)
-    hl, t = h[live], target[live]
-    c, row = vocab["class"][t], np.arange(len(t))
-    p = hl @ m["cls"]
-    p += m["bias"]
-    exponentials(p, safe)
-    p /= p.sum(1, keepdims=True)
-    loss = -np.log(p[row, c] + 1e-30).sum()
-    p[row, c] -= 1
-    p *= np.float32(1 / n)
-    g["cls"] += hl.T @ p
-    g["bias"] += p.sum(0)
-    dh = p @ m["cls"].T
-    place = vocab["place"][t]
+def output_gradients(m: dict, vocab: dict, ranges: list, h: np.ndarray, target: np.ndarray, n: int, g: dict) -> tuple[float, np.ndarray]:
+    """The loss of states that predict targets, and its gradient by them, over n; adds those of the last layer to g."""
+    safe, c, place, found, dh = bounded(m), vocab["class"][target], vocab["place"][target], [], []
+    share = np.float32(1 / n)
+    h, cls, within = with_ones(h), np.vstack([m["cls"], m["bias"]]), np.column_stack([m["within"], m["start"]])
+    dcls, dwithin = np.zeros_like(cls), np.zeros_like(within)
+
+    def softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """(Probabilities less the one that is right) / n, in place of z."""
+        exponentials(z, safe)
+        z *= (share / sums(z))[:, None]
+        flat, at = z.reshape(-1), np.arange(len(z)) * z.shape[1] + own
+        right = np.take(flat, at)
+        found.append(right)
+        flat[at] = right - share
+        return z
+
+    for lo in range(0, len(h), ROWS):
+        own = h[lo : lo + ROWS]
+        p = softmax(own @ cls, c[lo : lo + ROWS])
+        dcls += (p.T @ own).T
+        dh.append(p @ m["cls"].T)
+    dh = np.concatenate(dh)
     for rows, lo, hi in by_class(c, ranges):
-        hr = hl[rows]
-        w = hr @ m["within"][lo:hi].T
-        w += m["start"][lo:hi]
-        exponentials(w, safe)
-        w /= w.sum(1, keepdims=True)
-        own = np.arange(len(rows)), place[rows]
-        loss -= np.log(w[own] + 1e-30).sum()
-        w[own] -= 1
-        w *= np.float32(1 / n)
-        g["within"][lo:hi] += w.T @ hr
-        g["start"][lo:hi] += w.sum(0)
-        dh[rows] += w @ m["within"][lo:hi]
-    full = np.zeros_like(h)
-    full[live] = dh
-    du = (full * (1 - h * h)).reshape(-1, d)
-    flat = x.reshape(-1, d)
-    g["prev"] += flat.T @ du
+        own = np.take(h, rows, axis=0)
+        p = softmax(own @ within[lo:hi].T, place[rows])
+        dwithin[lo:hi] += p.T @ own
+        dh[rows] += p @ m["within"][lo:hi]
+    g["cls"] += dcls[:-1]
+    g["bias"] += dcls[-1]
+    g["within"] += dwithin[:, :-1]
+    g["start"] += dwithin[:, -1]
+    return -float(np.log(np.concatenate(found) / share + 1e-30).sum(dtype=float)), dh
+
+
+def attention_gradients(m: dict, h: np.ndarray, state: tuple, dh: np.ndarray, g: dict) -> np.ndarray:
+    """The gradient by the embeddings of a part's places, given that by its states; adds those of the weights to g."""
+    d, (x, late, q, k, v, e, total, o) = WIDTH, state
+    begin = WINDOW - h.shape[1]
+    du = (dh * (1 - h * h)).reshape(-1, d)
+    g["prev"] += late.T @ du
     g["out"] += o.reshape(-1, d).T @ du
     g["hid"] += du.sum(0)
-    dx = du @ m["prev"].T
-    do = (du @ m["out"].T).reshape(x.shape)
-    dv = np.matmul(a.transpose(0, 2, 1), do)
+    do = (du @ m["out"].T).reshape(o.shape)
+    do /= total
+    # e / total are the weights of attention, and o the values' mean by them, so the mean of what comes back to the weights is do * o.
     ds = np.matmul(do, v.transpose(0, 2, 1))
-    ds -= np.einsum("nij,nij->ni", ds, a)[:, :, None]
-    ds *= a
-    g["far"] += np.bincount(DISTANCE[MASK], ds.sum(0)[MASK], WINDOW).astype(np.float32)
-    ds *= np.float32(d**-0.5)
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], -1).reshape(-1, 3 * d)
-    g["qkv"] += flat.T @ dqkv
-    dx += dqkv @ m["qkv"].T
-    s = symbols.reshape(-1)
-    order = np.argsort(s.astype(np.uint16), kind="stable")
-    s = s[order]
-    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    g["embed"][s[first]] += np.add.reduceat(dx[order], first)
-    return float(loss)
+    ds -= np.einsum("nij,nij->ni", do, o)[..., None]
+    ds *= e
+    far = (np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)).reshape(ds.shape[1:])
+    g["far"] += np.bincount(DISTANCE[begin:][MASK[begin:]], far[MASK[begin:]], WINDOW).astype(np.float32)
+    dkv = np.empty((*x.shape[:2], 2 * d), ds.dtype)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
+    np.matmul(e.transpose(0, 2, 1), do, out=dkv[..., d:])
+    dkv = dkv.reshape(-1, 2 * d)
+    dq = np.matmul(ds, k).reshape(-1, d)
+    dq *= np.float32(d**-0.5)
+    g["qkv"][:, :d] += late.T @ dq
+    g["qkv"][:, d:] += (dkv.T @ x.reshape(-1, d)).T
+    dx = (dkv @ m["qkv"][:, d:].T).reshape(x.shape)
+    dx[:, begin:] += (dq @ m["qkv"][:, :d].T + du @ m["prev"].T).reshape(o.shape)
+    return dx.reshape(-1, d)
 
 
 def windows(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +342,7 @@ def windows(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray,
     size = n[row][:, None]
     inside = place < size
     base = bounds[:-1][row][:, None]
-    padded = np.append(ids, end)
+    padded = np.append(ids, np.array([end], ids.dtype))
     target = np.where(place == size - 1, end, padded[np.minimum(base + place, len(ids))])
     source = np.where(place == 0, end, padded[np.minimum(np.maximum(base + place - 1, 0), len(ids))])
     score = inside & ((number[:, None] == 0) | (np.arange(WINDOW)[None, :] >= OVERLAP))
@@ -275,29 +352,47 @@ def windows(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray,
 class Adam:
     def __init__(self, m: dict):
         self.m, self.step = m, 0
-        self.one, self.two = {k: np.zeros_like(w) for k, w in m.items()}, {k: np.zeros_like(w) for k, w in m.items()}
+        size = sum(w.size for w in m.values())
+        self.one, self.two, self.flat, self.spare = (np.zeros(size, np.float32) for _ in range(4))
 
     def take(self, g: dict, rate: float) -> None:
         self.step += 1
-        for k, w in self.m.items():
-            self.one[k] += 0.1 * (g[k] - self.one[k])
-            self.two[k] += 0.01 * (g[k] * g[k] - self.two[k])
-            w -= np.float32(rate) * (self.one[k] / (1 - 0.9**self.step)) / (np.sqrt(self.two[k] / (1 - 0.99**self.step)) + np.float32(1e-8))
+        flat, spare = self.flat, self.spare
+        np.concatenate([x.reshape(-1) for x in g.values()], out=flat)
+        np.multiply(flat, flat, out=spare)
+        spare -= self.two
+        spare *= np.float32(0.01)
+        self.two += spare
+        flat -= self.one
+        flat *= np.float32(0.1)
+        self.one += flat
+        np.sqrt(self.two, out=spare)
+        spare *= np.float32((1 - 0.99**self.step) ** -0.5)
+        spare += np.float32(1e-8)
+        np.divide(self.one, spare, out=flat)
+        flat *= np.float32(rate / (1 - 0.9**self.step))
+        at = 0
+        for w in self.m.values():
+            w -= flat[at : at + w.size].reshape(w.shape)
+            at += w.size
 
 
 def train(texts: list[bytes], path: str, pattern: str, steps: int = 1500, batch: int = 192, seed: int = 11, counts: np.ndarray | None = None) -> tuple[dict, dict]:
     """The model and vocabulary; counts: of all ids, by default those of the texts."""
     t = bpe.tokenizer(path, pattern)
-    size = len(t.vocabulary.bytes_of) + 1
-    end = size - 1
     data, off = plain_words(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts])).astype(np.int64))
     ids, bounds = t.encode_rows(data, off)
-    vocab = vocabulary(np.bincount(np.append(ids, np.full(len(texts), end)).astype(np.int64), minlength=size) if counts is None else counts)
+    size = len(t.vocabulary.bytes_of) + 1
+    return train_ids(ids, bounds, np.bincount(np.append(ids, np.full(len(texts), size - 1)).astype(np.int64), minlength=size) if counts is None else counts, steps, batch, seed)
+
+
+def train_ids(ids: np.ndarray, bounds: np.ndarray, counts: np.ndarray, steps: int = 1500, batch: int = 192, seed: int = 11) -> tuple[dict, dict]:
+    vocab = vocabulary(counts)
     m = new_model(vocab)
-    if not len(texts):
+    if len(bounds) < 2:
         return m, vocab
     ranges = class_ranges(vocab)
-    source, target, live = windows(ids, bounds, end)
+    source, target, live = windows(ids, bounds, len(counts) - 1)
     r = np.random.default_rng(seed)
     adam = Adam(m)
     for step in range(1, steps + 1):
@@ -313,12 +408,14 @@ def score_rows(m: dict, vocab: dict, ranges: list, ids: np.ndarray, bounds: np.n
     source, target, live = windows(ids, bounds, end)
     n = np.diff(bounds) + 1
     row = np.repeat(np.arange(len(n)), 1 + np.maximum(0, -(-(n - WINDOW) // (WINDOW - OVERLAP))))
-    for lo in range(0, len(source), batch):
-        use = live[lo : lo + batch]
-        symbols = vocab["symbol"][source[lo : lo + batch]]
-        h = np.concatenate([forward(m, symbols[k : k + PART])[0][use[k : k + PART]] for k in range(0, len(symbols), PART)])
-        p = log_probability(m, vocab, ranges, h, target[lo : lo + batch][use])
-        out += np.bincount(np.repeat(row[lo : lo + batch], use.sum(1)), p, len(out))
+    table = tables(m)
+    for some, begin in by_begin(live):
+        for lo in range(0, len(some), batch):
+            own = some[lo : lo + batch]
+            use, symbols = live[own, begin:], vocab["symbol"][source[own]]
+            h = np.concatenate([chosen(looked_up(table, m["far"], symbols[k : k + PART], begin), use[k : k + PART]) for k in range(0, len(symbols), PART)])
+            p = log_probability(m, vocab, ranges, h, chosen(target[own, begin:], use))
+            out += np.bincount(np.repeat(row[own], use.sum(1)), p, len(out))
     return out / np.log(10)
 
 
@@ -400,24 +497,57 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
     return np.frombuffer(row[0], np.float64) if row else np.zeros(size)
 
 
-def id_counts(rows: DataFrame, path: str, pattern: str) -> np.ndarray:
-    """How often each subword id, and at last the end, occurs in all (doc, text) rows."""
-    size = len(bpe.tokenizer(path, pattern).vocabulary.bytes_of) + 1
+def id_type(size: int) -> np.dtype:
+    """How ids below size are written."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<i4")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, out = bpe.tokenizer(path, pattern), np.zeros(size)
+
+def encoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc, row, learned, n_tokens, ids) of (doc, text, learned) rows, written once: every round and the scores read the ids."""
+    kind = id_type(len(bpe.tokenizer(path, pattern).vocabulary.bytes_of) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = bpe.tokenizer(path, pattern)
         for b in batches:
             data, off = text_bytes(b[1])
             for lo, hi in pieces(off, 1 << 19):
-                out += np.bincount(t.encode_rows(*plain_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))[0].astype(np.int64), minlength=size)
+                own, at, doc = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], b[0].slice(lo, hi - lo)
+                plain, first = plain_words(own, at)
+                ids, bounds = t.encode_rows(plain, first)
+                words = np.append(0, np.cumsum(plain == 32))[first]
+                packed_ids = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(np.asarray(bounds, np.int64) * kind.itemsize), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays(
+                    [doc, pa.array(row_keys(doc, own, at)), b[2].slice(lo, hi - lo), pa.array(np.diff(words) + 1, pa.int64()), packed_ids.cast(pa.binary())],
+                    names=["doc", "row", "learned", "n_tokens", "ids"],
+                )
+
+    return cut(rows.select("doc", "text", "learned").mapInArrow(run, "doc long, row long, learned boolean, n_tokens long, ids binary"))
+
+
+def id_pieces(column: pa.Array, kind: np.dtype) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, their ids joined, offsets of the rows in them) for pieces of a column of packed ids."""
+    data, off = text_bytes(column)
+    ids, off = np.frombuffer(data.tobytes(), kind), off // kind.itemsize
+    for lo, hi in pieces(off, 1 << 18):
+        yield lo, hi, ids[off[lo] : off[hi]].astype(np.int32), off[lo : hi + 1] - off[lo]
+
+
+def id_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each subword id, and at last the end, occurs in all (ids) rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for b in batches:
+            for *_, own, _ in id_pieces(b[0], id_type(size)):
+                out += np.bincount(own, minlength=size)
             out[-1] += len(b)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["vector"])
 
-    return summed(rows.mapInArrow(count, "vector binary"), size).astype(np.int64)
+    return summed(ids.mapInArrow(count, "vector binary"), size).astype(np.int64)
 
 
-def read_all(m: dict, vocab: dict, rows: DataFrame, path: str, pattern: str, rounds: int, batch: int = 384) -> dict:
-    """The model after every (doc, text) row was learned from once."""
+def read_all(m: dict, vocab: dict, rows: DataFrame, rounds: int, batch: int = 384) -> dict:
+    """The model after every (doc, ids) row was learned from once."""
     size = sum(w.size for w in m.values())
     ranges, end = class_ranges(vocab), len(vocab["symbol"]) - 1
     for number in range(rounds):
@@ -425,12 +555,10 @@ def read_all(m: dict, vocab: dict, rows: DataFrame, path: str, pattern: str, rou
         now = m
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, rate=rate, number=number) -> Iterator[pa.RecordBatch]:
-            t, own, n = bpe.tokenizer(path, pattern), {k: w.copy() for k, w in now.items()}, 0
+            own, n = {k: w.copy() for k, w in now.items()}, 0
             adam, r = Adam(own), np.random.default_rng(number)
             for b in batches:
-                data, off = text_bytes(b[1])
-                for lo, hi in pieces(off, 1 << 19):
-                    ids, bounds = t.encode_rows(*plain_words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+                for _, _, ids, bounds in id_pieces(b[0], id_type(end + 1)):
                     source, target, live = windows(ids, bounds, end)
                     order = r.permutation(len(source))
                     for part in np.array_split(order, max(1, round(len(order) / batch))):
@@ -442,7 +570,7 @@ def read_all(m: dict, vocab: dict, rows: DataFrame, path: str, pattern: str, rou
                 flat = np.concatenate([w.reshape(-1) for w in own.values()]).astype(np.float64) * n
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(flat, n).tobytes()], pa.binary())], names=["vector"])
 
-        total = summed(rows.where(F.pmod(F.xxhash64("doc"), F.lit(rounds)) == number).mapInArrow(learn, "vector binary"), size + 1)
+        total = summed(rows.where(F.pmod(F.xxhash64("doc"), F.lit(rounds)) == number).select("ids").mapInArrow(learn, "vector binary"), size + 1)
         if total[-1]:
             flat, at = (total[:-1] / total[-1]).astype(np.float32), np.cumsum([0, *(w.size for w in m.values())])
             m = {k: flat[lo : lo + w.size].reshape(w.shape) for (k, w), lo in zip(m.items(), at[:-1], strict=True)}
@@ -450,31 +578,39 @@ def read_all(m: dict, vocab: dict, rows: DataFrame, path: str, pattern: str, rou
 
 
 def fit(rows: DataFrame, path: str, pattern: str, max_docs: int = 1500, rounds: int = 4) -> tuple[dict, dict]:
-    """The model from (doc, text) rows: one task begins on the bounded sample, all tasks go on over all rows; the driver gets sums and parameters alone."""
-    counts = id_counts(rows, path, pattern)
-    ids = rows.where("doc is not null").select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(max_docs).select(F.col("doc").alias("chosen"))
-    sample = rows.join(F.broadcast(ids), F.col("doc") == F.col("chosen"), "left_semi").select("doc", "text")
+    """The model and vocabulary from (doc, text) rows."""
+    return fit_ids(encoded(rows.withColumn("learned", F.lit(True)), path, pattern), len(bpe.tokenizer(path, pattern).vocabulary.bytes_of) + 1, max_docs, rounds)
+
+
+def fit_ids(rows: DataFrame, size: int, max_docs: int = 1500, rounds: int = 4) -> tuple[dict, dict]:
+    """The model from (doc, ids) rows: one task begins on the bounded sample, all tasks go on over all rows; the driver gets sums and parameters alone."""
+    counts = id_counts(rows.select("ids"), size)
+    chosen_docs = rows.where("doc is not null").select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(max_docs).select(F.col("doc").alias("chosen"))
+    sample = rows.join(F.broadcast(chosen_docs), F.col("doc") == F.col("chosen"), "left_semi").select("doc", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((i, (t or "").encode("utf-8", "surrogateescape")) for b in batches for i, t in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True))
-        m, vocab = train([t for _, t in found], path, pattern, counts=counts)
+        found = sorted((i, x) for b in batches for i, x in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True))
+        kind = id_type(size)
+        bounds = np.append(0, np.cumsum([len(x) // kind.itemsize for _, x in found])).astype(np.int64)
+        m, vocab = train_ids(np.frombuffer(b"".join(x for _, x in found), kind).astype(np.int32), bounds, counts)
         for k, v in [*m.items(), *(("vocab " + k, v) for k, v in vocab.items())]:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([str(v.dtype)]), pa.array([list(v.shape)], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary())], names=["name", "kind", "shape", "value"])
 
     got = {r["name"]: np.frombuffer(r["value"], r["kind"]).reshape(r["shape"]) for r in sample.repartition(1).mapInArrow(run, "name string, kind string, shape array<long>, value binary").collect()}
     if not got:  # no rows, no task
-        return train([], path, pattern)
+        return train_ids(np.zeros(0, np.int32), np.zeros(1, np.int64), counts)
     m, vocab = {k: v for k, v in got.items() if not k.startswith("vocab ")}, {k[6:]: v for k, v in got.items() if k.startswith("vocab ")}
-    return read_all(m, vocab, rows, path, pattern, rounds), vocab
+    return read_all(m, vocab, rows, rounds), vocab
 
 
 def score(docs: DataFrame, learn: Column, path: str, pattern: str, max_docs: int = 1500, frequent: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn`` is a condition on ``doc`` for what is learned from."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     learned = rows.where(learn & F.col("doc").isNotNull())
+    ids = encoded(rows.withColumn("learned", F.coalesce(learn & F.col("doc").isNotNull(), F.lit(False))), path, pattern)
     n_parts = partitions(docs)
     labels = np.array(even_labels(docs, n_parts), np.int64)
-    m, vocab = fit(learned, path, pattern, max_docs)
+    m, vocab = fit_ids(ids.where("learned"), len(bpe.tokenizer(path, pattern).vocabulary.bytes_of) + 1, max_docs)
     ranges, end = class_ranges(vocab), len(vocab["symbol"]) - 1
     counts = cut(word_counts(learned, labels))
     total = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).head()
@@ -498,7 +634,7 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, max_docs: int
         return hit, np.where(hit, top_count[at], 0)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words that are not frequent, by hash: each once for a row, with its number."""
+        """Sums over the frequent words, by row; and the words that are not frequent, by hash: each once for a row, with its number."""
         for b in batches:
             data, off = text_bytes(b[1])
             for lo, hi in ((x, min(x + 60_000, z)) for y, z in pieces(off, 4 << 20) for x in range(y, z, 60_000)):
@@ -507,49 +643,59 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, max_docs: int
                 h, first = word_hashes(own, at)
                 h = np.append(h, np.full(hi - lo, END_WORD))
                 row = np.append(np.repeat(np.arange(hi - lo), np.diff(first)), np.arange(hi - lo))
-                rare = ~known(h)[0]
-                h, row = h[rare], row[rare]
+                hit, c = known(h)
+                base, n_known = np.bincount(row[hit], np.log10((c[hit] + 0.5) / scale), hi - lo), np.bincount(row[hit], minlength=hi - lo)
+                have = np.flatnonzero(n_known)
+                at_, sums_ = dealt(packed(SUM, row=keys[have], score=base[have], known=n_known[have]), keys[have].view(U), labels)
+                none = pa.nulls(len(at_), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at_, pa.int32()), none, none, none, pa.array([x.tobytes() for x in sums_], pa.binary())], names=["label", "table", "rows", "asked", "sums"])
+                h, row = h[~hit], row[~hit]
                 if not len(h):
                     continue
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
                 start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
                 r = packed(ASK, hash=h[start], n=np.diff(np.append(start, len(h))), d=row[start])
-                at_, tables = dealt(r, r["hash"], labels)
+                at_, tables_ = dealt(r, r["hash"], labels)
                 rows_ = []
-                for t in tables:
+                for t in tables_:
                     mine, place = np.unique(t["d"], return_inverse=True)
                     t["d"] = place
                     rows_.append(keys[mine].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(at_, pa.int32()), pa.nulls(len(at_), pa.binary()), pa.array(rows_, pa.binary()), pa.array([t.tobytes() for t in tables], pa.binary())], names=["label", "table", "rows", "asked"])
+                none = pa.nulls(len(at_), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at_, pa.int32()), none, pa.array(rows_, pa.binary()), pa.array([t.tobytes() for t in tables_], pa.binary()), none], names=["label", "table", "rows", "asked", "sums"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, keys, asked = [np.zeros(0, COUNT)], [np.zeros(0, np.int64)], [np.zeros(0, ASK)]
+        tables_, keys, asked, had = [np.zeros(0, COUNT)], [np.zeros(0, np.int64)], [np.zeros(0, ASK)], [np.zeros(0, SUM)]
         for b in batches:
-            for t, r, a in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist(), strict=True):
+            for t, r, a, x in zip(*(b[i].to_pylist() for i in range(4)), strict=True):
                 if t is not None:
-                    tables.append(np.frombuffer(t, COUNT))
+                    tables_.append(np.frombuffer(t, COUNT))
+                elif x is not None:
+                    had.append(np.frombuffer(x, SUM))
                 else:
                     a = np.frombuffer(a, ASK)
                     keys.append(np.frombuffer(r, np.int64)[a["d"]])
                     asked.append(a)
-        table, key, a = np.concatenate(tables), np.concatenate(keys), np.concatenate(asked)
+        table, key, a, had = np.concatenate(tables_), np.concatenate(keys), np.concatenate(asked), np.concatenate(had)
+        had = had[np.unique(had["row"], return_index=True)[1]]  # repeated rows have one sum, and ask once
         table = table[np.argsort(table["hash"])]
         order = np.lexsort((a["hash"], key))
         key, a = key[order], a[order]
-        if not len(key):
-            return
-        one = np.append(True, (key[1:] != key[:-1]) | (a["hash"][1:] != a["hash"][:-1]))  # repeated rows ask again
-        key, a = key[one], a[one]
-        c = np.zeros(len(a), np.int64)
-        if len(table):
-            at = np.minimum(np.searchsorted(table["hash"], a["hash"]), len(table) - 1)
-            c = np.where(table["hash"][at] == a["hash"], table["c"][at], 0)
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        s = np.add.reduceat(a["n"] * np.log10((c + 0.5) / scale), start)
-        k = np.add.reduceat(np.where(c > 0, a["n"], 0).astype(np.int64), start)
-        at_, sums = dealt(packed(SUM, row=key[start], score=s, known=k), key[start].view(U), labels)
-        yield pa.RecordBatch.from_arrays([pa.array(at_, pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["label", "sums"])
+        if len(key):
+            one = np.append(True, (key[1:] != key[:-1]) | (a["hash"][1:] != a["hash"][:-1]))
+            key, a = key[one], a[one]
+            c = np.zeros(len(a), np.int64)
+            if len(table):
+                at = np.minimum(np.searchsorted(table["hash"], a["hash"]), len(table) - 1)
+                c = np.where(table["hash"][at] == a["hash"], table["c"][at], 0)
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            s = np.add.reduceat(a["n"] * np.log10((c + 0.5) / scale), start)
+            k = np.add.reduceat(np.where(c > 0, a["n"], 0).astype(np.int64), start)
+            had = np.concatenate([had, packed(SUM, row=key[start], score=s, known=k)])
+        if len(had):
+            at_, sums_ = dealt(had, had["row"].astype(np.int64).view(U), labels)
+            yield pa.RecordBatch.from_arrays([pa.array(at_, pa.int32()), pa.array([x.tobytes() for x in sums_], pa.binary())], names=["label", "sums"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.concatenate([np.zeros(0, SUM), *(np.frombuffer(x.as_py(), SUM) for b in batches for x in b[0])])
@@ -557,38 +703,18 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, max_docs: int
             return
         s = s[np.argsort(s["row"], kind="stable")]
         start = np.flatnonzero(np.append(True, s["row"][1:] != s["row"][:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(s["row"][start].astype(np.int64)), pa.array(np.add.reduceat(s["score"], start)), pa.array(np.add.reduceat(s["known"], start).astype(np.int64))], names=["rare_row", "rare_score", "rare_known"])
+        yield pa.RecordBatch.from_arrays([pa.array(s["row"][start].astype(np.int64)), pa.array(np.add.reduceat(s["score"], start)), pa.array(np.add.reduceat(s["known"], start).astype(np.int64))], names=["sum_row", "base", "n_known"])
 
-    asked = rows.mapInArrow(ask, "label int, table binary, rows binary, asked binary")
-    both = asked.unionByName(counts.select("label", "table", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("asked")))
-    answered = both.repartition(n_parts, "label").select("table", "rows", "asked").mapInArrow(answer, "label int, sums binary")
-    rare = answered.repartition(n_parts, "label").select("sums").mapInArrow(gather, "rare_row long, rare_score double, rare_known long")
+    asked = rows.mapInArrow(ask, "label int, table binary, rows binary, asked binary, sums binary")
+    both = asked.unionByName(counts.select("label", "table"), allowMissingColumns=True)
+    answered = both.repartition(n_parts, "label").select("table", "rows", "asked", "sums").mapInArrow(answer, "label int, sums binary")
+    base = answered.repartition(n_parts, "label").select("sums").mapInArrow(gather, "sum_row long, base double, n_known long")
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = bpe.tokenizer(path, pattern)
         for b in batches:
-            data, off = text_bytes(b[1])
-            for lo, hi in pieces(off, 1 << 19):
-                own, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                h, first = word_hashes(own, at)
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                hit, c = known(np.append(h, np.full(hi - lo, END_WORD)))
-                row = np.append(row, np.arange(hi - lo))
-                base = np.bincount(row[hit], np.log10((c[hit] + 0.5) / scale), hi - lo)
-                n_known = np.bincount(row[hit & (c > 0)], minlength=hi - lo)
-                p = score_rows(m, vocab, ranges, *t.encode_rows(*plain_words(own, at)), end)
-                yield pa.RecordBatch.from_arrays(
-                    [b[0].slice(lo, hi - lo), pa.array(row_keys(b[0].slice(lo, hi - lo), own, at)), pa.array(np.diff(first) + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(p, pa.float64())],
-                    names=["doc", "row", "n_tokens", "n_known", "base", "score"],
-                )
+            for lo, hi, own, bounds in id_pieces(b[3], id_type(end + 1)):
+                yield pa.RecordBatch.from_arrays([*(b[i].slice(lo, hi - lo) for i in range(3)), pa.array(score_rows(m, vocab, ranges, own, bounds, end), pa.float64())], names=["doc", "row", "n_tokens", "score"])
 
-    scored = rows.mapInArrow(attend, "doc long, row long, n_tokens long, n_known long, base double, score double")
-    out = scored.join(rare, F.col("row") == F.col("rare_row"), "left")
-    return out.select(
-        F.col("doc").alias(id_col),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    scored = ids.select("doc", "row", "n_tokens", "ids").mapInArrow(attend, "doc long, row long, n_tokens long, score double")
+    out = scored.join(base, F.col("row") == F.col("sum_row"), "left")
+    return out.select(F.col("doc").alias(id_col), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -570,6 +570,54 @@ def test_lm_context():
     assert max(before.values()) == 32 and all(n >= 9 for t, n in before.items() if t >= 32) and lm_score.CLASSES == 96
 
 
+def test_lm_works_out_scored_places_alone():
+    """Places that are only looked at get no states; tables of symbols give the same states; sums are the gradients of all three kinds of windows."""
+    r = np.random.default_rng(9)
+    vocab = lm_score.vocabulary((1e5 / np.arange(1, 5001)).astype(int))
+    m, ranges = lm_score.new_model(vocab), lm_score.class_ranges(vocab)
+    m["far"] = r.normal(0, 1, lm_score.WINDOW).astype(np.float32)
+    symbols, target = vocab["symbol"][r.integers(0, 5000, (6, lm_score.WINDOW))], r.integers(0, 5000, (6, lm_score.WINDOW))
+    every = lm_score.forward(m, symbols)[0]
+    for begin in (0, lm_score.OVERLAP):
+        h, state = lm_score.forward(m, symbols, begin)
+        assert (6, lm_score.WINDOW - begin, lm_score.WINDOW) in [x.shape for x in state] and np.allclose(h, every[:, begin:], atol=1e-5)
+        assert np.allclose(lm_score.looked_up(lm_score.tables(m), m["far"], symbols, begin), h, atol=1e-5)
+    live = np.ones((6, lm_score.WINDOW), bool)
+    live[2:, : lm_score.OVERLAP] = False
+    live[:4:2, 20:] = False
+    assert [(x.tolist(), y) for x, y in lm_score.by_begin(live)] == [([0, 1], 0), ([2], 8), ([3, 4, 5], 8)]
+    got = lm_score.gradients(m, vocab, ranges, symbols, target, live)
+    parts = [(live[i : i + 1].sum(), lm_score.gradients(m, vocab, ranges, symbols[i : i + 1], target[i : i + 1], live[i : i + 1])) for i in range(6)]
+    assert abs(got[0] - sum(n * x[0] for n, x in parts) / live.sum()) < 1e-4
+    for key in m:
+        assert np.allclose(got[1][key], sum(n * x[1][key] for n, x in parts) / live.sum(), atol=1e-5), key
+    for scale in (1, 30):  # small products need no largest one taken off, large ones do
+        big = m | {"qkv": m["qkv"] * np.float32(scale), "far": m["far"] * np.float32(scale)}
+        wide = {k: v.astype(np.float64) for k, v in big.items()}
+        assert np.isfinite(lm_score.forward(big, symbols, 8)[0]).all() and np.allclose(lm_score.forward(big, symbols, 8)[0], lm_score.forward(wide, symbols, 8)[0], atol=2e-3)
+
+
+def test_lm_encodes_once(spark):
+    import pyarrow as pa
+
+    path = bpe.default_paths()
+    t = bpe.tokenizer(*path)
+    rows = [(1, "One  two\tthree"), (2, None), (3, ""), (None, "x \u20ac"), (4, " " * 9), (5, "ab " * 200_000)]
+    df = spark.createDataFrame(rows, "doc long, text string").withColumn("learned", F.col("doc") > 1)
+    got = {r.doc: r for r in lm_score.encoded(df, *path).collect()}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        want = t.encode("".join(" " + w for w in words))
+        assert np.frombuffer(got[i].ids, lm_score.id_type(len(t.vocabulary.bytes_of) + 1)).tolist() == want and got[i].n_tokens == len(words) + 1
+    assert got[1].learned is False and got[5].learned is True
+    assert lm_score.id_type(1 << 16).itemsize == 2 and lm_score.id_type((1 << 16) + 1).itemsize == 4
+    for size in (1 << 16, (1 << 16) + 1):
+        kind = lm_score.id_type(size)
+        column = pa.array([np.array(x, kind).tobytes() for x in ([size - 1, 5], [], [7])] + [None]).slice(1)
+        ((lo, hi, ids, bounds),) = lm_score.id_pieces(column, kind)
+        assert (lo, hi, ids.tolist(), bounds.tolist()) == (0, 3, [7], [0, 0, 1, 1])
+
+
 # --- 7: decontamination
 
 
