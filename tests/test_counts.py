@@ -97,3 +97,9 @@ def test_callees_of_a_hub(spark, hub_dir):
     n = hub_dir[1]
     rows, mb = small(spark, hub_dir, "callees_d2")
     assert rows == sorted((f"o:{orders_key(k)}", n + 1, 2 * n + 1) for k in range(n)) and mb < 1
+
+
+def test_impact_of_a_hub(spark, hub_dir):
+    n = hub_dir[1]
+    rows, mb = small(spark, hub_dir, "impact_radius")
+    assert rows == sorted([(f"s:{supplier_key(k)}", "calls", n + 1) for k in range(n)] + [(f"s:{supplier_key(k)}", "references", 1) for k in range(3)]) and mb < 1
