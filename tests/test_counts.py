@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import counts, graph
+from codeloom.operators import counts, graph, paths
 from codeloom.queries import QUERIES
 
 
@@ -32,6 +32,14 @@ def test_counts_of_random_graphs(spark, depth, at_once):
     assert sorted((x.root, x.depth, x.n) for x in got) == sorted((*k, n) for k, n in want.items())
 
 
+@pytest.mark.parametrize("at_once", [1, 1000])
+def test_second_steps_of_random_graphs(spark, at_once):
+    names, pairs = random_graph(spark, 7)
+    roots = table(spark, [(x,) for x in names], "id string")
+    walks = paths.walk_counts(pairs, roots, 2).where("depth = 2").groupBy("root").agg(F.count("*").alias("n"), F.sum("walks").cast("long").alias("walks"))
+    assert sorted(map(tuple, counts.second_steps(pairs, roots, at_once).collect())) == sorted(map(tuple, walks.collect()))
+
+
 def test_late_pairs_and_long_lists(spark):
     """More ids than one list holds; late pairs count where steps do not reach."""
     pairs = table(spark, [("r", f"a{k}") for k in range(2500)] + [(f"a{k}", "r") for k in range(2500)] + [("a7", "b")], "src string, dst string")
@@ -103,3 +111,9 @@ def test_impact_of_a_hub(spark, hub_dir):
     n = hub_dir[1]
     rows, mb = small(spark, hub_dir, "impact_radius")
     assert rows == sorted([(f"s:{supplier_key(k)}", "calls", n + 1) for k in range(n)] + [(f"s:{supplier_key(k)}", "references", 1) for k in range(3)]) and mb < 1
+
+
+def test_walks_of_a_hub(spark, hub_dir):
+    n = hub_dir[1]
+    rows, mb = small(spark, hub_dir, "supplier_walks")
+    assert rows == sorted((f"o:{orders_key(k)}", n, str(n)) for k in range(n)) and mb < 1
