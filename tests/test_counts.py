@@ -117,3 +117,9 @@ def test_walks_of_a_hub(spark, hub_dir):
     n = hub_dir[1]
     rows, mb = small(spark, hub_dir, "supplier_walks")
     assert rows == sorted((f"o:{orders_key(k)}", n, str(n)) for k in range(n)) and mb < 1
+
+
+def test_callers_of_a_hub(spark, hub_dir):
+    n = hub_dir[1]
+    rows, mb = small(spark, hub_dir, "callers_d2")
+    assert rows == sorted((f"s:{supplier_key(k)}", d, m) for k in range(n) for d, m in ((1, 1), (2, n))) and mb < 1
