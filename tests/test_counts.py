@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import counts, graph, paths
 from codeloom.queries import QUERIES
+from codeloom.schema import Graph
 
 
 def table(spark, rows, columns):
@@ -101,6 +102,18 @@ def small(spark, hub_dir, name):
     return rows, (disk(spark) - before) / 1e6
 
 
+def test_kinds_are_chosen_before_pairs_are_dealt(spark):
+    """Most pairs lead to kinds that are not walked; they are dealt once, not again for each level."""
+    other = spark.range(200_000).select(F.concat(F.lit("a"), F.xxhash64("id")).alias("source"), F.concat(F.lit("f"), F.xxhash64("id", F.lit(1))).alias("target"), F.lit("calls").alias("kind"), F.col("id").alias("ord"))
+    few = table(spark, [("r", "c1", "contains", 0), ("c1", "c2", "calls", 1), ("c1", "c2", "references", 2), ("c2", "f", "calls", 3), ("f", "c3", "calls", 4), ("c2", "r", "calls", 5)], other.columns)
+    nodes = table(spark, [("r", "file", 9), ("c1", "class", 3), ("c2", "class", 2), ("c3", "class", 1), ("f", "function", 0)], "id string, kind string, ord long")
+    g, roots = Graph(nodes, few.unionByName(other), nodes), table(spark, [("r",)], "id string")
+    before = disk(spark)
+    got = graph.traverse(g, roots, 3, node_kinds=["class"], include_start=True).collect()
+    assert sorted(map(tuple, got)) == [("r", "c1", 1), ("r", "c2", 2), ("r", "r", 0)] and (disk(spark) - before) / 1e6 < 14
+    assert [tuple(x) for x in graph.traverse(g, roots, 3, node_kinds=["class"], limit=1).collect()] == [("r", "c1", 1)]
+
+
 def test_callees_of_a_hub(spark, hub_dir):
     n = hub_dir[1]
     rows, mb = small(spark, hub_dir, "callees_d2")
