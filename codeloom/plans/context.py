@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.checkpoints import cut
+from codeloom.checkpoints import cut, few
 from codeloom.functions.text import optional
 from codeloom.operators.graph import callees, callers, type_hierarchy
 from codeloom.operators.search import SearchIndex, search_many
@@ -74,19 +74,38 @@ def nearest(found: DataFrame, keys: list[str], order: list[str], what: str, most
 def call_chains(focal: DataFrame, g: Graph, limit: int = 15, most: int = 1000) -> DataFrame:
     """(number, id, k, direction, path, places): who a focal function calls within three steps, itself first, and who calls it within two, itself last.
 
-    A chain lists symbols by distance, the nearest ``most`` of them; path has their names, places also their files and lines.
+    A chain lists symbols by distance, the nearest ``most`` of them; path has their names, places also their files and lines. Symbols are walked
+    from in their order, as many for each page as it has chains at most; only pages that then have too few go on to their next symbols. g: its tables are written.
     """
     roots = focal.join(g.nodes.where("kind in ('method', 'function', 'class')").select("id"), "id", "left_semi")
+    roots = cut(roots.withColumn("place", F.row_number().over(Window.partitionBy("number").orderBy("pos", "id"))).select("number", "id", "pos", "place"))
+    found, upto = None, limit
+    some = roots.where(F.col("place") <= upto)
+    while True:
+        part = cut(chains_of(cut(some), g, most))
+        found = part if found is None else found.unionByName(part)
+        full = found.groupBy("number").agg(F.count("*").alias("n")).where(F.col("n") >= limit).select("number")
+        left = cut(roots.where(F.col("place") > upto).join(full, "number", "left_anti"))
+        if left.isEmpty():
+            break
+        upto *= 8
+        some = left.where(F.col("place") <= upto)
+    w = Window.partitionBy("number").orderBy("pos", "direction")
+    met = found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit)
+    return met.select("number", "id", "k", "direction", F.transform("x", lambda r: r["name"]).alias("path"), F.transform("x", lambda r: r["place"]).alias("places"))
+
+
+def chains_of(roots: DataFrame, g: Graph, most: int) -> DataFrame:
+    """(number, id, pos, direction, x) of roots (number, id, pos) that call or are called; x: names and places in order."""
     ids = roots.select("id").distinct()
-    out = callees(g, ids, 3).withColumn("direction", F.lit("callees")).unionByName(callers(g, ids, 2).withColumn("direction", F.lit("callers")))
+    out = callees(g, ids, 3, True).withColumn("direction", F.lit("callees")).unionByName(callers(g, ids, 2, True).withColumn("direction", F.lit("callers")))
+    out = cut(out)
     label = F.concat("name", F.lit(" ("), "file_path", F.coalesce(F.concat(F.lit(":"), optional(g.nodes, "start_line")), F.lit("")), F.lit(")"))
     nodes = g.nodes.select("id", "ord", F.struct("name", label.alias("place")).alias("s"))
-    chain = nearest(out.join(nodes, "id"), ["root", "direction"], ["depth", "ord"], "s", most)
-    met = roots.join(chain, roots["id"] == chain["root"]).join(nodes.select(F.col("id").alias("root"), "s"), "root")
+    chain = nearest(nodes.join(few(out), "id"), ["root", "direction"], ["depth", "ord"], "s", most)
+    met = chain.join(few(roots).withColumnRenamed("id", "root"), "root").join(nodes.join(few(cut(ids)), "id", "left_semi").select(F.col("id").alias("root"), "s"), "root")
     whole = F.when(F.col("direction") == "callees", F.concat(F.array("s"), "others")).otherwise(F.concat(F.reverse("others"), F.array("s")))
-    w = Window.partitionBy("number").orderBy("pos", "direction")
-    met = met.select("number", "id", F.row_number().over(w).alias("k"), "direction", whole.alias("x")).where(F.col("k") <= limit)
-    return met.select("number", "id", "k", "direction", F.transform("x", lambda r: r["name"]).alias("path"), F.transform("x", lambda r: r["place"]).alias("places"))
+    return met.select("number", F.col("root").alias("id"), "pos", "direction", whole.alias("x"))
 
 
 def page_hierarchies(focal: DataFrame, g: Graph, limit: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import counts, graph, paths
+from codeloom.plans import context
 from codeloom.queries import QUERIES
 from codeloom.schema import Graph
 
@@ -114,6 +115,41 @@ def test_kinds_are_chosen_before_pairs_are_dealt(spark):
     assert [tuple(x) for x in graph.traverse(g, roots, 3, node_kinds=["class"], limit=1).collect()] == [("r", "c1", 1)]
 
 
+def test_chains_are_walked_for_the_symbols_that_pages_list(spark):
+    """Pages go on to later symbols where the first ones call nobody, and the others' walks are not made."""
+    r = random.Random(3)
+    names = [f"f{k:04}" for k in range(3000)]
+    calls = sorted({(a, names[r.randrange(3000)], "calls") for a in names[30:] for _ in range(5)} - {(a, a, "calls") for a in names})
+    calls += [(names[2], "gone", "calls"), ("gone", names[7], "calls"), (names[4], names[4], "calls")]
+    nodes = table(spark, [(a, "function", a.upper(), "x", k) for k, a in enumerate(names)], "id string, kind string, name string, file_path string, ord long")
+    edges = table(spark, calls, "source string, target string, kind string")
+    focal = table(spark, [(n, a, k) for n, some in (("p", names[:25]), ("q", names[25:]), ("z", names[4:5])) for k, a in enumerate(some)], "number string, id string, pos int")
+    before = disk(spark)
+    got = context.call_chains(focal, Graph(nodes, edges, nodes), limit=3).collect()
+    mb = (disk(spark) - before) / 1e6
+    called = {a: [b for x, b, _ in calls if x == a] for a in {*names, "gone"}}
+    callers = collections.defaultdict(list)
+    for a, b, _ in calls:
+        callers[b].append(a)
+
+    def near(step, a, depth):
+        dist = {a: 0}
+        for x in (queue := [a]):
+            for y in step[x]:
+                if y not in dist and dist[x] < depth:
+                    dist[y] = dist[x] + 1
+                    queue.append(y)
+        return sorted((d, y) for y, d in dist.items() if d and y != "gone")
+
+    want = []
+    for n, some in (("p", names[:25]), ("q", names[25:]), ("z", names[4:5])):
+        every = [(a, way, x) for a in some for way, step, depth in (("callees", called, 3), ("callers", callers, 2)) if (x := near(step, a, depth))]
+        for k, (a, way, x) in enumerate(every[:3], 1):
+            path = [a.upper()] + [y.upper() for _, y in x] if way == "callees" else [y.upper() for _, y in reversed(x)] + [a.upper()]
+            want.append((n, a, k, way, path))
+    assert sorted(((x.number, x.id, x.k, x.direction, x.path[:1001]) for x in got)) == sorted(want) and len(want) > 5 and mb < 3
+
+
 def test_callees_of_a_hub(spark, hub_dir):
     n = hub_dir[1]
     rows, mb = small(spark, hub_dir, "callees_d2")
