@@ -1,7 +1,10 @@
-"""The containment forest as intervals: what stands above and below a node is one join of ranges, without a loop for each level."""
+"""The containment forest as intervals: what stands above and below a node is found in one pass over its numbers, without a loop for each level."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,30 +48,63 @@ def interval_labels(g: Graph) -> DataFrame:
     return cut(numbered.join(below, "id").select("id", (F.col("depth") - 1).alias("depth"), "pre", (F.col("pre") + F.col("n") - 1).alias("post")))
 
 
-def enclosing(labels: DataFrame, inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(inner, outer, depth) of labelled nodes inside others, and how many levels lie between; inner, outer: ids.
+def enclosing(labels: DataFrame, inner: DataFrame | None, outer: DataFrame | None) -> DataFrame:
+    """(inner, outer, depth) of labelled nodes inside others, and how many levels lie between; inner, outer: ids, None for all that have labels.
 
-    An interval is known by the power of two that is not below its length, and lies in two bins of that width at most; a number is in
-    one bin of each width that there is. So each pair meets in one bin, whatever the lengths.
+    Numbers are dealt in ranges. A range gets its own nodes, and those before it that reach into it, in order; what is open at a node is what encloses
+    it, so each node is written once and a task holds one path.
     """
-    level = F.ceil(F.log2(F.col("post") - F.col("pre") + 1)).cast("int")
-    wide = outer.select("id").distinct().join(labels, "id").where("post > pre").withColumn("w", level)
-    bins = F.array_distinct(F.array(F.call_function("shiftright", "pre", F.col("w")), F.call_function("shiftright", "post", F.col("w"))))
-    a = wide.select(F.col("id").alias("outer"), "pre", "post", F.col("depth").alias("high"), "w", F.explode(bins).alias("bin"))
-    most = F.ceil(F.log2(F.greatest(F.max("post") + 1, F.lit(1)))).cast("int")
-    widths = labels.agg(most.alias("most"))  # one row
-    b = inner.select("id").distinct().join(labels, "id").join(F.broadcast(widths), F.lit(True))
-    b = b.select(F.col("id").alias("inner"), F.col("pre").alias("at"), F.col("depth").alias("low"), F.explode(F.sequence(F.lit(1), F.greatest(F.col("most"), F.lit(1)))).alias("w"))
-    b = b.withColumn("bin", F.call_function("shiftright", "at", F.col("w")))
-    met = b.join(a, ["w", "bin"]).where("at > pre and at <= post")
-    return met.select("inner", "outer", (F.col("low") - F.col("high")).cast("int").alias("depth"))
+    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = labels.agg(F.max("pre")).head()[0]
+    width = F.lit(1 if last is None else last // n + 1).cast("long")
+    rows = labels.select("id", "depth", "pre", "post")
+    for name, some in (("is_inner", inner), ("is_outer", outer)):
+        if some is None:
+            rows = rows.withColumn(name, F.lit(True))
+        else:
+            rows = rows.join(some.select("id").distinct().withColumn(name, F.lit(True)), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    rows = rows.withColumn("is_outer", F.col("is_outer") & (F.col("post") > F.col("pre"))).where("is_inner or is_outer")
+    part = lambda c: F.floor(F.col(c) / width).cast("long")
+    own = rows.withColumn("part", part("pre"))
+    open_before = rows.where(F.col("is_outer") & (part("post") > part("pre"))).withColumn("part", F.explode(F.sequence(part("pre") + 1, part("post")))).withColumn("is_inner", F.lit(False))
+    fields = ["part", "pre", "post", "id", "depth", "is_inner", "is_outer"]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, depths, posts = None, [], [], []
+        found: tuple[list, list, list] = ([], [], [])
+
+        def told():
+            out = pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.int32())], names=["inner", "outer", "depth"])
+            for x in found:
+                x.clear()
+            return out
+
+        for b in batches:
+            for at, pre, post, i, depth, is_inner, is_outer in zip(*(b.column(c).to_pylist() for c in fields), strict=True):
+                if at != now:
+                    now, ids, depths, posts = at, [], [], []
+                while posts and posts[-1] < pre:
+                    posts.pop(), ids.pop(), depths.pop()
+                if is_inner and ids:
+                    found[0].extend([i] * len(ids))
+                    found[1].extend(ids)
+                    found[2].extend([depth - x for x in depths])
+                    if len(found[0]) > 10_000:
+                        yield told()
+                if is_outer:
+                    ids.append(i), depths.append(depth), posts.append(post)
+        if found[0]:
+            yield told()
+
+    dealt = own.select(*fields).unionByName(open_before.select(*fields)).repartition(n, "part").sortWithinPartitions("part", "pre")
+    return dealt.mapInArrow(sweep, "inner string, outer string, depth int")
 
 
 def ancestors(labels: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id, depth) of what contains the roots, as the walk finds it."""
-    return enclosing(labels, roots, labels).select(F.col("inner").alias("root"), F.col("outer").alias("id"), "depth")
+    return enclosing(labels, roots, None).select(F.col("inner").alias("root"), F.col("outer").alias("id"), "depth")
 
 
 def descendants(labels: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id, depth) of what the roots contain, at any distance."""
-    return enclosing(labels, labels, roots).select(F.col("outer").alias("root"), F.col("inner").alias("id"), "depth")
+    return enclosing(labels, None, roots).select(F.col("outer").alias("root"), F.col("inner").alias("id"), "depth")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import counts, graph, paths
+from codeloom.operators import counts, graph, intervals, paths
 from codeloom.plans import context
 from codeloom.queries import QUERIES
 from codeloom.schema import Graph
@@ -150,6 +150,35 @@ def test_chains_are_walked_for_the_symbols_that_pages_list(spark):
     assert sorted(((x.number, x.id, x.k, x.direction, x.path[:1001]) for x in got)) == sorted(want) and len(want) > 5 and mb < 3
 
 
+def test_enclosing_intervals_write_each_node_once(spark):
+    """A forest of three levels with scattered ids, and a path that crosses every range."""
+    n, deep = 60_000, 40
+    ids = [f"x{k * 7919 % 1000003}" for k in range(n)]
+    depth = [min(k, deep) if k < deep + 1 else deep + (k % 10 != 0) for k in range(n)]
+    rows, post = [], [n - 1] * n
+    tops = [k for k in range(deep, n) if depth[k] == deep]
+    for a, b in zip(tops, [*tops[1:], n], strict=True):
+        post[a] = b - 1
+    post = [p if depth[k] <= deep else k for k, p in enumerate(post)]
+    rows = list(zip(ids, depth, range(n), post, strict=True))
+    labels = table(spark, rows, "id string, depth long, pre long, post long").repartition(4)
+    inner = [k for k in range(n) if k % 2 == 0]
+    before = disk(spark)
+    got = intervals.ancestors(labels, table(spark, [(ids[k],) for k in inner], "id string")).withColumn("h", F.xxhash64("root", "id", "depth"))
+    got = got.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.max("depth")).head()
+    mb = (disk(spark) - before) / 1e6
+    want, path = [], []
+    for k in range(n):
+        while path and post[path[-1]] < k:
+            path.pop()
+        if k % 2 == 0:
+            want += [(ids[k], ids[a], depth[k] - depth[a]) for a in path]
+        if post[k] > k:
+            path.append(k)
+    want = table(spark, want, "root string, id string, depth int").withColumn("h", F.xxhash64("root", "id", "depth")).agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)")), F.max("depth")).head()
+    assert tuple(got) == tuple(want) and mb < 4
+
+
 def test_callees_of_a_hub(spark, hub_dir):
     n = hub_dir[1]
     rows, mb = small(spark, hub_dir, "callees_d2")
