@@ -131,7 +131,7 @@ class PageParts:
         self.focal = cut(focal_symbols(sections, g.nodes, index))
         self.members = cut(members(self.focal, g))
         self.symbols = cut(self.focal.select("number", "id").unionByName(self.members.select("number", "id")).distinct())
-        self.relations = cut(relations(self.symbols, g))
+        self.relations = cut(relations(few(self.symbols), g))
         self.files = related_files(self.symbols, g, self.relations)
         self.chains, self.hierarchies = call_chains(self.focal, g), page_hierarchies(self.focal, g)
         self.blocks = None if contents is None else page_blocks(self.focal, self.members, g.nodes, contents)
